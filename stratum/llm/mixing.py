@@ -50,7 +50,7 @@ def source_targets(totals: DataFrame, weights: tuple[int, ...], max_epochs: int)
     return leveled.select("source", "n_rows", "source_size", target.alias("target"))
 
 
-def mix(documents: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_epochs: int = 3, rows_per_bucket: int = 20_000) -> DataFrame:
+def mix(documents: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_epochs: int = 3, rows_per_bucket: int = 2_000) -> DataFrame:
     """One row per row of ``documents`` (doc_id, source, text): doc_id, source, size, source_size, target, taken.
 
     A null text has size 0 and a null source is a source of its own, ranked last. Rows of one source are taken in the
