@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, neardup
+from . import decontaminate, mixing, neardup, suffix_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,8 +26,20 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stripped = suffix_dedup.strip_repeats(_table(spark, sf_dir, "documents"))
+    width = F.aggregate(F.sequence(F.lit(1), F.size("removed") - 1, F.lit(2)), F.lit(0).cast("long"), lambda a, i: a + F.element_at("removed", i + 1) - F.element_at("removed", i))
+    return stripped.select(
+        "doc_id",
+        "n_bytes",
+        F.when(F.size("removed") > 0, width).otherwise(F.lit(0).cast("long")).alias("n_removed"),
+        (F.size("removed") / 2).cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_dedup, op4_decontaminate, op6_mix_sources)}
+    return {f.__name__: f for f in (op1_near_dedup, op4_decontaminate, op6_mix_sources, op9_suffix_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
