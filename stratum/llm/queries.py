@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, neardup, suffix_dedup
+from . import decontaminate, mixing, neardup, quality, suffix_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,8 +38,12 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_dedup, op4_decontaminate, op6_mix_sources, op9_suffix_dedup)}
+    return {f.__name__: f for f in (op1_near_dedup, op4_decontaminate, op6_mix_sources, op9_suffix_dedup, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
