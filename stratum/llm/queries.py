@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, neardup, quality, suffix_dedup
+from . import decontaminate, mixing, neardup, quality, suffix_dedup, warc
+from .common import new_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +27,12 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "archives")
+    warc.write_warc(_table(spark, sf_dir, "pages"), path)
+    return warc.pages_of(warc.read_warc(spark, path))
+
+
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     stripped = suffix_dedup.strip_repeats(_table(spark, sf_dir, "documents"))
     width = F.aggregate(F.sequence(F.lit(1), F.size("removed") - 1, F.lit(2)), F.lit(0).cast("long"), lambda a, i: a + F.element_at("removed", i + 1) - F.element_at("removed", i))
@@ -43,8 +50,8 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_dedup, op4_decontaminate, op6_mix_sources, op9_suffix_dedup, op10_quality)}
+    return {f.__name__: f for f in (op1_near_dedup, op4_decontaminate, op6_mix_sources, op8_warc, op9_suffix_dedup, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_near_dedup": neardup.ORACLE, "op4_decontaminate": decontaminate.ORACLE, "op6_mix_sources": mixing.ORACLE}
+    return {"op1_near_dedup": neardup.ORACLE, "op4_decontaminate": decontaminate.ORACLE, "op6_mix_sources": mixing.ORACLE, "op8_warc": warc.ORACLE}
