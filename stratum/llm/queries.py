@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, neardup, quality, suffix_dedup, warc
+from . import ann, decontaminate, mixing, neardup, quality, suffix_dedup, warc
 from .common import new_path
 
 
@@ -19,6 +19,10 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -50,8 +54,8 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_dedup, op4_decontaminate, op6_mix_sources, op8_warc, op9_suffix_dedup, op10_quality)}
+    return {f.__name__: f for f in (op1_near_dedup, op3_nearest, op4_decontaminate, op6_mix_sources, op8_warc, op9_suffix_dedup, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_near_dedup": neardup.ORACLE, "op4_decontaminate": decontaminate.ORACLE, "op6_mix_sources": mixing.ORACLE, "op8_warc": warc.ORACLE}
+    return {"op1_near_dedup": neardup.ORACLE, "op3_nearest": ann.ORACLE, "op4_decontaminate": decontaminate.ORACLE, "op6_mix_sources": mixing.ORACLE, "op8_warc": warc.ORACLE}
