@@ -2,35 +2,39 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
 
 
+def _hooks(edges: DataFrame) -> DataFrame:
+    """Where each node goes: to the least of itself and its neighbours, and from there once more."""
+    both = edges.select(F.col("a").alias("node"), F.col("b").alias("other")).union(edges.select("b", "a"))
+    hook = cut(both.groupBy("node").agg(F.min("other").alias("other")).select("node", F.least("node", "other").alias("up")))
+    return hook.join(hook.select(F.col("node").alias("up"), F.col("up").alias("top")), "up").select("node", "top")
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of ``edges`` (a, b); the component is its least node.
 
-    In each round every node hooks to the least of itself and its neighbours, chains of hooks are shortened by two
-    self-joins, and the edges are contracted to the hooks' ends. Aggregations combine before the shuffle, so that a
-    node with very many neighbours is no burden; nothing is gathered on the driver but whether edges are left.
+    In each round every node hooks to the least of itself and its neighbours, and the edges are contracted to the
+    hooks' ends, until none is left. Aggregations combine before the shuffle, so that a node with very many neighbours
+    is no burden; nothing is gathered on the driver but whether edges are left.
     """
     edges = cut(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
-    mapping = None
-    while mapping is None or not edges.isEmpty():
-        both = edges.select(F.col("a").alias("node"), F.col("b").alias("other")).union(edges.select("b", "a"))
-        hook = both.groupBy("node").agg(F.min("other").alias("other")).select("node", F.least("node", "other").alias("up"))
-        hook = cut(hook)
-        for _ in range(2):
-            above = hook.select(F.col("node").alias("up"), F.col("up").alias("top"))
-            hook = hook.join(above, "up").select("node", F.col("top").alias("up"))
-        hook = cut(hook)
-        if mapping is None:
-            mapping = hook.select("node", F.col("up").alias("component"))
-        else:
-            step = hook.select(F.col("node").alias("component"), "up")
-            mapping = cut(mapping.join(step, "component", "left").select("node", F.coalesce("up", "component").alias("component")))
-        to_a, to_b = hook.select(F.col("node").alias("a"), F.col("up").alias("x")), hook.select(F.col("node").alias("b"), F.col("up").alias("y"))
+    steps: list[DataFrame] = []
+    while not steps or not edges.isEmpty():
+        hooks = _hooks(edges)
+        steps.append(hooks)
+        to_a, to_b = hooks.select(F.col("node").alias("a"), F.col("top").alias("x")), hooks.select(F.col("node").alias("b"), F.col("top").alias("y"))
         moved = edges.join(to_a, "a").join(to_b, "b").where("x <> y")
         edges = cut(moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
-    return mapping
+
+    def follow(mapping: DataFrame, hooks: DataFrame) -> DataFrame:
+        step = hooks.select(F.col("node").alias("component"), "top")
+        return mapping.join(step, "component", "left").select("node", F.coalesce("top", "component").alias("component"))
+
+    return reduce(follow, steps[1:], steps[0].withColumnRenamed("top", "component"))
