@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, mixing, neardup, quality, suffix_dedup, warc
+from . import ann, decontaminate, mixing, neardup, quality, suffix_dedup, toxicity, warc
 from .common import new_path
 
 
@@ -31,6 +31,10 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "archives")
     warc.write_warc(_table(spark, sf_dir, "pages"), path)
@@ -54,7 +58,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_dedup, op3_nearest, op4_decontaminate, op6_mix_sources, op8_warc, op9_suffix_dedup, op10_quality)}
+    return {f.__name__: f for f in (op1_near_dedup, op3_nearest, op4_decontaminate, op6_mix_sources, op7_toxicity, op8_warc, op9_suffix_dedup, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
