@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, mixing, neardup, quality, suffix_dedup, toxicity, warc
+from . import ann, decontaminate, mixing, neardup, quality, suffix_dedup, toxicity, urlgraph, warc
 from .common import new_path
 
 
@@ -27,6 +27,10 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlgraph.judge(_table(spark, sf_dir, "pages"))
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
@@ -58,8 +62,8 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_dedup, op3_nearest, op4_decontaminate, op6_mix_sources, op7_toxicity, op8_warc, op9_suffix_dedup, op10_quality)}
+    return {f.__name__: f for f in (op1_near_dedup, op3_nearest, op4_decontaminate, op5_url_filter, op6_mix_sources, op7_toxicity, op8_warc, op9_suffix_dedup, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_near_dedup": neardup.ORACLE, "op3_nearest": ann.ORACLE, "op4_decontaminate": decontaminate.ORACLE, "op6_mix_sources": mixing.ORACLE, "op8_warc": warc.ORACLE}
+    return {"op1_near_dedup": neardup.ORACLE, "op3_nearest": ann.ORACLE, "op4_decontaminate": decontaminate.ORACLE, "op5_url_filter": urlgraph.ORACLE, "op6_mix_sources": mixing.ORACLE, "op8_warc": warc.ORACLE}
