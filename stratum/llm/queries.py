@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, mixing, neardup, quality, suffix_dedup, toxicity, urlgraph, warc
+from . import ann, decontaminate, html_extract, mixing, neardup, quality, suffix_dedup, toxicity, urlgraph, warc
 from .common import new_path
 
 
@@ -19,6 +19,10 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op2_extract_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(_table(spark, sf_dir, "pages"))
+
+
 def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -62,7 +66,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_dedup, op3_nearest, op4_decontaminate, op5_url_filter, op6_mix_sources, op7_toxicity, op8_warc, op9_suffix_dedup, op10_quality)}
+    return {f.__name__: f for f in (op1_near_dedup, op2_extract_text, op3_nearest, op4_decontaminate, op5_url_filter, op6_mix_sources, op7_toxicity, op8_warc, op9_suffix_dedup, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
