@@ -5,15 +5,493 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from stratum import catalog_sql as sql
+from stratum.functions import text as tx
+from stratum.operators import evidence, memory, reader, search
+from stratum.operators.index import Corpus
+from stratum.plans import reduction, routing
+from stratum.plans.config import Limits
+from stratum.sources import web
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_ORACLES: dict[str, str] = {}
+
+SEARCHES = [(1, "the thing that was of"), (2, "Licensed under the Apache License"), (3, "est pour avec dans"), (4, "die und einheit"), (5, "zzqx unseen")]
+QUESTIONS = [
+    (1, "本次长上下文测试的唯一有效项目代号是什么？"), (2, "比较 第一章 和 第二章 的差异"), (3, "请总结全文的主要内容"), (4, "审查文档中的风险"), (5, "同时列出项目代号、验收口令以及归档校验值"), (6, "你好，介绍一下自己"),
+    (7, "请输出全文"), (8, "输出第 16-20 页的原文内容"), (9, "第 3 页讲了什么内容"), (10, "列出所有员工信息"), (11, "How does this work"), (12, "分析原因和影响"), (13, "读取第9至2页"), (14, "输出PDF内容"), (15, "总结第 1 到 200 页"),
+]
+
+
+def query(oracle: str | None = None):
+    def register(f):
+        _QUERIES[f.__name__] = f
+        if oracle:
+            _ORACLES[f.__name__] = oracle
+        return f
+
+    return register
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as sources. Their ids number them, so the ordinal only has to keep the order."""
+    return _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("source_ord"), F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("document"), "text")
+
+
+_corpora: dict[tuple[str, str], Corpus] = {}
+
+
+def corpus_of(spark: SparkSession, sf_dir: str) -> Corpus:
+    """The index of the documents, built once for each session and folder."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _corpora:
+        _corpora[key] = Corpus.build(_sources(spark, sf_dir))
+    return _corpora[key]
+
+
+def _literal(spark: SparkSession, rows, schema: str) -> DataFrame:
+    return spark.createDataFrame(rows, schema)
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang")
+    return hybrid_topk(spark, sf_dir)
+
+
+# Scalars and accounting
+
+
+@query(f"SELECT doc_id, {sql.tokens('text')} AS tokens, strlen(text)::INTEGER AS n_bytes, length(text)::INTEGER AS n_characters FROM documents")
+def token_estimate(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").select("doc_id", tx.token_estimate("text").alias("tokens"), F.octet_length("text").alias("n_bytes"), F.length("text").alias("n_characters"))
+
+
+@query(f"SELECT doc_id, strlen(text)::BIGINT AS indexed_bytes, {sql.tokens('text')} AS tokens, strlen(text) > 65536 AS exceeds_64kb_bytes, {sql.tokens('text')} > 65536 AS exceeds_64k_tokens, strlen(text) > 65536 AS exceeds_shard_limit FROM documents")
+def source_report(spark, sf_dir):
+    tokens, size = tx.token_estimate("text"), F.octet_length("text").cast("long")
+    return _table(spark, sf_dir, "documents").select("doc_id", size.alias("indexed_bytes"), tokens.alias("tokens"), (size > 65536).alias("exceeds_64kb_bytes"), (tokens > 65536).alias("exceeds_64k_tokens"), (size > Limits().shard_bytes).alias("exceeds_shard_limit"))
+
+
+@query(f"WITH {sql.CHUNKS} SELECT (SELECT sum(strlen(text)) FROM docs)::BIGINT AS total_indexed_bytes, (SELECT max(strlen(text)) FROM docs)::BIGINT AS largest_source_indexed_bytes, (SELECT count(*) FROM sections) AS parent_sections, (SELECT count(*) FROM chunks) AS raw_chunks, (SELECT count(*) FROM sections) AS summary_nodes")
+def byte_totals(spark, sf_dir):
+    return corpus_of(spark, sf_dir).totals()
+
+
+@query(f"SELECT doc_id, {sql.lexical('text')} AS tokens FROM documents")
+def lexical_tokens(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").select("doc_id", tx.lexical_tokens("text").alias("tokens"))
+
+
+# Segmentation
+
+
+@query(f"WITH {sql.SECTIONS} SELECT parent_ord, 'parent_' || lpad(parent_ord::VARCHAR, 5, '0') AS parent_id, document, section_index::INTEGER AS section_index, title, {sql.tokens('text')} AS estimated_tokens, md5(text) AS digest FROM sections")
+def sections_fallback(spark, sf_dir):
+    return corpus_of(spark, sf_dir).sections.select("parent_ord", "parent_id", "document", "section_index", "title", "estimated_tokens", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+@query(f"WITH {sql.CHUNKS} SELECT chunk_ord, 'chunk_' || lpad(chunk_ord::VARCHAR, 5, '0') AS chunk_id, document, chunk_index::INTEGER AS chunk_index, {sql.tokens('text')} AS estimated_tokens, strlen(text)::INTEGER AS byte_size, parent_ord, title AS section_title, 'raw' AS kind, md5(text) AS digest FROM chunks")
+def chunks_flat(spark, sf_dir):
+    return corpus_of(spark, sf_dir).chunks.select("chunk_ord", "chunk_id", "document", "chunk_index", "estimated_tokens", "byte_size", "parent_ord", "section_title", "kind", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+_SENTENCES = "list_filter(list_transform(regexp_split_to_array(regexp_replace(text, '([.!?])\\s*', '\\1' || chr(1), 'g'), chr(1)), lambda s: regexp_replace(s, '^\\s+|\\s+$', '', 'g')), lambda s: s <> '')"
+
+
+@query(
+    f"""WITH {sql.SECTIONS}, s AS (SELECT parent_ord, title, text, {_SENTENCES} AS x FROM sections
+), k AS (SELECT *, CASE WHEN len(x) = 0 THEN 0 WHEN len(x) = 1 OR length(x[1]) + length(x[2]) > 900 THEN 1 WHEN len(x) = 2 OR length(x[1]) + length(x[2]) + length(x[3]) > 900 THEN 2 ELSE 3 END AS n FROM s)
+SELECT parent_ord, left(title || '：' || CASE WHEN n = 0 THEN left(text, 900) ELSE array_to_string(x[1:n], ' ') END, 900) AS summary FROM k"""
+)
+def section_summaries(spark, sf_dir):
+    return corpus_of(spark, sf_dir).sections.select("parent_ord", "summary")
+
+
+# Index statistics
+
+
+@query(f"WITH {sql.POSTINGS} SELECT term, sum(tf)::BIGINT AS total, count(*) AS df FROM postings GROUP BY term ORDER BY total DESC, term LIMIT 50")
+def postings_top_terms(spark, sf_dir):
+    return corpus_of(spark, sf_dir).postings.groupBy("term").agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df")).orderBy(F.desc("total"), "term").limit(50)
+
+
+@query(f"WITH {sql.POSTINGS} SELECT term, df FROM terms")
+def document_frequency(spark, sf_dir):
+    return corpus_of(spark, sf_dir).terms
+
+
+@query(f"WITH {sql.POSTINGS} SELECT chunk_ord, length::BIGINT AS length, round(norm, 6) AS norm FROM stats")
+def tfidf_norm(spark, sf_dir):
+    return corpus_of(spark, sf_dir).stats.select("chunk_ord", "length", F.round("norm", 6).alias("norm"))
+
+
+# Search
+
+_SEARCHES = f"SELECT * FROM (VALUES {sql.text_list(SEARCHES)}) v(query_id, query)"
+
+
+@query(f"WITH {sql.search(_SEARCHES)} {sql.top(10)}")
+def hybrid_topk(spark, sf_dir):
+    return search.hybrid(corpus_of(spark, sf_dir), _literal(spark, SEARCHES, "query_id int, query string")).drop("source")
+
+
+@query(f"WITH {sql.search(_SEARCHES)} SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY bm25 DESC, chunk_ord)::INTEGER AS rank, chunk_ord, round(bm25, 6) AS bm25 FROM scored QUALIFY rank <= 10")
+def bm25_topk(spark, sf_dir):
+    hits = search.scored(corpus_of(spark, sf_dir), _literal(spark, SEARCHES, "query_id int, query string"))
+    return search.top(hits, 10, "bm25").select("query_id", "rank", "chunk_ord", F.round("bm25", 6).alias("bm25"))
+
+
+@query(f"WITH {sql.search(_SEARCHES)} SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, chunk_ord)::INTEGER AS rank, chunk_ord, round(cosine, 6) AS cosine FROM scored QUALIFY rank <= 10")
+def cosine_topk(spark, sf_dir):
+    hits = search.scored(corpus_of(spark, sf_dir), _literal(spark, SEARCHES, "query_id int, query string"))
+    return search.top(hits, 10, "cosine").select("query_id", "rank", "chunk_ord", F.round("cosine", 6).alias("cosine"))
+
+
+@query(f"WITH {sql.search(_SEARCHES)} SELECT query_id, round(coverage, 6) AS coverage, count(*) AS n_chunks FROM scored GROUP BY ALL")
+def term_coverage(spark, sf_dir):
+    hits = search.scored(corpus_of(spark, sf_dir), _literal(spark, SEARCHES, "query_id int, query string"))
+    return hits.groupBy("query_id", F.round("coverage", 6).alias("coverage")).agg(F.count(F.lit(1)).alias("n_chunks"))
+
+
+@query(f"WITH {sql.search('SELECT item_id AS query_id, text AS query FROM benchmark')} {sql.top(7)}")
+def batch_hybrid_topk(spark, sf_dir):
+    return search.hybrid(corpus_of(spark, sf_dir), _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query")), 7).drop("source")
+
+
+_SHARDED = f"SELECT v.query_id * 100 + k AS query_id, query, (k * n // 8) AS s, ((k + 1) * n // 8) AS e FROM (VALUES {sql.text_list(SEARCHES[:3])}) v(query_id, query), range(8) r(k), size"
+
+
+@query(f"WITH {sql.search(_SHARDED, True)} SELECT query_id::BIGINT AS query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_ord)::INTEGER AS rank, chunk_ord, score FROM scored QUALIFY rank <= 7")
+def sharded_hybrid_topk(spark, sf_dir):
+    corpus = corpus_of(spark, sf_dir)
+    shards = _literal(spark, SEARCHES[:3], "query_id int, query string").withColumn("allocated_agents", F.lit(8))
+    ranged = routing.slots(shards, corpus.n_chunks).select((F.col("query_id") * 100 + F.col("slot")).cast("long").alias("query_id"), "query", "chunk_start", "chunk_end")
+    return search.hybrid(corpus, ranged, 7).drop("source")
+
+
+@query()
+def hierarchical_topk(spark, sf_dir):
+    return search.hierarchical(corpus_of(spark, sf_dir), _literal(spark, SEARCHES, "query_id int, query string"))
+
+
+# Routing and allocation
+
+_QUESTIONS = f"(VALUES {sql.text_list(QUESTIONS)}) v(id, question)"
+_COMPACT = "regexp_replace(lower(question), '\\s+', '', 'g')"
+
+
+def _any(terms) -> str:
+    return f"regexp_matches(c, '{'|'.join(terms)}')"
+
+
+@query(
+    f"""WITH q AS (SELECT *, {_COMPACT} AS c FROM {_QUESTIONS})
+SELECT id, CASE WHEN {_any(routing.COMPOUND)} THEN 'compound_research' WHEN {_any(routing.COMPARE)} THEN 'comparison' WHEN {_any(routing.RISK)} THEN 'risk_review' WHEN {_any(routing.SUMMARY)} THEN 'document_summary'
+  WHEN regexp_matches(c, '{routing.FACT}') THEN 'fact_lookup' ELSE 'open_research' END AS intent,
+  CASE WHEN {_any(routing.RISK).replace("(c,", "(question,")} THEN 'risk_reviewer' WHEN {_any(routing.COMPARE).replace("(c,", "(question,")} THEN 'comparator' WHEN {_any(routing.ANALYSE).replace("(c,", "(question,")} THEN 'analyst' ELSE 'fact_extractor' END AS agent_type,
+  CASE WHEN regexp_matches(c, '^({"|".join(routing.GREETINGS)})') THEN 'general' ELSE 'document' END AS scope,
+  NOT {_any(routing.READ_VETO)} AND {_any(routing.READ_TERMS)} AS direct_read, {_any(routing.PAGE_TERMS)} AND NOT {_any(routing.PAGE_VETO)} AS page_content, {_any(routing.EXHAUSTIVE)} AS exhaustive FROM q"""
+)
+def intent_route(spark, sf_dir):
+    q = _literal(spark, QUESTIONS, "id int, question string")
+    return q.select("id", routing.intent("question").alias("intent"), routing.agent_type("question").alias("agent_type"), routing.scope("question").alias("scope"), routing.reads_directly("question").alias("direct_read"), routing.asks_page_content("question").alias("page_content"), routing.is_exhaustive("question").alias("exhaustive"))
+
+
+_PAGE = routing.PAGE_RANGE
+
+
+@query(
+    f"""WITH q AS (SELECT id, regexp_extract(question, '{_PAGE}', 1) AS a, regexp_extract(question, '{_PAGE}', 2) AS b, regexp_extract(question, '{_PAGE}', 3) AS o FROM {_QUESTIONS}
+), r AS (SELECT id, coalesce(nullif(a, ''), nullif(o, ''))::INTEGER AS start_page, coalesce(nullif(b, ''), nullif(o, ''))::INTEGER AS end_page FROM q)
+SELECT id, start_page, end_page, start_page >= 1 AND end_page >= start_page AND end_page - start_page < 101 AS valid FROM r WHERE start_page IS NOT NULL"""
+)
+def page_range(spark, sf_dir):
+    q = _literal(spark, QUESTIONS, "id int, question string").withColumn("r", routing.page_range("question")).where("r IS NOT NULL")
+    return q.select("id", F.col("r.start").alias("start_page"), F.col("r.end").alias("end_page"), F.col("r.valid").alias("valid"))
+
+
+_MARKS = " + ".join(f"((length(c) - length(replace(c, '{m}', ''))) // {len(m)})" for m in routing.COMPLEX)
+
+
+@query(
+    f"""WITH {sql.CHUNKS}, t AS (SELECT (SELECT sum(strlen(text)) FROM docs) AS b, (SELECT count(*) FROM chunks) AS n
+), q AS (SELECT *, regexp_replace(question, '\\s+', '', 'g') AS c FROM {_QUESTIONS}
+), d AS (SELECT id, {_any(routing.EXHAUSTIVE)} AS exhaustive_scan, least(8, 1 + {_MARKS} + length(c) // 500) AS complexity, b, n FROM q, t)
+SELECT id, exhaustive_scan, (CASE WHEN exhaustive_scan THEN 32768 ELSE 65536 END)::INTEGER AS target_shard_bytes,
+  greatest(3, 1, ceil(b / CASE WHEN exhaustive_scan THEN 32768.0 ELSE 65536.0 END), ceil(n / 128.0), complexity)::INTEGER AS desired_agents,
+  least(8, greatest(3, 1, ceil(b / CASE WHEN exhaustive_scan THEN 32768.0 ELSE 65536.0 END), ceil(n / 128.0), complexity))::INTEGER AS allocated_agents FROM d"""
+)
+def agent_sizing(spark, sf_dir):
+    corpus = corpus_of(spark, sf_dir)
+    size = corpus.totals().collect()[0].total_indexed_bytes
+    return routing.allocation(_literal(spark, QUESTIONS, "id int, question string"), Limits(), size, corpus.n_chunks).drop("question")
+
+
+@query(
+    f"""WITH {sql.CHUNKS}, r AS (SELECT k AS slot, k * n // 8 AS chunk_start, (k + 1) * n // 8 AS chunk_end FROM range(8) v(k), (SELECT count(*) AS n FROM chunks))
+SELECT slot::INTEGER AS slot, chunk_start, chunk_end, count(chunk_ord) AS shard_chunks, coalesce(sum(strlen(text)), 0)::BIGINT AS shard_bytes FROM r LEFT JOIN chunks ON chunk_ord >= chunk_start AND chunk_ord < chunk_end GROUP BY ALL"""
+)
+def shard_ranges(spark, sf_dir):
+    corpus = corpus_of(spark, sf_dir)
+    ranges = routing.slots(_literal(spark, [(8,)], "allocated_agents int"), corpus.n_chunks).select("slot", "chunk_start", "chunk_end")
+    return routing.shard_sizes(ranges, corpus.chunks)
+
+
+@query(f"WITH {sql.CHUNKS}, n AS (SELECT count(*) AS n FROM chunks), b AS (SELECT k, k * n // 8 AS s, (k + 1) * n // 8 AS e FROM range(8) v(k), n) SELECT k::INTEGER AS shard, count(*) AS n_chunks, min(chunk_ord) AS first_chunk FROM chunks JOIN b ON chunk_ord >= s AND chunk_ord < e GROUP BY k")
+def shard_by_arithmetic(spark, sf_dir):
+    corpus = corpus_of(spark, sf_dir)
+    return corpus.chunks.groupBy(routing.shard_of("chunk_ord", corpus.n_chunks, 8).alias("shard")).agg(F.count(F.lit(1)).alias("n_chunks"), F.min("chunk_ord").alias("first_chunk"))
+
+
+RAW_TASKS = [(1, "问题一", [("查明 A", "A", "fact_extractor", "80"), (" 查明 A ", "A", "analyst", "10"), ("", "x", "analyst", "5"), ("风险在哪", None, "wizard", "950"), None, ("late", "late", "analyst", "1")]), (2, "比较两者", []), (3, "many", [(f"o{i}", f"q{i}", "analyst", "x") for i in range(12)])]
+
+
+@query(
+    """SELECT * FROM (VALUES (1::INTEGER, 'task_02', '风险在哪', '风险在哪', 'risk_reviewer', 100::INTEGER, 14000::INTEGER, 1::INTEGER), (1, 'task_01', '查明 A', 'A', 'fact_extractor', 80, 12000, 2), (2, 'task_01', '比较两者', '比较两者', 'comparator', 50, 16000, 1))
+  v(question_id, task_id, objective, query, agent_type, priority, input_budget, position)
+UNION ALL SELECT 3, 'task_' || lpad((i + 1)::VARCHAR, 2, '0'), 'o' || i, 'q' || i, 'analyst', 50, 16000, (i + 1)::INTEGER FROM range(8) r(i)"""
+)
+def task_normalise(spark, sf_dir):
+    raw = _literal(spark, RAW_TASKS, "question_id int, question string, items array<struct<objective:string,query:string,agent_type:string,priority:string>>")
+    return routing.normalised_tasks(raw, 8)
+
+
+# Evidence
+
+
+def _tasks(spark, corpus: Corpus) -> DataFrame:
+    n = corpus.n_chunks
+    rows = [("task_01", "the thing that", "the thing that", "fact_extractor", 0, n // 2), ("task_02", "总结 of the thing", "the thing", "analyst", n // 2, n), ("task_03", "文档末尾", "on the 末尾", "fact_extractor", 0, n), ("task_04", "zzqx", "zzqx", "fact_extractor", 5, 50), ("task_05", "列出所有记录", "所有", "fact_extractor", 10, 40)]
+    return _literal(spark, rows, "task_id string, objective string, query string, agent_type string, chunk_start bigint, chunk_end bigint")
+
+
+_TASK_QUERIES = "SELECT * FROM (SELECT 1 AS query_id, 'the thing that' AS query, 0 AS s, n // 2 AS e FROM size UNION ALL SELECT 2, 'the thing', n // 2, n FROM size UNION ALL SELECT 3, 'on the 末尾', 0, n FROM size)"
+_PLACES = "list_distinct(list_transform(range(least(5, e - s)::BIGINT), lambda i: round_even(i * (e - s - 1) / greatest(1, least(5, e - s) - 1)::DOUBLE, 0)::BIGINT))"
+_STRATEGIES = (
+    sql.search(_TASK_QUERIES, True).replace(sql.lexical("query"), f"list_concat({sql.lexical('query')}, regexp_extract_all(query, '{sql.CJK}'), CASE WHEN query LIKE '%末尾%' THEN ['末尾'] ELSE []::VARCHAR[] END)")
+    + f""", lex AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_ord) AS rank, chunk_ord, score FROM scored QUALIFY rank <= 7
+), b AS (SELECT query_id, s, e, list_sort({_PLACES}) AS p, (e - s - 1) / 2.0 AS half FROM q WHERE query_id > 1
+), o AS (
+  SELECT query_id, s, CASE WHEN query_id = 3 THEN list_reverse(p) ELSE list_transform([0], lambda z: list_sort(list_transform(p, lambda x: {{'d': abs(x - half), 'p': x}})))[1].p END AS p FROM (SELECT query_id, s, p, half FROM b WHERE query_id = 3)
+), m AS (
+  SELECT query_id, s, list_min(p) AS lo, list_max(p) AS hi, p, half FROM b WHERE query_id = 2
+), mid AS (SELECT query_id, s, lo, hi, x, row_number() OVER (ORDER BY abs(x - half), x) AS r FROM (SELECT *, unnest(p) AS x FROM m)
+), cov AS (
+  SELECT 3 AS query_id, s + unnest(list_reverse(p)) AS chunk_ord, generate_subscripts(p, 1) AS k FROM b WHERE query_id = 3
+  UNION ALL SELECT 2, s + x, min(k) FROM (SELECT s, x, 1 AS k FROM mid WHERE r = 1 UNION ALL SELECT s, lo, 2 FROM mid UNION ALL SELECT s, hi, 3 FROM mid UNION ALL SELECT s, x, 3 + r FROM mid) GROUP BY s, x
+), both_kinds AS (
+  SELECT query_id, 0 AS part, k, chunk_ord, 0.0::DOUBLE AS score, 'positional_coverage' AS source FROM cov UNION ALL SELECT query_id, 1, rank, chunk_ord, score, 'hybrid' FROM lex WHERE query_id > 1
+), once AS (SELECT * FROM both_kinds QUALIFY row_number() OVER (PARTITION BY query_id, chunk_ord ORDER BY part, k) = 1
+), broad AS (SELECT 'task_0' || query_id AS task_id, row_number() OVER (PARTITION BY query_id ORDER BY part, k) AS position, chunk_ord, score, source, 'sharded_hybrid_plus_positional_coverage' AS strategy FROM once QUALIFY position <= 10
+), hits AS (
+  SELECT * FROM broad UNION ALL SELECT 'task_01', rank, chunk_ord, score, 'hybrid', 'sharded_hybrid_exact' FROM lex WHERE query_id = 1
+  UNION ALL SELECT 'task_04', i + 1, 5 + i, 0.01, 'shard_fallback', 'sharded_positional_fallback' FROM range(3) r(i)
+  UNION ALL SELECT 'task_05', i + 1, 10 + i, 1.0, 'shard_exhaustive_scan', 'sharded_exhaustive_scan' FROM range(30) r(i)
+)"""
+).replace("""), o AS (
+  SELECT query_id, s, CASE WHEN query_id = 3 THEN list_reverse(p) ELSE list_transform([0], lambda z: list_sort(list_transform(p, lambda x: {'d': abs(x - half), 'p': x})))[1].p END AS p FROM (SELECT query_id, s, p, half FROM b WHERE query_id = 3)
+), m AS (""", "), m AS (")
+
+
+@query(f"WITH {_STRATEGIES} SELECT task_id, position::INTEGER AS position, chunk_ord, score, source, strategy FROM hits")
+def retrieval_strategies(spark, sf_dir):
+    corpus = corpus_of(spark, sf_dir)
+    return evidence.retrieve(corpus, _tasks(spark, corpus))
+
+
+@query(
+    f"""WITH {_STRATEGIES}, cost AS (SELECT task_id, position, h.chunk_ord, {sql.tokens(sql.trim("c.text"))} + 80 AS cost FROM hits h JOIN chunks c ON c.chunk_ord = h.chunk_ord
+), used AS (SELECT *, sum(cost) OVER (PARTITION BY task_id ORDER BY position) AS used FROM cost)
+SELECT task_id, position::INTEGER AS position, chunk_ord, cost::INTEGER AS cost, used::BIGINT AS used FROM used WHERE used <= 3000 OR position = 1"""
+)
+def evidence_pack(spark, sf_dir):
+    corpus = corpus_of(spark, sf_dir)
+    hits = evidence.retrieve(corpus, _tasks(spark, corpus)).join(corpus.chunks.select("chunk_ord", "text"), "chunk_ord")
+    return evidence.pack(hits, F.lit(3000)).select("task_id", "position", "chunk_ord", "cost", "used")
+
+
+@query("SELECT doc_id, 'evidence_' || left(sha256('evidence' || chr(31) || text || chr(31) || coalesce(source, '') || chr(31) || doc_id), 16) AS artifact_id FROM documents")
+def artifact_ids(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").select("doc_id", tx.content_id(F.lit("evidence"), F.col("text"), F.col("source"), F.col("doc_id")).alias("artifact_id"))
+
+
+# Conversations
+
+_LINES = """SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations"""
+
+
+def _memory_sql(last: int, total: int) -> str:
+    return f"""WITH m AS ({_LINES}), l AS (
+  SELECT conv_id, turn, back, CASE role WHEN 'user' THEN '用户：' ELSE '助手：' END || x AS line FROM (
+    SELECT *, left(regexp_replace({sql.trim("coalesce(text, '')")}, '\\s+', ' ', 'g'), CASE role WHEN 'user' THEN 1200 ELSE 2000 END) AS x FROM m WHERE back <= {last} AND role IN ('user', 'assistant')) WHERE x <> ''
+), u AS (SELECT *, sum(length(line)) OVER (PARTITION BY conv_id ORDER BY back) AS used FROM l)
+SELECT conv_id, string_agg(line, chr(10) ORDER BY turn) AS memory, count(*) AS n_lines FROM u WHERE used <= {total} GROUP BY conv_id"""
+
+
+@query(_memory_sql(20, 6000))
+def bounded_memory(spark, sf_dir):
+    return memory.bounded_memory(_table(spark, sf_dir, "conversations"))
+
+
+@query(_memory_sql(4, 800))
+def bounded_memory_tight(spark, sf_dir):
+    return memory.bounded_memory(_table(spark, sf_dir, "conversations"), last=4, total=800)
+
+
+_EACH = f"5 + {sql.tokens('role')} + {sql.tokens('coalesce(text, chr(0))')}".replace("chr(0)", "''")
+
+
+@query(f"SELECT conv_id, (sum({_EACH}) + 3)::BIGINT AS tokens, count(*) AS n_messages FROM conversations GROUP BY conv_id")
+def message_tokens(spark, sf_dir):
+    return memory.message_totals(_table(spark, sf_dir, "conversations"))
+
+
+@query(f"WITH m AS ({_LINES}), t AS (SELECT *, 3 + sum({_EACH}) OVER (PARTITION BY conv_id ORDER BY back) AS tokens FROM m) SELECT conv_id, turn, role, text, tokens::BIGINT AS tokens FROM t WHERE tokens <= 600 OR back <= 2")
+def chat_trim(spark, sf_dir):
+    return memory.trimmed_chat(_table(spark, sf_dir, "conversations"), 600)
+
+
+@query("WITH m AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations WHERE role IN ('user', 'assistant')) SELECT conv_id, turn, role, left(text, CASE role WHEN 'user' THEN 200 ELSE 400 END) AS content FROM m WHERE back <= 4")
+def history_view(spark, sf_dir):
+    return memory.history_view(_table(spark, sf_dir, "conversations"), 2, 200, 400)
+
+
+# Reading
+
+
+def _window_sql(offset: int, size: int) -> str:
+    return f"""WITH d AS (SELECT doc_id, text, length(text) AS total, greatest(0, least({offset}, length(text) - 1)) AS s FROM documents
+), e AS (SELECT *, least(total, s + {size}) AS reach FROM d), t AS (SELECT *, substring(text, s + {size // 2} + 1, reach - s - {size // 2}) AS tail FROM e
+), w AS (SELECT *, CASE WHEN reach < total AND contains(tail, chr(10)) THEN reach - instr(reverse(tail), chr(10)) ELSE reach END AS e FROM t)
+SELECT doc_id, md5({sql.trim("substring(text, s + 1, e - s)")}) AS digest, s::INTEGER AS start_character, e::INTEGER AS end_character, total::INTEGER AS total_characters, s > 0 AS has_previous, e < total AS has_more,
+  greatest(0, s - {size})::INTEGER AS previous_offset, e::INTEGER AS next_offset FROM w"""
+
+
+def _windowed(spark, sf_dir, offset: int, size: int) -> DataFrame:
+    read = _table(spark, sf_dir, "documents").select("doc_id", reader.window("text", offset, size).alias("w")).select("doc_id", "w.*")
+    return read.withColumn("digest", F.md5(F.col("content").cast("binary"))).drop("content")
+
+
+@query(_window_sql(0, 12000))
+def direct_read_first(spark, sf_dir):
+    return _windowed(spark, sf_dir, 0, 12_000)
+
+
+@query(_window_sql(500, 1000))
+def direct_read_offset(spark, sf_dir):
+    return _windowed(spark, sf_dir, 500, 1_000)
+
+
+@query("SELECT 'book' AS document, string_agg('## 第 ' || p || ' 页' || chr(10) || chr(10) || '句子 ' || p, chr(10) || chr(10) ORDER BY p) AS content FROM range(16, 21) r(p)")
+def page_slice(spark, sf_dir):
+    book = "\n\n".join(f"## 第 {p} 页\n\n句子 {p}" for p in range(1, 31))
+    return reader.page_slice(_literal(spark, [("book", book)], "document string, text string"), 16, 20).drop("missing")
+
+
+# Web pages
+
+_ENTITIES = [("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&quot;", '"'), ("&#39;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")]
+
+
+def _unescape_sql(x: str) -> str:
+    for name, char in _ENTITIES:
+        x = f"replace({x}, '{name}', '{char.replace(chr(39), chr(39) * 2)}')"
+    return x
+
+
+@query(f"SELECT page_id, md5({sql.trim('x')}) AS digest FROM (SELECT page_id, regexp_replace({_unescape_sql(chr(34) + 'y' + chr(34))}, '[\\s ]+', ' ', 'g') AS x FROM (SELECT page_id, regexp_replace(html, '<[^>]+>', ' ', 'g') AS y FROM pages))")
+def html_text(spark, sf_dir):
+    return _table(spark, sf_dir, "pages").select("page_id", F.md5(web.plain_text("html").cast("binary")).alias("digest"))
+
+
+@query(
+    """WITH l AS (SELECT page_id, url, regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1) AS h, regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 2) AS t FROM pages
+), r AS (SELECT page_id, unnest(h) AS link, unnest(t) AS title, generate_subscripts(h, 1) AS position FROM l
+), o AS (SELECT * FROM r WHERE trim(title) <> '' QUALIFY row_number() OVER (PARTITION BY page_id, link ORDER BY position) = 1)
+SELECT page_id, link, left(title, 300) AS title, row_number() OVER (PARTITION BY page_id ORDER BY position)::INTEGER AS rank FROM o QUALIFY rank <= 3"""
+)
+def web_results_dedupe(spark, sf_dir):
+    return web.first_links(_table(spark, sf_dir, "pages"), 3)
+
+
+# Findings, reduction and accounting
+
+FINDINGS = [(1, "task_01", "fact_extractor", "old", ["e1"]), (2, "task_02", "analyst", "two", ["e2", "e1"]), (3, "task_01", "fact_extractor", "new", ["e3"]), (4, "", "analyst", "blank", ["e4"]), (5, "task_03", "analyst", "three", [])]
+CALLS = [(1, "supervisor", 100, None, 8000), (2, "analyst", 900, 950, 16000), (3, "analyst", 1000, 0, 16000), (4, "reducer", 70000, None, 16000), (5, "analyst", 10, 20, 16000)]
+
+
+@query("SELECT * FROM (VALUES (1::BIGINT, 'task_01', 'new', ['e3']), (2, 'task_02', 'two', ['e2', 'e1']), (5, 'task_03', 'three', []::VARCHAR[])) v(first_seq, task_id, summary, evidence_ids)")
+def findings_latest(spark, sf_dir):
+    rows = _literal(spark, FINDINGS, "seq bigint, task_id string, agent_type string, summary string, evidence_ids array<string>")
+    return reduction.latest(rows).select("first_seq", "task_id", "summary", "evidence_ids")
+
+
+@query(
+    """WITH RECURSIVE lv AS (SELECT 0 AS level, count(*) AS n FROM documents UNION ALL SELECT level + 1, CASE WHEN n % 4 = 0 THEN n // 4 ELSE n // 4 + 1 END FROM lv WHERE n > 1)
+SELECT level::INTEGER AS level, n AS n_nodes FROM lv"""
+)
+def tree_reduce_shape(spark, sf_dir):
+    rows = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("position"))
+    return reduction.levels(rows, 4)
+
+
+@query("SELECT role, count(*) AS calls, max(coalesce(nullif(actual, 0), estimated))::INTEGER AS max_prompt_tokens, bool_and(coalesce(nullif(actual, 0), estimated) + 3000 <= 64000) AS within_limit FROM (VALUES " + sql.text_list(CALLS) + ") v(call_no, role, estimated, actual, role_budget) GROUP BY role")
+def calls_by_role(spark, sf_dir):
+    return reduction.calls_by_role(_literal(spark, CALLS, "call_no int, role string, estimated int, actual int, role_budget int"))
+
+
+@query("SELECT * FROM (VALUES ('all_tasks_have_findings', false), ('artifacts_and_evidence_valid', false), ('reducer_evidence_closed', false), ('unique_task_ids', true), ('all_calls_within_context_limit', false)) v(check_name, passed)")
+def hard_checks(spark, sf_dir):
+    tasks = _literal(spark, [("task_01",), ("task_02",), ("task_03",), ("task_04",)], "task_id string")
+    found = reduction.latest(_literal(spark, FINDINGS, "seq bigint, task_id string, agent_type string, summary string, evidence_ids array<string>"))
+    artifacts = _literal(spark, [("e1", "evidence"), ("e2", "evidence")], "artifact_id string, kind string")
+    calls = _literal(spark, CALLS, "call_no int, role string, estimated int, actual int, role_budget int")
+    checks = reduction.hard_checks(tasks, found.withColumn("artifact_id", F.lit(None).cast("string")), artifacts, _literal(spark, [("e1",), ("e9",)], "artifact_id string"), calls)
+    return checks.select(F.explode("checks").alias("check_name", "passed"))
+
+
+ANSWERS = [(1, "结论：```json\n{\"summary\": \"a\"}\n``` 完"), (2, "text {\"a\": {\"b\": 1}} tail"), (3, "no json"), (4, "{broken"), (5, "[1, 2]")]
+
+
+@query("SELECT * FROM (VALUES (1::INTEGER, 'a', NULL, true), (2, NULL, '1', true), (3, NULL, NULL, false), (4, NULL, NULL, false), (5, NULL, NULL, false)) v(id, summary, b, found)")
+def json_salvage(spark, sf_dir):
+    rows = _literal(spark, ANSWERS, "id int, answer string").withColumn("j", tx.json_object("answer"))
+    return rows.select("id", F.get_json_object("j", "$.summary").alias("summary"), F.get_json_object("j", "$.a.b").alias("b"), F.col("j").isNotNull().alias("found"))
+
+
+@query("SELECT * FROM (VALUES (1::INTEGER, 'bad key [redacted]', 0.5::DOUBLE, 50::INTEGER), (2, 'plain [redacted] text', 1.0, 100), (3, 'm', 0.0, 1), (4, 'x', 0.25, 7)) v(id, message, confidence, priority)")
+def clamps_and_redaction(spark, sf_dir):
+    rows = [(1, '{"error": {"message": "bad key sk-abc123"}}', "high", "x"), (2, "plain SECRET text", "3", "900"), (3, '{"message": "m"}', "-1", "-5"), (4, "x", "0.25", "7")]
+    return _literal(spark, rows, "id int, body string, c string, p string").select("id", tx.redacted("body", "SECRET").alias("message"), tx.confidence("c").alias("confidence"), tx.clamped_int("p", 1, 100, 50).alias("priority"))
+
+
+TERMS = [(1, "青峦-7429"), (1, "银杏-5813"), (2, "HF-90617-Z")]
+
+
+@query("SELECT a.id, t.term, contains(a.answer, t.term) AS found FROM (VALUES (1, '代号 青峦-7429'), (2, '值为 HF-90617-Z。')) a(id, answer) JOIN (VALUES " + sql.text_list(TERMS) + ") t(id, term) ON a.id = t.id")
+def expected_terms(spark, sf_dir):
+    answers = _literal(spark, [(1, "代号 青峦-7429"), (2, "值为 HF-90617-Z。")], "id int, answer string")
+    return answers.join(_literal(spark, TERMS, "id int, term string"), "id").select("id", "term", F.contains("answer", "term").alias("found"))
+
+
+@query(
+    """SELECT (SELECT count(*) FROM documents) AS sources, n AS chunk_count, c.chunk_ord, lag(c.chunk_ord) OVER (ORDER BY c.chunk_ord) AS previous_sibling FROM (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS chunk_ord FROM documents WHERE false) c, (SELECT 1 AS n)"""
+)
+def empty_corpus(spark, sf_dir):
+    corpus = Corpus.build(_sources(spark, sf_dir).limit(0), cache=False)
+    order = W.orderBy("chunk_ord")
+    return corpus.chunks.select(F.lit(0).cast("long").alias("sources"), F.lit(1).alias("chunk_count"), "chunk_ord", F.lag("chunk_ord").over(order).alias("previous_sibling"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_ORACLES)
