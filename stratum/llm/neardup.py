@@ -8,7 +8,9 @@
 3. A component of up to ``block`` classes is compared as a whole, each pair on the full sets. In a larger one, each of
    several trees is cut into blocks of neighbours; a block ends where neighbours share the shortest prefix, so that
    crowded regions are cut at greater depth than sparse ones.
-4. The confirmed links' components are the result.
+4. The confirmed links' components are the result, but for large components that this leaves in several parts: there
+   every class outside the largest part is compared with all others of the component whose set sizes allow a link.
+   Classes are dealt into chunks by size, and these few are sent to the chunks, so that no task holds a component.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ from .common import cut
 
 #: Values in a tree's key, the first ``DEPTH`` of which candidates share.
 KEY_VALUES, DEPTH = 8, 4
+#: Classes of a component that are compared in one task with those outside its largest part.
+CHUNK = 512
 
 
 def _sets(column: pa.Array, k: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -223,6 +227,85 @@ def _confirm(percent: int):
     return run
 
 
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Numbers runs of ``CHUNK`` rows of a component, sorted by size, with their least and greatest size."""
+    task, number = TaskContext.get().partitionId(), 0
+    for batch in batches:
+        component, sizes = batch.column(0).to_pylist(), batch.column(1).to_numpy()
+        low = 0
+        while low < len(component):
+            high = low + 1
+            while high < len(component) and high - low < CHUNK and component[high] == component[low]:
+                high += 1
+            n = high - low
+            name = b"%d-%d" % (task, number)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(i).slice(low, n) for i in (0, 2, 3, 4)] + [pa.array([name] * n, pa.binary()), pa.array(np.full(n, sizes[low])), pa.array(np.full(n, sizes[high - 1]))], ["component", "cls", "part", "packed", "chunk", "low", "high"]
+            )
+            number, low = number + 1, high
+
+
+class _Members:
+    """The sets of a chunk, by value: which of them hold it."""
+
+    def __init__(self, parts: list[bytes], sets: list[np.ndarray]):
+        self.parts, self.sizes = parts, np.array([len(x) for x in sets])
+        values, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), self.sizes)
+        order = np.argsort(values, kind="stable")
+        self.owner = owner[order]
+        self.values, self.start = np.unique(values[order], return_index=True)
+        self.start = np.append(self.start, len(values))
+
+    def linked(self, wanted: np.ndarray, percent: int) -> np.ndarray:
+        at = np.minimum(np.searchsorted(self.values, wanted), len(self.values) - 1)
+        at = at[self.values[at] == wanted]
+        counts = self.start[at + 1] - self.start[at]
+        places = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(self.start[at], counts)
+        common = np.bincount(self.owner[places], minlength=len(self.sizes))
+        return np.flatnonzero(100 * common >= percent * (self.sizes + len(wanted) - common))
+
+
+def _outer(percent: int):
+    """Rows (chunk, asks, part, packed), members of each chunk before those that ask. Yields links between parts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, members, parts, sets, links = None, None, [], [], set()
+        for batch in batches:
+            for name, asks, part, packed in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                if name != chunk:
+                    chunk, members, parts, sets = name, None, [], []
+                if not asks:
+                    parts.append(part)
+                    sets.append(_unpack(packed))
+                elif sets:
+                    members = members or _Members(parts, sets)
+                    links.update((part, parts[i]) for i in members.linked(_unpack(packed), percent) if parts[i] != part)
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in links], pa.binary()), pa.array([b for _, b in links], pa.binary())], ["a", "b"])
+                links = set()
+
+    return run
+
+
+def _rest(sized: DataFrame, found: DataFrame, sets: DataFrame, block: int, percent: int, parts: int) -> DataFrame | None:
+    """Links (a, b) between the parts that blocks left of large components; none if they left none."""
+    inside = sized.where(F.col("size") > block).join(found.select(F.col("node").alias("cls"), F.col("component").alias("part")), "cls", "left").withColumn("part", F.coalesce("part", "cls"))
+    counts = inside.groupBy("component", "part").agg(F.count(F.lit(1)).alias("n"))
+    main = cut(counts.groupBy("component").agg(F.max_by("part", F.struct("n", "part")).alias("main"), F.count(F.lit(1)).alias("n_parts")).where("n_parts > 1").select("component", "main"))
+    if main.isEmpty():
+        return None
+    size = (F.octet_length("packed") / 6).cast("long").alias("n")
+    held = inside.join(main, "component").join(sets.dropDuplicates(["cls"]).select("cls", "packed", size), "cls").select("component", "n", "cls", "part", "packed")
+    kinds = "component binary, cls binary, part binary, packed binary, chunk binary, low bigint, high bigint"
+    dealt = cut(held.repartitionByRange(parts, "component", "n", "cls").sortWithinPartitions("component", "n", "cls").mapInArrow(_chunks, kinds))
+    chunks = dealt.select(F.col("component").alias("of"), "chunk", "low", "high").distinct()
+    asking = dealt.join(main, "component").where("part <> main").select("component", "part", "packed", size)
+    fits = (F.col("component") == F.col("of")) & (F.col("low") * percent <= F.col("n") * 100) & (F.col("high") * 100 >= F.col("n") * percent)
+    sent = asking.join(chunks, fits).select("chunk", F.lit(True).alias("asks"), "part", "packed")
+    both = dealt.select("chunk", F.lit(False).alias("asks"), "part", "packed").unionByName(sent)
+    return both.repartition(parts, "chunk").sortWithinPartitions("chunk", "asks").mapInArrow(_outer(percent), "a binary, b binary")
+
+
 def near_duplicates(documents: DataFrame, k: int = 3, percent: int = 85, trees: int = 16, block: int = 64, block_trees: int = 8) -> DataFrame:
     """One row per row of ``documents`` (doc_id, text): doc_id, n_shingles, component_id, kept.
 
@@ -252,9 +335,14 @@ def near_duplicates(documents: DataFrame, k: int = 3, percent: int = 85, trees:
     placed = in_blocks.unionByName(sized.where(F.col("size") <= block).select("cls", F.col("component").alias("block")))
     wanted = placed.groupBy("cls").agg(F.collect_list("block").alias("blocks")).join(classes.select("cls", F.col("least").alias("of_doc")), "cls")
     texts = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("of_doc"))).select("blocks", "cls", "text")
-    sets = texts.mapInArrow(_packed(k), "blocks array<binary>, cls binary, packed binary")
+    sets = cut(texts.mapInArrow(_packed(k), "blocks array<binary>, cls binary, packed binary"))
     spread = sets.select(F.explode("blocks").alias("block"), "cls", "packed").repartition(parts, "block").sortWithinPartitions("block")
-    found = connected_components(spread.mapInArrow(_confirm(percent), "a binary, b binary"))
+    found = cut(connected_components(spread.mapInArrow(_confirm(percent), "a binary, b binary")))
+    more = _rest(sized, found, sets, block, percent, parts)
+    if more is not None:
+        joined = connected_components(more).select(F.col("node").alias("part"), "component")
+        every = found.select("node", F.col("component").alias("part")).unionByName(joined.select(F.col("part").alias("node"), "part")).distinct()
+        found = every.join(joined, "part", "left").select("node", F.coalesce("component", "part").alias("component")).distinct()
     named = found.join(classes.select(F.col("cls").alias("node"), "least"), "node")
     names = named.groupBy("component").agg(F.min("least").alias("component_id"))
     grouped = named.join(names, "component").select(F.col("node").alias("cls"), "component_id")
