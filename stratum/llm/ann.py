@@ -72,7 +72,7 @@ def search(units: np.ndarray, ids: np.ndarray, nodes: list[tuple], queries: np.n
         distance = np.sqrt(np.maximum(0, 2 - 2 * queries[active] @ units[rows].T))
         distance[query_ids[active][:, None] == ids[rows][None, :]] = np.inf
         bound = best[active, -1] + SLACK
-        near = distance <= bound[:, None]
+        near = (distance <= bound[:, None]) & np.isfinite(distance)  # the query itself is no neighbour
         for i in np.flatnonzero(near.any(1)):
             q, mine = active[i], np.flatnonzero(near[i])
             merged = np.sort(np.concatenate((best[q], distance[i, mine])))[:k]
