@@ -113,7 +113,7 @@ class Corpus:
     def build(sources: DataFrame, cache: bool = True) -> Corpus:
         """Index (source_ord, document, text). Names must be distinct: a second source of a name would hide the first."""
         keep = (lambda df: df.persist()) if cache else (lambda df: df)
-        sections = section_table(sources)
+        sections = keep(section_table(sources))
         chunks = keep(chunk_table(sections))
         n_chunks = chunks.count()
         size = max(1, n_chunks)
