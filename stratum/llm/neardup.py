@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from . import wordhash as wh
 from .components import connected_components
-from .common import cut
+from .common import cut, tidy
 
 #: Values in a tree's key, the first ``DEPTH`` of which candidates share.
 KEY_VALUES, DEPTH = 8, 4
@@ -328,6 +328,7 @@ def near_duplicates(documents: DataFrame, k: int = 3, percent: int = 85, trees:
     candidate = connected_components(ordered.mapInArrow(_neighbours, "a binary, b binary")).where(F.octet_length("node") == 16)
     sizes = candidate.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
     sized = cut(candidate.join(sizes, "component").select(F.col("node").alias("cls"), "component", "size").where("size > 1"))
+    tidy(spark)
     large = sized.where(F.col("size") > block).join(classes, "cls")
     some = F.array(*[F.lit(round(i * trees / block_trees)) for i in range(block_trees)])
     large = large.select("component", "cls", "keys", F.explode(some).alias("tree")).select("tree", "component", key, "cls")
@@ -338,8 +339,10 @@ def near_duplicates(documents: DataFrame, k: int = 3, percent: int = 85, trees:
     sets = cut(texts.mapInArrow(_packed(k), "blocks array<binary>, cls binary, packed binary"))
     spread = sets.select(F.explode("blocks").alias("block"), "cls", "packed").repartition(parts, "block").sortWithinPartitions("block")
     found = cut(connected_components(spread.mapInArrow(_confirm(percent), "a binary, b binary")))
+    tidy(spark)
     more = _rest(sized, found, sets, block, percent, parts)
     if more is not None:
+        tidy(spark)
         joined = connected_components(more).select(F.col("node").alias("part"), "component")
         every = found.select("node", F.col("component").alias("part")).unionByName(joined.select(F.col("part").alias("node"), "part")).distinct()
         found = every.join(joined, "part", "left").select("node", F.coalesce("component", "part").alias("component")).distinct()
