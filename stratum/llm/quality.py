@@ -2,7 +2,8 @@
 
 Two generative models give every hashed n-gram a probability: one from texts labelled good, one from all texts. A
 text's log weight is the sum, over its n-grams, of the log ratio of the two. Gumbel noise on the log weights and a cut
-at the k-th largest key sample k texts in proportion to their weights, without replacement.
+at the k-th largest key sample k texts in proportion to their weights, without replacement. Both models count equal
+texts once, for how often a text was copied says nothing of its quality.
 
 The n-grams are words and pairs of words, and single, paired and tripled word forms. A form keeps of a word its cases,
 digits, trailing marks and whether it repeats the word before, so that shouting, symbol noise, tables and repetition
@@ -163,14 +164,16 @@ class Selector:
 def fit(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, temperature: float = TEMPERATURE) -> Selector:
     """Models from ``documents`` (doc_id, text) and ``labels`` (doc_id, quality; 1 is good).
 
-    The raw model counts the n-grams of all documents. The target model counts those of up to ``sample_rows`` labelled
-    good ones, taken by the hash of their doc_id. Without any, every weight is 0. A null doc_id has no label.
+    The raw model counts the n-grams of all distinct texts. The target model counts those of up to ``sample_rows``
+    labelled good documents, taken by the hash of their doc_id; equal texts among them count once, and a text is good if
+    any document of it is. Without any, every weight is 0. A null doc_id has no label.
     """
     good = labels.where("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("good_id")).distinct()
     sample = cut(good.orderBy(F.xxhash64("good_id"), "good_id").limit(sample_rows))
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     marked = docs.join(F.broadcast(sample), F.col("doc_id") == F.col("good_id"), "left").select("text", F.col("good_id").isNotNull().alias("good"))
-    rows = marked.mapInArrow(_counts, "bucket bigint, n_raw bigint, n_target bigint").groupBy("bucket").agg(F.sum("n_raw").alias("r"), F.sum("n_target").alias("t")).collect()  # BUCKETS at most
+    once = marked.where("text IS NOT NULL").groupBy("text").agg(F.max("good").alias("good"))
+    rows = once.mapInArrow(_counts, "bucket bigint, n_raw bigint, n_target bigint").groupBy("bucket").agg(F.sum("n_raw").alias("r"), F.sum("n_target").alias("t")).collect()  # BUCKETS at most
     raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
     for x in rows:
         raw[x.bucket], target[x.bucket] = x.r, x.t

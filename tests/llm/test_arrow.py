@@ -317,6 +317,20 @@ def test_quality_drops_junk_and_keeps_the_rest(spark):
     assert quality.quality(docs(spark, []), table).count() == 0
 
 
+def test_quality_keeps_a_clean_text_of_many_copies(spark):
+    r = random.Random(8)
+    rows = [(i, " ".join(f"w{r.randint(0, 300)}" for _ in range(r.randint(30, 80)))) for i in range(400)]
+    rows += [(500 + i, " ".join(f"j{r.randint(0, 50)}".upper() + "!!" for _ in range(40))) for i in range(60)]
+    labels = spark.createDataFrame([(i, int(i < 400), 0) for i in range(0, 460, 2)], "doc_id bigint, quality int, toxic int")
+    copies = [(1000 + i, rows[at][1]) for at in (6, 7) for i in range(at * 3000, at * 3000 + 3000)]  # of a labelled text and of one without label
+    plain = quality.fit(docs(spark, rows), labels)
+    selector = quality.fit(docs(spark, rows + copies), labels)
+    assert np.array_equal(plain.ratio, selector.ratio)
+    got = quality.quality(docs(spark, rows + copies), labels).collect()
+    assert all(x.kept and x.log_weight >= quality.LEAST_WEIGHT for x in got if x.doc_id in (6, 7) or x.doc_id >= 1000)
+    assert sum(x.kept for x in got if 500 <= x.doc_id < 560) <= 2
+
+
 def test_keep_is_what_the_scores_say(spark):
     rows, labels = labelled(spark, 120)
     table = docs(spark, rows)
