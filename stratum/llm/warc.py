@@ -7,7 +7,8 @@ plain ``.warc.gz`` bytes. A record of 16 MiB or more is followed by an empty mem
 Reading: the files are split into byte ranges like lines of text, parted by the gzip magic. A task owns the candidates
 whose magic starts in its range. A candidate counts as a member only if its gzip header and the WARC header inside it
 decode; other magics are chance bytes within a member, and the pieces they part are put together again, across the
-ends of ranges by a small second step.
+ends of ranges by a small second step. Spark's reader would unpack files named .gz as a whole, so it is told of no such
+codec.
 """
 
 from __future__ import annotations
@@ -190,12 +191,30 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 open_piece = None
 
 
+def _raw_options(spark: SparkSession) -> dict[str, str]:
+    """Reader options by which files named .gz are read as they are, in ranges.
+
+    Hadoop takes the codec of the greatest suffix, written backwards, that sorts before a file's name written backwards.
+    A codec for a suffix that no name has, but that sorts right after that of gzip, leaves such files without any. The
+    shaded build of Hadoop has renamed the suffix's key.
+    """
+    options = {"io.compression.codecs": "org.apache.hadoop.io.compress.PassthroughCodec"}
+    options |= {f"{at}io.compress.passthrough.extension": "-\x01.gz" for at in ("", "org.apache.hadoop.shaded.")}
+    jvm, conf = spark.sparkContext._jvm, spark._jsparkSession.sessionState().newHadoopConf()
+    for key, value in options.items():
+        conf.set(key, value)
+    if jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(jvm.org.apache.hadoop.fs.Path("/a.warc.gz")) is not None:
+        raise RuntimeError("this Hadoop unpacks .gz files before they can be read in ranges")
+    return options
+
+
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """A row for each record under ``path``: fields (header names in lower case to values) and payload.
 
-    Files of gzip members, one or more to a record, from any writer; what doesn't decode as a WARC record is left out.
+    Files of gzip members, one or more to a record, of any name and from any writer; what doesn't decode as a WARC
+    record is left out.
     """
-    text = spark.read.option("lineSep", MAGIC.decode("latin-1")).option("encoding", "ISO-8859-1").text(path)
+    text = spark.read.options(**_raw_options(spark)).option("lineSep", MAGIC.decode("latin-1")).option("encoding", "ISO-8859-1").text(path)
     raw = text.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("place"), F.col("value").cast("binary").alias("piece"))
     kinds = "file string, place bigint, nth bigint, loose binary, fields map<string,string>, payload binary"
     read = raw.mapInArrow(_ranges, kinds)

@@ -178,6 +178,27 @@ def test_reader_survives_chance_magics(spark, tmp_path):
         assert got == {f"<urn:page:{i}>": p for i, p in enumerate(payloads)}, size
 
 
+@pytest.mark.parametrize("name", ["a.warc.gz", "0.gz", "é !.gz", "a.warc"])
+def test_archives_of_any_name_are_read_in_ranges(spark, tmp_path, name):
+    (tmp_path / "w").mkdir()
+    r = random.Random(3)
+    payloads = {f"<urn:x:{i}>": bytes(r.choices(range(256), k=r.choice([0, 50, 3000]))) for i in range(30)}
+    head = "WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: {}\r\nContent-Length: {}\r\n\r\n"
+    (tmp_path / "w" / name).write_bytes(b"".join(gzip.compress(head.format(k, len(p)).encode() + p + b"\r\n\r\n") for k, p in payloads.items()))
+    for size in ("4000", "1000000"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        try:
+            records = warc.read_warc(spark, f"file://{tmp_path}/w")
+            got = {x.fields["warc-record-id"]: bytes(x.payload) for x in records.collect()}
+            tasks = spark.read.options(**warc._raw_options(spark)).text(f"file://{tmp_path}/w").rdd.getNumPartitions()
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+            spark.conf.unset("spark.sql.files.openCostInBytes")
+        assert got == payloads
+        assert size != "4000" or tasks > 5
+
+
 def test_archive_of_nothing(spark, tmp_path):
     path = f"file://{tmp_path}/w"
     warc.write_warc(spark.createDataFrame([], "page_id bigint, url string, html string"), path)
