@@ -2,7 +2,8 @@
 
 Pages that rules allow make their hosts trusted seeds, pages that rules block make theirs distrusted ones. Trust is a
 personalised PageRank along the links, distrust one along the reversed links: a host that links to bad ones is suspect.
-A page without a rule is blocked if its host has at least ``threshold`` of its trust and distrust in distrust.
+A page without a rule is blocked if its host has at least ``threshold`` of its trust and distrust in distrust. As only
+the share counts, scores are carried on until none changes by more than a billionth of itself.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from .common import cut, maybe_broadcast
 #: (verdict, host and path), as stated by the filter's users.
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 DAMPING, ROUNDS, THRESHOLD = 0.85, 6, 0.6
+#: Scores are final when a round changes none by more than this share of itself.
+TOLERANCE = 1e-9
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _HREF = r"(?is)<a\s[^>]*?href\s*=\s*[\"']?\s*([a-z][a-z0-9+.-]*://[^\"'\s>]+)"
 
@@ -38,11 +41,14 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return rule, verdict
 
 
-def host_scores(seeds: DataFrame, links: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
+def host_scores(seeds: DataFrame, links: DataFrame, rounds: int | None = ROUNDS, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
     """host, trust and distrust after ``rounds`` rounds, from ``seeds`` (host, trust, distrust) and ``links`` (a, b, n).
 
     Both spread in one join: a link carries trust from a to b and distrust from b to a, each in proportion to its share
-    of the links that leave a host in that direction. Links within a host carry nothing.
+    of the links that leave a host in that direction. Links within a host carry nothing. Without ``rounds``, until a
+    round changes no score by more than ``tolerance`` of itself: a score that has just left 0 changes by all of itself,
+    so every host that a seed reaches is reached (up to some 4,000 links away, where scores underflow), and the greatest
+    relative change never grows from round to round, so that none is missed between two looks.
     """
     links = links.where("a <> b")
     forward = links.join(links.groupBy("a").agg(F.sum("n").alias("all")), "a").select(F.col("a").alias("from"), F.col("b").alias("to"), (F.col("n") / F.col("all")).alias("trust_share"), F.lit(0.0).alias("distrust_share"))
@@ -51,19 +57,37 @@ def host_scores(seeds: DataFrame, links: DataFrame, rounds: int = ROUNDS, dampin
     scores = seeds
     if edges.isEmpty():
         return scores
-    for i in range(rounds):
-        carried = edges.join(scores, edges["from"] == scores["host"]).select(F.col("to").alias("host"), (damping * F.col("trust") * F.col("trust_share")).alias("trust"), (damping * F.col("distrust") * F.col("distrust_share")).alias("distrust"))
-        scores = seeds.unionByName(carried).groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust"))
-        if i % 3 == 2:
-            scores = cut(scores)
-    return scores
+    sums = [F.sum(c).alias(c) for c in ("trust", "distrust")]
+
+    def carried(scores: DataFrame) -> DataFrame:
+        shares = edges.join(scores, edges["from"] == scores["host"]).select(F.col("to").alias("host"), (damping * F.col("trust") * F.col("trust_share")).alias("trust"), (damping * F.col("distrust") * F.col("distrust_share")).alias("distrust"))
+        return seeds.unionByName(shares)
+
+    if rounds is not None:
+        for i in range(rounds):
+            scores = carried(scores).groupBy("host").agg(*sums)
+            if i % 3 == 2:
+                scores = cut(scores)
+        return scores
+    was = [F.sum(c).alias(c) for c in ("trust_was", "distrust_was")]
+    none = [F.lit(0.0).alias(c) for c in ("trust", "distrust")]
+    moved = " OR ".join(f"{c} - {c}_was > {tolerance!r} * {c}" for c in ("trust", "distrust"))
+    while True:
+        scores = cut(carried(carried(scores).groupBy("host").agg(*sums)).groupBy("host").agg(*sums))
+        before = scores.select("host", *none, F.col("trust").alias("trust_was"), F.col("distrust").alias("distrust_was"))
+        ahead = carried(scores).withColumn("trust_was", F.lit(0.0)).withColumn("distrust_was", F.lit(0.0))
+        looked = cut(ahead.unionByName(before).groupBy("host").agg(*sums, *was))
+        scores = looked.select("host", "trust", "distrust")
+        if looked.where(moved).isEmpty():
+            return scores
 
 
 def judge(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD) -> DataFrame:
     """One row per row of ``pages`` (page_id, url, html): page_id, host, path, rule, verdict, trust, distrust.
 
     A null url, or one without ``://``, has empty host and path, fits no rule and is allowed: nothing is known of it.
-    A host without seeds or links has no trust and no distrust and is allowed. Other columns are ignored.
+    A host without seeds or links has no trust and no distrust and is allowed. Other columns are ignored. Scores are
+    those at convergence; the SQL stops after ``ROUNDS`` rounds, so it agrees only where pages don't link between hosts.
     """
     host, path = host_of(F.col("url")), path_of(F.col("url"))
     base = pages.select("page_id", host.alias("host"), path.alias("path"), "html")
@@ -74,7 +98,7 @@ def judge(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD) -> DataFr
     hrefs = F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(_HREF), 1)
     targets = base.where("host <> ''").select(F.col("host").alias("a"), F.explode(hrefs).alias("url")).select("a", host_of(F.col("url")).alias("b"))
     links = targets.where("b <> '' AND a <> b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
-    scores = cut(host_scores(seeds, links))
+    scores = cut(host_scores(seeds, links, rounds=None))
     known = scores.select(F.col("host").alias("of_host"), "trust", "distrust").where("trust > 0 OR distrust > 0")
     joined = ruled.drop("html").join(maybe_broadcast(known, known.count()), F.col("host") == F.col("of_host"), "left")
     trust, distrust = F.coalesce("trust", F.lit(0.0)), F.coalesce("distrust", F.lit(0.0))

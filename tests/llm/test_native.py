@@ -179,6 +179,27 @@ def test_a_host_that_links_to_blocked_pages_is_blocked(spark):
     assert got == {1: "block", 2: "block", 3: "allow"}
 
 
+def test_scores_are_carried_to_the_end(spark):
+    page = lambda i, host, to: (i, f"http://{host}/", "".join(f'<a href="http://{t}/">x</a>' for t in to))
+    chain = [page(i, f"h{i}.net", [f"h{i + 1}.net"]) for i in range(12)] + [page(12, "h12.net", ["x.com"]), (13, "http://x.com/de/1", "")]
+    # A loop whose far side hears of both seeds: all that goes round counts, however little it is.
+    loop = [page(20, "p.net", ["q.net", "x.com"]), page(21, "q.net", ["p.net"]), (22, "http://y.com/fr/1", '<a href="http://p.net/">x</a><a href="http://x.com/de/1">x</a>')]
+    got = {r.host: r for r in urlgraph.judge(spark.createDataFrame(chain + loop, "page_id bigint, url string, html string")).collect()}
+    links, trust, distrust = {}, {"y.com": 1.0}, {"x.com": 1.0}
+    for _, url, html in chain + loop:
+        for to in re.findall(r"http://([^/]+)/", html):
+            links[url.split("/")[2], to] = 1
+    out, into = ({h: sum(k[side] == h for k in links) for h in got} for side in (0, 1))
+    for _ in range(500):
+        trust, distrust = (
+            {h: (h == "y.com") + 0.85 * sum(trust.get(a, 0) / out[a] for a, b in links if b == h) for h in got},
+            {h: (h == "x.com") + 0.85 * sum(distrust.get(b, 0) / into[b] for a, b in links if a == h) for h in got},
+        )
+    for h, r in got.items():
+        assert r.trust == pytest.approx(trust[h], rel=1e-7) and r.distrust == pytest.approx(distrust[h], rel=1e-7)
+    assert all(got[f"h{i}.net"].verdict == "block" for i in range(13)) and got["h0.net"].distrust > 0
+
+
 def test_native_plans_hold_no_python(spark):
     rows = docs(spark, [(1, "a b c", "s")])
     for frame in (mixing.mix(rows), decontaminate.contamination(rows, spark.createDataFrame([(1, "a b")], "item_id bigint, text string"))):
