@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratum.llm import decontaminate, mixing, neardup, quality, suffix_dedup
-from stratum.llm.common import new_path
+from stratum.llm.common import cut, maybe_broadcast, new_path
 
 
 def choose_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,10 +18,22 @@ def choose_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the least doc_id of each group linked at a similarity of 0.8 on five-word shingles."""
-    groups = neardup.near_duplicates(docs, k=5, percent=80, trees=20, block_trees=10)
-    kept = groups.where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    """Keeps one row of each group linked at a similarity of 0.8 on five-word shingles, and all rows without words.
+
+    It is the row of the least doc_id, null after all others; of several texts that of the least md5, of equal texts the
+    row whose columns come first. Groups are told apart by doc_id and text, for doc_ids may be null or repeated.
+    """
+    digest = F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
+    row = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), digest.alias("digest"))
+    groups = neardup.near_duplicates(docs.select(row.alias("doc_id"), "text"), k=5, percent=80, trees=20, block_trees=10)
+    kept = cut(groups.where("kept").groupBy(F.col("doc_id").alias("kept_row")).agg(F.count(F.lit(1)).alias("n"), F.max("n_shingles").alias("n_shingles")))
+    repeated = kept.where("n > 1 AND n_shingles > 0")
+    once = docs.join(kept.where("n = 1 OR n_shingles = 0"), row == F.col("kept_row"), "left_semi")
+    n_repeated = repeated.count()
+    if not n_repeated:
+        return once
+    rows = docs.join(maybe_broadcast(repeated, n_repeated), row == F.col("kept_row")).groupBy("kept_row").agg(F.min(F.struct(*docs.columns)).alias("first"))
+    return once.unionByName(rows.select("first.*"))
 
 
 def strip_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
