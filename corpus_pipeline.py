@@ -37,12 +37,13 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def strip_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes repeated byte strings out of the texts; what is left of a character that was cut is dropped too."""
-    rest = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
-    stripped = suffix_dedup.strip_repeats(docs, rest)
-    kept = F.col("kept").cast("string")
-    text = F.when(F.size("removed") > 0, F.regexp_replace(F.make_valid_utf8(kept), "\uFFFD", "")).otherwise(kept)
-    return stripped.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    """Takes repeated byte strings out of the texts, with the whole of the characters at their ends; null stays null."""
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    stripped = suffix_dedup.strip_repeats(docs.withColumn("no_text", F.col("text").isNull()), [*rest, "no_text"], whole_chars=True)
+    out = stripped.withColumn("text", F.when(~F.col("no_text"), F.col("kept").cast("string")))
+    if "n_chars" in rest:
+        out = out.withColumn("n_chars", F.when(F.size("removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

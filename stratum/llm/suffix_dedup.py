@@ -318,7 +318,21 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from flush(kept)
 
 
-def _strip(carry: list[str]):
+def _at_borders(text: bytes, spans: list[int]) -> list[int]:
+    """``spans`` widened to whole characters, and put together where they then meet."""
+    out: list[int] = []
+    for a, b in zip(spans[::2], spans[1::2], strict=True):
+        for _ in range(3):
+            a -= 0 < a and text[a] & 0xC0 == 0x80
+            b += b < len(text) and text[b] & 0xC0 == 0x80
+        if out and a <= out[-1]:
+            out[-1] = b
+        else:
+            out += (a, b)
+    return out
+
+
+def _strip(carry: list[str], whole_chars: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = batch.column(2).to_pylist()
@@ -334,6 +348,7 @@ def _strip(carry: list[str]):
                             own[-1] = max(own[-1], b)
                         else:
                             own += (a, b)
+                    own = _at_borders(text, own) if whole_chars else own
                     spans.append(own)
                     edges = [0, *own, len(text)]
                     kept.append(b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)))
@@ -343,13 +358,14 @@ def _strip(carry: list[str]):
     return run
 
 
-def strip_repeats(documents: DataFrame, carry: list[str] | None = None) -> DataFrame:
+def strip_repeats(documents: DataFrame, carry: list[str] | None = None, whole_chars: bool = False) -> DataFrame:
     """One row per row of ``documents`` (doc_id, text): doc_id, n_bytes, removed, kept, and the columns of ``carry``.
 
     ``removed`` lists start and end of the maximal runs of bytes that lie in a 100-byte string which also starts earlier
     (in a smaller doc_id, or further up in the same text); ``kept`` holds the other bytes. Null texts are empty; texts
     of under 100 bytes are never touched. A null doc_id counts as the least. Rows that share a doc_id are no earlier
-    than each other where they start at the same place. Other columns are ignored.
+    than each other where they start at the same place. Other columns are ignored. With ``whole_chars`` the runs are widened
+    so that no character is cut.
     """
     spark = documents.sparkSession
     carry = carry or []
@@ -388,4 +404,4 @@ def strip_repeats(documents: DataFrame, carry: list[str] | None = None) -> DataF
     whole = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *carry)
     joined = whole.join(per_doc, F.col("doc_id").eqNullSafe(F.col("of_doc")), "left").select("doc_id", "text", "found", *carry)
     kinds = "".join(f", `{c}` {documents.schema[c].dataType.simpleString()}" for c in carry)
-    return joined.mapInArrow(_strip(carry), "doc_id bigint, n_bytes bigint, removed array<int>, kept binary" + kinds)
+    return joined.mapInArrow(_strip(carry, whole_chars), "doc_id bigint, n_bytes bigint, removed array<int>, kept binary" + kinds)

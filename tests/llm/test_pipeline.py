@@ -58,3 +58,36 @@ def test_one_row_of_each_group_is_kept(spark):
     rows = odd_rows()
     got = STAGES["near-duplicate removal"](spark, spark.createDataFrame(rows, DOCS), "").collect()
     assert sorted(map(tuple, got), key=key) == sorted(one_of_each_group(rows), key=key)
+
+
+def stripped(rows):
+    texts = sorted(((-(1 << 70) if r[0] is None else r[0]), (r[1] or "").encode()) for r in rows)
+    first = {}
+    for i, b in texts:
+        for p in range(len(b) - 99):
+            first[b[p : p + 100]] = min(first.get(b[p : p + 100], (i, p)), (i, p))
+    out = []
+    for r in rows:
+        b, i = (r[1] or "").encode(), -(1 << 70) if r[0] is None else r[0]
+        gone = set()
+        for p in range(len(b) - 99):
+            if first[b[p : p + 100]] < (i, p):
+                gone.update(range(p, p + 100))
+        left, at = [], 0
+        for c in r[1] or "":
+            n = len(c.encode())
+            left += [] if gone & set(range(at, at + n)) else [c]
+            at += n
+        text = "".join(left)
+        out.append((r[0], None if r[1] is None else text, r[2], r[3], len(text) if gone else r[4]))
+    return out
+
+
+def test_repeats_go_with_whole_characters_alone(spark):
+    r = random.Random(7)
+    passage = "".join(r.choices("ab漢é𝄞�", k=90))
+    rows = odd_rows() + [row(50, "x" + passage + "� end"), row(51, "� keep �" + passage[:-1] + "字 �"), row(52, "é字" + passage[1:] + passage[2:40]), row(53, "� alone")]
+    # Cuts within a character: 漢 and 漣 share their first two bytes, 漢 and 𝄞's neighbours their last.
+    rows += [row(60, "漢" + "q" * 40 + passage + "漢"), row(61, "字漣" + "q" * 40 + passage + "漣 and � more")]
+    got = STAGES["repeated passage removal"](spark, spark.createDataFrame(rows, DOCS), "").collect()
+    assert sorted(map(tuple, got), key=key) == sorted(stripped(rows), key=key)
