@@ -4,7 +4,11 @@ import hashlib
 import random
 import re
 
+import pytest
+from test_native import contaminated
+
 import corpus_pipeline
+from stratum.llm import quality
 
 STAGES = dict(corpus_pipeline.STAGES)
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -91,3 +95,38 @@ def test_repeats_go_with_whole_characters_alone(spark):
     rows += [row(60, "漢" + "q" * 40 + passage + "漢"), row(61, "字漣" + "q" * 40 + passage + "漣 and � more")]
     got = STAGES["repeated passage removal"](spark, spark.createDataFrame(rows, DOCS), "").collect()
     assert sorted(map(tuple, got), key=key) == sorted(stripped(rows), key=key)
+
+
+def test_quality_stage_keeps_what_the_scores_say(spark, tmp_path):
+    rows = odd_rows() + [row(100 + i, x) for i, x in enumerate(texts(9, 150))] + [row(300 + i, " ".join([x.split()[0].upper() + "!!"] * 40)) for i, x in enumerate(texts(10, 20))]
+    labels = spark.createDataFrame([(i, int(i < 300), 0) for i in [*range(100, 250, 2), *range(300, 320, 2)]], "doc_id bigint, quality int, toxic int")
+    labels.write.parquet(f"file://{tmp_path}/labels.parquet")
+    docs = spark.createDataFrame(rows, DOCS)
+    got = STAGES["quality classifier"](spark, docs, f"file://{tmp_path}").collect()
+    verdicts = [(r.doc_id, r.n_grams, r.kept) for r in quality.quality(docs, labels).collect()]
+    assert len(got) == sum(v[2] for v in verdicts)
+    assert sorted(str(r.doc_id) for r in got) == sorted(str(v[0]) for v in verdicts if v[2])
+    assert not {tuple(r) for r in got} - set(rows) and {r.doc_id for r in got} >= set(range(100, 250)) and sum(r.doc_id is not None and r.doc_id >= 300 for r in got) <= 2
+
+
+def test_contaminated_rows_are_dropped(spark, tmp_path):
+    item = " ".join(f"b{i}" for i in range(20))
+    rows = odd_rows() + [row(70, "so " + item.upper()), row(71, item + " " + " ".join(texts(11, 12))), row(None, item)]
+    spark.createDataFrame([(1, item), (2, None), (3, "")], "item_id bigint, text string").write.parquet(f"file://{tmp_path}/benchmark.parquet")
+    got = STAGES["benchmark decontamination"](spark, spark.createDataFrame(rows, DOCS), f"file://{tmp_path}").collect()
+    bad = {x[0] for x in contaminated([r[:3] for r in rows], [(1, item)]) if x[-1]}
+    assert bad == {70, None} and sorted(map(tuple, got), key=key) == sorted((r for r in rows if r[0] not in bad), key=key)
+
+
+def test_mix_has_every_row(spark):
+    rows = odd_rows()
+    got = STAGES["source mixing"](spark, spark.createDataFrame(rows, DOCS), "").collect()
+    assert sorted((str(r.doc_id), r.source) for r in got) == sorted((str(r[0]), r[3]) for r in rows)
+    assert sum(r.size for r in got) == sum(len((r[1] or "").split()) for r in rows)
+
+
+@pytest.mark.parametrize("name", STAGES)
+def test_stages_of_an_empty_table(spark, tmp_path, name):
+    spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"file://{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id bigint, text string").write.parquet(f"file://{tmp_path}/benchmark.parquet")
+    assert STAGES[name](spark, spark.createDataFrame([], DOCS), f"file://{tmp_path}").count() == 0
