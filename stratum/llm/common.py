@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import gc
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -11,34 +12,63 @@ from pyspark.sql import functions as F
 
 #: Sides of a join up to this many rows are broadcast; larger ones are shuffled.
 BROADCAST_ROWS = 100_000
+#: A key is hot with more rows than this, and than one in ``HOT_KEYS`` of all rows: so at most ``HOT_KEYS`` keys are.
+HOT_ROWS, HOT_KEYS = 1_000, 10_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a new local one where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Where it is unset, a local run gets a folder of its own, removed at exit; a cluster has to name one.
+    """
     scala_context = spark.sparkContext._jsc.sc()
     if scala_context.getCheckpointDir().isEmpty():
         configured = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(configured or "file://" + tempfile.mkdtemp(prefix="stratum-"))
+        if not configured:
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+            own = tempfile.mkdtemp(prefix="stratum-")
+            atexit.register(shutil.rmtree, own, ignore_errors=True)
+            configured = "file://" + own
+        spark.sparkContext.setCheckpointDir(configured)
     return scala_context.getCheckpointDir().get()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once, to reliable storage, so that later reads neither repeat it nor depend on its executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that no other run uses."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def tidy(spark: SparkSession) -> None:
-    """Let the driver give up what finished steps have left: plans, broadcasts, and shuffles that nothing refers to."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def cut(df: DataFrame) -> DataFrame:
+    """Compute ``df`` once, into a table in the shared folder, so that later reads neither repeat it nor depend on its executors."""
+    spark = df.sparkSession
+    path = new_path(spark, "cut")
+    df.write.parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._cut_path = path
+    return table
 
 
-def new_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that no other run uses."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+def drop(*tables: DataFrame) -> None:
+    """Remove tables made by ``cut`` that nothing will read again."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table._cut_path)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def maybe_broadcast(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast only for a side whose counted rows are few."""
     return F.broadcast(df) if rows <= limit else df
+
+
+def by_key(rows: DataFrame, table: DataFrame, key: str, count: str, total: int, how: str = "left") -> DataFrame:
+    """``rows`` joined on ``key`` with ``table``, which has one row a key and, in ``count``, how many of ``rows`` it meets.
+
+    ``total`` is the number of all rows. Hot keys, ``HOT_KEYS`` at most, are broadcast, so that their rows stay where
+    they are; the rest is shuffled. Both sides are read twice, so they should be tables.
+    """
+    least = max(HOT_ROWS, total // HOT_KEYS)
+    hot = table.where(F.col(count) > least)
+    cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(table.where(F.col(count) <= least), key, how)
+    return cold.unionByName(rows.join(F.broadcast(hot), key))

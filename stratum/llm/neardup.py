@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from . import wordhash as wh
 from .components import connected_components
-from .common import cut, tidy
+from .common import by_key, cut, drop, maybe_broadcast
 
 #: Values in a tree's key, the first ``DEPTH`` of which candidates share.
 KEY_VALUES, DEPTH = 8, 4
@@ -148,20 +148,15 @@ def _blocks(block: int):
 
 
 def _packed(k: int):
-    """The set of each text whose class is the wanted one, 6 bytes a hash."""
+    """The digest and the set of each text that has one, 6 bytes a hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            wanted = batch.column(1).to_pylist()
-            for first, end, values, begin in _sets(batch.column(2), k):
+            for _, _, values, begin in _sets(batch.column(0), k):
                 digests = _digests(values, begin)
-                bytes6 = (values >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6]
-                fit = [i for i in range(end - first) if digests[i] == wanted[first + i]]
-                rows = pa.array([first + i for i in fit], pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(rows), batch.column(1).take(rows), pa.array([bytes6[begin[i] : begin[i + 1]].tobytes() for i in fit], pa.binary())],
-                    ["blocks", "cls", "packed"],
-                )
+                raw = np.ascontiguousarray((values >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6])
+                fit = [i for i, d in enumerate(digests) if d is not None]
+                yield pa.RecordBatch.from_arrays([pa.array([digests[i] for i in fit], pa.binary()), pa.array([raw[begin[i] : begin[i + 1]].tobytes() for i in fit], pa.binary())], ["cls", "packed"])
 
     return run
 
@@ -292,18 +287,22 @@ def _rest(sized: DataFrame, found: DataFrame, sets: DataFrame, block: int, perce
     inside = sized.where(F.col("size") > block).join(found.select(F.col("node").alias("cls"), F.col("component").alias("part")), "cls", "left").withColumn("part", F.coalesce("part", "cls"))
     counts = inside.groupBy("component", "part").agg(F.count(F.lit(1)).alias("n"))
     main = cut(counts.groupBy("component").agg(F.max_by("part", F.struct("n", "part")).alias("main"), F.count(F.lit(1)).alias("n_parts")).where("n_parts > 1").select("component", "main"))
-    if main.isEmpty():
+    n_main = main.count()
+    if not n_main:
+        drop(main)
         return None
     size = (F.octet_length("packed") / 6).cast("long").alias("n")
-    held = inside.join(main, "component").join(sets.dropDuplicates(["cls"]).select("cls", "packed", size), "cls").select("component", "n", "cls", "part", "packed")
+    held = inside.join(maybe_broadcast(main, n_main), "component").join(sets.select("cls", "packed", size), "cls").select("component", "n", "cls", "part", "packed")
     kinds = "component binary, cls binary, part binary, packed binary, chunk binary, low bigint, high bigint"
     dealt = cut(held.repartitionByRange(parts, "component", "n", "cls").sortWithinPartitions("component", "n", "cls").mapInArrow(_chunks, kinds))
-    chunks = dealt.select(F.col("component").alias("of"), "chunk", "low", "high").distinct()
-    asking = dealt.join(main, "component").where("part <> main").select("component", "part", "packed", size)
+    chunks = cut(dealt.select(F.col("component").alias("of"), "chunk", "low", "high").distinct())
+    asking = dealt.join(maybe_broadcast(main, n_main), "component").where("part <> main").select("component", "part", "packed", size)
     fits = (F.col("component") == F.col("of")) & (F.col("low") * percent <= F.col("n") * 100) & (F.col("high") * 100 >= F.col("n") * percent)
-    sent = asking.join(chunks, fits).select("chunk", F.lit(True).alias("asks"), "part", "packed")
+    sent = asking.join(maybe_broadcast(chunks, chunks.count()), fits).select("chunk", F.lit(True).alias("asks"), "part", "packed")
     both = dealt.select("chunk", F.lit(False).alias("asks"), "part", "packed").unionByName(sent)
-    return both.repartition(parts, "chunk").sortWithinPartitions("chunk", "asks").mapInArrow(_outer(percent), "a binary, b binary")
+    links = cut(both.repartition(parts, "chunk").sortWithinPartitions("chunk", "asks").mapInArrow(_outer(percent), "a binary, b binary"))
+    drop(main, dealt, chunks)
+    return links
 
 
 def near_duplicates(documents: DataFrame, k: int = 3, percent: int = 85, trees: int = 16, block: int = 64, block_trees: int = 8) -> DataFrame:
@@ -313,45 +312,48 @@ def near_duplicates(documents: DataFrame, k: int = 3, percent: int = 85, trees:
     ``k`` words, of fewer words the whole sequence. Two texts are linked if 100 * intersection >= ``percent`` * union.
     A component is named by its least doc_id. Null texts and texts without words have the empty set and are linked with
     nothing. Rows with the same doc_id are judged each by its own text; a null doc_id never names a component unless it
-    has no other, and null counts as equal to null for ``kept``. Other columns are ignored.
+    has no other, and null counts as equal to null for ``kept``. Other columns are ignored; an empty table gives no
+    rows. A text is held whole by the task that reads it.
     """
     spark = documents.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = documents.select("doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
     signed = cut(docs.mapInArrow(_signed(k, trees), f"doc_id {kind}, n_shingles bigint, cls binary, keys binary"))
-    classes = cut(signed.where("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("least"), F.first("keys").alias("keys")))
+    classes = cut(signed.where("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("keys").alias("keys")))
     width = 4 * KEY_VALUES
     key = F.substring("keys", F.col("tree") * width + 1, F.lit(width)).alias("key")
     forest = classes.select("cls", "keys", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree")).select("tree", key, "cls")
     ordered = forest.repartitionByRange(parts, "tree", "key", "cls").sortWithinPartitions("tree", "key", "cls")
-    candidate = connected_components(ordered.mapInArrow(_neighbours, "a binary, b binary")).where(F.octet_length("node") == 16)
-    sizes = candidate.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    sized = cut(candidate.join(sizes, "component").select(F.col("node").alias("cls"), "component", "size").where("size > 1"))
-    tidy(spark)
-    large = sized.where(F.col("size") > block).join(classes, "cls")
+    candidate = connected_components(ordered.mapInArrow(_neighbours, "a binary, b binary"))
+    members = candidate.where(F.octet_length("node") == 16).withColumnRenamed("node", "cls")
+    sizes = cut(members.groupBy("component").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
+    sized = cut(by_key(members, sizes, "component", "size", candidate.count(), "inner"))
+    drop(candidate, sizes)
+    large = sized.where(F.col("size") > block).join(classes.select("cls", "keys"), "cls")
     some = F.array(*[F.lit(round(i * trees / block_trees)) for i in range(block_trees)])
     large = large.select("component", "cls", "keys", F.explode(some).alias("tree")).select("tree", "component", key, "cls")
     in_blocks = large.repartitionByRange(parts, "tree", "component", "key", "cls").sortWithinPartitions("tree", "component", "key", "cls").mapInArrow(_blocks(block), "cls binary, block binary")
     placed = in_blocks.unionByName(sized.where(F.col("size") <= block).select("cls", F.col("component").alias("block")))
-    wanted = placed.groupBy("cls").agg(F.collect_list("block").alias("blocks")).join(classes.select("cls", F.col("least").alias("of_doc")), "cls")
-    texts = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("of_doc"))).select("blocks", "cls", "text")
-    sets = cut(texts.mapInArrow(_packed(k), "blocks array<binary>, cls binary, packed binary"))
+    wanted = placed.groupBy("cls").agg(F.collect_list("block").alias("blocks"))
+    # Copies are combined before the shuffle, so that a class costs each task that reads some of it one set.
+    whole = docs.select("text").mapInArrow(_packed(k), "cls binary, packed binary").groupBy("cls").agg(F.first("packed").alias("packed"))
+    sets = cut(whole.join(wanted, "cls"))
     spread = sets.select(F.explode("blocks").alias("block"), "cls", "packed").repartition(parts, "block").sortWithinPartitions("block")
-    found = cut(connected_components(spread.mapInArrow(_confirm(percent), "a binary, b binary")))
-    tidy(spark)
+    found = connected_components(spread.mapInArrow(_confirm(percent), "a binary, b binary"))
     more = _rest(sized, found, sets, block, percent, parts)
+    drop(sized, sets)
     if more is not None:
-        tidy(spark)
         joined = connected_components(more).select(F.col("node").alias("part"), "component")
         every = found.select("node", F.col("component").alias("part")).unionByName(joined.select(F.col("part").alias("node"), "part")).distinct()
         found = every.join(joined, "part", "left").select("node", F.coalesce("component", "part").alias("component")).distinct()
-    named = found.join(classes.select(F.col("cls").alias("node"), "least"), "node")
-    names = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    grouped = named.join(names, "component").select(F.col("node").alias("cls"), "component_id")
-    known = classes.select("cls", "least").join(grouped, "cls", "left").select(F.col("cls").alias("c"), F.coalesce("component_id", "least").alias("component_id"))
-    result = signed.select("doc_id", "n_shingles", "cls").join(known, F.col("cls") == F.col("c"), "left")
+    linked_to = found.select(F.col("node").alias("cls"), "component")
+    named = cut(classes.select("cls", "least", "copies").join(linked_to, "cls", "left").withColumn("component", F.coalesce("component", "cls")))
+    names = cut(named.groupBy("component").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("size")))
+    known = cut(by_key(named, names, "component", "size", named.count(), "inner").select("cls", "copies", "component_id"))
+    result = by_key(signed.select("doc_id", "n_shingles", "cls"), known, "cls", "copies", signed.count())
     component = F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    drop(classes, named, names)
     return result.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 

@@ -140,11 +140,13 @@ def test_near_duplicates_of_nothing(spark):
     assert [r.component_id for r in neardup.near_duplicates(docs(spark, [(4, None, None)])).collect()] == [4]
 
 
-def test_components_of_chains_and_stars(spark):
+@pytest.mark.parametrize("last", [1 << 18, 40, 0])
+def test_components_of_chains_and_stars(spark, last):
     chain = list(range(301))
     random.Random(8).shuffle(chain)
     edges = list(zip(chain, chain[1:], strict=False)) + [(1000, 1000 + i) for i in range(1, 200)] + [(5000, 5001), (5001, 5000), (7, 7)]
-    got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+    got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a bigint, b bigint"), last).collect()}
+    assert connected_components(spark.createDataFrame([(3, 3)], "a bigint, b bigint"), last).count() == 0
     assert all(got[i] == 0 for i in range(301)) and all(got[1000 + i] == 1000 for i in range(200)) and got[5001] == 5000
 
 
