@@ -22,9 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructType
 
 from . import wordhash as wh
-from .common import new_path
+from .common import cut
 
 WINDOW, K = 100, 32
 #: Consecutive K-grams in a window.
@@ -33,7 +34,6 @@ GRAMS = WINDOW - K + 1
 SHARD = 1 << 19
 #: Rows of an anchor up to which it is merged in one task.
 HOT_ROWS = 4096
-TEXT_BITS = 18
 NO_ID = np.iinfo(np.int64).min
 
 
@@ -126,15 +126,6 @@ def _run_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
         return wh.mixed((sums[end] - sums[start]) * _inverse_powers(len(sums))[start])
 
 
-def text_tags(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """A few bits that tell rows apart that share a doc_id."""
-    tags = np.zeros(len(offsets) - 1, np.int64)
-    full = np.flatnonzero(np.diff(offsets))
-    if len(full):
-        tags[full] = (wh.hash_spans(data, offsets[full], offsets[full + 1]) >> np.uint64(64 - TEXT_BITS)).astype(np.int64)
-    return tags
-
-
 def _ids(column: pa.Array) -> np.ndarray:
     return column.cast(pa.int64()).fill_null(NO_ID).to_numpy(zero_copy_only=False)
 
@@ -157,7 +148,8 @@ def _lists(values: np.ndarray, counts: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32()), pa.array(values.astype(np.int32)))
 
 
-_OUT = pa.schema([("h", pa.int64()), ("span", pa.int64()), ("doc_id", pa.int64()), ("pack", pa.int64()), ("spans", pa.list_(pa.int32()))])
+#: A row's text is told by doc_id and ``tag``; ``pack`` holds where its windows start, above 8 bits for how many they are.
+_OUT = pa.schema([("h", pa.int64()), ("span", pa.int64()), ("doc_id", pa.int64()), ("tag", pa.int64()), ("pack", pa.int64()), ("spans", pa.list_(pa.int32()))])
 
 
 def _settle(data: np.ndarray, offsets: np.ndarray, base: np.ndarray, ids: np.ndarray, tags: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -188,8 +180,9 @@ def _settle(data: np.ndarray, offsets: np.ndarray, base: np.ndarray, ids: np.nda
         shift = base[owner] - offsets[owner]
         bounds = np.stack([at[a] + shift, at[b] + shift + WINDOW], 1).ravel()
         owners, counts = np.unique(owner, return_counts=True)
-        loose = wh.mixed((ids[owners] ^ (base[owners] << 20) ^ (tags[owners] << 44)).astype(np.uint64)).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(loose), pa.array(np.zeros(len(owners), np.int64)), _back(ids[owners]), pa.array(tags[owners]), _lists(bounds, 2 * counts)], schema=_OUT)
+        loose = wh.mixed((ids[owners] ^ (base[owners] << 20) ^ tags[owners]).astype(np.uint64)).astype(np.int64)
+        zeros = pa.array(np.zeros(len(owners), np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array(loose), zeros, _back(ids[owners]), pa.array(tags[owners]), zeros, _lists(bounds, 2 * counts)], schema=_OUT)
 
     sums = _sums(data)
     grams = _run_hash(sums, np.arange(n - K + 1), np.arange(K, n + 1))
@@ -208,15 +201,15 @@ def _settle(data: np.ndarray, offsets: np.ndarray, base: np.ndarray, ids: np.nda
     count, offset = e - s + 1, anchor - s
     with np.errstate(over="ignore"):
         span = wh.mixed(_run_hash(sums, s, e + WINDOW) ^ wh.mixed((offset * 128 + count).astype(np.uint64)))
-    pack = (base[owner] + s - offsets[owner]) << 32 | count << 25 | offset << 18 | tags[owner]
-    yield pa.RecordBatch.from_arrays([pa.array(grams[anchor].view(np.int64)), pa.array(span.view(np.int64)), _back(ids[owner]), pa.array(pack), pa.nulls(len(s), pa.list_(pa.int32()))], schema=_OUT)
+    pack = (base[owner] + s - offsets[owner]) << 8 | count
+    yield pa.RecordBatch.from_arrays([pa.array(grams[anchor].view(np.int64)), pa.array(span.view(np.int64)), _back(ids[owner]), pa.array(tags[owner]), pa.array(pack), pa.nulls(len(s), pa.list_(pa.int32()))], schema=_OUT)
 
 
 def _in_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        all_ids = _ids(batch.column(0))
-        for first, end, data, offsets in wh.slices(batch.column(1), SHARD):
-            ids, tags = all_ids[first:end], text_tags(data, offsets)
+        all_ids, all_tags = _ids(batch.column(0)), batch.column(1).to_numpy()
+        for first, end, data, offsets in wh.slices(batch.column(2), SHARD):
+            ids, tags = all_ids[first:end], all_tags[first:end]
             if end - first == 1 and len(data) > SHARD:
                 for low in range(0, len(data) - WINDOW + 1, SHARD):
                     part = data[low : low + SHARD + WINDOW - 1]
@@ -228,52 +221,49 @@ def _in_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes of the wanted windows of each text."""
     for batch in batches:
-        ids, wanted = _ids(batch.column(0)), batch.column(2)
+        ids, tags, wanted = _ids(batch.column(0)), batch.column(1).to_numpy(), batch.column(3)
         counts = wanted.value_lengths().to_numpy(zero_copy_only=False)
         from_row = np.concatenate(([0], np.cumsum(counts)))
         flat = wanted.flatten()
         anchors, packs = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(2))
-        for first, end, data, offsets in wh.slices(batch.column(1), 4 * SHARD):
-            tags = text_tags(data, offsets)
+        for first, end, data, offsets in wh.slices(batch.column(2), 4 * SHARD):
             row = np.repeat(np.arange(end - first), counts[first:end])
             take = slice(from_row[first], from_row[end])
             h, pack = anchors[take], packs[take]
-            fit = (pack & ((1 << TEXT_BITS) - 1)) == tags[row]
-            row, h, pack = row[fit], h[fit], pack[fit]
-            start = (pack >> 32) + offsets[row]
-            stop = start + (pack >> 25 & 127) + WINDOW - 1
+            start = (pack >> 8) + offsets[row]
+            stop = start + (pack & 255) + WINDOW - 1
             raw = data.tobytes()
             for low in range(0, len(row), 10_000):
                 part = slice(low, low + 10_000)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(h[part]), _back(ids[first + row[part]]), pa.array(pack[part]), pa.array([raw[a:b] for a, b in zip(start[part], stop[part], strict=True)], pa.binary())], ["h", "doc_id", "pack", "around"]
+                    [pa.array(h[part]), _back(ids[first + row[part]]), pa.array(tags[first + row[part]]), pa.array(pack[part]), pa.array([raw[a:b] for a, b in zip(start[part], stop[part], strict=True)], pa.binary())],
+                    ["h", "doc_id", "tag", "pack", "around"],
                 )
 
 
 _MERGED = pa.schema([("doc_id", pa.int64()), ("tag", pa.int64()), ("key", pa.int64()), ("start", pa.int64()), ("spans", pa.list_(pa.int32()))])
 
 
-def _windows(h: np.ndarray, ids: np.ndarray, pack: np.ndarray, around: list[bytes]) -> tuple[np.ndarray, ...]:
+def _windows(h: np.ndarray, pack: np.ndarray, around: list[bytes]) -> tuple[np.ndarray, ...]:
     """For each window of the rows: its row, a key equal for equal windows of an anchor, and its start in the text."""
-    count = pack >> 25 & 127
+    count = pack & 255
     row = np.repeat(np.arange(len(pack)), count)
     nth = np.arange(len(row)) - np.repeat(np.concatenate(([0], np.cumsum(count)[:-1])), count)
     begin = np.concatenate(([0], np.cumsum(count + WINDOW - 1)[:-1]))
     at = begin[row] + nth
     key = _run_hash(_sums(np.frombuffer(b"".join(around), np.uint8)), at, at + WINDOW)
-    return row, wh.mixed(key ^ h[row].view(np.uint64)), (pack >> 32)[row] + nth
+    return row, wh.mixed(key ^ h[row].view(np.uint64)), (pack >> 8)[row] + nth
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by anchor. Yields repeated spans, or for a crowded anchor its windows, whose keys are merged later."""
-    tag_mask = (1 << TEXT_BITS) - 1
 
-    def crowded(h, ids, pack, around):
-        row, key, start = _windows(h, ids, pack, around)
-        yield pa.RecordBatch.from_arrays([_back(ids[row]), pa.array(pack[row] & tag_mask), pa.array(key.view(np.int64)), pa.array(start), pa.nulls(len(row), pa.list_(pa.int32()))], schema=_MERGED)
+    def crowded(h, ids, tags, pack, around):
+        row, key, start = _windows(h, pack, around)
+        yield pa.RecordBatch.from_arrays([_back(ids[row]), pa.array(tags[row]), pa.array(key.view(np.int64)), pa.array(start), pa.nulls(len(row), pa.list_(pa.int32()))], schema=_MERGED)
 
-    def settled(h, ids, pack, around):
-        row, key, start = _windows(h, ids, pack, around)
+    def settled(h, ids, tags, pack, around):
+        row, key, start = _windows(h, pack, around)
         order = np.lexsort((start, ids[row], key))
         lead = order[np.concatenate(([True], key[order][1:] != key[order][:-1]))]
         found = lead[np.searchsorted(key[lead], key)]
@@ -284,29 +274,29 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             owner = row[at[a]]
             bounds = np.stack([start[at[a]], start[at[b]] + WINDOW], 1)
             none = pa.nulls(len(a), pa.int64())
-            yield pa.RecordBatch.from_arrays([_back(ids[owner]), pa.array(pack[owner] & tag_mask), none, none, _lists(bounds.ravel(), np.full(len(a), 2))], schema=_MERGED)
+            yield pa.RecordBatch.from_arrays([_back(ids[owner]), pa.array(tags[owner]), none, none, _lists(bounds.ravel(), np.full(len(a), 2))], schema=_MERGED)
 
     def flush(kept):
         if not kept:
             return
-        h, ids, pack = (np.concatenate([k[i] for k in kept]) for i in range(3))
-        yield from settled(h, ids, pack, [x for k in kept for x in k[3]])
+        h, ids, tags, pack = (np.concatenate([k[i] for k in kept]) for i in range(4))
+        yield from settled(h, ids, tags, pack, [x for k in kept for x in k[4]])
 
     kept: list[tuple] = []  # whole anchors, and at the end those of the present one
     overfull = None  # an anchor of which rows have gone the other way already
     for batch in batches:
-        h, ids, pack = batch.column(0).to_numpy(), _ids(batch.column(1)), batch.column(2).to_numpy()
-        around = batch.column(3).to_pylist()
+        h, ids, tags, pack = batch.column(0).to_numpy(), _ids(batch.column(1)), batch.column(2).to_numpy(), batch.column(3).to_numpy()
+        around = batch.column(4).to_pylist()
         change = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
         for a, b in zip(change, np.append(change[1:], len(h)), strict=True):
-            part = (h[a:b], ids[a:b], pack[a:b], around[a:b])
+            part = (h[a:b], ids[a:b], tags[a:b], pack[a:b], around[a:b])
             if overfull is not None and h[a] == overfull:
                 yield from crowded(*part)
                 continue
             overfull = None
             if kept and kept[-1][0][0] == h[a]:
                 last = kept.pop()
-                part = (*(np.concatenate((last[i], part[i])) for i in range(3)), last[3] + part[3])
+                part = (*(np.concatenate((last[i], part[i])) for i in range(4)), last[4] + part[4])
             elif sum(len(k[0]) for k in kept) > HOT_ROWS:
                 yield from flush(kept)
                 kept = []
@@ -332,16 +322,16 @@ def _at_borders(text: bytes, spans: list[int]) -> list[int]:
     return out
 
 
-def _strip(carry: list[str], whole_chars: bool):
+def _strip(carry: bool, whole_chars: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = batch.column(2).to_pylist()
             for first, end, data, offsets in wh.slices(batch.column(1), 4 * SHARD):
-                tags, raw = text_tags(data, offsets), data.tobytes()
+                raw = data.tobytes()
                 spans, kept = [], []
                 for i in range(end - first):
                     text = raw[offsets[i] : offsets[i + 1]]
-                    pairs = sorted((a, b) for x in found[first + i] or () if x["tag"] == tags[i] for a, b in zip(x["spans"][::2], x["spans"][1::2], strict=True))
+                    pairs = sorted((a, b) for x in found[first + i] or () for a, b in zip(x[::2], x[1::2], strict=True))
                     own: list[int] = []
                     for a, b in pairs:
                         if own and a <= own[-1]:
@@ -352,8 +342,9 @@ def _strip(carry: list[str], whole_chars: bool):
                     spans.append(own)
                     edges = [0, *own, len(text)]
                     kept.append(b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)))
-                part = [batch.column(j).slice(first, end - first) for j in (0, *range(3, 3 + len(carry)))]
-                yield pa.RecordBatch.from_arrays([part[0], pa.array(np.diff(offsets)), pa.array(spans, pa.list_(pa.int32())), pa.array(kept, pa.binary()), *part[1:]], ["doc_id", "n_bytes", "removed", "kept", *carry])
+                part = [batch.column(j).slice(first, end - first) for j in ((0, 3) if carry else (0,))]
+                names = ["doc_id", "n_bytes", "removed", "kept", *(["carried"] if carry else [])]
+                yield pa.RecordBatch.from_arrays([part[0], pa.array(np.diff(offsets)), pa.array(spans, pa.list_(pa.int32())), pa.array(kept, pa.binary()), *part[1:]], names)
 
     return run
 
@@ -363,45 +354,46 @@ def strip_repeats(documents: DataFrame, carry: list[str] | None = None, whole_ch
 
     ``removed`` lists start and end of the maximal runs of bytes that lie in a 100-byte string which also starts earlier
     (in a smaller doc_id, or further up in the same text); ``kept`` holds the other bytes. Null texts are empty; texts
-    of under 100 bytes are never touched. A null doc_id counts as the least. Rows that share a doc_id are no earlier
-    than each other where they start at the same place. Other columns are ignored. With ``whole_chars`` the runs are widened
-    so that no character is cut.
+    of under 100 bytes are never touched; a long one is dealt over several shards. A null doc_id counts as the least.
+    Rows that share a doc_id are judged each by its own text, by 64 bits of its hash, and are no earlier than each other
+    where they start at the same place; so equal rows are all kept or cut alike. An empty table gives no rows. Columns
+    not in ``carry`` are ignored; those in it may not be called doc_id, n_bytes, removed or kept. With ``whole_chars``
+    the runs are widened so that no character is cut.
     """
     spark = documents.sparkSession
     carry = carry or []
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = docs.mapInArrow(_in_shards, "h bigint, span bigint, doc_id bigint, pack bigint, spans array<int>").repartition(parts, "h")
-    order = (F.col("span"), F.col("doc_id"), F.col("pack"))
-    of_anchor = W.partitionBy("h").orderBy(*order).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    tag = F.xxhash64(F.coalesce("text", F.lit(""))).alias("tag")
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), tag, "text")
+    rows = docs.mapInArrow(_in_shards, "h bigint, span bigint, doc_id bigint, tag bigint, pack bigint, spans array<int>").repartition(parts, "h")
+    start, count = F.shiftright("pack", 8), F.col("pack").bitwiseAND(F.lit(255))
+    of_anchor = W.partitionBy("h").orderBy("span", "doc_id", "pack").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     alike = W.partitionBy("h", "span").orderBy("doc_id", "pack").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    earliest = F.first(F.struct("doc_id", F.shiftright("pack", 32).alias("start"))).over(alike)
     judged = (
         rows.withColumn("differ", F.first("span").over(of_anchor) != F.last("span").over(of_anchor))
-        .withColumn("lead", earliest)
-        .withColumn("repeats", F.col("spans").isNull() & ~(F.col("doc_id").eqNullSafe(F.col("lead.doc_id")) & (F.shiftright("pack", 32) == F.col("lead.start"))))
+        .withColumn("lead", F.first(F.struct("doc_id", start.alias("start"))).over(alike))
+        .withColumn("repeats", F.col("spans").isNull() & ~(F.col("doc_id").eqNullSafe(F.col("lead.doc_id")) & (start == F.col("lead.start"))))
         .where("spans IS NOT NULL OR repeats OR differ")
     )
-    path = new_path(spark, "repeats")
-    judged.select("h", "doc_id", "pack", "repeats", "spans").write.parquet(path)
-    table = spark.read.parquet(path)
-    tag = F.col("pack").bitwiseAND(F.lit((1 << TEXT_BITS) - 1))
-    start = F.shiftright("pack", 32)
-    count = F.shiftright("pack", 25).bitwiseAND(F.lit(127))
-    alone = table.where("spans IS NOT NULL OR repeats").select("doc_id", tag.alias("tag"), F.coalesce("spans", F.array(start.cast("int"), (start + count + (WINDOW - 1)).cast("int"))).alias("spans"))
-    open_rows = table.where("spans IS NULL AND NOT repeats").groupBy(F.col("doc_id").alias("of_doc")).agg(F.collect_list(F.struct("h", "pack")).alias("wanted"))
-    around = docs.join(open_rows, F.col("doc_id").eqNullSafe(F.col("of_doc"))).select("doc_id", "text", "wanted").mapInArrow(_contexts, "h bigint, doc_id bigint, pack bigint, around binary")
+    table = cut(judged.select("h", "doc_id", "tag", "pack", "repeats", "spans"))
+    own = [F.col("doc_id").alias("of_doc"), F.col("tag").alias("of_tag")]
+    same = F.col("doc_id").eqNullSafe(F.col("of_doc")) & (F.col("tag") == F.col("of_tag"))
+    alone = table.where("spans IS NOT NULL OR repeats").select("doc_id", "tag", F.coalesce("spans", F.array(start.cast("int"), (start + count + (WINDOW - 1)).cast("int"))).alias("spans"))
+    open_rows = table.where("spans IS NULL AND NOT repeats").groupBy(*own).agg(F.collect_set(F.struct("h", "pack")).alias("wanted"))
+    around = docs.join(open_rows, same).select("doc_id", "tag", "text", "wanted").mapInArrow(_contexts, "h bigint, doc_id bigint, tag bigint, pack bigint, around binary")
     merged = around.repartition(parts, "h").sortWithinPartitions("h").mapInArrow(_merge, "doc_id bigint, tag bigint, key bigint, start bigint, spans array<int>")
-    by_key = W.partitionBy("key").orderBy("doc_id", "start").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    by_window = W.partitionBy("key").orderBy("doc_id", "start").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     one_by_one = (
         merged.where("spans IS NULL")
-        .withColumn("lead", F.first(F.struct("doc_id", "start")).over(by_key))
+        .withColumn("lead", F.first(F.struct("doc_id", "start")).over(by_window))
         .where(~(F.col("doc_id").eqNullSafe(F.col("lead.doc_id")) & (F.col("start") == F.col("lead.start"))))
         .select("doc_id", "tag", F.array(F.col("start").cast("int"), (F.col("start") + WINDOW).cast("int")).alias("spans"))
     )
     spans = alone.unionByName(merged.where("spans IS NOT NULL").select("doc_id", "tag", "spans")).unionByName(one_by_one)
-    per_doc = spans.groupBy(F.col("doc_id").alias("of_doc")).agg(F.collect_list(F.struct("tag", "spans")).alias("found"))
-    whole = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *carry)
-    joined = whole.join(per_doc, F.col("doc_id").eqNullSafe(F.col("of_doc")), "left").select("doc_id", "text", "found", *carry)
-    kinds = "".join(f", `{c}` {documents.schema[c].dataType.simpleString()}" for c in carry)
-    return joined.mapInArrow(_strip(carry, whole_chars), "doc_id bigint, n_bytes bigint, removed array<int>, kept binary" + kinds)
+    per_doc = spans.groupBy(*own).agg(F.collect_set("spans").alias("found"))
+    carried = [F.struct(*[F.col(f"`{c}`") for c in carry]).alias("carried")] if carry else []
+    whole = documents.select(F.col("doc_id").cast("long").alias("doc_id"), tag, "text", *carried)
+    joined = whole.join(per_doc, same, "left").select("doc_id", "text", "found", *(["carried"] if carry else []))
+    kinds = StructType().add("doc_id", LongType()).add("n_bytes", LongType()).add("removed", ArrayType(IntegerType())).add("kept", BinaryType())
+    stripped = joined.mapInArrow(_strip(bool(carry), whole_chars), kinds.add(joined.schema["carried"]) if carry else kinds)
+    return stripped.select("doc_id", "n_bytes", "removed", "kept", *(["carried.*"] if carry else []))
