@@ -1,10 +1,14 @@
 """Nearest neighbours by vantage-point trees, one for each shard of the vectors.
 
-Vectors are dealt to shards by a hash of their id. In each shard a tree is built on the unit vectors: a node holds a
-vantage point and the median distance to it, and parts the rest into inside and outside. All queries, in blocks, walk
-the tree of each shard together. With the distance of the k-th best so far a branch is skipped if the triangle
-inequality, relaxed by ``factor``, rules it out; factor 1 is exact, smaller factors prune more. The shards' best are
-merged in a window by score.
+1. Equal vectors form one class, which keeps the few least ids that an answer can name.
+2. Classes are dealt to the nearest of up to ``PIVOTS`` pivots; a pivot with many is dealt on into shards of a bounded
+   size. In each shard a tree is built on the unit vectors: a node holds a vantage point and the median distance to it,
+   and parts the rest into inside and outside.
+3. All queries of a pivot, in blocks, walk the trees of its shards together. What they find there bounds the distance
+   that still matters. With it they go on to the shards of those pivots that the triangle inequality doesn't rule out
+   by the radius; in a tree a branch is skipped on the same ground. Both bounds are relaxed by ``factor``: 1 is exact,
+   smaller factors prune more.
+4. The shards' best are merged by class, and joined with the class's queries.
 """
 
 from __future__ import annotations
@@ -17,9 +21,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import by_key, cut, drop
+
 LEAF = 256
-#: Rows of a shard, at most about; a shard's tree is held in one task.
+#: Classes of a shard, at most about; a shard's tree is held in one task.
 SHARD_ROWS = 4_096
+#: Pivots, at most. They go to every task, so a pivot's classes are what grows with the input, not the pivots.
+PIVOTS = 4_096
 #: Queries that walk a tree together.
 BLOCK_QUERIES = 512
 #: Slack for rounding where distances are compared with bounds.
@@ -27,7 +35,12 @@ SLACK = 1e-7
 
 
 def cosines(query: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Cosines in double precision of one query with each row, summed from the first component on."""
+    """Cosines in double precision of one query with each row, summed from the first component on.
+
+    Powers of two are taken out first, which changes no digit, but keeps squares finite.
+    """
+    query = np.ldexp(query, -np.frexp(np.abs(query).max())[1])
+    rows = np.ldexp(rows, -np.frexp(np.abs(rows).max(1))[1][:, None]) if len(rows) else rows
     dot, a, b = np.zeros(len(rows)), np.zeros(len(rows)), 0.0
     for j in range(rows.shape[1]):
         dot = dot + query[j] * rows[:, j]
@@ -63,16 +76,19 @@ def build(units: np.ndarray) -> list[tuple]:
     return nodes
 
 
-def search(units: np.ndarray, ids: np.ndarray, nodes: list[tuple], queries: np.ndarray, query_ids: np.ndarray, k: int, factor: float) -> list[np.ndarray]:
-    """For each query (unit rows) the rows that may be among its k nearest: the k best and those within rounding of them."""
+def search(units: np.ndarray, nodes: list[tuple], queries: np.ndarray, k: int, factor: float, bounds: np.ndarray | None = None) -> list[np.ndarray]:
+    """For each query (unit rows) the rows that may be among its k nearest: the k best and those within rounding of them.
+
+    Rows further than ``bounds`` don't matter.
+    """
     best = np.full((len(queries), k), np.inf)
+    if bounds is not None:
+        best[:] = bounds[:, None]
     kept: list[list] = [[] for _ in queries]
 
     def visit(rows: np.ndarray, active: np.ndarray) -> None:
         distance = np.sqrt(np.maximum(0, 2 - 2 * queries[active] @ units[rows].T))
-        distance[query_ids[active][:, None] == ids[rows][None, :]] = np.inf
-        bound = best[active, -1] + SLACK
-        near = (distance <= bound[:, None]) & np.isfinite(distance)  # the query itself is no neighbour
+        near = distance <= best[active, -1][:, None] + SLACK
         for i in np.flatnonzero(near.any(1)):
             q, mine = active[i], np.flatnonzero(near[i])
             merged = np.sort(np.concatenate((best[q], distance[i, mine])))[:k]
@@ -107,12 +123,78 @@ def search(units: np.ndarray, ids: np.ndarray, nodes: list[tuple], queries: np.n
     return out
 
 
+def _units(rows: np.ndarray) -> np.ndarray:
+    scaled = rows / np.abs(rows).max(1, keepdims=True)  # squares of very large or small components stay finite
+    return scaled / np.sqrt((scaled * scaled).sum(1))[:, None]
+
+
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), width)
 
 
+class Cells:
+    """Pivots by the length of their vectors. Vectors of a length without pivot are one cell, numbered by it below 0."""
+
+    def __init__(self, pivots: list[list[float]]):
+        self.of: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for width in {len(p) for p in pivots}:
+            numbers = [i for i, p in enumerate(pivots) if len(p) == width]
+            self.of[width] = np.array(numbers), _units(np.array([pivots[i] for i in numbers], float))
+
+    def distances(self, units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the cells of this length, and the distance of each row to each of them."""
+        numbers, pivots = self.of.get(units.shape[1], (np.array([-units.shape[1]]), None))
+        return numbers, np.zeros((len(units), 1)) if pivots is None else np.sqrt(np.maximum(0, 2 - 2 * units @ pivots.T))
+
+
+def _by_width(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of each length and their vectors, a few thousand at a time."""
+    widths = column.value_lengths().to_numpy(zero_copy_only=False)
+    for width in np.unique(widths):
+        rows = np.flatnonzero(widths == width)
+        for low in range(0, len(rows), 2048):
+            part = rows[low : low + 2048]
+            yield part, _matrix(column.take(pa.array(part)), int(width))
+
+
+def _dealt(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, vectors in _by_width(batch.column(2)):
+                numbers, distance = shared.value.distances(_units(vectors))
+                nearest = distance.argmin(1)
+                part = batch.take(pa.array(rows))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(numbers[nearest].astype(np.int32)), pa.array(distance[np.arange(len(rows)), nearest])], [*batch.schema.names, "cell", "far"])
+
+    return run
+
+
+def _onward(shared, reach: dict[int, tuple[int, float]], factor: float):
+    """Queries (h1, h2, v, cell, bound), for each shard of another cell that may hold something nearer than the bound."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            home, bound = (batch.column(i).to_numpy(zero_copy_only=False) for i in (3, 4))
+            for rows, vectors in _by_width(batch.column(2)):
+                numbers, distance = shared.value.distances(_units(vectors))
+                radius = np.array([reach.get(int(c), (0, -np.inf))[1] for c in numbers])
+                open_cells = (distance - radius <= factor * bound[rows][:, None] + SLACK) & (numbers != home[rows][:, None])
+                row, cell = np.nonzero(open_cells)
+                for low in range(0, len(row), 4096):
+                    r, c = row[low : low + 4096], numbers[cell[low : low + 4096]]
+                    shards = np.array([reach[int(x)][0] for x in c])
+                    sub = np.arange(shards.sum()) - np.repeat(np.cumsum(shards) - shards, shards)
+                    part = batch.take(pa.array(np.repeat(rows[r], shards)))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(c, shards).astype(np.int32)), pa.array(sub.astype(np.int32)), *(part.column(i) for i in (0, 1, 2, 4))], ["cell", "sub", "h1", "h2", "v", "bound"])
+
+    return run
+
+
+_NEAR = pa.struct([("less", pa.float64()), ("vec_id", pa.int64()), ("own", pa.bool_())])
+
+
 def _searched(k: int, factor: float):
-    """Rows sorted by (shard, query or not): builds each shard's tree, then lets blocks of queries walk it."""
+    """Rows sorted by (cell, sub, asks): builds each shard's tree, then lets blocks of queries walk it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state: dict = {"shard": None, "parts": [], "tree": None, "pending": []}
@@ -122,67 +204,95 @@ def _searched(k: int, factor: float):
                 state["pending"] = []
                 return
             if state["tree"] is None:
-                ids, rows = (np.concatenate([p[i] for p in state["parts"]]) for i in range(2))
-                units = rows / np.sqrt((rows * rows).sum(1))[:, None]
-                state["tree"] = ids, rows, units, build(units)
-            ids, rows, units, nodes = state["tree"]
-            query_ids, queries = (np.concatenate([p[i] for p in state["pending"]]) for i in range(2))
+                keys, rows = (np.concatenate([p[i] for p in state["parts"]]) for i in range(2))
+                units = _units(rows)
+                state["tree"] = keys, rows, units, build(units), [x for p in state["parts"] for x in p[2]]
+            keys, rows, units, nodes, ids = state["tree"]
+            query_keys, queries, bounds = (np.concatenate([p[i] for p in state["pending"]]) for i in (0, 1, 3))
             state["pending"] = []
-            found = search(units, ids, nodes, queries / np.sqrt((queries * queries).sum(1))[:, None], query_ids, k, factor)
-            out: tuple[list, list, list] = ([], [], [])
-            for q, near in enumerate(found):
-                score = cosines(queries[q], rows[near])
-                order = np.lexsort((ids[near], -score))[:k]
-                for column, values in zip(out, (np.full(len(order), query_ids[q]), ids[near][order], score[order]), strict=True):
-                    column.append(values)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], ["query_id", "vec_id", "score"])
+            near, kth = [], np.full(len(queries), np.inf)
+            for q, found in enumerate(search(units, nodes, _units(queries), k, factor, bounds)):
+                score = cosines(queries[q], rows[found])
+                each = [(-float(s), i, bool((keys[f] == query_keys[q]).all())) for f, s in zip(found, score, strict=True) for i in ids[f]]
+                each = sorted(each)[:k]
+                near.append([dict(zip(("less", "vec_id", "own"), x, strict=True)) for x in each])
+                if len(each) == k:
+                    kth[q] = np.sqrt(max(0.0, 2 + 2 * each[-1][0]))
+            yield pa.RecordBatch.from_arrays([pa.array(query_keys[:, 0]), pa.array(query_keys[:, 1]), pa.array(near, pa.list_(_NEAR)), pa.array(kth)], ["h1", "h2", "near", "kth"])
 
         for batch in batches:
-            shard, asks = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
-            ids, vectors = batch.column(2).to_numpy(zero_copy_only=False), batch.column(3)
-            change = np.flatnonzero(np.concatenate(([True], (shard[1:] != shard[:-1]) | (asks[1:] != asks[:-1]))))
-            for a, b in zip(change, np.append(change[1:], len(ids)), strict=True):
-                if shard[a] != state["shard"]:
+            cell, sub, asks, h1, h2, bounds = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2, 3, 4, 7))
+            change = np.flatnonzero(np.concatenate(([True], (cell[1:] != cell[:-1]) | (sub[1:] != sub[:-1]) | (asks[1:] != asks[:-1]))))
+            for a, b in zip(change, np.append(change[1:], len(cell)), strict=True):
+                if (cell[a], sub[a]) != state["shard"]:
                     yield from flush()
-                    state.update(shard=shard[a], parts=[], tree=None)
-                part = vectors.slice(a, b - a)
-                part = (ids[a:b], _matrix(part, len(part[0])))
+                    state.update(shard=(cell[a], sub[a]), parts=[], tree=None)
+                vectors = batch.column(5).slice(a, b - a)
+                part = (np.stack([h1[a:b], h2[a:b]], 1), _matrix(vectors, len(vectors[0])))
                 if asks[a]:
                     for low in range(0, b - a, BLOCK_QUERIES):
-                        state["pending"].append((part[0][low : low + BLOCK_QUERIES], part[1][low : low + BLOCK_QUERIES]))
+                        some = slice(low, low + BLOCK_QUERIES)
+                        state["pending"].append((part[0][some], part[1][some], None, bounds[a:b][some]))
                         if sum(len(p[0]) for p in state["pending"]) >= BLOCK_QUERIES:
                             yield from flush()
                 else:
-                    state["parts"].append(part)
+                    state["parts"].append((*part, batch.column(6).slice(a, b - a).to_pylist()))
         yield from flush()
 
     return run
 
 
-def nearest(embeddings: DataFrame, is_query, k: int = 5, factor: float = 1.0, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def nearest(embeddings: DataFrame, is_query, k: int = 5, factor: float = 1.0, shard_rows: int = SHARD_ROWS, pivots: int = PIVOTS) -> DataFrame:
     """query_id, rank, vec_id, score: each query's ``k`` nearest other rows by cosine, ties to the smaller vec_id.
 
     ``embeddings`` holds (vec_id, embedding); ``is_query`` is a column that says which rows are queries. Rows whose id
-    or vector is null, and vectors that are zero or hold null or non-finite components take no part; vectors are only
-    compared with those of their own length. Rows that share an id are candidates each, but never for a query of that
-    id. Other columns are ignored.
+    or vector is null, and vectors that are empty, zero or hold null or non-finite components take no part; vectors are
+    only compared with those of their own length, however many lengths there are. A row is its id and its vector: equal
+    rows count once; rows that share an id, but not the vector, are others to each other, and each is a query of its
+    own. Other columns are ignored; an empty table, or one without queries, gives no rows. Vectors are told apart by
+    128 bits of hash.
     """
+    spark = embeddings.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     fine = F.coalesce(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0), F.lit(False))
     rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks")).where(fine & F.col("vec_id").isNotNull())
-    sizes = {r.d: r.n for r in rows.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n")).collect()}  # as many as vector lengths
-    found = None
-    for width, n in sizes.items():
-        shards = max(1, -(-n // shard_rows))
-        own = rows.where(F.size("v") == width)
-        held = own.select(F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int").alias("shard"), F.lit(False).alias("asks"), "vec_id", "v")
-        asked = own.where("asks").select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(True).alias("asks"), "vec_id", "v")
-        dealt = held.unionByName(asked).repartition(shards, "shard").sortWithinPartitions("shard", "asks")
-        part = dealt.mapInArrow(_searched(k, factor), "query_id bigint, vec_id bigint, score double")
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = rows.select(F.col("vec_id").alias("query_id"), "vec_id", F.lit(0.0).alias("score")).limit(0)
-    order = W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    rows = rows.select("vec_id", "asks", "v", F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(2), "v").alias("h2"))
+    key = ["h1", "h2"]
+    ids = cut(rows.groupBy(*key, "vec_id").agg(F.max("asks").alias("asks")))
+    place = F.row_number().over(W.partitionBy(*key).orderBy("vec_id"))
+    least = ids.withColumn("place", place).where(F.col("place") <= k + 1).groupBy(*key).agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
+    asked = ids.where("asks").groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
+    classes = cut(rows.groupBy(*key).agg(F.first("v").alias("v")).join(least, key).join(asked, key, "left"))
+    total = classes.count()
+    chosen = classes.orderBy("h2", "h1").limit(max(1, min(pivots, total // shard_rows))).select("v").collect()
+    shared = spark.sparkContext.broadcast(Cells([r.v for r in chosen]))
+    kinds = "h1 bigint, h2 bigint, v array<double>, ids array<bigint>, n bigint, cell int, far double"
+    table = cut(classes.mapInArrow(_dealt(shared), kinds))
+    counted = table.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("far")).collect()  # pivots, and lengths without any
+    reach = {r.cell: (-(-r.n // shard_rows), r.far) for r in counted}
+    shards = spark.createDataFrame([(c, n) for c, (n, _) in reach.items()], "cell int, shards int")
+    placed = table.join(F.broadcast(shards), "cell")
+    none = F.lit(None).cast("array<bigint>").alias("ids")
+    held = placed.select("cell", F.pmod("h1", "shards").cast("int").alias("sub"), F.lit(False).alias("asks"), *key, "v", "ids", F.lit(0.0).alias("bound"))
+    at_home = placed.where("n IS NOT NULL").select("cell", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("sub"), F.lit(True).alias("asks"), *key, "v", none, F.lit(float("inf")).alias("bound"))
+
+    def walked(asking: DataFrame) -> DataFrame:
+        dealt = held.unionByName(asking).repartition(parts, "cell", "sub").sortWithinPartitions("cell", "sub", "asks")
+        return dealt.mapInArrow(_searched(k + 1, factor), "h1 bigint, h2 bigint, near array<struct<less:double,vec_id:bigint,own:boolean>>, kth double")
+
+    first = cut(walked(at_home))
+    bounds = first.groupBy(*key).agg(F.min("kth").alias("bound"))
+    onward = table.where("n IS NOT NULL").join(bounds, key).select(*key, "v", "cell", "bound").mapInArrow(_onward(shared, reach, factor), "cell int, sub int, h1 bigint, h2 bigint, v array<double>, bound double")
+    second = walked(onward.select("cell", "sub", F.lit(True).alias("asks"), *key, "v", none, "bound"))
+    best = F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k + 1)
+    merged = first.select(*key, "near").unionByName(second.select(*key, "near")).groupBy(*key).agg(best.alias("near"))
+    one = F.struct(*key).alias("class")
+    found = cut(merged.join(table.where("n IS NOT NULL").select(*key, "n"), key).select(one, "near", "n"))
+    queries = ids.where("asks").select(one, F.col("vec_id").alias("query_id"))
+    joined = by_key(queries, found, "class", "n", ids.count(), "inner")
+    others = F.slice(F.filter("near", lambda x: ~(x["own"] & (x["vec_id"] == F.col("query_id")))), 1, k)
+    drop(classes, first)
+    return joined.select("query_id", F.posexplode(others).alias("at", "other")).select("query_id", (F.col("at") + 1).alias("rank"), "other.vec_id", (-F.col("other.less")).alias("score"))
 
 
 ORACLE = """
