@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import BROADCAST_ROWS, by_key, cut
+
 MAGIC = b"\x1f\x8b\x08"
 #: Payloads of fewer bytes are never replaced by a revisit.
 LEAST_REVISIT = 1000
@@ -54,8 +56,8 @@ def _record(page: dict) -> bytes:
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         lines, size = [], 0
-        for i in range(batch.num_rows):
-            lines.append(_member(_record({n: batch.column(j)[i].as_py() for j, n in enumerate(batch.schema.names)}))[:-1])
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            lines.append(_member(_record(dict(zip(batch.schema.names, row, strict=True))))[:-1])
             size += len(lines[-1])
             if size > BATCH_BYTES:
                 yield pa.RecordBatch.from_arrays([pa.array(lines, pa.binary())], ["line"])
@@ -68,16 +70,23 @@ def plan_records(pages: DataFrame) -> DataFrame:
     """What is written for each row of ``pages`` (page_id, url, html): payload, its size and digest, record type, refers_to.
 
     Of records with equal payloads of at least 1000 bytes the one of the largest page_id is the response; others refer
-    to it. The digests are aggregated before they meet the rows again, so that a payload with very many copies costs
-    each task one row.
+    to it. A null html is an empty payload, which like all small ones is a response. Rows that share the largest page_id
+    are all responses; a null page_id refers to the largest, if there is one. The digests alone are aggregated; payloads
+    meet them where they are, or beyond ``BROADCAST_ROWS`` repeated digests in a shuffle that hot ones take no part in.
+    Other columns are ignored, whatever their names; an empty table gives no rows.
     """
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("payload"), F.sha1(payload).alias("payload_digest"), F.octet_length(payload).cast("long").alias("payload_bytes"))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"), F.sha1(payload).alias("payload_digest"), F.octet_length(payload).cast("long").alias("payload_bytes"))
     large = rows.where(F.col("payload_bytes") >= LEAST_REVISIT)
-    last = large.groupBy(F.col("payload_digest").alias("d")).agg(F.max("page_id").alias("last_id"), F.count(F.lit(1)).alias("copies")).where("copies > 1").select("d", "last_id")
+    last = cut(large.groupBy("payload_digest").agg(F.max("page_id").alias("last_id"), F.count(F.lit(1)).alias("copies")).where("copies > 1"))
+    n_last = last.count()
+    if n_last <= BROADCAST_ROWS:
+        joined = rows.join(F.broadcast(last), "payload_digest", "left")
+    else:
+        joined = by_key(rows, last, "payload_digest", "copies", rows.count())
     repeated = (F.col("last_id") != F.col("page_id")) | (F.col("page_id").isNull() & F.col("last_id").isNotNull())
     revisit = F.coalesce(repeated & (F.col("payload_bytes") >= LEAST_REVISIT), F.lit(False))
-    return rows.join(last, F.col("payload_digest") == F.col("d"), "left").select(
+    return joined.select(
         "page_id", "url", "payload", "payload_digest", "payload_bytes", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("last_id")).alias("refers_to")
     )
 
@@ -127,12 +136,30 @@ def _unpack(data: bytes) -> bytes | None:
 _READ = pa.schema([("file", pa.string()), ("place", pa.int64()), ("nth", pa.int64()), ("loose", pa.binary()), ("fields", pa.map_(pa.string(), pa.string())), ("payload", pa.binary())])
 
 
-def _row(file, place, nth, loose=None, record=None):
-    fields = None if record is None else [(k, v) for k, v in record.items() if k != "payload"]
-    return pa.RecordBatch.from_pylist([{"file": file, "place": place, "nth": nth, "loose": loose, "fields": fields, "payload": None if record is None else record["payload"]}], schema=_READ)
+#: (file, place, nth, loose, fields, payload) of a record or a loose piece.
+Row = tuple[str, int, int, bytes | None, list[tuple[str, str]] | None, bytes | None]
+
+
+def _batched(rows: Iterator[Row]) -> Iterator[pa.RecordBatch]:
+    """Batches of up to 256 rows and about ``BATCH_BYTES``."""
+    some, size = [], 0
+    for row in rows:
+        some.append(row)
+        size += len(row[3] or b"") + len(row[5] or b"")
+        if len(some) == 256 or size >= BATCH_BYTES:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*some, strict=True), _READ, strict=True)], schema=_READ)
+            some, size = [], 0
+    if some:
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*some, strict=True), _READ, strict=True)], schema=_READ)
+
+
+def _row(file: str, place: int, nth: int, loose: bytes | None = None, record: dict | None = None) -> Row:
+    if record is None:
+        return file, place, nth, loose, None, None
+    return file, place, nth, None, [(k, v) for k, v in record.items() if k != "payload"], record["payload"]
 
 
-def _assemble(pieces: Iterator[tuple[str, int, bytes]]) -> Iterator[pa.RecordBatch]:
+def _assemble(pieces: Iterator[tuple[str, int, bytes]]) -> Iterator[Row]:
     """Records from pieces in the order of the file. Pieces before a range's first record, and a last record that isn't
     whole, come out loose, with their range and order."""
     where, nth, open_pieces = None, 0, None
@@ -164,31 +191,28 @@ def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield from zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True)
 
-    pending = []
-    for row in _assemble(pieces()):
-        pending.append(row)
-        if len(pending) >= 64:
-            yield from pa.Table.from_batches(pending).combine_chunks().to_batches()
-            pending = []
-    if pending:
-        yield from pa.Table.from_batches(pending).combine_chunks().to_batches()
+    yield from _batched(_assemble(pieces()))
 
 
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Loose pieces sorted by file, range and order: tails of records and what continues them in the next range."""
-    open_piece = None
-    for batch in batches:
-        for file, place, nth, loose in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-            if _starts_record(loose):
-                open_piece = [file, loose]
-            elif open_piece is not None and open_piece[0] == file:
-                open_piece[1] += loose
-            else:
-                continue
-            whole = _unpack(open_piece[1])
-            if whole is not None and (record := _parse(whole)) is not None:
-                yield _row(file, place, nth, record=record)
-                open_piece = None
+
+    def rows() -> Iterator[Row]:
+        open_piece = None
+        for batch in batches:
+            for file, place, nth, loose in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                if _starts_record(loose):
+                    open_piece = [file, loose]
+                elif open_piece is not None and open_piece[0] == file:
+                    open_piece[1] += loose
+                else:
+                    continue
+                whole = _unpack(open_piece[1])
+                if whole is not None and (record := _parse(whole)) is not None:
+                    yield _row(file, place, nth, record=record)
+                    open_piece = None
+
+    yield from _batched(rows())
 
 
 def _raw_options(spark: SparkSession) -> dict[str, str]:
@@ -212,12 +236,13 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """A row for each record under ``path``: fields (header names in lower case to values) and payload.
 
     Files of gzip members, one or more to a record, of any name and from any writer; what doesn't decode as a WARC
-    record is left out.
+    record is left out. Records are unpacked once, into a table in the shared folder; one that goes on in the next range
+    is put together from there. A record of any length is held whole by one task. Equal records are all returned.
     """
     text = spark.read.options(**_raw_options(spark)).option("lineSep", MAGIC.decode("latin-1")).option("encoding", "ISO-8859-1").text(path)
     raw = text.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("place"), F.col("value").cast("binary").alias("piece"))
     kinds = "file string, place bigint, nth bigint, loose binary, fields map<string,string>, payload binary"
-    read = raw.mapInArrow(_ranges, kinds)
+    read = cut(raw.mapInArrow(_ranges, kinds))
     loose = read.where("octet_length(loose) > 0").select("file", "place", "nth", "loose")
     again = loose.repartition("file").sortWithinPartitions("file", "place", "nth").mapInArrow(_joined, kinds)
     return read.where("loose IS NULL").unionByName(again).select("fields", "payload")
