@@ -13,6 +13,7 @@ from __future__ import annotations
 import html
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import cache
@@ -30,7 +31,9 @@ CLOSES_P = frozenset("address article aside blockquote center details dialog dir
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = frozenset("table ul ol dl html body article section div td th select".split())
 
-_MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?][^>]*>""", re.S)
+_TAG_NAME = re.compile(r"</?[a-zA-Z]")
+_NAME_END = re.compile(r"[\s/>]")
+_QUOTE_OR_END = re.compile("[>\"']")
 _NAMED = re.compile(r"""(?:^|\s)(?:id|class|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _TOKEN = re.compile(r"[a-z]+")
 _SENTENCE = re.compile(r"[.,;:!?。，](?:\s|$)")
@@ -48,13 +51,89 @@ class Node:
         self.logit = 0.0
 
 
+class _Finder:
+    """The next match of a pattern, searched once for all places before it."""
+
+    def __init__(self, pattern: re.Pattern, source: str):
+        self.pattern, self.source = pattern, source
+        self.after, self.found = 0, -1
+
+    def __call__(self, at: int) -> int:
+        """Where the next match starts, or the end of the source."""
+        if not self.after <= at <= self.found:
+            match = self.pattern.search(self.source, at)
+            self.after, self.found = at, match.start() if match else len(self.source)
+        return self.found
+
+
+class _Markup:
+    """Markup of a page, one piece after the other, in time linear in its length whatever is left open."""
+
+    def __init__(self, source: str):
+        self.source = source
+        self.last = source.rfind(">")
+        self.name_end, self.mark = _Finder(_NAME_END, source), _Finder(_QUOTE_OR_END, source)
+        self.open_quotes: set[int] = set()  # quotes from which no end of a tag can be reached
+        self.unclosed: set[str] = set()  # raw elements with no closing tag in what is left
+
+    def tag_end(self, at: int) -> int:
+        """The ``>`` that ends the tag whose attributes start at ``at``, quoted strings passed over; -1 if there is none."""
+        passed = []
+        while (at := self.mark(at)) < len(self.source) and at not in self.open_quotes:
+            if self.source[at] == ">":
+                return at
+            passed.append(at)
+            close = self.source.find(self.source[at], at + 1)
+            if close < 0:
+                break
+            at = close + 1
+        self.open_quotes.update(passed)
+        return -1
+
+    def next(self, at: int) -> tuple[int, int, str, str, str] | None:
+        """Start, end, kind, name and attributes of the next piece of markup; kinds are ``<``, ``/``, ``!`` and ``[``."""
+        source = self.source
+        while (at := source.find("<", at)) >= 0:
+            if source.startswith("<!--", at) or source.startswith("<![CDATA[", at):
+                kind, close = ("!", "-->") if source[at + 2] == "-" else ("[", "]]>")
+                end = source.find(close, at + (4 if kind == "!" else 9))
+                return (at, end + 3, kind, "", source[at + 9 : end]) if end >= 0 else (at, len(source), kind, "", source[at + 9 :])
+            if at < self.last:
+                if source[at + 1] in "!?":
+                    return at, source.index(">", at) + 1, "!", "", ""
+                if _TAG_NAME.match(source, at):
+                    closing = source[at + 1] == "/"
+                    name_end = self.name_end(at + 1 + closing)
+                    end = self.tag_end(name_end)
+                    if end >= 0:
+                        return at, end + 1, "/" if closing else "<", source[at + 1 + closing : name_end].lower(), source[name_end:end]
+            at += 1
+        return None
+
+    def raw_end(self, tag: str, at: int) -> int:
+        """Where the closing tag of a raw element ends; -1 if it has none."""
+        if tag not in self.unclosed:
+            close = re.compile(f"</{re.escape(tag)}\\b", re.I).search(self.source, at)
+            end = self.source.find(">", close.end()) if close else -1
+            if end >= 0:
+                return end + 1
+            self.unclosed.add(tag)
+        return -1
+
+
 def parse(source: str) -> tuple[list[Node], list[tuple[Node, str]]]:
-    """Block-level nodes in page order, and pieces of text with the node that holds each; a space parts blocks."""
+    """Block-level nodes in page order, and pieces of text with the node that holds each; a space parts blocks.
+
+    What looks like a tag but never ends is text. Scripts and styles that are never closed go on to the end of the page;
+    other raw elements that aren't are passed over as if they were closed at once.
+    """
     root = Node("", "", None)
     nodes, pieces = [root], []
     stack = [root]
+    is_open: Counter[str] = Counter()
     links, at = 0, 0
     length = len(source)
+    markup = _Markup(source)
 
     def text(raw: str) -> None:
         piece = html.unescape(raw) if "&" in raw else raw
@@ -68,23 +147,24 @@ def parse(source: str) -> tuple[list[Node], list[tuple[Node, str]]]:
         pieces.append((node, piece))
 
     def pop_to(index: int) -> None:
+        is_open.subtract(x.tag for x in stack[index:])
         del stack[index:]
         pieces.append((stack[-1], " "))
 
     while at < length:
-        found = _MARKUP.search(source, at)
+        found = markup.next(at)
         if not found:
             text(source[at:])
             break
-        if found.start() > at:
-            text(source[at : found.start()])
-        at = found.end()
-        name = found[2]
-        if name is None:
-            if found[0].startswith("<![CDATA["):
-                text(found[0][9:].removesuffix("]]>").replace("&", "&amp;"))
+        begin, end, kind, tag, attrs = found
+        if begin > at:
+            text(source[at:begin])
+        at = end
+        if kind in "![":
+            if kind == "[":
+                text(attrs.replace("&", "&amp;"))
             continue
-        tag, closing = name.lower(), found[1]
+        closing = kind == "/"
         if tag in INLINE:
             if tag == "a":
                 links = 0 if closing else 1
@@ -93,25 +173,26 @@ def parse(source: str) -> tuple[list[Node], list[tuple[Node, str]]]:
             pieces.append((stack[-1], " "))
             continue
         if closing:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    pop_to(i)
-                    links = 0
-                    break
+            if is_open[tag] > 0:
+                index = len(stack) - 1
+                while stack[index].tag != tag:
+                    index -= 1
+                pop_to(index)
+                links = 0
             continue
         if tag in RAW:
-            if not found[3].rstrip().endswith("/"):
-                end = re.compile("</" + tag + r"\b[^>]*>", re.I).search(source, at)
-                at = end.end() if end else length
+            if not attrs.rstrip().endswith("/"):
+                end = markup.raw_end(tag, at)
+                at = end if end >= 0 else length if tag in ("script", "style") else at
             continue
-        if tag in CLOSES_P:
+        if tag in CLOSES_P and is_open["p"] > 0:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == "p":
                     pop_to(i)
                     break
                 if stack[i].tag in SCOPE:
                     break
-        if tag in CLOSED_BY:
+        if tag in CLOSED_BY and any(is_open[x] > 0 for x in CLOSED_BY[tag]):
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag in CLOSED_BY[tag]:
                     pop_to(i)
@@ -121,12 +202,13 @@ def parse(source: str) -> tuple[list[Node], list[tuple[Node, str]]]:
         pieces.append((stack[-1], " "))
         if tag in VOID:
             continue
-        node = Node(tag, found[3], stack[-1])
+        node = Node(tag, attrs, stack[-1])
         node.first = at / length
         stack[-1].children.append(node)
         nodes.append(node)
-        if not found[3].endswith("/"):
+        if not attrs.endswith("/"):
             stack.append(node)
+            is_open[tag] += 1
     return nodes, pieces
 
 
@@ -437,23 +519,38 @@ def trained() -> Model:
     return model
 
 
-#: Pages handled together, so that memory doesn't follow the size of Arrow batches.
-PAGES = 64
+#: Pages handled together, and their characters at most unless one has more, so that memory doesn't follow Arrow batches.
+PAGES, PAGE_CHARS = 64, 4 << 20
+
+
+def _groups(sources: list[str | None]) -> Iterator[tuple[int, int]]:
+    first = size = 0
+    for i, source in enumerate(sources):
+        if i > first and (i - first == PAGES or size + len(source or "") > PAGE_CHARS):
+            yield first, i
+            first, size = i, 0
+        size += len(source or "")
+    if sources:
+        yield first, len(sources)
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """One row per row of ``pages`` (page_id, url, html): page_id, url, text, n_chars. Other columns are ignored.
+    """One row per row of ``pages`` (page_id, url, html): page_id, url, text, n_chars.
 
-    A null or empty html gives an empty text. Character references are decoded, white space in a block becomes one
-    space, and blocks are joined in page order by one space.
+    A null or empty html gives an empty text, and so does a page none of whose nodes counts as main text. Character
+    references are decoded, white space in a block becomes one space, and blocks are joined in page order by one space.
+    Each row is judged by itself: rows that share a page_id, or are null there, stay apart, and repeated pages give
+    repeated rows. A page of any length is read whole, in time linear in its length. Other columns are ignored,
+    whatever their names; an empty table gives no rows.
     """
     model = pages.sparkSession.sparkContext.broadcast(trained())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for low in range(0, batch.num_rows, PAGES):
-                part = batch.slice(low, PAGES)
-                texts = texts_of(part.column(2).to_pylist(), model.value)
+            sources = batch.column(2).to_pylist()
+            for low, high in _groups(sources):
+                part = batch.slice(low, high - low)
+                texts = texts_of(sources[low:high], model.value)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html")
