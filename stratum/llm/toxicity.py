@@ -20,13 +20,15 @@ from pyspark.sql import functions as F
 from . import wordhash as wh
 from .common import cut
 
-#: Labelled documents of each class that are fitted on, at most, and their length in characters; chosen by the hash of doc_id.
-SAMPLE_ROWS, SAMPLE_CHARS = 2_000, 20_000
+#: Labelled texts of each class that are fitted on, at most, and the characters they come to in all.
+SAMPLE_ROWS, SAMPLE_CHARS = 2_000, 6_000_000
 #: A toxic token follows at least so many different tokens in toxic documents, and is so many times as frequent there.
 CONTEXTS, TIMES = 3, 20.0
-#: Tokens of a chunk, and those before and after it from which its passes start; the chain has forgotten by then.
-CHUNK, MARGIN = 256, 32
-STEPS, L2 = 40, 1e-4
+#: Tokens of a row that are walked one after the other; longer rows are dealt into chunks of so many.
+CHUNK = 256
+STEPS = 40
+#: Ridge on the weights of a token itself, of the one before and of the one after: contexts are seen too seldom to be trusted as much.
+L2 = (1e-4, 0.1, 0.1)
 THRESHOLD = 0.7
 
 #: What separates tokens: ASCII other than letters and digits.
@@ -39,45 +41,110 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return starts, ends, wh.hash_spans(wh.LOWER[data], starts, ends), first
 
 
-def log_odds(scores: np.ndarray, first: np.ndarray, chain: np.ndarray) -> np.ndarray:
-    """Log odds of each token's toxic state. ``scores`` are the emissions' log odds; ``chain`` the log potentials of
-    (clean to clean, clean to toxic, toxic to clean, toxic to toxic, toxic at the start)."""
+def _states(steps: tuple[np.ndarray, ...], rows: np.ndarray, nth: np.ndarray, order: int) -> np.ndarray:
+    """The state (a pair) that enters each chunk, in the order of its row's chunks (``order`` 1) or against it (-1).
+
+    ``steps`` are the four entries of each chunk's matrix, (0,0), (0,1), (1,0) and (1,1). What enters a row's first
+    chunk doesn't matter, for its matrix forgets it.
+    """
+    state = np.ones((len(rows), 2))
+    by_turn = np.argsort(nth * order, kind="stable")
+    turn = (nth * order)[by_turn]
+    for low, high in zip(edges := np.flatnonzero(np.diff(turn, prepend=turn[0] - 1)), [*edges[1:], len(turn)], strict=True):
+        at = by_turn[low:high]
+        onward = at + order
+        fit = (onward >= 0) & (onward < len(rows))
+        at, onward = at[fit], onward[fit]
+        fit = rows[at] == rows[onward]
+        at, onward = at[fit], onward[fit]
+        x, y = state[at].T
+        after = np.stack([steps[0][at] * x + steps[1][at] * y, steps[2][at] * x + steps[3][at] * y], 1)
+        state[onward] = after / after.max(1, keepdims=True)
+    return state
+
+
+def passes(scores: np.ndarray, first: np.ndarray, chain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Toxic over clean, for each token: what the tokens up to it say, and what those after it say.
+
+    ``scores`` are the emissions' log odds; ``chain`` the log potentials of (clean to clean, clean to toxic, toxic to
+    clean, toxic to toxic, toxic at the start). Rows are dealt into chunks that are walked side by side; the product of
+    a chunk's 2 x 2 matrices carries the states over to the next one, so the passes are exact however long a row is.
+    """
     total = len(scores)
+    forward, backward = np.empty(total), np.empty(total)
     if not total:
-        return np.zeros(0)
+        return forward, backward
     counts = np.diff(first)
     chunks = -(-counts // CHUNK)
     row = np.repeat(np.arange(len(counts)), chunks)
     nth = np.arange(len(row)) - np.repeat(np.cumsum(chunks) - chunks, chunks)
-    begin = first[row] + nth * CHUNK
     low, high = first[row], first[row + 1]
+    begin = low + nth * CHUNK
+    end = np.minimum(begin + CHUNK, high)
     a, b, c, d, start = np.exp(chain)
     emit = np.exp(np.clip(scores, -30, 30))
+    many = np.flatnonzero(chunks[row] > 1)
+    state = {}
+    for order in (1, -1):
+        if not len(many):
+            state[order] = np.ones((len(row), 2))
+            continue
+        m = [np.ones(len(many)), np.zeros(len(many)), np.zeros(len(many)), np.ones(len(many))]
+        for t in range(CHUNK) if order == 1 else range(CHUNK - 1, -1, -1):
+            live = np.flatnonzero(begin[many] + t < end[many])
+            at, chunk = begin[many[live]] + t, many[live]
+            if order == 1:
+                e, edge = emit[at], at == low[chunk]
+                step = (np.where(edge, 1, a), np.where(edge, 0, c), e * np.where(edge, start, b), e * np.where(edge, 0, d))
+            else:
+                edge = at + 1 == high[chunk]
+                e = emit[np.minimum(at + 1, total - 1)]
+                step = (np.where(edge, 1, a), np.where(edge, 0, b * e), np.where(edge, 1, c), np.where(edge, 0, d * e))
+            w, x, y, z = (k[live] for k in m)
+            new = (step[0] * w + step[1] * y, step[0] * x + step[1] * z, step[2] * w + step[3] * y, step[2] * x + step[3] * z)
+            most = np.maximum.reduce(new)
+            for k, v in zip(m, new, strict=True):
+                k[live] = v / most
+        whole = [np.ones(len(row)) for _ in range(4)]
+        for k, v in zip(whole, m, strict=True):
+            k[many] = v
+        state[order] = _states(tuple(whole), row, nth, order)
     width = int(min(CHUNK, counts.max()))
-    forward, backward = np.empty(total), np.empty(total)
-    ratio = np.full(len(row), start)
-    for t in range(-MARGIN, width):
-        at = begin + t
-        live = np.flatnonzero((at >= low) & (at < high))
-        at, r = at[live], ratio[live]
-        r = emit[at] * np.where(at == low[live], start, (b + d * r) / (a + c * r))
-        ratio[live] = r
-        if t >= 0:
-            forward[at] = r
-    ratio = np.ones(len(row))
-    for t in range(width + MARGIN - 1, -1, -1):
-        at = begin + t
-        live = np.flatnonzero(at < high)
-        at = at[live]
-        after = np.minimum(at + 1, total - 1)
-        x = emit[after] * ratio[live]
-        q = np.where(at + 1 == high[live], 1.0, (c + d * x) / (a + b * x))
-        ratio[live] = q
-        if t < CHUNK:
-            backward[at] = q
+    ratio = state[1][:, 1] / state[1][:, 0]
+    for t in range(width):
+        live = np.flatnonzero(begin + t < end)
+        at, r = begin[live] + t, ratio[live]
+        forward[at] = ratio[live] = emit[at] * np.where(at == low[live], start, (b + d * r) / (a + c * r))
+    ratio = state[-1][:, 1] / state[-1][:, 0]
+    for t in range(width - 1, -1, -1):
+        live = np.flatnonzero(begin + t < end)
+        at = begin[live] + t
+        x = emit[np.minimum(at + 1, total - 1)] * ratio[live]
+        backward[at] = ratio[live] = np.where(at + 1 == high[live], 1.0, (c + d * x) / (a + b * x))
+    return forward, backward
+
+
+def log_odds(scores: np.ndarray, first: np.ndarray, chain: np.ndarray) -> np.ndarray:
+    """Log odds of each token's toxic state."""
+    forward, backward = passes(scores, first, chain)
     return np.log(forward) + np.log(backward)
 
 
+def expectations(scores: np.ndarray, first: np.ndarray, chain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each token's probability of being toxic, and how often each of the chain's potentials is expected to be used."""
+    forward, backward = passes(scores, first, chain)
+    odds = forward * backward
+    p = odds / (1 + odds)
+    lead = first[:-1][np.diff(first) > 0]
+    inner = np.ones(len(scores), bool)
+    inner[lead] = False
+    here = np.flatnonzero(inner)
+    a, b, c, d, _ = np.exp(chain)
+    before, after = forward[here - 1], np.exp(np.clip(scores[here], -30, 30)) * backward[here]
+    pairs = np.stack([np.full(len(here), a), b * after, c * before, d * before * after])
+    return p, np.append((pairs / pairs.sum(0)).sum(1), p[lead].sum())
+
+
 @dataclass
 class Tagger:
     """``vocabulary`` holds sorted token hashes; ``weights`` a row each for a token, the one before and the one after."""
@@ -153,15 +220,8 @@ def _label_tokens(hashes: np.ndarray, first: np.ndarray, toxic: np.ndarray) -> n
     return bad & np.isin(hashes, np.array(sorted(marked), np.uint64))
 
 
-def fit_texts(texts: list[str], toxic: np.ndarray, share: float) -> Tagger:
-    """Fit on texts and their labels; ``share`` is how many of all documents are toxic."""
-    column = pa.array(texts, pa.string())
-    parts = [(tokens(data, offsets)) for _, _, data, offsets in wh.slices(column, 1 << 40)]
-    if not parts or not toxic.any() or toxic.all() or not len(parts[0][2]):
-        share = min(max(share, 0.01), 0.99)
-        return Tagger(np.zeros(0, np.uint64), np.zeros((3, 1)), np.zeros(5), np.array([np.log(share / (1 - share)), 0.0, 0.0]))
-    _, _, hashes, first = parts[0]
-    label = _label_tokens(hashes, first, toxic).astype(float)
+def _fit_chain(hashes: np.ndarray, first: np.ndarray, label: np.ndarray) -> Tagger:
+    """Weights and chain of the labelled tokens, by adaptive gradient ascent on the conditional likelihood."""
     values, counts = np.unique(hashes, return_counts=True)
     vocabulary = values[counts > 1]
     me = Tagger(vocabulary, np.zeros((3, len(vocabulary) + 1)), np.array([0.0, -3.0, -1.0, 0.0, -3.0]), np.zeros(3))
@@ -169,28 +229,33 @@ def fit_texts(texts: list[str], toxic: np.ndarray, share: float) -> Tagger:
     size = len(vocabulary) + 1
     inner = np.ones(len(known), bool)
     inner[first[:-1][first[:-1] < len(known)]] = False
-    lead = ~inner
     here = np.flatnonzero(inner)
-    pair = lambda x, y: np.array([((1 - x) * (1 - y)).sum(), ((1 - x) * y).sum(), (x * (1 - y)).sum(), (x * y).sum()])
-    seen = pair(label[here - 1], label[here])
+    was, now = label[here - 1], label[here]
+    seen = np.array([((1 - was) * (1 - now)).sum(), ((1 - was) * now).sum(), (was * (1 - now)).sum(), (was * now).sum(), label[~inner].sum()])
     squares, chain_squares = np.zeros((3, size)), np.zeros(5)
-    for _ in range(STEPS):  # adaptive gradient ascent on the conditional likelihood
-        scores = me.emissions(known, first)
-        odds = log_odds(scores, first, me.chain)
-        p = 1 / (1 + np.exp(-odds))
+    for _ in range(STEPS):
+        p, expected = expectations(me.emissions(known, first), first, me.chain)
         rest = label - p
-        gradient = np.stack([np.bincount(known, rest, size), np.bincount(known[here - 1], rest[here], size), np.bincount(known[here], rest[here - 1], size)]) - L2 * len(known) / size * me.weights
-        a, b, c, d, _ = np.exp(me.chain)
-        x, y = p[here - 1], p[here]
-        # Pair marginals from the two tokens' marginals and the chain's odds ratio, scaled to agree with both margins.
-        cross = np.stack([a * (1 - x) * (1 - y), b * (1 - x) * y, c * x * (1 - y), d * x * y])
-        expected = (cross / cross.sum(0)).sum(1)
-        chain_gradient = np.append(seen - expected, (label - p)[lead].sum())
+        gradient = np.stack([np.bincount(known, rest, size), np.bincount(known[here - 1], rest[here], size), np.bincount(known[here], rest[here - 1], size)]) - np.array(L2)[:, None] * len(known) / size * me.weights
+        chain_gradient = seen - expected
         squares += gradient**2
         chain_squares += chain_gradient**2
         me.weights += gradient / np.sqrt(squares + 1e-9)
         me.chain = np.clip(me.chain + 0.2 * chain_gradient / np.sqrt(chain_squares + 1e-9), -6, 6)
-    x = me.features(log_odds(me.emissions(known, first), first, me.chain), first)
+    return me
+
+
+def fit_texts(texts: list[str], toxic: np.ndarray, share: float) -> Tagger:
+    """Fit on texts and their labels; ``share`` is how many of all documents are toxic."""
+    column = pa.array(texts, pa.string())
+    parts = [(tokens(data, offsets)) for _, _, data, offsets in wh.slices(column, 1 << 40)]
+    if not parts or not toxic.any() or toxic.all() or not len(parts[0][2]):
+        share = min(max(share, 0.01), 0.99)
+        return Tagger(np.zeros(0, np.uint64), np.zeros((3, 1)), np.zeros(5), np.array([np.log(share / (1 - share)), 0.0, 0.0]))
+    _, _, hashes, first = parts[0]
+    label = _label_tokens(hashes, first, toxic).astype(float)
+    me = _fit_chain(hashes, first, label)
+    x = me.features(log_odds(me.emissions(me.known(hashes), first), first, me.chain), first)
     y, w = toxic.astype(float), np.array([0.0, 0.0, 0.0])
     for _ in range(25):  # Newton's method with a small ridge
         p = 1 / (1 + np.exp(-(x @ w)))
@@ -201,18 +266,31 @@ def fit_texts(texts: list[str], toxic: np.ndarray, share: float) -> Tagger:
     return me
 
 
-def fit(documents: DataFrame, labels: DataFrame, usable, sample_rows: int = SAMPLE_ROWS) -> Tagger:
+def fit(documents: DataFrame, labels: DataFrame, usable, sample_rows: int = SAMPLE_ROWS, sample_chars: int = SAMPLE_CHARS) -> Tagger:
     """A tagger from the labelled documents (``labels``: doc_id, toxic) for which the column ``usable`` is true.
 
-    Up to ``sample_rows`` documents of each class are gathered; rows with a null id or label are not used.
+    Of each class up to ``sample_rows`` different texts are gathered whole, in the order of the hash of their doc_id, as
+    long as they come to ``sample_chars`` characters in all; one that would go beyond that is passed over. Rows with a
+    null id or label are not used; of several labels of an id the one of the greatest ``toxic`` holds.
     """
-    pool = labels.where(usable & F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).select(F.col("doc_id").cast("long").alias("label_id"), "toxic").dropDuplicates(["label_id"])
+    pool = labels.where(usable & F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).groupBy(F.col("doc_id").cast("long").alias("label_id")).agg(F.max("toxic").alias("toxic"))
     counts = {r.toxic: r.n for r in pool.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    chosen = [pool.where(F.col("toxic") == t).orderBy(F.xxhash64("label_id"), "label_id").limit(sample_rows) for t in (0, 1)]
-    sample = cut(chosen[0].unionByName(chosen[1]))
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.length("text") <= SAMPLE_CHARS)
-    rows = texts.join(F.broadcast(sample), F.col("doc_id") == F.col("label_id")).select("doc_id", "text", "toxic").toPandas()
-    rows = rows.sort_values(["doc_id", "text"])
+    texts = documents.where("text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("digest"), "text")
+    first = [pool.where(F.col("toxic") == t).orderBy(F.xxhash64("label_id"), "label_id").limit(sample_rows) for t in (0, 1)]
+    chosen = cut(first[0].unionByName(first[1]))
+    sizes = texts.select("doc_id", "digest", F.length("text").alias("n")).join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id"))
+    each = sizes.groupBy("doc_id", "digest", "toxic").agg(F.first("n").alias("n"))
+    gathered = []
+    for toxic in (0, 1):
+        left = sample_chars
+        for r in each.where(F.col("toxic") == toxic).orderBy(F.xxhash64("doc_id"), "doc_id", "digest").limit(sample_rows).collect():
+            if r.n <= left:
+                gathered.append((r.doc_id, r.digest, toxic))
+                left -= r.n
+    wanted = documents.sparkSession.createDataFrame(gathered, "of_doc bigint, of_digest bigint, toxic int")
+    met = texts.join(F.broadcast(wanted), (F.col("doc_id") == F.col("of_doc")) & (F.col("digest") == F.col("of_digest")))
+    rows = met.groupBy("doc_id", "digest", "toxic").agg(F.first("text").alias("text")).toPandas()
+    rows = rows.sort_values(["doc_id", "digest"])
     share = (counts.get(1, 0) + 1) / (sum(counts.values()) + 2)
     return fit_texts(rows.text.tolist(), (rows.toxic == 1).to_numpy(bool), share)
 
@@ -223,6 +301,12 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def toxicity(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """One row per row of ``documents`` (doc_id, text): doc_id, held_out, score, predicted, spans. Other columns are ignored."""
+    """One row per row of ``documents`` (doc_id, text): doc_id, held_out, score, predicted, spans.
+
+    ``labels`` holds (doc_id, toxic); those of held-out rows are not looked at. Null and empty texts have no token and
+    get the least score, without spans. Rows that share a doc_id are scored each by its own text, repeated rows alike; a
+    null doc_id is not held out. Texts of any length are scored whole. Without labels of both classes every row gets
+    the share of toxic labels. An empty table gives no rows; other columns are ignored.
+    """
     tagger = fit(documents, labels, ~held_out())
     return tagger.tag(documents).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "spans")
