@@ -2,8 +2,9 @@
 
 Two generative models give every hashed n-gram a probability: one from texts labelled good, one from all texts. A
 text's log weight is the sum, over its n-grams, of the log ratio of the two. Gumbel noise on the log weights and a cut
-at the k-th largest key sample k texts in proportion to their weights, without replacement. Both models count equal
-texts once, for how often a text was copied says nothing of its quality.
+at the k-th largest key sample k texts in proportion to their weights, without replacement. How many are sampled is a
+share of all, which the labels state and the scores have no part in. Equal texts are one, in the models, the share and
+the sample, for how often a text was copied says nothing of its quality; its rows are kept or dropped alike.
 
 The n-grams are words and pairs of words, and single, paired and tripled word forms. A form keeps of a word its cases,
 digits, trailing marks and whether it repeats the word before, so that shouting, symbol noise, tables and repetition
@@ -12,6 +13,7 @@ show in n-grams that are frequent enough to be estimated.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,11 +30,10 @@ BUCKETS = 1 << 16
 SAMPLE_ROWS = 20_000
 #: Weight, in n-grams, of the prior by which a bucket is as frequent in good texts as in all: rare ones say little.
 PRIOR = 20.0
-#: Scale of the Gumbel noise. 1 samples in proportion to the weights; small values only break ties near the cut.
-TEMPERATURE = 0.05
-
-#: As many texts are sampled as weigh this much or more; a little below 0, for a few words are no evidence.
-LEAST_WEIGHT = -3.0
+#: Scale of the Gumbel noise. 1 samples in proportion to the weights; smaller values prefer the greatest ones more.
+TEMPERATURE = 1.0
+#: The share that is sampled is that of good texts among labelled ones, and so many standard errors more: rather some junk than good ones lost.
+ERRORS = 1.0
 
 _UPPER = wh.lookup(bytes(range(65, 91)))
 _LETTER_LOW = wh.lookup(bytes(range(97, 123)))
@@ -84,18 +85,20 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(raw[some]), pa.array(target[some])], ["bucket", "n_raw", "n_target"])
 
 
-def _log_weights(column: pa.Array, ratio: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    n_grams, weight = np.zeros(len(column), np.int64), np.zeros(len(column))
+def _log_weights(column: pa.Array, ratio: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Number of n-grams, log weight and a hash of each text; null is empty."""
+    n_grams, weight, hashes = np.zeros(len(column), np.int64), np.zeros(len(column)), np.zeros(len(column), np.uint64)
     for first, end, data, offsets in wh.slices(column):
         bucket, row = ngrams(data, offsets)
         n_grams[first:end] = np.bincount(row, minlength=end - first)
         weight[first:end] = np.bincount(row, ratio[bucket], minlength=end - first)
-    return n_grams, weight
+        full = np.flatnonzero(np.diff(offsets))
+        hashes[first + full] = wh.hash_spans(data, offsets[full], offsets[full + 1])
+    return n_grams, weight, hashes
 
 
-def _keys(ids: pa.Array, weight: np.ndarray, temperature: float, seed: int) -> np.ndarray:
-    plain = ids.cast(pa.int64()).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.uint64)
-    u = ((wh.mixed(wh.mixed(plain) ^ np.uint64(seed)) >> np.uint64(11)).astype(float) + 0.5) / (1 << 53)
+def _keys(hashes: np.ndarray, weight: np.ndarray, temperature: float, seed: int) -> np.ndarray:
+    u = ((wh.mixed(hashes ^ np.uint64(seed)) >> np.uint64(11)).astype(float) + 0.5) / (1 << 53)
     return weight - temperature * np.log(-np.log(u))
 
 
@@ -107,39 +110,41 @@ def _ordered(key: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Selector:
-    """A fitted model; ``cut_key`` is the k-th largest key, at which texts are still kept."""
+    """A fitted model; ``share`` of the texts is sampled, and ``cut_key`` is the least key of those."""
 
     ratio: np.ndarray
+    share: float = 1.0
     temperature: float = TEMPERATURE
     seed: int = 1
     cut_key: int | None = None
 
     def score(self, documents: DataFrame) -> DataFrame:
-        """doc_id, n_grams, log_weight, key and its order for each row; null and empty texts weigh 0."""
+        """doc_id, n_grams, log_weight, text_hash, key and its order for each row; null and empty texts weigh 0."""
         ratio, temperature, seed = documents.sparkSession.sparkContext.broadcast(self.ratio), self.temperature, self.seed
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                n_grams, weight = _log_weights(batch.column(1), ratio.value)
-                key = _keys(batch.column(0), weight, temperature, seed)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_grams), pa.array(weight), pa.array(key), pa.array(_ordered(key))], ["doc_id", "n_grams", "log_weight", "key", "key_order"])
+                n_grams, weight, hashes = _log_weights(batch.column(1), ratio.value)
+                key = _keys(hashes, weight, temperature, seed)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_grams), pa.array(weight), pa.array(hashes.view(np.int64)), pa.array(key), pa.array(_ordered(key))], ["doc_id", "n_grams", "log_weight", "text_hash", "key", "key_order"])
 
         docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        return docs.mapInArrow(run, "doc_id bigint, n_grams bigint, log_weight double, key double, key_order bigint")
+        return docs.mapInArrow(run, "doc_id bigint, n_grams bigint, log_weight double, text_hash bigint, key double, key_order bigint")
 
-    def choose(self, scored: DataFrame, least_weight: float = LEAST_WEIGHT) -> Selector:
-        """Set the cut so that as many are sampled as weigh ``least_weight`` or more. ``scored`` is read five times.
+    def choose(self, scored: DataFrame) -> Selector:
+        """Set the cut so that ``share`` of the different texts in ``scored`` is sampled.
 
         The k-th largest key is found digit by digit, from counts of at most 65,536 values each.
         """
-        k = scored.where(F.col("log_weight") >= least_weight).count()
-        found, rest = 0, k
+        texts = cut(scored.groupBy("text_hash").agg(F.first("key_order").alias("key_order")))
+        k = rest = math.ceil(self.share * texts.count())
+        found = 0
         if not k:
             self.cut_key = np.iinfo(np.int64).max
             return self
         for shift in (48, 32, 16, 0):
             digit = F.shiftright("key_order", shift)
-            near = scored if shift == 48 else scored.where(F.shiftright("key_order", shift + 16) == found)
+            near = texts if shift == 48 else texts.where(F.shiftright("key_order", shift + 16) == found)
             for digit_value, count in sorted(((r.d, r.n) for r in near.groupBy(digit.alias("d")).agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True):
                 if count >= rest:
                     found = digit_value
@@ -151,12 +156,12 @@ class Selector:
     def keep(self, documents: DataFrame) -> DataFrame:
         """The rows that are kept, with all their columns; texts are scored where they are read, none is shuffled."""
         ratio, temperature, seed, cut_key = documents.sparkSession.sparkContext.broadcast(self.ratio), self.temperature, self.seed, self.cut_key
-        at = [documents.columns.index(c) for c in ("doc_id", "text")]
+        at = documents.columns.index("text")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                _, weight = _log_weights(batch.column(at[1]), ratio.value)
-                yield batch.filter(pa.array(_ordered(_keys(batch.column(at[0]), weight, temperature, seed)) >= cut_key))
+                _, weight, hashes = _log_weights(batch.column(at), ratio.value)
+                yield batch.filter(pa.array(_ordered(_keys(hashes, weight, temperature, seed)) >= cut_key))
 
         return documents.mapInArrow(run, documents.schema)
 
@@ -166,11 +171,17 @@ def fit(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS,
 
     The raw model counts the n-grams of all distinct texts. The target model counts those of up to ``sample_rows``
     labelled good documents, taken by the hash of their doc_id; equal texts among them count once, and a text is good if
-    any document of it is. Without any, every weight is 0. A null doc_id has no label.
+    any document of it is. Without any, every weight is 0. A null doc_id has no label. The share to be sampled is that of
+    good texts among all that have a label of 0 or 1, and ``ERRORS`` standard errors more; without labels it is 1.
     """
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    stated = labels.where("quality IN (0, 1) AND doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("label_id")).agg(F.max("quality").alias("good"))
+    texts = docs.where("doc_id IS NOT NULL").select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("digest"))
+    labelled = texts.join(stated, F.col("doc_id") == F.col("label_id")).groupBy("digest").agg(F.max("good").alias("good"))
+    state = labelled.agg(F.count(F.lit(1)).alias("n"), F.avg("good").alias("good")).collect()[0]
+    whole = 1.0 if not state.n else min(1.0, state.good + ERRORS * math.sqrt(state.good * (1 - state.good) / state.n))
     good = labels.where("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("good_id")).distinct()
     sample = cut(good.orderBy(F.xxhash64("good_id"), "good_id").limit(sample_rows))
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     marked = docs.join(F.broadcast(sample), F.col("doc_id") == F.col("good_id"), "left").select("text", F.col("good_id").isNotNull().alias("good"))
     once = marked.where("text IS NOT NULL").groupBy("text").agg(F.max("good").alias("good"))
     rows = once.mapInArrow(_counts, "bucket bigint, n_raw bigint, n_target bigint").groupBy("bucket").agg(F.sum("n_raw").alias("r"), F.sum("n_target").alias("t")).collect()  # BUCKETS at most
@@ -178,16 +189,17 @@ def fit(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS,
     for x in rows:
         raw[x.bucket], target[x.bucket] = x.r, x.t
     share = target.sum() / max(raw.sum(), 1)
-    return Selector(np.log(target + PRIOR) - np.log(share * raw + PRIOR) if share else np.zeros(BUCKETS), temperature)
+    return Selector(np.log(target + PRIOR) - np.log(share * raw + PRIOR) if share else np.zeros(BUCKETS), whole, temperature)
 
 
 def quality(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per row of ``documents``: doc_id, n_grams, log_weight, key, kept.
 
-    Null and empty texts have no n-grams and weigh 0. Rows that share a doc_id share their noise, and rows at the cut
-    with equal keys are all kept. Other columns are ignored; an empty table gives no rows.
+    ``labels`` holds (doc_id, quality). Null and empty texts have no n-grams and weigh 0; texts of any length are scored
+    whole. Each row is judged by its own text, whatever its doc_id; equal texts have equal keys, and texts at the cut with
+    equal keys are all kept. Other columns are ignored; an empty table gives no rows.
     """
     selector = fit(documents, labels)
     scored = cut(selector.score(documents))
     selector.choose(scored)
-    return scored.select("doc_id", "n_grams", "log_weight", "key", (F.col("key_order") >= selector.cut_key).alias("kept"))
+    return scored.select("doc_id", "n_grams", "log_weight", "text_hash", "key", (F.col("key_order") >= selector.cut_key).alias("kept"))
