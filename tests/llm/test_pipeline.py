@@ -106,7 +106,8 @@ def test_quality_stage_keeps_what_the_scores_say(spark, tmp_path):
     verdicts = [(r.doc_id, r.n_grams, r.kept) for r in quality.quality(docs, labels).collect()]
     assert len(got) == sum(v[2] for v in verdicts)
     assert sorted(str(r.doc_id) for r in got) == sorted(str(v[0]) for v in verdicts if v[2])
-    assert not {tuple(r) for r in got} - set(rows) and {r.doc_id for r in got} >= set(range(100, 250)) and sum(r.doc_id is not None and r.doc_id >= 300 for r in got) <= 2
+    assert not {tuple(r) for r in got} - set(rows) and {r.doc_id for r in got} >= set(range(100, 250))
+    assert sum(r.doc_id is not None and r.doc_id >= 300 for r in got) <= 10  # what the share leaves room for
 
 
 def test_contaminated_rows_are_dropped(spark, tmp_path):
@@ -114,8 +115,9 @@ def test_contaminated_rows_are_dropped(spark, tmp_path):
     rows = odd_rows() + [row(70, "so " + item.upper()), row(71, item + " " + " ".join(texts(11, 12))), row(None, item)]
     spark.createDataFrame([(1, item), (2, None), (3, "")], "item_id bigint, text string").write.parquet(f"file://{tmp_path}/benchmark.parquet")
     got = STAGES["benchmark decontamination"](spark, spark.createDataFrame(rows, DOCS), f"file://{tmp_path}").collect()
-    bad = {x[0] for x in contaminated([r[:3] for r in rows], [(1, item)]) if x[-1]}
-    assert bad == {70, None} and sorted(map(tuple, got), key=key) == sorted((r for r in rows if r[0] not in bad), key=key)
+    clean = [not x[-1] for x in contaminated([r[:3] for r in rows], [(1, item)])]
+    assert {r[0] for r, c in zip(rows, clean, strict=True) if not c} == {70, None} and sum(clean) == len(rows) - 2
+    assert sorted(map(tuple, got), key=key) == sorted((r for r, c in zip(rows, clean, strict=True) if c), key=key)
 
 
 def test_mix_has_every_row(spark):
@@ -130,3 +132,23 @@ def test_stages_of_an_empty_table(spark, tmp_path, name):
     spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"file://{tmp_path}/labels.parquet")
     spark.createDataFrame([], "item_id bigint, text string").write.parquet(f"file://{tmp_path}/benchmark.parquet")
     assert STAGES[name](spark, spark.createDataFrame([], DOCS), f"file://{tmp_path}").count() == 0
+
+
+CLASHING = "kept found kept_id bad_id at held rest carried carried_row no_text removed n_bytes cls tag component size copies key h text_hash n w item good digest none log_weight key_order".split()
+
+
+@pytest.mark.parametrize("name", list(STAGES)[:-1])
+def test_columns_of_clashing_names_are_carried(spark, tmp_path, name):
+    item = " ".join(f"b{i}" for i in range(20))
+    rows = odd_rows() + [row(70, item), row(71, texts(1, 8)[2] + " and some more of it")]
+    labels = [(i, int(i % 3 > 0), 0) for i in range(60)]
+    spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").write.parquet(f"file://{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, item)], "item_id bigint, text string").write.parquet(f"file://{tmp_path}/benchmark.parquet")
+    plain = spark.createDataFrame(rows, DOCS)
+    want = STAGES[name](spark, plain, f"file://{tmp_path}").collect()
+    wide = spark.createDataFrame([(*r, *["x"] * len(CLASHING)) for r in rows], DOCS + "".join(f", `{c}` string" for c in CLASHING))
+    got = STAGES[name](spark, wide, f"file://{tmp_path}")
+    assert got.columns == wide.columns
+    got = got.collect()
+    assert sorted((tuple(r)[:5] for r in got), key=key) == sorted(map(tuple, want), key=key)
+    assert all(set(r[5:]) == {"x"} for r in got)
