@@ -15,6 +15,8 @@ from .common import cut, maybe_broadcast
 
 #: What separates words: the space and the characters 9 to 13.
 WORD_GAP = "[ \\x09-\\x0D]+"
+#: Rows alike that one task writes out; more are dealt over all tasks.
+COPIES = 1_000
 
 
 def word_count(text: Column) -> Column:
@@ -53,38 +55,38 @@ def source_targets(totals: DataFrame, weights: tuple[int, ...], max_epochs: int)
 def mix(documents: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_epochs: int = 3, rows_per_bucket: int = 2_000) -> DataFrame:
     """One row per row of ``documents`` (doc_id, source, text): doc_id, source, size, source_size, target, taken.
 
-    A null text has size 0 and a null source is a source of its own, ranked last. Rows of one source are taken in the
-    order of the md5 of their doc_id (a null doc_id counts as empty), then doc_id and size, so that reruns agree.
-    Equal rows share the same place in that order: which of them is cut is arbitrary, the rows returned are not. The
-    words taken from a source add up to its target, rounded down. Other columns are ignored; an empty table gives none.
+    A null or empty text has size 0 and a null source is a source of its own, ranked last; texts are counted whole. Rows
+    of one source are taken in the order of the md5 of their doc_id (a null doc_id counts as empty), then doc_id and
+    size, so that reruns agree. Rows alike in these go through the sums as one, however many they are, and each gets its
+    own place among them: which of them is cut is arbitrary, the rows returned are not. The words taken from a source
+    add up to its target, rounded down. Other columns are ignored, whatever their names; an empty table gives none.
     """
-    sized = cut(
-        documents.select(
-            "doc_id",
-            "source",
-            word_count(F.col("text")).alias("size"),
-            F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("key"),
-        )
-    )
-    totals = sized.groupBy("source").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("size").alias("source_size"))
+    parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sized = documents.select("doc_id", "source", word_count(F.col("text")).alias("size")).groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("copies"))
+    rows = cut(sized.withColumn("key", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))))
+    totals = rows.groupBy("source").agg(F.count(F.lit(1)).alias("n_rows"), F.sum(F.col("size") * F.col("copies")).alias("source_size"))
     targets = cut(source_targets(totals, weights, max_epochs))
     n_sources = targets.count()
+    most = rows.agg(F.max("copies")).collect()[0][0] or 0
     buckets = F.least(F.ceil(F.col("n_rows") / rows_per_bucket), F.lit(65536)).cast("long")
     slot = F.floor(F.conv(F.substring("key", 1, 4), 16, 10).cast("long") * buckets / 65536).cast("long")
-
-    def placed() -> DataFrame:
-        t = targets.withColumnRenamed("source", "target_source")
-        return sized.join(maybe_broadcast(t, n_sources), F.col("source").eqNullSafe(F.col("target_source"))).drop("target_source").withColumn("bucket", slot)
-
-    sums = placed().groupBy(F.col("source").alias("s"), F.col("bucket").alias("b")).agg(F.sum("size").alias("bucket_size"))
+    t = targets.withColumnRenamed("source", "target_source")
+    placed = rows.join(maybe_broadcast(t, n_sources), F.col("source").eqNullSafe(F.col("target_source"))).drop("target_source").withColumn("bucket", slot)
+    sums = placed.groupBy(F.col("source").alias("s"), F.col("bucket").alias("b")).agg(F.sum(F.col("size") * F.col("copies")).alias("bucket_size"))
     offsets = cut(sums.withColumn("offset", F.coalesce(F.sum("bucket_size").over(W.partitionBy("s").orderBy("b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))))
-    n_buckets = offsets.count()
     inside = W.partitionBy("source", "bucket").orderBy("key", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
-    joined = placed().join(maybe_broadcast(offsets, n_buckets), F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
+    joined = placed.join(maybe_broadcast(offsets, offsets.count()), F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
+    first = joined.withColumn("before", F.col("offset") + F.coalesce(F.sum(F.col("size") * F.col("copies")).over(inside), F.lit(0)))
+    nth = lambda a, b: F.explode(F.sequence(a, b)).alias("nth")
+    zero = F.lit(0).cast("long")
+    each = first.where(F.col("copies") <= COPIES).select("*", nth(zero, F.col("copies") - 1))
+    if most > COPIES:
+        runs = first.where(F.col("copies") > COPIES).select("*", F.explode(F.sequence(zero, F.col("copies") - 1, F.lit(COPIES).cast("long"))).alias("low")).repartition(parts)
+        each = each.unionByName(runs.select("*", nth(F.col("low"), F.least(F.col("low") + COPIES, F.col("copies")) - 1)).drop("low"))
     budget = F.floor("target").cast("long")
     epochs = F.when(F.col("source_size") > 0, F.least(F.floor(budget / F.col("source_size")), F.lit(max_epochs))).otherwise(0).cast("long")
     return (
-        joined.withColumn("seen", F.col("offset") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
+        each.withColumn("seen", F.col("before") + F.col("nth") * F.col("size"))
         .withColumn("epochs", epochs)
         .withColumn("rest", budget - F.col("epochs") * F.col("source_size"))
         .withColumn("taken", F.col("epochs") * F.col("size") + F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), F.col("rest") - F.col("seen"))))
