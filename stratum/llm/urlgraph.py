@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, maybe_broadcast
+from .common import BROADCAST_ROWS, by_key, cut
 
 #: (verdict, host and path), as stated by the filter's users.
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
@@ -86,21 +86,26 @@ def judge(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD) -> DataFr
     """One row per row of ``pages`` (page_id, url, html): page_id, host, path, rule, verdict, trust, distrust.
 
     A null url, or one without ``://``, has empty host and path, fits no rule and is allowed: nothing is known of it.
-    A host without seeds or links has no trust and no distrust and is allowed. Other columns are ignored. Scores are
-    those at convergence; the SQL stops after ``ROUNDS`` rounds, so it agrees only where pages don't link between hosts.
+    A host without seeds or links has no trust and no distrust and is allowed; a null or empty html has no links, a long
+    one is read whole. Rows that share a page_id, or are null there, are judged each by its own url; repeated rows count
+    as often in the scores. Hosts with very many pages are broadcast with their scores. Other columns are ignored,
+    whatever their names; an empty table gives no rows. Scores are those at convergence; the SQL stops after ``ROUNDS``
+    rounds, so it agrees only where pages don't link between hosts.
     """
     host, path = host_of(F.col("url")), path_of(F.col("url"))
     base = pages.select("page_id", host.alias("host"), path.alias("path"), "html")
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     ruled = base.withColumn("rule", rule).withColumn("ruled", verdict)
-    counts = ruled.groupBy("host").agg(F.sum(F.when(F.col("ruled") == "allow", 1.0).otherwise(0.0)).alias("good"), F.sum(F.when(F.col("ruled") == "block", 1.0).otherwise(0.0)).alias("bad"), F.count(F.lit(1)).alias("n"))
+    counts = cut(ruled.groupBy("host").agg(F.sum(F.when(F.col("ruled") == "allow", 1.0).otherwise(0.0)).alias("good"), F.sum(F.when(F.col("ruled") == "block", 1.0).otherwise(0.0)).alias("bad"), F.count(F.lit(1)).alias("n")))
     seeds = cut(counts.where("host <> ''").select("host", (F.col("good") / F.col("n")).alias("trust"), (F.col("bad") / F.col("n")).alias("distrust")))
     hrefs = F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(_HREF), 1)
     targets = base.where("host <> ''").select(F.col("host").alias("a"), F.explode(hrefs).alias("url")).select("a", host_of(F.col("url")).alias("b"))
     links = targets.where("b <> '' AND a <> b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
-    scores = cut(host_scores(seeds, links, rounds=None))
-    known = scores.select(F.col("host").alias("of_host"), "trust", "distrust").where("trust > 0 OR distrust > 0")
-    joined = ruled.drop("html").join(maybe_broadcast(known, known.count()), F.col("host") == F.col("of_host"), "left")
+    scores = host_scores(seeds, links, rounds=None).where("trust > 0 OR distrust > 0")
+    known = cut(scores.join(counts.select("host", "n"), "host", "left"))
+    n_known = known.count()
+    narrow = ruled.drop("html")
+    joined = narrow.join(F.broadcast(known), "host", "left") if n_known <= BROADCAST_ROWS else by_key(narrow, known, "host", "n", pages.count())
     trust, distrust = F.coalesce("trust", F.lit(0.0)), F.coalesce("distrust", F.lit(0.0))
     by_graph = F.when((distrust > 0) & (distrust >= threshold * (trust + distrust)), "block").otherwise("allow")
     return joined.select("page_id", "host", "path", "rule", F.coalesce("ruled", by_graph).alias("verdict"), trust.alias("trust"), distrust.alias("distrust"))
