@@ -7,7 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from stratum.llm import decontaminate, mixing, neardup, urlgraph
+from stratum.llm import common, decontaminate, mixing, neardup, urlgraph
 from stratum.llm.components import connected_components
 
 DOCS = "doc_id bigint, text string, source string, kept string, h bigint, cls string"
@@ -135,6 +135,12 @@ def test_near_duplicates_equal_brute_force(spark, n, families, block):
     assert sorted(map(tuple, got), key=key) == sorted(brute_components(rows, 3, 85), key=key)
 
 
+def test_near_duplicates_of_the_pipeline_equal_brute_force(spark):
+    rows = family_rows(6, 40, 4)
+    got = neardup.near_duplicates(docs(spark, rows), k=5, percent=80, trees=20, block=16, block_trees=10).collect()
+    assert sorted(map(tuple, got)) == sorted(brute_components(rows, 5, 80))
+
+
 def test_near_duplicates_of_nothing(spark):
     assert neardup.near_duplicates(docs(spark, [])).count() == 0
     assert [r.component_id for r in neardup.near_duplicates(docs(spark, [(4, None, None)])).collect()] == [4]
@@ -150,6 +156,38 @@ def test_components_of_chains_and_stars(spark, last):
     assert all(got[i] == 0 for i in range(301)) and all(got[1000 + i] == 1000 for i in range(200)) and got[5001] == 5000
 
 
+@pytest.mark.parametrize("copies", [1000, 7])
+def test_mix_of_very_many_equal_and_null_ids(spark, monkeypatch, copies):
+    monkeypatch.setattr(mixing, "COPIES", copies)
+    rows = [(None, "a b c", "x")] * 1200 + [(None, "w " * (i % 50), "x") for i in range(300)] + [(5, "one two", "x")] * 40 + [(i, "v " * 30, ["y", None][i % 2]) for i in range(60)]
+    got = mixing.mix(docs(spark, rows)).collect()
+    assert len(got) == len(rows)
+    key = lambda x: tuple(map(str, x))
+    size = lambda t: len(t.split())
+    assert sorted(((r.doc_id, r.size, r.source) for r in got), key=key) == sorted(((i, size(t), s) for i, t, s in rows), key=key)
+    for source in ("x", "y", None):
+        own = [r for r in got if r.source == source]
+        whole = sum(size(t) for _, t, s in rows if s == source)
+        assert {r.source_size for r in own} == {whole} and len({r.target for r in own}) == 1
+        assert sum(r.taken for r in own) == int(own[0].target) and all(r.taken <= 3 * r.size for r in own)
+
+
+def test_hosts_of_many_pages_beyond_the_broadcast(spark, monkeypatch):
+    pages = [(i, f"http://h{0 if i % 2 else i}.com/{'de' if i % 10 == 1 else 'x'}/", f'<a href="http://h{i + 2}.com/de/q">l</a>', 1) for i in range(120)]
+    table = spark.createDataFrame(pages, "page_id bigint, url string, html string, n int")
+    want = sorted(map(tuple, urlgraph.judge(table).collect()))
+    monkeypatch.setattr(urlgraph, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(common, "HOT_ROWS", 10)
+    assert sorted(map(tuple, urlgraph.judge(table).collect())) == want
+
+
+def test_hot_classes_are_named_like_others(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
+    rows = family_rows(4, 12, 5) + [(2000 + i, "the same text of many copies here", "s") for i in range(40)] + [(None, None, None)] * 9
+    key = lambda x: tuple(str(v) for v in x)
+    assert sorted(map(tuple, neardup.near_duplicates(docs(spark, rows), block=8).collect()), key=key) == sorted(brute_components(rows, 3, 85), key=key)
+
+
 def test_url_rules(spark):
     urls = ["HTTPS://A.Example.ORG/en/1x?q#f", "http://example.org/es/", "x://notexample.org/es/", "http://org", "http://b.com/de/z", "http://com/fr/", None, "no scheme/org/", "http://u.net?x=1", "a://b://c/d"]
     pages = spark.createDataFrame([(i, u, None, 1) for i, u in enumerate(urls)], "page_id bigint, url string, html string, trust int")
