@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,6 +17,11 @@ def column(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once: what stands in a lambda several times is evaluated as often otherwise."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def trimmed(c: Column | str) -> Column:
     """Without white space (of any script) at both ends."""
     return F.regexp_replace(column(c), r"(?U)^\s+|\s+$", "")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from stratum.functions.text import column, compact, content_id, token_estimate, trimmed
 from stratum.operators.index import Corpus
 from stratum.operators.search import hybrid
+from stratum.storage import stored
 from stratum.plans.routing import is_exhaustive, needs_coverage, with_memory
 
 LEXICAL_LIMIT, COVERAGE_LIMIT, SAMPLES, FALLBACK = 7, 10, 5, 3
@@ -44,12 +45,12 @@ def retrieve(corpus: Corpus, tasks: DataFrame, memory: str = "") -> DataFrame:
     query = with_memory("query", F.lit(memory))
     text = F.concat(F.col("objective"), query)
     plan = tasks.select("task_id", "agent_type", query.alias("query"), text.alias("text"), F.greatest(F.lit(0), F.col("chunk_start")).cast("long").alias("chunk_start"), F.least(F.lit(corpus.n_chunks), F.col("chunk_end")).cast("long").alias("chunk_end"))
-    plan = plan.withColumn("mode", F.when(is_exhaustive("text"), "all").when(needs_coverage("agent_type", "text"), "broad").otherwise("exact")).persist()
+    plan = plan.withColumn("mode", F.when(is_exhaustive("text"), "all").when(needs_coverage("agent_type", "text"), "broad").otherwise("exact"))
     inside = (F.col("chunk_ord") >= F.col("chunk_start")) & (F.col("chunk_ord") < F.col("chunk_end"))
     chunks = corpus.chunks.select("chunk_ord")
     everything = chunks.join(F.broadcast(plan.where("mode = 'all'")), inside).select("task_id", F.col("chunk_ord").alias("rank"), "chunk_ord", F.lit(1.0).alias("score"), F.lit("shard_exhaustive_scan").alias("source"), F.lit("sharded_exhaustive_scan").alias("strategy"))
     asked = plan.where("mode <> 'all'").select(F.col("task_id").alias("query_id"), "query", "chunk_start", "chunk_end")
-    lexical = hybrid(corpus, asked, LEXICAL_LIMIT).select(F.col("query_id").alias("task_id"), "rank", "chunk_ord", "score", "source").persist()
+    lexical = stored(hybrid(corpus, asked, LEXICAL_LIMIT).select(F.col("query_id").alias("task_id"), "rank", "chunk_ord", "score", "source"), "lexical-hits")
     exact_plan = plan.where("mode = 'exact'").select("task_id", "chunk_start", "chunk_end")
     exact = lexical.join(F.broadcast(exact_plan.select("task_id")), "task_id").withColumn("strategy", F.lit("sharded_hybrid_exact"))
     bare = exact_plan.join(lexical.select("task_id").distinct(), "task_id", "left_anti")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from stratum.functions.text import lexical_tokens, token_estimate
 from stratum.operators import segment
+from stratum.storage import removed, stored
 
 #: Sources whose counts are summed in one window when global ordinals are dealt.
 SOURCES_PER_BLOCK = 4_096
@@ -36,9 +37,13 @@ def source_table(sources: DataFrame) -> DataFrame:
     return sources.select("source_ord", "document", size.cast("long").alias("source_bytes"), indexed.alias("indexed_bytes"))
 
 
-def section_table(sources: DataFrame) -> DataFrame:
-    """Sections with their global ordinal, in the order of the sources."""
-    split = sources.select("source_ord", "document", segment.sections("text").alias("parts"))
+def section_parts(sources: DataFrame) -> DataFrame:
+    """Each source with the array of its sections: what ``section_table`` counts and then spreads out."""
+    return sources.select("source_ord", "document", segment.sections("text").alias("parts"))
+
+
+def section_table(split: DataFrame) -> DataFrame:
+    """Sections of ``section_parts`` with their global ordinal, in the order of the sources."""
     offsets = with_offsets(split.select("source_ord", F.size("parts").cast("long").alias("n")), "source_ord", "n", "first_parent").select("source_ord", "first_parent")
     rows = split.select("source_ord", "document", F.posexplode("parts").alias("section_index", "part")).join(offsets, "source_ord")
     ordinal = (F.col("first_parent") + F.col("section_index")).cast("long")
@@ -55,21 +60,24 @@ def section_table(sources: DataFrame) -> DataFrame:
     )
 
 
-def chunk_table(sections: DataFrame, target: int = segment.CHUNK_TOKENS, overlap: int = segment.CHUNK_OVERLAP) -> DataFrame:
-    """Chunks of the sections with their global ordinal; ``chunk_index`` counts within the source."""
-    split = sections.select("parent_ord", "parent_id", "source_ord", "document", F.col("title").alias("section_title"), segment.chunked("text", target, overlap).alias("parts"))
+def chunk_parts(sections: DataFrame, target: int = segment.CHUNK_TOKENS, overlap: int = segment.CHUNK_OVERLAP) -> DataFrame:
+    """Each section with the array of its chunks: what ``chunk_table`` counts and then spreads out."""
+    return sections.select("parent_ord", "parent_id", "source_ord", "document", F.col("title").alias("section_title"), segment.chunked("text", target, overlap).alias("parts"))
+
+
+def chunk_table(split: DataFrame) -> DataFrame:
+    """Chunks of ``chunk_parts`` with their global ordinal; ``chunk_index`` counts within the source."""
     counted = split.select("source_ord", "parent_ord", F.size("parts").cast("long").alias("n"))
-    offsets = with_offsets(counted.select("parent_ord", "n"), "parent_ord", "n", "first_chunk").select("parent_ord", "first_chunk")
-    of_source = W.partitionBy("source_ord")
-    rows = split.select("parent_ord", "parent_id", "source_ord", "document", "section_title", F.posexplode("parts").alias("part_index", "text")).join(offsets, "parent_ord")
-    ordinal = (F.col("first_chunk") + F.col("part_index")).cast("long")
-    numbered = rows.withColumn("chunk_ord", ordinal)
+    offsets = with_offsets(counted, "parent_ord", "n", "first_chunk")
+    first_of = offsets.where("n > 0").groupBy("source_ord").agg(F.min("first_chunk").alias("source_first"))
+    rows = split.select("parent_ord", "parent_id", "source_ord", "document", "section_title", F.posexplode("parts").alias("part_index", "text"))
+    numbered = rows.join(offsets.join(first_of, "source_ord").select("parent_ord", "first_chunk", "source_first"), "parent_ord").withColumn("chunk_ord", (F.col("first_chunk") + F.col("part_index")).cast("long"))
     return numbered.select(
         "chunk_ord",
         F.format_string("chunk_%05d", "chunk_ord").alias("chunk_id"),
         "source_ord",
         "document",
-        (F.col("chunk_ord") - F.min("chunk_ord").over(of_source)).cast("int").alias("chunk_index"),
+        (F.col("chunk_ord") - F.col("source_first")).cast("int").alias("chunk_index"),
         "text",
         token_estimate("text").alias("estimated_tokens"),
         F.octet_length("text").alias("byte_size"),
@@ -90,10 +98,11 @@ def term_table(postings: DataFrame) -> DataFrame:
 
 
 def chunk_stats(chunks: DataFrame, postings: DataFrame, terms: DataFrame, size: int) -> DataFrame:
-    """Length in terms (of chunks without any: 0) and TF-IDF norm (0 counts as 1) of every chunk."""
+    """Length in terms (of chunks without any: 0), that of all chunks before, and TF-IDF norm (0 counts as 1) of every chunk."""
     weight = (1 + F.log(F.col("tf"))) * (F.log((F.lit(size) + 1) / (F.col("df") + 1)) + 1)
     sums = postings.join(terms, "term").groupBy("chunk_ord").agg(F.sum("tf").alias("length"), F.sqrt(F.sum(weight * weight)).alias("norm"))
-    return chunks.select("chunk_ord").join(sums, "chunk_ord", "left").select("chunk_ord", F.coalesce("length", F.lit(0)).alias("length"), F.coalesce(F.nullif("norm", F.lit(0.0)), F.lit(1.0)).alias("norm"))
+    stats = chunks.select("chunk_ord").join(sums, "chunk_ord", "left").select("chunk_ord", F.coalesce("length", F.lit(0).cast("long")).alias("length"), F.coalesce(F.nullif("norm", F.lit(0.0)), F.lit(1.0)).alias("norm"))
+    return with_offsets(stats, "chunk_ord", "length", "length_before")
 
 
 @dataclass
@@ -111,15 +120,28 @@ class Corpus:
 
     @staticmethod
     def build(sources: DataFrame, cache: bool = True) -> Corpus:
-        """Index (source_ord, document, text). Names must be distinct: a second source of a name would hide the first."""
-        keep = (lambda df: df.persist()) if cache else (lambda df: df)
-        sections = keep(section_table(sources))
-        chunks = keep(chunk_table(sections))
+        """Index (source_ord, document, text). Names must be distinct: a second source of a name would hide the first.
+
+        Each table is written once to the shared folder, until ``release``; without ``cache`` all are computed anew
+        wherever they are read.
+        """
+        keep = stored if cache else (lambda df, name: df)
+        cut_up = keep(section_parts(sources), "sections-of-sources")
+        sections = keep(section_table(cut_up), "sections")
+        in_parts = keep(chunk_parts(sections), "chunks-of-sections")
+        chunks = keep(chunk_table(in_parts), "chunks")
+        if cache:
+            removed(cut_up, in_parts)
         n_chunks = chunks.count()
         size = max(1, n_chunks)
-        postings = keep(postings_table(chunks))
-        terms = keep(term_table(postings))
-        return Corpus(source_table(sources), sections, chunks, postings, terms, keep(chunk_stats(chunks, postings, terms, size)), size, n_chunks)
+        postings = keep(postings_table(chunks), "postings")
+        terms = keep(term_table(postings), "terms")
+        sizes = keep(source_table(sources), "sources")
+        return Corpus(sizes, sections, chunks, postings, terms, keep(chunk_stats(chunks, postings, terms, size), "stats"), size, n_chunks)
+
+    def release(self) -> None:
+        """Delete the tables; nothing can be read of them afterwards."""
+        removed(self.sources, self.sections, self.chunks, self.postings, self.terms, self.stats)
 
     def totals(self) -> DataFrame:
         """Bytes indexed and the largest source's, and the counts of the hierarchy."""

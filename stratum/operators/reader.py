@@ -31,16 +31,40 @@ def window(text: Column | str, offset: Column | int = 0, size: int = WINDOW_CHAR
 
 
 def pages(documents: DataFrame) -> DataFrame:
-    """(document, page, ordinal, content) of (document, text): from each page heading to the next; of a page that occurs twice the last."""
+    """(document, page, ordinal, start_character, end_character, content) of (document, text): from each page heading to
+    the next; of a page that occurs twice the last. Offsets are those in the text, before it is trimmed."""
     marked = F.regexp_replace("text", PAGE_HEADING, f"{_MARK}$1{_END}$0")
-    rows = documents.select("document", F.posexplode(F.split(marked, _MARK)).alias("ordinal", "piece")).where("ordinal > 0")
-    parsed = rows.select("document", "ordinal", F.substring_index("piece", _END, 1).cast("int").alias("page"), trimmed(F.regexp_replace("piece", f"(?s)^[^{_END}]*{_END}", "")).alias("content"))
-    return parsed.groupBy("document", "page").agg(F.max("ordinal").alias("ordinal"), F.max_by("content", "ordinal").alias("content"))
+    split = F.split(marked, _MARK)
+    body = lambda p: F.regexp_replace(p, f"(?s)^[^{_END}]*{_END}", "")
+    widths = F.transform(split, lambda p, i: F.when(i == 0, F.length(p)).otherwise(F.length(body(p))))
+    rows = documents.select("document", widths.alias("widths"), F.posexplode(split).alias("ordinal", "piece")).where("ordinal > 0")
+    start = F.aggregate(F.slice("widths", 1, F.col("ordinal")), F.lit(0), lambda a, n: a + n)
+    parsed = rows.select("document", "ordinal", F.substring_index("piece", _END, 1).cast("int").alias("page"), start.alias("start_character"), (start + F.element_at("widths", F.col("ordinal") + 1)).alias("end_character"), trimmed(body(F.col("piece"))).alias("content"))
+    last = F.max_by(F.struct("ordinal", "start_character", "end_character", "content"), "ordinal").alias("last")
+    return parsed.groupBy("document", "page").agg(last).select("document", "page", "last.*")
+
+
+def page_span(documents: DataFrame, first: int, last: int) -> DataFrame:
+    """A row for each document: the pages asked for, joined, with where they start and end, the numbers of those that are
+    missing, and the least and greatest page that there is. Without all pages, content and offsets are null."""
+    every = pages(documents).groupBy("document").agg(
+        F.min("page").alias("least"), F.max("page").alias("greatest"), F.array_sort(F.collect_list(F.when(F.col("page").between(first, last), F.struct("page", "content", "start_character", "end_character")))).alias("parts")
+    )
+    there = F.coalesce(F.transform("parts", lambda p: p["page"]), F.array().cast("array<int>"))
+    joined = documents.select("document", F.length("text").alias("total_characters")).join(every, "document", "left").withColumn("missing", F.array_except(F.sequence(F.lit(first), F.lit(last)), there))
+    whole = F.size("missing") == 0
+    return joined.select(
+        "document",
+        F.when(whole, F.array_join(F.transform("parts", lambda p: p["content"]), "\n\n")).alias("content"),
+        F.when(whole, F.col("parts")[0]["start_character"]).alias("start_character"),
+        F.when(whole, F.element_at("parts", -1)["end_character"]).alias("end_character"),
+        "total_characters",
+        "missing",
+        "least",
+        "greatest",
+    )
 
 
 def page_slice(documents: DataFrame, first: int, last: int) -> DataFrame:
     """(document, content, missing) with the pages asked for joined; content is null where one is missing."""
-    found = pages(documents).where(F.col("page").between(first, last)).groupBy("document").agg(F.array_sort(F.collect_list(F.struct("page", "content"))).alias("parts"))
-    wanted = F.sequence(F.lit(first), F.lit(last))
-    joined = documents.select("document").join(found, "document", "left").withColumn("missing", F.array_except(wanted, F.coalesce(F.transform("parts", lambda p: p["page"]), F.array().cast("array<int>"))))
-    return joined.select("document", F.when(F.size("missing") == 0, F.array_join(F.transform("parts", lambda p: p["content"]), "\n\n")).alias("content"), "missing")
+    return page_span(documents, first, last).select("document", "content", "missing")

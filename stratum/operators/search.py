@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from stratum.functions.text import lexical_tokens, trimmed
 from stratum.operators.index import Corpus
+from stratum.storage import stored
 
 K1, B = 1.2, 0.75
 RANK_OFFSET, RANK_WEIGHT, COVERAGE_WEIGHT, PHRASE_WEIGHT = 60, 100, 4, 8.0
@@ -23,6 +24,15 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return counted.withColumn("n_terms", F.count(F.lit(1)).over(W.partitionBy("query_id")))
 
 
+def range_averages(corpus: Corpus, ranges: DataFrame) -> DataFrame:
+    """(query_id, average) length of the chunks in each range (query_id, range_start, range_end) that holds any, from
+    the lengths summed up before its first and its last chunk."""
+    before = corpus.stats.select(F.col("chunk_ord").alias("range_start"), F.col("length_before").alias("sum_before"))
+    upto = corpus.stats.select((F.col("chunk_ord") + 1).alias("range_end"), (F.col("length_before") + F.col("length")).alias("sum_upto"))
+    whole = ranges.where("range_end > range_start").join(before, "range_start").join(upto, "range_end")
+    return whole.select("query_id", ((F.col("sum_upto") - F.col("sum_before")) / (F.col("range_end") - F.col("range_start"))).alias("average"))
+
+
 def scored(corpus: Corpus, queries: DataFrame) -> DataFrame:
     """(query_id, chunk_ord, bm25, cosine, coverage, score) of all chunks that share a term with a query in its range.
 
@@ -36,13 +46,13 @@ def scored(corpus: Corpus, queries: DataFrame) -> DataFrame:
         end = F.least(F.lit(corpus.n_chunks), F.coalesce("chunk_end", F.lit(corpus.n_chunks))).cast("long")
         ranges = queries.select("query_id", start.alias("range_start"), end.alias("range_end"))
         inside = (F.col("chunk_ord") >= F.col("range_start")) & (F.col("chunk_ord") < F.col("range_end"))
-        average = corpus.stats.join(F.broadcast(ranges), inside).groupBy("query_id").agg(F.avg("length").alias("average"))
+        average = range_averages(corpus, ranges)
     else:
         average = corpus.stats.agg(F.avg("length").alias("average"))
     terms = query_terms(queries).join(corpus.terms, "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))
     weight = (1 + F.log("qtf")) * (F.log((F.lit(size) + 1) / (F.col("df") + 1)) + 1)
-    weighted = terms.withColumn("weight", weight).withColumn("query_norm", F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(W.partitionBy("query_id")))).where("df > 0").persist()
-    few = weighted.count() <= BROADCAST_TERMS
+    weighted = terms.withColumn("weight", weight).withColumn("query_norm", F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(W.partitionBy("query_id")))).where("df > 0")
+    few = query_terms(queries).count() <= BROADCAST_TERMS
     met = corpus.postings.join(F.broadcast(weighted) if few else weighted, "term").join(corpus.stats, "chunk_ord")
     if ranged:
         met = met.join(F.broadcast(ranges), "query_id").where(inside).join(F.broadcast(average), "query_id")
@@ -55,15 +65,20 @@ def scored(corpus: Corpus, queries: DataFrame) -> DataFrame:
     sums = met.groupBy("query_id", "chunk_ord").agg(
         F.round(F.sum(F.col("qtf") * idf * saturation), DIGITS).alias("bm25"),
         F.round(F.sum(F.col("weight") * tfidf) / (F.first("query_norm") * F.first("norm")), DIGITS).alias("cosine"),
-        (F.count(F.lit(1)) / F.first("n_terms")).alias("coverage"),
+        F.count(F.lit(1)).alias("n_met"),
+        F.first("n_terms").alias("n_terms"),
     )
     by_bm25 = W.partitionBy("query_id").orderBy(F.col("bm25").desc(), "chunk_ord")
     by_cosine = W.partitionBy("query_id").orderBy(F.col("cosine").desc(), "chunk_ord")
-    ranked = sums.withColumn("bm25_rank", F.row_number().over(by_bm25)).withColumn("cosine_rank", F.row_number().over(by_cosine))
-    texts = ranked.join(corpus.chunks.select("chunk_ord", "text"), "chunk_ord").join(F.broadcast(queries.select("query_id", F.lower(trimmed("query")).alias("phrase"))) if few else queries.select("query_id", F.lower(trimmed("query")).alias("phrase")), "query_id")
-    phrase = F.when(F.contains(F.lower("text"), F.col("phrase")), F.lit(PHRASE_WEIGHT)).otherwise(F.lit(0.0))
-    fused = (F.lit(1.0) / (RANK_OFFSET + F.col("bm25_rank")) + F.lit(1.0) / (RANK_OFFSET + F.col("cosine_rank"))) * RANK_WEIGHT + F.col("coverage") * COVERAGE_WEIGHT + phrase
-    return texts.select("query_id", "chunk_ord", "bm25", "cosine", "coverage", F.round(fused, 6).alias("score"))
+    fused = (F.lit(1.0) / (RANK_OFFSET + F.row_number().over(by_bm25)) + F.lit(1.0) / (RANK_OFFSET + F.row_number().over(by_cosine))) * RANK_WEIGHT
+    ranked = sums.withColumn("coverage", F.col("n_met") / F.col("n_terms")).withColumn("fused", fused + F.col("coverage") * COVERAGE_WEIGHT)
+    # A chunk that holds the whole query has all its terms but perhaps its first and last word, which may go on in the text.
+    near = F.col("n_met") >= F.col("n_terms") - 2
+    phrases = queries.select("query_id", F.lower(trimmed("query")).alias("phrase"))
+    texts = corpus.chunks.select(F.col("chunk_ord").alias("text_of"), "text")
+    met = ranked.join(F.broadcast(phrases) if few else phrases, "query_id").join(texts, near & (F.col("chunk_ord") == F.col("text_of")), "left")
+    bonus = F.when(F.contains(F.lower("text"), F.col("phrase")), F.lit(PHRASE_WEIGHT)).otherwise(F.lit(0.0))
+    return met.select("query_id", "chunk_ord", "bm25", "cosine", "coverage", F.round(F.col("fused") + bonus, 6).alias("score"))
 
 
 def top(hits: DataFrame, limit: int, score: str = "score") -> DataFrame:
@@ -82,7 +97,7 @@ def hierarchical(corpus: Corpus, queries: DataFrame, limit: int = 12, adjacent:
     distance to the hit. Of a chunk that is found several ways the best score counts, and neighbours only count for
     chunks not found otherwise, first those of better hits.
     """
-    base = hybrid(corpus, queries, max(limit, 10)).persist()
+    base = stored(hybrid(corpus, queries, max(limit, 10)), "hits")
     children = corpus.chunks.select("chunk_ord", "parent_ord", F.col("part_index").alias("position"))
     parent_terms = corpus.sections.select("parent_ord", "summary", F.explode(F.array_distinct(lexical_tokens(F.concat_ws("\n", "title", "summary")))).alias("term"))
     matched = parent_terms.join(F.broadcast(query_terms(queries)), "term").groupBy("query_id", "parent_ord").agg((F.count(F.lit(1)) / F.first("n_terms")).alias("coverage"), F.first("summary").alias("summary"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from stratum.functions.text import column, newlines, token_estimate, trimmed
+from stratum.functions.text import column, let, newlines, token_estimate, trimmed
 
 CHUNK_TOKENS, CHUNK_OVERLAP = 1_200, 160
 PARENT_TOKENS = 6_000
@@ -28,48 +28,62 @@ def units(text: Column, target: int, overlap: int) -> Column:
         pieces = F.transform(F.sequence(F.lit(0), cuts), lambda i: F.substring(p, i * stride + 1, F.lit(longest)))
         return F.when(F.length(p) > longest, pieces).when(p != "", F.array(p)).otherwise(F.array().cast("array<string>"))
 
-    return F.flatten(F.transform(F.split(text, "\n{2,}"), lambda p: cut(trimmed(p))))
+    return F.flatten(F.transform(F.split(text, "\n{2,}"), lambda p: let(trimmed(p), cut)))
 
 
-def chunked(text: Column | str, target: int = CHUNK_TOKENS, overlap: int = CHUNK_OVERLAP) -> Column:
-    """Chunks of up to about ``target`` tokens; each begins with the last ``overlap`` characters of the one before."""
-    normal = newlines(text)
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.array().cast("array<string>").alias("cur"), F.lit(0).alias("n"))
+def _chunked(normal: Column, target: int, overlap: int) -> Column:
+    """Chunks of a text whose newlines are normal already; each unit is measured once."""
+    strings = "array<string>"
+    measured = F.transform(units(normal, target, overlap), lambda u: F.struct(u.alias("text"), token_estimate(u).alias("n")))
+    start = F.struct(F.array().cast(strings).alias("out"), F.array().cast(strings).alias("cur"), F.lit(0).alias("n"))
 
     def assembled(a: Column) -> Column:
         return trimmed(F.array_join(a["cur"], "\n\n"))
 
+    def flushed(a: Column, u: Column) -> Column:
+        def after(done: Column) -> Column:
+            tail = F.right(done, F.lit(overlap)) if overlap else F.lit("")
+            fresh = F.when(tail != "", F.array(tail, u["text"])).otherwise(F.array(u["text"]))
+            return let(fresh, lambda cur: F.struct(F.concat(a["out"], F.array(done)).alias("out"), cur.alias("cur"), token_estimate(F.array_join(cur, "\n\n")).cast("int").alias("n")))
+
+        return let(assembled(a), after)
+
     def add(a: Column, u: Column) -> Column:
-        full = (F.size(a["cur"]) > 0) & (a["n"] + token_estimate(u) > target)
-        done = assembled(a)
-        tail = F.right(done, F.lit(overlap)) if overlap else F.lit("")
-        fresh = F.when(tail != "", F.array(tail, u)).otherwise(F.array(u))
-        return F.struct(
-            F.when(full, F.concat(a["out"], F.array(done))).otherwise(a["out"]).alias("out"),
-            F.when(full, fresh).otherwise(F.concat(a["cur"], F.array(u))).alias("cur"),
-            F.when(full, token_estimate(F.array_join(fresh, "\n\n"))).otherwise(a["n"] + token_estimate(u)).cast("int").alias("n"),
-        )
+        full = (F.size(a["cur"]) > 0) & (a["n"] + u["n"] > target)
+        more = F.struct(a["out"].alias("out"), F.concat(a["cur"], F.array(u["text"])).alias("cur"), (a["n"] + u["n"]).cast("int").alias("n"))
+        return F.when(full, flushed(a, u)).otherwise(more)
 
-    folded = F.aggregate(units(normal, target, overlap), start, add, lambda a: F.when(F.size(a["cur"]) > 0, F.concat(a["out"], F.array(assembled(a)))).otherwise(a["out"]))
-    return F.when(normal == "", F.array().cast("array<string>")).otherwise(folded)
+    return F.aggregate(measured, start, add, lambda a: F.when(F.size(a["cur"]) > 0, F.concat(a["out"], F.array(assembled(a)))).otherwise(a["out"]))
+
+
+def chunked(text: Column | str, target: int = CHUNK_TOKENS, overlap: int = CHUNK_OVERLAP) -> Column:
+    """Chunks of up to about ``target`` tokens; each begins with the last ``overlap`` characters of the one before."""
+    return let(newlines(text), lambda normal: F.when(normal == "", F.array().cast("array<string>")).otherwise(_chunked(normal, target, overlap)))
 
 
 def sections(text: Column | str) -> Column:
     """(title, text) of the sections that Markdown headings open, what stands before them, or else large parts."""
-    normal = newlines(text)
-    pieces = F.split(F.regexp_replace(normal, HEADING, f"{_HEAD}$1{_TITLE}$2{_BODY}"), _HEAD)
-    first = trimmed(F.element_at(pieces, 1))
-    preface = F.when(first != "", F.array(F.struct(F.lit(PREFACE).alias("title"), first.alias("text"))))
+    none = F.array().cast("array<struct<title:string,text:string>>")
 
     def section(p: Column) -> Column:
-        title = trimmed(F.substring_index(F.substring_index(p, _BODY, 1), _TITLE, -1))
-        body = trimmed(F.substring_index(p, _BODY, -1))
-        return F.struct(title.alias("title"), trimmed(F.concat(F.substring_index(p, _TITLE, 1), F.lit(" "), title, F.lit("\n\n"), body)).alias("text"))
+        def shaped(title: Column) -> Column:
+            body = trimmed(F.substring_index(p, _BODY, -1))
+            return F.struct(title.alias("title"), trimmed(F.concat(F.substring_index(p, _TITLE, 1), F.lit(" "), title, F.lit("\n\n"), body)).alias("text"))
 
-    headed = F.transform(F.slice(pieces, 2, F.greatest(F.lit(0), F.size(pieces) - 1)), section)
-    plain = F.transform(chunked(normal, PARENT_TOKENS, 0), lambda p, i: F.struct(F.concat(F.lit(SECTION), (i + 1).cast("string")).alias("title"), p.alias("text")))
-    none = F.array().cast("array<struct<title:string,text:string>>")
-    return F.when(normal == "", none).when(F.size(pieces) > 1, F.concat(F.coalesce(preface, none), headed)).otherwise(plain)
+        return let(trimmed(F.substring_index(F.substring_index(p, _BODY, 1), _TITLE, -1)), shaped)
+
+    def headed(pieces: Column) -> Column:
+        preface = let(trimmed(F.element_at(pieces, 1)), lambda first: F.when(first != "", F.array(F.struct(F.lit(PREFACE).alias("title"), first.alias("text")))).otherwise(none))
+        return F.concat(preface, F.transform(F.slice(pieces, 2, F.greatest(F.lit(0), F.size(pieces) - 1)), section))
+
+    def plain(normal: Column) -> Column:
+        return F.transform(_chunked(normal, PARENT_TOKENS, 0), lambda p, i: F.struct(F.concat(F.lit(SECTION), (i + 1).cast("string")).alias("title"), p.alias("text")))
+
+    def split(normal: Column) -> Column:
+        pieces = F.split(F.regexp_replace(normal, HEADING, f"{_HEAD}$1{_TITLE}$2{_BODY}"), _HEAD)
+        return F.when(normal == "", none).otherwise(let(pieces, lambda found: F.when(F.size(found) > 1, headed(found)).otherwise(plain(normal))))
+
+    return let(newlines(text), split)
 
 
 def summary(title: Column | str, text: Column | str, most: int = SUMMARY_CHARS) -> Column:
