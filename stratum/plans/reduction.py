@@ -48,6 +48,39 @@ def levels(rows: DataFrame, fan_in: int) -> DataFrame:
         n = -(-n // fan_in)
 
 
+def reduced(rows: DataFrame, fan_in: int, merge) -> DataFrame:
+    """The tree as a whole: level by level, ``merge`` turns an array of members into their one result, down to one row.
+
+    ``rows`` hold (position, value), positions from 0 on. Each level is a shuffle of a ``fan_in``-th of the one before.
+    """
+    current, n = rows, rows.count()
+    while n > 1:
+        current = grouped(current, fan_in).select(F.col("group_no").alias("position"), merge(F.transform("members", lambda m: m["value"])).alias("value"))
+        n = -(-n // fan_in)
+    return current
+
+
+def role_counts(tasks: DataFrame, *by: str) -> DataFrame:
+    """How many tasks each specialist has."""
+    return tasks.groupBy(*by, F.coalesce("agent_type", F.lit("unknown")).alias("agent_type")).agg(F.count(F.lit(1)).alias("n_tasks"))
+
+
+def missing_terms(answers: DataFrame, terms: DataFrame) -> DataFrame:
+    """(case_id, term) of the ``terms`` that the case's answer (case_id, answer) doesn't hold; without an answer, all."""
+    met = terms.join(answers, "case_id", "left")
+    return met.where(~F.coalesce(F.contains(F.col("answer"), F.col("term")), F.lit(False))).select("case_id", "term")
+
+
+def failures(found: DataFrame) -> DataFrame:
+    """(case_id, primary_reason, reason_count) of the reasons (case_id, seq, code) of cases that failed."""
+    return found.groupBy("case_id").agg(F.min_by("code", "seq").alias("primary_reason"), F.count(F.lit(1)).alias("reason_count"))
+
+
+def retried(tasks: DataFrame, retry: DataFrame) -> DataFrame:
+    """The tasks whose ids are asked for again; ids of no task are ignored."""
+    return tasks.join(retry.select("task_id"), "task_id", "left_semi")
+
+
 def measured():
     """Prompt tokens of a call: the actual ones if they are known and not 0, else the estimate."""
     return F.coalesce(F.nullif("actual", F.lit(0)), F.col("estimated"))

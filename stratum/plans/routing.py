@@ -14,6 +14,7 @@ COMPOUND = ("同时", "分别", "逐项", "以及", "并且", "、", "；")
 COMPARE = ("比较", "对比", "差异", "异同")
 RISK = ("风险", "矛盾", "冲突", "缺口", "核实", "审查")
 SUMMARY = ("总结", "概括", "主要内容", "全文要点", "核心内容")
+RISK_ROLE = ("风险", "矛盾", "缺口", "核实", "审查")
 ANALYSE = ("分析", "总结", "归纳", "原因", "影响")
 FACT = "(是什么|有哪些|多少|哪[个些]?|谁|何时|何地|是否|提取|查找|找出)"
 EXHAUSTIVE = ("全部", "所有", "完整清单", "逐条", "逐项", "员工信息", "员工名单")
@@ -44,7 +45,7 @@ def intent(question: Column | str) -> Column:
 
 def agent_type(objective: Column | str) -> Column:
     q = column(objective)
-    return F.when(any_of(q, RISK), "risk_reviewer").when(any_of(q, COMPARE), "comparator").when(any_of(q, ANALYSE), "analyst").otherwise("fact_extractor")
+    return F.when(any_of(q, RISK_ROLE), "risk_reviewer").when(any_of(q, COMPARE), "comparator").when(any_of(q, ANALYSE), "analyst").otherwise("fact_extractor")
 
 
 def scope(question: Column | str, has_document: Column | bool = True, asked: Column | None = None) -> Column:
@@ -165,11 +166,16 @@ def allocated_tasks(tasks: DataFrame, ranges: DataFrame, question: str) -> DataF
     )
 
 
-def controlled_tasks(question: str, max_workers: int) -> list[tuple[str, str, str, int]]:
-    """Fixed tasks (objective, query, agent type, priority) of a question about the whole document."""
-    parts = [
-        ("概括文档开头的背景、目标与范围", "背景 目标 范围 文档开头", "analyst", 90),
-        (f"归纳文档核心内容并回答：{question}", question, "analyst", 85),
-        ("检查文档末尾的结论、行动项、限制与风险", "结论 行动项 限制 风险 文档末尾", "analyst", 80),
-    ]
-    return [parts[1]] if max_workers == 1 else [parts[0], parts[2]] if max_workers == 2 else parts
+# The tasks of a question about the whole document, and which of them fewer workers than three take.
+WHOLE_DOCUMENT = (
+    {"objective": "概括文档开头的背景、目标与范围", "query": "背景 目标 范围 文档开头", "agent_type": "analyst", "priority": 90},
+    {"objective": "归纳文档核心内容并回答：{question}", "query": "{question}", "agent_type": "analyst", "priority": 85},
+    {"objective": "检查文档末尾的结论、行动项、限制与风险", "query": "结论 行动项 限制 风险 文档末尾", "agent_type": "analyst", "priority": 80},
+)
+TAKEN_BY = {1: (1,), 2: (0, 2)}
+
+
+def controlled_tasks(question: str, max_workers: int) -> list[dict]:
+    """The fixed tasks of a question about the whole document, as many as there are workers for."""
+    rows = [WHOLE_DOCUMENT[i] for i in TAKEN_BY.get(max_workers, range(len(WHOLE_DOCUMENT)))]
+    return [{k: v.replace("{question}", question) if isinstance(v, str) else v for k, v in row.items()} for row in rows]

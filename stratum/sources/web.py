@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -54,10 +55,40 @@ def json_results(responses: DataFrame, limit: int = 5) -> DataFrame:
     return good.withColumn("position", F.row_number().over(W.partitionBy("query_id").orderBy("at"))).where(F.col("position") <= limit).select("query_id", "position", "title", "url", "snippet")
 
 
+# Names and texts of results as sources.
+SOURCE_NAME, SOURCE_TEXT = "联网来源 %d：%s｜%s", "# 联网来源 %d\n\n标题：%s\nURL：%s\n摘要：%s"
+
+
 def as_sources(results: DataFrame, first_ord: int = 0) -> DataFrame:
     """Results (position, title, url, snippet) as Markdown sources, to be indexed beside a document."""
-    text = F.concat(F.lit("# 联网来源 "), F.col("position").cast("string"), F.lit("\n\n标题："), F.col("title"), F.lit("\n\nURL："), F.col("url"), F.lit("\n\n"), F.col("snippet"))
-    return results.select((F.col("position") + first_ord).cast("long").alias("source_ord"), F.concat(F.lit("web_"), F.col("position").cast("string")).alias("document"), text.alias("text"))
+    return results.select((F.col("position") + first_ord).cast("long").alias("source_ord"), F.format_string(SOURCE_NAME, "position", "title", "url").alias("document"), F.format_string(SOURCE_TEXT, "position", "title", "url", F.coalesce("snippet", F.lit(""))).alias("text"))
+
+
+class SearchError(RuntimeError):
+    """The search gave no result, or no answer at all."""
+
+
+def searcher(spark, html_fetch: Callable[[str], str] | None = None, json_fetch: Callable[[str], str] | None = None):
+    """A search (question, limit) over a service that answers in JSON, or else one with result pages.
+
+    The fetchers take the prepared query and give the answer's body. That nothing was found is an error, not an empty
+    answer, so that nobody takes it for one.
+    """
+
+    def search(question: str, limit: int = 5) -> DataFrame:
+        if json_fetch is None and html_fetch is None:
+            raise SearchError("there is no search service")
+        asked = spark.createDataFrame([(question,)], "q string").select(search_query("q").alias("q")).collect()[0].q
+        if json_fetch is not None:
+            found = json_results(spark.createDataFrame([(1, json_fetch(asked))], "query_id int, body string"), limit)
+        else:
+            found = html_results(spark.createDataFrame([(1, html_fetch(asked))], "query_id int, html string"), limit)
+        found = found.select("position", "title", "url", "snippet")
+        if found.isEmpty():
+            raise SearchError(f"no result for {asked}")
+        return found
+
+    return search
 
 
 def first_links(pages: DataFrame, limit: int) -> DataFrame:
