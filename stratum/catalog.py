@@ -22,7 +22,7 @@ _ORACLES: dict[str, str] = {}
 SEARCHES = [(1, "the thing that was of"), (2, "Licensed under the Apache License"), (3, "est pour avec dans"), (4, "die und einheit"), (5, "zzqx unseen")]
 QUESTIONS = [
     (1, "本次长上下文测试的唯一有效项目代号是什么？"), (2, "比较 第一章 和 第二章 的差异"), (3, "请总结全文的主要内容"), (4, "审查文档中的风险"), (5, "同时列出项目代号、验收口令以及归档校验值"), (6, "你好，介绍一下自己"),
-    (7, "请输出全文"), (8, "输出第 16-20 页的原文内容"), (9, "第 3 页讲了什么内容"), (10, "列出所有员工信息"), (11, "How does this work"), (12, "分析原因和影响"), (13, "读取第9至2页"), (14, "输出PDF内容"), (15, "总结第 1 到 200 页"),
+    (7, "请输出全文"), (8, "输出第 16-20 页的原文内容"), (9, "第 3 页讲了什么内容"), (10, "列出所有员工信息"), (11, "How does this work"), (12, "分析原因和影响"), (13, "读取第9至2页"), (14, "输出PDF内容"), (15, "总结第 1 到 200 页"), (16, "冲突在哪里"), (17, "有哪些矛盾和缺口"),
 ]
 
 
@@ -175,7 +175,24 @@ def sharded_hybrid_topk(spark, sf_dir):
     return search.hybrid(corpus, ranged, 7).drop("source")
 
 
-@query()
+_HIERARCHY_SQL = f"""WITH {sql.search(_SEARCHES)}, se AS (SELECT parent_ord, title, text, {_SENTENCES} AS x FROM sections
+), sk AS (SELECT *, CASE WHEN len(x) = 0 THEN 0 WHEN len(x) = 1 OR length(x[1]) + length(x[2]) > 900 THEN 1 WHEN len(x) = 2 OR length(x[1]) + length(x[2]) + length(x[3]) > 900 THEN 2 ELSE 3 END AS n FROM se
+), sm AS (SELECT parent_ord, title, left(title || '：' || CASE WHEN n = 0 THEN left(text, 900) ELSE array_to_string(x[1:n], ' ') END, 900) AS summary FROM sk
+), hit AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_ord) AS hit_rank, chunk_ord, score FROM scored QUALIFY hit_rank <= 12
+), pt AS (SELECT parent_ord, summary, unnest(list_distinct({sql.lexical("title || chr(10) || summary")})) AS term FROM sm
+), pm AS (SELECT query_id, parent_ord, summary, count(*) / any_value(n_terms) AS coverage FROM pt JOIN qw USING (term) GROUP BY ALL
+), ps AS (SELECT query_id, parent_ord, coverage * 6 + CASE WHEN contains(lower(summary), lower({sql.trim("query")})) THEN 4 ELSE 0 END AS parent_score FROM pm JOIN q USING (query_id)
+), pk AS (SELECT * FROM ps QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(parent_score, 9) DESC, parent_ord) <= 4
+), found AS (SELECT query_id, chunk_ord, score, 'hybrid' AS source, 0 AS level FROM hit UNION ALL SELECT query_id, chunk_ord, round(parent_score + 0.4, 6), 'parent_summary', 1 FROM pk JOIN chunks USING (parent_ord) WHERE part_index < 4
+), best AS (SELECT query_id, chunk_ord, score, source FROM found QUALIFY row_number() OVER (PARTITION BY query_id, chunk_ord ORDER BY score DESC, level) = 1
+), places AS (SELECT query_id, hit_rank, score, c.parent_ord, c.part_index, greatest(0, c.part_index - 1) AS low FROM hit JOIN chunks c USING (chunk_ord)
+), near AS (SELECT query_id, c.chunk_ord, round(greatest(0.01, score - 0.15 * (c.part_index - low + 1)), 6) AS score, hit_rank FROM places pl JOIN chunks c ON c.parent_ord = pl.parent_ord AND c.part_index BETWEEN low AND pl.part_index + 1
+), added AS (SELECT query_id, chunk_ord, score FROM near ANTI JOIN best USING (query_id, chunk_ord) QUALIFY row_number() OVER (PARTITION BY query_id, chunk_ord ORDER BY hit_rank) = 1
+), every AS (SELECT * FROM best UNION ALL SELECT query_id, chunk_ord, score, 'parent_neighbor' FROM added)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_ord)::INTEGER AS rank, chunk_ord, score, source FROM every QUALIFY rank <= 12"""
+
+
+@query(_HIERARCHY_SQL)
 def hierarchical_topk(spark, sf_dir):
     return search.hierarchical(corpus_of(spark, sf_dir), _literal(spark, SEARCHES, "query_id int, query string"))
 
@@ -186,24 +203,23 @@ _QUESTIONS = f"(VALUES {sql.text_list(QUESTIONS)}) v(id, question)"
 _COMPACT = "regexp_replace(lower(question), '\\s+', '', 'g')"
 
 
-def _any(terms) -> str:
-    return f"regexp_matches(c, '{'|'.join(terms)}')"
+# The rules' terms once more, written out, so that a wrong list can't agree with itself.
+_ROUTE_SQL = f"""WITH q AS (SELECT *, {_COMPACT} AS c FROM {_QUESTIONS})
+SELECT id, CASE WHEN regexp_matches(c, '同时|分别|逐项|以及|并且|、|；') THEN 'compound_research' WHEN regexp_matches(c, '比较|对比|差异|异同') THEN 'comparison' WHEN regexp_matches(c, '风险|矛盾|冲突|缺口|核实|审查') THEN 'risk_review'
+  WHEN regexp_matches(c, '总结|概括|主要内容|全文要点|核心内容') THEN 'document_summary' WHEN regexp_matches(c, '是什么|有哪些|多少|哪|谁|何时|何地|是否|提取|查找|找出') THEN 'fact_lookup' ELSE 'open_research' END AS intent,
+  CASE WHEN regexp_matches(question, '风险|矛盾|缺口|核实|审查') THEN 'risk_reviewer' WHEN regexp_matches(question, '比较|对比|差异|异同') THEN 'comparator' WHEN regexp_matches(question, '分析|总结|归纳|原因|影响') THEN 'analyst' ELSE 'fact_extractor' END AS agent_type,
+  CASE WHEN regexp_matches(c, '^(你好|您好|你是谁|你能做什么|谢谢|帮我写|写一段|翻译|润色|改写|生成代码|写代码|解释一下)') THEN 'general' ELSE 'document' END AS scope,
+  NOT regexp_matches(c, '总结|概括|分析|评价|比较|风险|结论|解释|为什么') AND regexp_matches(c, '输出pdf内容|显示pdf内容|读取pdf内容|阅读pdf内容|输出全文|显示全文|读取全文|查看全文|输出原文|显示原文|查看原文|逐页输出|全部内容') AS direct_read,
+  regexp_matches(c, '输出|显示|读取|查看|原文|内容|提取') AND NOT regexp_matches(c, '总结|概括|分析|比较|评价|为什么|结论|风险') AS page_content, regexp_matches(c, '全部|所有|完整清单|逐条|逐项|员工信息|员工名单') AS exhaustive FROM q"""
 
 
-@query(
-    f"""WITH q AS (SELECT *, {_COMPACT} AS c FROM {_QUESTIONS})
-SELECT id, CASE WHEN {_any(routing.COMPOUND)} THEN 'compound_research' WHEN {_any(routing.COMPARE)} THEN 'comparison' WHEN {_any(routing.RISK)} THEN 'risk_review' WHEN {_any(routing.SUMMARY)} THEN 'document_summary'
-  WHEN regexp_matches(c, '{routing.FACT}') THEN 'fact_lookup' ELSE 'open_research' END AS intent,
-  CASE WHEN {_any(routing.RISK).replace("(c,", "(question,")} THEN 'risk_reviewer' WHEN {_any(routing.COMPARE).replace("(c,", "(question,")} THEN 'comparator' WHEN {_any(routing.ANALYSE).replace("(c,", "(question,")} THEN 'analyst' ELSE 'fact_extractor' END AS agent_type,
-  CASE WHEN regexp_matches(c, '^({"|".join(routing.GREETINGS)})') THEN 'general' ELSE 'document' END AS scope,
-  NOT {_any(routing.READ_VETO)} AND {_any(routing.READ_TERMS)} AS direct_read, {_any(routing.PAGE_TERMS)} AND NOT {_any(routing.PAGE_VETO)} AS page_content, {_any(routing.EXHAUSTIVE)} AS exhaustive FROM q"""
-)
+@query(_ROUTE_SQL)
 def intent_route(spark, sf_dir):
     q = _literal(spark, QUESTIONS, "id int, question string")
     return q.select("id", routing.intent("question").alias("intent"), routing.agent_type("question").alias("agent_type"), routing.scope("question").alias("scope"), routing.reads_directly("question").alias("direct_read"), routing.asks_page_content("question").alias("page_content"), routing.is_exhaustive("question").alias("exhaustive"))
 
 
-_PAGE = routing.PAGE_RANGE
+_PAGE = "(?:第\\s*)?(\\d{1,4})\\s*(?:[-—–~～]|至|到)\\s*(\\d{1,4})\\s*页|第\\s*(\\d{1,4})\\s*页"
 
 
 @query(
@@ -216,13 +232,13 @@ def page_range(spark, sf_dir):
     return q.select("id", F.col("r.start").alias("start_page"), F.col("r.end").alias("end_page"), F.col("r.valid").alias("valid"))
 
 
-_MARKS = " + ".join(f"((length(c) - length(replace(c, '{m}', ''))) // {len(m)})" for m in routing.COMPLEX)
+_MARKS = " + ".join(f"((length(c) - length(replace(c, '{m}', ''))) // {len(m)})" for m in ("同时", "分别", "逐项", "以及", "并且", "、", "；", "比较", "风险"))
 
 
 @query(
     f"""WITH {sql.CHUNKS}, t AS (SELECT (SELECT sum(strlen(text)) FROM docs) AS b, (SELECT count(*) FROM chunks) AS n
 ), q AS (SELECT *, regexp_replace(question, '\\s+', '', 'g') AS c FROM {_QUESTIONS}
-), d AS (SELECT id, {_any(routing.EXHAUSTIVE)} AS exhaustive_scan, least(8, 1 + {_MARKS} + length(c) // 500) AS complexity, b, n FROM q, t)
+), d AS (SELECT id, regexp_matches(c, '全部|所有|完整清单|逐条|逐项|员工信息|员工名单') AS exhaustive_scan, least(8, 1 + {_MARKS} + length(c) // 500) AS complexity, b, n FROM q, t)
 SELECT id, exhaustive_scan, (CASE WHEN exhaustive_scan THEN 32768 ELSE 65536 END)::INTEGER AS target_shard_bytes,
   greatest(3, 1, ceil(b / CASE WHEN exhaustive_scan THEN 32768.0 ELSE 65536.0 END), ceil(n / 128.0), complexity)::INTEGER AS desired_agents,
   least(8, greatest(3, 1, ceil(b / CASE WHEN exhaustive_scan THEN 32768.0 ELSE 65536.0 END), ceil(n / 128.0), complexity))::INTEGER AS allocated_agents FROM d"""
@@ -267,7 +283,7 @@ def task_normalise(spark, sf_dir):
 
 def _tasks(spark, corpus: Corpus) -> DataFrame:
     n = corpus.n_chunks
-    rows = [("task_01", "the thing that", "the thing that", "fact_extractor", 0, n // 2), ("task_02", "总结 of the thing", "the thing", "analyst", n // 2, n), ("task_03", "文档末尾", "on the 末尾", "fact_extractor", 0, n), ("task_04", "zzqx", "zzqx", "fact_extractor", 5, 50), ("task_05", "列出所有记录", "所有", "fact_extractor", 10, 40)]
+    rows = [("task_01", "the thing that", "the thing that", "fact_extractor", 0, n // 2), ("task_02", "总结 of the thing", "the thing", "analyst", n // 2, n), ("task_03", "文档末尾", "on the 末尾", "fact_extractor", 0, n), ("task_04", "zzqx", "zzqx", "fact_extractor", 0, n), ("task_05", "列出所有记录", "所有", "fact_extractor", 0, n)]
     return _literal(spark, rows, "task_id string, objective string, query string, agent_type string, chunk_start bigint, chunk_end bigint")
 
 
@@ -291,8 +307,8 @@ _STRATEGIES = (
 ), broad AS (SELECT 'task_0' || query_id AS task_id, row_number() OVER (PARTITION BY query_id ORDER BY part, k) AS position, chunk_ord, score, source, 'sharded_hybrid_plus_positional_coverage' AS strategy FROM once QUALIFY position <= 10
 ), hits AS (
   SELECT * FROM broad UNION ALL SELECT 'task_01', rank, chunk_ord, score, 'hybrid', 'sharded_hybrid_exact' FROM lex WHERE query_id = 1
-  UNION ALL SELECT 'task_04', i + 1, 5 + i, 0.01, 'shard_fallback', 'sharded_positional_fallback' FROM range(3) r(i)
-  UNION ALL SELECT 'task_05', i + 1, 10 + i, 1.0, 'shard_exhaustive_scan', 'sharded_exhaustive_scan' FROM range(30) r(i)
+  UNION ALL SELECT 'task_04', i + 1, i, 0.01, 'shard_fallback', 'sharded_positional_fallback' FROM range(3) r(i)
+  UNION ALL SELECT 'task_05', i + 1, i, 1.0, 'shard_exhaustive_scan', 'sharded_exhaustive_scan' FROM size, range(n) r(i)
 )"""
 ).replace("""), o AS (
   SELECT query_id, s, CASE WHEN query_id = 3 THEN list_reverse(p) ELSE list_transform([0], lambda z: list_sort(list_transform(p, lambda x: {'d': abs(x - half), 'p': x})))[1].p END AS p FROM (SELECT query_id, s, p, half FROM b WHERE query_id = 3)
@@ -422,37 +438,104 @@ def web_results_dedupe(spark, sf_dir):
 
 # Findings, reduction and accounting
 
-FINDINGS = [(1, "task_01", "fact_extractor", "old", ["e1"]), (2, "task_02", "analyst", "two", ["e2", "e1"]), (3, "task_01", "fact_extractor", "new", ["e3"]), (4, "", "analyst", "blank", ["e4"]), (5, "task_03", "analyst", "three", [])]
-CALLS = [(1, "supervisor", 100, None, 8000), (2, "analyst", 900, 950, 16000), (3, "analyst", 1000, 0, 16000), (4, "reducer", 70000, None, 16000), (5, "analyst", 10, 20, 16000)]
+# Each turn of a conversation stands for a finding (of task, evidence and agent by its turn and role) and for a call.
+_FOUND_SQL = """f AS (SELECT conv_id * 100 + turn AS seq, 'task_' || (turn % 3) AS task_id, conv_id, CASE role WHEN 'user' THEN 'analyst' ELSE 'fact_extractor' END AS agent_type, text AS summary,
+  CASE WHEN turn % 4 = 3 THEN []::VARCHAR[] ELSE ['e' || (length(text) % 7), 'e' || turn] END AS evidence_ids FROM conversations)"""
+
 
+def _findings(spark, sf_dir) -> DataFrame:
+    turn = F.col("turn")
+    return _table(spark, sf_dir, "conversations").select(
+        (F.col("conv_id") * 100 + turn).alias("seq"), F.concat(F.lit("task_"), (turn % 3).cast("string")).alias("task_id"), "conv_id", F.when(F.col("role") == "user", "analyst").otherwise("fact_extractor").alias("agent_type"), F.col("text").alias("summary"),
+        F.when(turn % 4 == 3, F.array().cast("array<string>")).otherwise(F.array(F.concat(F.lit("e"), (F.length("text") % 7).cast("string")), F.concat(F.lit("e"), turn.cast("string")))).alias("evidence_ids"),
+    )
 
-@query("SELECT * FROM (VALUES (1::BIGINT, 'task_01', 'new', ['e3']), (2, 'task_02', 'two', ['e2', 'e1']), (5, 'task_03', 'three', []::VARCHAR[])) v(first_seq, task_id, summary, evidence_ids)")
+
+@query(f"WITH {_FOUND_SQL} SELECT min(seq) AS first_seq, task_id, arg_max(md5(summary), seq) AS summary, arg_max(evidence_ids, seq) AS evidence_ids FROM f GROUP BY task_id")
 def findings_latest(spark, sf_dir):
-    rows = _literal(spark, FINDINGS, "seq bigint, task_id string, agent_type string, summary string, evidence_ids array<string>")
-    return reduction.latest(rows).select("first_seq", "task_id", "summary", "evidence_ids")
+    return reduction.latest(_findings(spark, sf_dir)).select("first_seq", "task_id", F.md5(F.col("summary").cast("binary")).alias("summary"), "evidence_ids")
 
 
-@query(
-    """WITH RECURSIVE lv AS (SELECT 0 AS level, count(*) AS n FROM documents UNION ALL SELECT level + 1, CASE WHEN n % 4 = 0 THEN n // 4 ELSE n // 4 + 1 END FROM lv WHERE n > 1)
-SELECT level::INTEGER AS level, n AS n_nodes FROM lv"""
-)
-def tree_reduce_shape(spark, sf_dir):
-    rows = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("position"))
-    return reduction.levels(rows, 4)
+@query(f"WITH {_FOUND_SQL}, m AS (SELECT seq, unnest(evidence_ids) AS artifact_id, generate_subscripts(evidence_ids, 1) AS k FROM f), o AS (SELECT artifact_id, min(seq * 10 + k) AS place FROM m GROUP BY artifact_id) SELECT row_number() OVER (ORDER BY place)::INTEGER AS position, artifact_id FROM o")
+def evidence_order(spark, sf_dir):
+    return reduction.ordered_ids(_findings(spark, sf_dir).withColumnRenamed("seq", "first_seq"))
+
+
+@query(f"WITH {_FOUND_SQL} SELECT seq, task_id, agent_type, md5(left(summary, 1500)) AS summary, list_slice([summary], 1, 8) = [summary] AS whole, list_slice(evidence_ids, 1, 12) AS evidence_ids FROM f")
+def findings_shown(spark, sf_dir):
+    rows = _findings(spark, sf_dir).withColumn("claims", F.array("summary")).withColumn("confidence", F.lit(1.0)).withColumn("artifact_id", F.col("seq").cast("string"))
+    return reduction.projected(rows).select(F.col("artifact_id").cast("bigint").alias("seq"), "task_id", "agent_type", F.md5(F.col("summary").cast("binary")).alias("summary"), (F.size("claims") == 1).alias("whole"), "evidence_ids")
+
+
+@query(f"WITH {_FOUND_SQL} SELECT conv_id, agent_type, count(*) AS n_tasks FROM f GROUP BY ALL")
+def role_counts(spark, sf_dir):
+    return reduction.role_counts(_findings(spark, sf_dir), "conv_id")
+
+
+@query(f"WITH {_FOUND_SQL} SELECT seq, coalesce(nullif(list_filter(evidence_ids, lambda x: x IN ('e1', 'e2', 'e3')), []), ['e1', 'e2', 'e3']) AS cited FROM f")
+def evidence_cited(spark, sf_dir):
+    packed = F.array(*[F.lit(f"e{i}") for i in range(1, 6)])
+    return _findings(spark, sf_dir).select("seq", evidence.valid_ids("evidence_ids", F.slice(packed, 1, 3)).alias("cited"))
 
 
-@query("SELECT role, count(*) AS calls, max(coalesce(nullif(actual, 0), estimated))::INTEGER AS max_prompt_tokens, bool_and(coalesce(nullif(actual, 0), estimated) + 3000 <= 64000) AS within_limit FROM (VALUES " + sql.text_list(CALLS) + ") v(call_no, role, estimated, actual, role_budget) GROUP BY role")
+@query(f"WITH {_FOUND_SQL}, r AS (SELECT DISTINCT 'task_' || (item_id % 5) AS task_id FROM benchmark WHERE item_id % 2 = 0) SELECT seq, task_id FROM f SEMI JOIN r USING (task_id)")
+def tasks_retried(spark, sf_dir):
+    retry = _table(spark, sf_dir, "benchmark").where("item_id % 2 = 0").select(F.concat(F.lit("task_"), (F.col("item_id") % 5).cast("string")).alias("task_id"))
+    return reduction.retried(_findings(spark, sf_dir), retry).select("seq", "task_id")
+
+
+@query("SELECT 1::BIGINT AS n_rows, sum(length(text))::BIGINT AS total, max(length(text))::INTEGER AS most FROM documents")
+def tree_reduced(spark, sf_dir):
+    rows = _table(spark, sf_dir, "documents").select((F.row_number().over(W.orderBy("doc_id")) - 1).cast("long").alias("position"), F.struct(F.length("text").cast("long").alias("total"), F.length("text").alias("most")).alias("value"))
+    add = lambda m: F.struct(F.aggregate(m, F.lit(0).cast("long"), lambda a, x: a + x["total"]).alias("total"), F.array_max(F.transform(m, lambda x: x["most"])).alias("most"))
+    return reduction.reduced(rows, 4, add).groupBy().agg(F.count(F.lit(1)).alias("n_rows"), F.max("value.total").alias("total"), F.max("value.most").alias("most"))
+
+
+_CALL_SQL = f"c AS (SELECT conv_id AS case_id, role, {sql.tokens('text')} AS estimated, CASE WHEN turn % 3 = 0 THEN NULL WHEN turn % 3 = 1 THEN 0 ELSE length(text) END AS actual FROM conversations), m AS (SELECT *, coalesce(nullif(actual, 0), estimated) AS used FROM c)"
+
+
+def _calls(spark, sf_dir) -> DataFrame:
+    actual = F.when(F.col("turn") % 3 == 0, F.lit(None).cast("int")).when(F.col("turn") % 3 == 1, 0).otherwise(F.length("text"))
+    return _table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("case_id"), "role", tx.token_estimate("text").alias("estimated"), actual.alias("actual"))
+
+
+@query(f"WITH {_CALL_SQL} SELECT role, count(*) AS calls, max(used)::INTEGER AS max_prompt_tokens, bool_and(used + 3000 <= 3400) AS within_limit FROM m GROUP BY role")
 def calls_by_role(spark, sf_dir):
-    return reduction.calls_by_role(_literal(spark, CALLS, "call_no int, role string, estimated int, actual int, role_budget int"))
+    return reduction.calls_by_role(_calls(spark, sf_dir), 3_400)
+
+
+@query(f"WITH {_CALL_SQL} SELECT count(*) AS calls, max(used)::INTEGER AS max_prompt_tokens, bool_and(used + 3000 <= 64000) AS within_limit, round(max(used) * 100.0 / 64000, 2) AS utilisation_percent FROM m")
+def call_totals(spark, sf_dir):
+    return reduction.call_totals(_calls(spark, sf_dir))
+
 
+_TERMS_SQL = "t AS (SELECT doc_id % 50 AS case_id, 'te' || (doc_id % 7) AS odd, substring(text, 1, 4) AS term FROM documents)"
 
-@query("SELECT * FROM (VALUES ('all_tasks_have_findings', false), ('artifacts_and_evidence_valid', false), ('reducer_evidence_closed', false), ('unique_task_ids', true), ('all_calls_within_context_limit', false)) v(check_name, passed)")
+
+@query(f"WITH {_TERMS_SQL} SELECT t.case_id, t.term FROM t LEFT JOIN (SELECT item_id AS case_id, text AS answer FROM benchmark) a USING (case_id) WHERE NOT coalesce(contains(answer, term), false)")
+def terms_missing(spark, sf_dir):
+    terms = _table(spark, sf_dir, "documents").select((F.col("doc_id") % 50).alias("case_id"), F.substring("text", 1, 4).alias("term"))
+    return reduction.missing_terms(_table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("case_id"), F.col("text").alias("answer")), terms)
+
+
+@query(f"WITH {_FOUND_SQL} SELECT conv_id AS case_id, arg_min(agent_type || length(summary), seq) AS primary_reason, count(*) AS reason_count FROM f GROUP BY conv_id")
+def failure_summary(spark, sf_dir):
+    rows = _findings(spark, sf_dir).select(F.col("conv_id").alias("case_id"), "seq", F.concat("agent_type", F.length("summary").cast("string")).alias("code"))
+    return reduction.failures(rows)
+
+
+_CHECKED_SQL = f"""WITH {_FOUND_SQL}, l AS (SELECT task_id, arg_max(agent_type, seq) AS agent_type, arg_max(summary, seq) AS summary, arg_max(evidence_ids, seq) AS ids FROM f GROUP BY task_id
+), t AS (SELECT 'task_' || i AS task_id FROM range(4) r(i)), ev AS (SELECT DISTINCT 'e' || turn AS id FROM conversations WHERE turn % 2 = 0), u AS (SELECT task_id, unnest(ids) AS id FROM l)
+SELECT unnest(['unique_task_ids', 'all_tasks_have_findings', 'artifacts_and_evidence_valid', 'reducer_evidence_closed', 'all_calls_within_context_limit']) AS check_name,
+  unnest([true, (SELECT count(*) FROM t ANTI JOIN l USING (task_id)) + (SELECT count(*) FROM l WHERE len(ids) = 0) = 0, false, (SELECT count(*) FROM (SELECT unnest(['e0', 'e99']) AS id) r ANTI JOIN u USING (id)) = 0, true]) AS passed"""
+
+
+@query(_CHECKED_SQL)
 def hard_checks(spark, sf_dir):
-    tasks = _literal(spark, [("task_01",), ("task_02",), ("task_03",), ("task_04",)], "task_id string")
-    found = reduction.latest(_literal(spark, FINDINGS, "seq bigint, task_id string, agent_type string, summary string, evidence_ids array<string>"))
-    artifacts = _literal(spark, [("e1", "evidence"), ("e2", "evidence")], "artifact_id string, kind string")
-    calls = _literal(spark, CALLS, "call_no int, role string, estimated int, actual int, role_budget int")
-    checks = reduction.hard_checks(tasks, found.withColumn("artifact_id", F.lit(None).cast("string")), artifacts, _literal(spark, [("e1",), ("e9",)], "artifact_id string"), calls)
+    tasks = spark.range(4).select(F.concat(F.lit("task_"), F.col("id").cast("string")).alias("task_id"))
+    found = reduction.latest(_findings(spark, sf_dir)).withColumn("artifact_id", F.lit(None).cast("string"))
+    artifacts = _table(spark, sf_dir, "conversations").where("turn % 2 = 0").select(F.concat(F.lit("e"), F.col("turn").cast("string")).alias("artifact_id"), F.lit("evidence").alias("kind")).distinct()
+    checks = reduction.hard_checks(tasks, found, artifacts, _literal(spark, [("e0",), ("e99",)], "artifact_id string"), _calls(spark, sf_dir))
     return checks.select(F.explode("checks").alias("check_name", "passed"))
 
 
@@ -471,22 +554,61 @@ def clamps_and_redaction(spark, sf_dir):
     return _literal(spark, rows, "id int, body string, c string, p string").select("id", tx.redacted("body", "SECRET").alias("message"), tx.confidence("c").alias("confidence"), tx.clamped_int("p", 1, 100, 50).alias("priority"))
 
 
-TERMS = [(1, "青峦-7429"), (1, "银杏-5813"), (2, "HF-90617-Z")]
+# Answers of a model as the texts of documents with objects set into them, some of them broken.
+_SAID_SQL = "a AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN left(text, 20) || ' {\"n\": ' || doc_id || '} ' || left(text, 5) WHEN 1 THEN 'x ```json\n{\"n\": ' || doc_id || '}\n``` {' WHEN 2 THEN '{\"n\": ' || doc_id ELSE '```json\n{\"n\": }\n``` {\"n\": 1}' END AS answer FROM documents WHERE NOT regexp_matches(text, '[{}`]'))"
 
 
-@query("SELECT a.id, t.term, contains(a.answer, t.term) AS found FROM (VALUES (1, '代号 青峦-7429'), (2, '值为 HF-90617-Z。')) a(id, answer) JOIN (VALUES " + sql.text_list(TERMS) + ") t(id, term) ON a.id = t.id")
-def expected_terms(spark, sf_dir):
-    answers = _literal(spark, [(1, "代号 青峦-7429"), (2, "值为 HF-90617-Z。")], "id int, answer string")
-    return answers.join(_literal(spark, TERMS, "id int, term string"), "id").select("id", "term", F.contains("answer", "term").alias("found"))
+@query(f"WITH {_SAID_SQL} SELECT doc_id, CASE WHEN doc_id % 4 < 2 THEN doc_id END AS n FROM a")
+def json_from_answers(spark, sf_dir):
+    d, head = F.col("doc_id").cast("string"), F.col("doc_id") % 4
+    answer = F.when(head == 0, F.concat(F.left("text", F.lit(20)), F.lit(' {"n": '), d, F.lit("} "), F.left("text", F.lit(5)))).when(head == 1, F.concat(F.lit('x ```json\n{"n": '), d, F.lit("}\n``` {"))).when(head == 2, F.concat(F.lit('{"n": '), d)).otherwise('```json\n{"n": }\n``` {"n": 1}')
+    rows = _table(spark, sf_dir, "documents").where(~F.col("text").rlike("[{}`]"))
+    return rows.select("doc_id", F.get_json_object(tx.json_object(answer), "$.n").cast("bigint").alias("n"))
 
 
-@query(
-    """SELECT (SELECT count(*) FROM documents) AS sources, n AS chunk_count, c.chunk_ord, lag(c.chunk_ord) OVER (ORDER BY c.chunk_ord) AS previous_sibling FROM (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS chunk_ord FROM documents WHERE false) c, (SELECT 1 AS n)"""
-)
-def empty_corpus(spark, sf_dir):
-    corpus = Corpus.build(_sources(spark, sf_dir).limit(0), cache=False)
-    order = W.orderBy("chunk_ord")
-    return corpus.chunks.select(F.lit(0).cast("long").alias("sources"), F.lit(1).alias("chunk_count"), "chunk_ord", F.lag("chunk_ord").over(order).alias("previous_sibling"))
+# Reading pages, memory and neighbours over the tables
+
+# A book of each language: a page for each document, in the order of their ids.
+_BOOK_SQL = "p AS (SELECT lang AS document, doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS page, replace(regexp_replace(text, '\\s+', ' ', 'g'), '#', '') AS body FROM documents WHERE lang IS NOT NULL AND text IS NOT NULL)"
+
+
+def _books(spark, sf_dir) -> DataFrame:
+    page = F.row_number().over(W.partitionBy("lang").orderBy("doc_id"))
+    rows = _table(spark, sf_dir, "documents").where("lang IS NOT NULL AND text IS NOT NULL").select(F.col("lang").alias("document"), page.alias("page"), F.replace(F.regexp_replace("text", "\\s+", " "), F.lit("#"), F.lit("")).alias("body"))
+    whole = F.transform(F.array_sort(F.collect_list(F.struct("page", "body"))), lambda x: F.concat(F.lit("## 第 "), x["page"].cast("string"), F.lit(" 页\n\n"), x["body"]))
+    return rows.groupBy("document").agg(F.array_join(whole, "\n\n").alias("text"))
+
+
+@query(f"""WITH {_BOOK_SQL}, b AS (SELECT *, '## 第 ' || page || ' 页' || chr(10) || chr(10) || body AS block FROM p), o AS (SELECT *, coalesce(sum(length(block) + 2) OVER (PARTITION BY document ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s, max(page) OVER (PARTITION BY document) AS last FROM b)
+SELECT document, md5(string_agg({sql.trim("block")}, chr(10) || chr(10) ORDER BY page)) AS digest, min(s)::INTEGER AS start_character, max(s + length(block) + CASE WHEN page = last THEN 0 ELSE 2 END)::INTEGER AS end_character FROM o WHERE page BETWEEN 3 AND 6 GROUP BY document""")
+def page_span(spark, sf_dir):
+    return reader.page_span(_books(spark, sf_dir), 3, 6).select("document", F.md5(F.col("content").cast("binary")).alias("digest"), "start_character", "end_character")
+
+
+@query(f"WITH {_BOOK_SQL}, n AS (SELECT document, max(page) AS last FROM p GROUP BY document) SELECT document, list_filter(range(last - 1, last + 3), lambda x: x > last)::INTEGER[] AS missing FROM n WHERE last >= 2 AND last = (SELECT max(last) FROM n)")
+def pages_missing(spark, sf_dir):
+    books = _books(spark, sf_dir)
+    last = reader.pages(books).groupBy("document").agg(F.max("page").alias("n")).orderBy(F.desc("n")).first()
+    return reader.page_span(books.where(F.col("document") == last.document), last.n - 1, last.n + 2).select("document", "missing")
+
+
+@query(f"WITH mem AS ({_memory_sql(20, 6000)}) SELECT c.conv_id, turn, CASE WHEN memory IS NOT NULL AND regexp_matches(text, '这个|该内容|上述|前面|刚才|它|其|这些|他们') THEN text || chr(10) || memory ELSE text END AS query FROM conversations c LEFT JOIN mem USING (conv_id)")
+def referential_queries(spark, sf_dir):
+    rows = _table(spark, sf_dir, "conversations")
+    return rows.join(memory.bounded_memory(rows), "conv_id", "left").select("conv_id", "turn", routing.with_memory("text", F.col("memory")).alias("query"))
+
+
+@query(f"WITH {sql.SECTIONS}, w AS (SELECT parent_ord, len({sql.lexical('title')}) AS title_terms, {sql.lexical('left(text, 900)')} AS head FROM sections) SELECT parent_ord, (title_terms + 7)::INTEGER AS title_terms, len(list_distinct(head))::INTEGER AS head_terms FROM w")
+def parent_terms(spark, sf_dir):
+    sections = corpus_of(spark, sf_dir).sections
+    return sections.select("parent_ord", F.size(tx.lexical_tokens("title")).alias("title_terms"), F.size(F.array_distinct(tx.lexical_tokens(F.left("text", F.lit(900))))).alias("head_terms"))
+
+
+@query("SELECT doc_id, text IS NOT NULL AND length(text) > 0 AS has_text, strlen(text) > 20 * 1024 * 1024 AS oversized FROM documents")
+def source_guard(spark, sf_dir):
+    from stratum.sources.files import MAX_BYTES
+
+    return _table(spark, sf_dir, "documents").select("doc_id", (F.length("text") > 0).alias("has_text"), (F.octet_length("text") > MAX_BYTES).alias("oversized"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
