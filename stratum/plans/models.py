@@ -34,7 +34,7 @@ class ModelError(RuntimeError):
 
 
 _SENTENCE = re.compile(r"[^。！？!?；;\n]+[。！？!?；;]?")
-_PART = re.compile(r"[、；，,;\n]|总体目标：|以及|并且|同时|分别|和|及")
+_PART = re.compile(r"[、；，,;\n]|总体目标：|是什么|什么|哪些|多少|请|以及|并且|同时|分别|和|及")
 _WORD = re.compile(r"[0-9a-z_]+(?:[-.][0-9a-z_]+)*|[㐀-鿿]+")
 QUOTES, LEAST_SHARE = 3, 0.25
 
