@@ -63,7 +63,9 @@ def contamination(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     ``benchmark`` holds (item_id, text). Null and empty texts have no words, are never hit and hold no window; items of
     under 13 words are one window as a whole. Items that share an id count once; a null id counts as ``null``. Rows
-    that share a doc_id are judged each by its own text. An empty benchmark hits nothing; other columns are ignored.
+    that share a doc_id, null included, are judged each by its own text, and equal rows alike. A text is read whole, up
+    to 2^27 words. An empty benchmark hits nothing, an empty table gives no rows; other columns are ignored, whatever
+    their names.
     """
     docs = documents.select("doc_id", F.xxhash64("text").alias("text_hash"), words(F.col("text")).alias("w")).withColumn("n", F.size("w"))
     items = cut(benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), words(F.col("text")).alias("w")).distinct().withColumn("n", F.size("w")).where("n > 0"))
