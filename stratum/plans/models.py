@@ -65,8 +65,13 @@ def _specialist(prompt: str) -> dict:
     return {"summary": " ".join(dict.fromkeys(q[2] for q in best)) or "所给证据中没有相关语句。", "claims": list(dict.fromkeys(q[2] for q in best)), "evidence_ids": list(dict.fromkeys(q[3] for q in best)), "confidence": round(best[0][0], 3) if best else 0.0}
 
 
+def _value(prompt: str):
+    """The JSON value that a prompt begins with."""
+    return json.JSONDecoder().raw_decode(prompt)[0]
+
+
 def _reducer(prompt: str) -> dict:
-    members = sorted(json.loads(prompt), key=lambda m: -float(m.get("confidence") or 0))
+    members = sorted(_value(prompt), key=lambda m: -float(m.get("confidence") or 0))
     claims = list(dict.fromkeys(c for m in members for c in m["claims"]))[:20]
     return {"summary": " ".join(claims) or members[0]["summary"], "claims": claims, "evidence_ids": list(dict.fromkeys(i for m in members for i in m["evidence_ids"])), "confidence": max(float(m.get("confidence") or 0) for m in members)}
 
@@ -84,9 +89,9 @@ def extractive_model(role: str, messages: list[dict[str, str]]) -> str:
     if role == "reducer":
         return json.dumps(_reducer(prompt), ensure_ascii=False)
     if role == "validator":
-        return json.dumps({"semantic_pass": json.loads(prompt)["hard_validation"]["passed"], "missing_task_ids": [], "contradictions": [], "notes": ""})
+        return json.dumps({"semantic_pass": _value(prompt)["hard_validation"]["passed"], "missing_task_ids": [], "contradictions": [], "notes": ""})
     if role == "finalizer":
-        reduced = json.loads(prompt)["reduced"]
+        reduced = _value(prompt)["reduced"]
         return "\n".join(reduced["claims"]) or reduced["summary"]
     return "这个模型只摘录文档，不作通用问答。"
 
