@@ -8,7 +8,6 @@ and backward passes. A logistic model turns the largest odds and the sum of marg
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -206,18 +205,26 @@ class Tagger:
         return docs.mapInArrow(run, "doc_id bigint, score double, spans array<struct<start:int,end:int,marginal:double>>")
 
 
+def _different(values: np.ndarray, beside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The values in order, and how many different ones stand beside each; pairs are told apart by 64 bits of hash."""
+    _, at = np.unique(wh.mixed(values ^ wh.mixed(beside)), return_index=True)
+    return np.unique(values[at], return_counts=True)
+
+
 def _label_tokens(hashes: np.ndarray, first: np.ndarray, toxic: np.ndarray) -> np.ndarray:
-    row = np.repeat(np.arange(len(toxic)), np.diff(first))
+    row = np.repeat(np.arange(len(toxic)), np.diff(first)).astype(np.uint64)
     before = np.concatenate((np.zeros(1, np.uint64), hashes[:-1]))
     before[first[:-1][first[:-1] < len(hashes)]] = 0
-    bad = toxic[row]
-    pairs = np.unique(np.stack([hashes[bad], before[bad]], 1), axis=0)
-    contexts = Counter(pairs[:, 0].tolist())
-    in_bad = Counter(np.unique(np.stack([hashes[bad], row[bad].astype(np.uint64)], 1), axis=0)[:, 0].tolist())
-    in_good = Counter(np.unique(np.stack([hashes[~bad], row[~bad].astype(np.uint64)], 1), axis=0)[:, 0].tolist())
+    bad = toxic[row.astype(np.int64)]
+    values, contexts = _different(hashes[bad], before[bad])
+    _, in_bad = _different(hashes[bad], row[bad])
+    met = ~bad & np.isin(hashes, values)
+    good_values, counts = _different(hashes[met], row[met])
+    in_good = np.zeros(len(values))
+    in_good[np.searchsorted(values, good_values)] = counts
     n_bad, n_good = max(1, int(toxic.sum())), max(1, int((~toxic).sum()))
-    marked = [h for h, n in contexts.items() if n >= CONTEXTS and in_bad[h] / n_bad >= TIMES * (in_good[h] + 0.5) / n_good]
-    return bad & np.isin(hashes, np.array(sorted(marked), np.uint64))
+    marked = values[(contexts >= CONTEXTS) & (in_bad / n_bad >= TIMES * (in_good + 0.5) / n_good)]
+    return bad & np.isin(hashes, marked)
 
 
 def _fit_chain(hashes: np.ndarray, first: np.ndarray, label: np.ndarray) -> Tagger:
@@ -245,10 +252,9 @@ def _fit_chain(hashes: np.ndarray, first: np.ndarray, label: np.ndarray) -> Tagg
     return me
 
 
-def fit_texts(texts: list[str], toxic: np.ndarray, share: float) -> Tagger:
+def fit_texts(column: pa.Array, toxic: np.ndarray, share: float) -> Tagger:
     """Fit on texts and their labels; ``share`` is how many of all documents are toxic."""
-    column = pa.array(texts, pa.string())
-    parts = [(tokens(data, offsets)) for _, _, data, offsets in wh.slices(column, 1 << 40)]
+    parts = [tokens(data, offsets) for _, _, data, offsets in wh.slices(column, 1 << 40)]
     if not parts or not toxic.any() or toxic.all() or not len(parts[0][2]):
         share = min(max(share, 0.01), 0.99)
         return Tagger(np.zeros(0, np.uint64), np.zeros((3, 1)), np.zeros(5), np.array([np.log(share / (1 - share)), 0.0, 0.0]))
@@ -289,10 +295,22 @@ def fit(documents: DataFrame, labels: DataFrame, usable, sample_rows: int = SAMP
                 left -= r.n
     wanted = documents.sparkSession.createDataFrame(gathered, "of_doc bigint, of_digest bigint, toxic int")
     met = texts.join(F.broadcast(wanted), (F.col("doc_id") == F.col("of_doc")) & (F.col("digest") == F.col("of_digest")))
-    rows = met.groupBy("doc_id", "digest", "toxic").agg(F.first("text").alias("text")).toPandas()
-    rows = rows.sort_values(["doc_id", "digest"])
+    rows = met.groupBy("doc_id", "digest", "toxic").agg(F.first("text").alias("text"))
     share = (counts.get(1, 0) + 1) / (sum(counts.values()) + 2)
-    return fit_texts(rows.text.tolist(), (rows.toxic == 1).to_numpy(bool), share)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if held:
+            table = pa.Table.from_batches(held).sort_by([("doc_id", "ascending"), ("digest", "ascending")])
+            me = fit_texts(table.column("text").combine_chunks(), table.column("toxic").to_numpy() == 1, share)
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (me.vocabulary, me.weights, me.chain, me.model)], ["vocabulary", "weights", "chain", "model"])
+
+    # The sample is bounded, so that one task can hold it; the driver gets the model alone.
+    fitted = rows.repartition(1).mapInArrow(run, "vocabulary binary, weights binary, chain binary, model binary").collect()
+    if not fitted:
+        return fit_texts(pa.array([], pa.string()), np.zeros(0, bool), share)
+    vocabulary, weights, chain, model = (np.frombuffer(bytes(x), np.uint64 if i == 0 else float) for i, x in enumerate(fitted[0]))
+    return Tagger(vocabulary, weights.reshape(3, -1), chain, model)
 
 
 def held_out(doc_id: str = "doc_id"):
