@@ -45,15 +45,24 @@ def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("source_ord"), F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("document"), "text")
 
 
-_corpora: dict[tuple[str, str], Corpus] = {}
+_corpora: dict[tuple[str, str], tuple[tuple[int, int], Corpus]] = {}
+
+
+def _state(spark: SparkSession, path: str) -> tuple[int, int]:
+    """When a table was last written, and its size."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    return files.getFileStatus(at).getModificationTime(), files.getContentSummary(at).getLength()
 
 
 def corpus_of(spark: SparkSession, sf_dir: str) -> Corpus:
-    """The index of the documents, built once for each session and folder."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    """The index of the documents, built once for each session, folder and state of the folder's table."""
+    key, state = (spark.sparkContext.applicationId, sf_dir), _state(spark, f"{sf_dir}/documents.parquet")
+    if key in _corpora and _corpora[key][0] != state:
+        _corpora.pop(key)[1].release()
     if key not in _corpora:
-        _corpora[key] = Corpus.build(_sources(spark, sf_dir))
-    return _corpora[key]
+        _corpora[key] = state, Corpus.build(_sources(spark, sf_dir))
+    return _corpora[key][1]
 
 
 def _literal(spark: SparkSession, rows, schema: str) -> DataFrame:

@@ -24,6 +24,12 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return counted.withColumn("n_terms", F.count(F.lit(1)).over(W.partitionBy("query_id")))
 
 
+def small(queries: DataFrame):
+    """Broadcasts a side that has no more rows than the queries have terms, if these are few; else leaves it as it is."""
+    few = query_terms(queries).count() <= BROADCAST_TERMS
+    return F.broadcast if few else lambda side: side
+
+
 def range_averages(corpus: Corpus, ranges: DataFrame) -> DataFrame:
     """(query_id, average) length of the chunks in each range (query_id, range_start, range_end) that holds any, from
     the lengths summed up before its first and its last chunk."""
@@ -52,10 +58,10 @@ def scored(corpus: Corpus, queries: DataFrame) -> DataFrame:
     terms = query_terms(queries).join(corpus.terms, "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))
     weight = (1 + F.log("qtf")) * (F.log((F.lit(size) + 1) / (F.col("df") + 1)) + 1)
     weighted = terms.withColumn("weight", weight).withColumn("query_norm", F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(W.partitionBy("query_id")))).where("df > 0")
-    few = query_terms(queries).count() <= BROADCAST_TERMS
-    met = corpus.postings.join(F.broadcast(weighted) if few else weighted, "term").join(corpus.stats, "chunk_ord")
+    few = small(queries)
+    met = corpus.postings.join(few(weighted), "term").join(corpus.stats, "chunk_ord")
     if ranged:
-        met = met.join(F.broadcast(ranges), "query_id").where(inside).join(F.broadcast(average), "query_id")
+        met = met.join(few(ranges), "query_id").where(inside).join(few(average), "query_id")
     else:
         met = met.crossJoin(F.broadcast(average))  # one row
     idf = F.log(1 + (F.lit(size) - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -76,7 +82,7 @@ def scored(corpus: Corpus, queries: DataFrame) -> DataFrame:
     near = F.col("n_met") >= F.col("n_terms") - 2
     phrases = queries.select("query_id", F.lower(trimmed("query")).alias("phrase"))
     texts = corpus.chunks.select(F.col("chunk_ord").alias("text_of"), "text")
-    met = ranked.join(F.broadcast(phrases) if few else phrases, "query_id").join(texts, near & (F.col("chunk_ord") == F.col("text_of")), "left")
+    met = ranked.join(few(phrases), "query_id").join(texts, near & (F.col("chunk_ord") == F.col("text_of")), "left")
     bonus = F.when(F.contains(F.lower("text"), F.col("phrase")), F.lit(PHRASE_WEIGHT)).otherwise(F.lit(0.0))
     return met.select("query_id", "chunk_ord", "bm25", "cosine", "coverage", F.round(F.col("fused") + bonus, 6).alias("score"))
 
@@ -100,11 +106,12 @@ def hierarchical(corpus: Corpus, queries: DataFrame, limit: int = 12, adjacent:
     base = stored(hybrid(corpus, queries, max(limit, 10)), "hits")
     children = corpus.chunks.select("chunk_ord", "parent_ord", F.col("part_index").alias("position"))
     parent_terms = corpus.sections.select("parent_ord", "summary", F.explode(F.array_distinct(lexical_tokens(F.concat_ws("\n", "title", "summary")))).alias("term"))
-    matched = parent_terms.join(F.broadcast(query_terms(queries)), "term").groupBy("query_id", "parent_ord").agg((F.count(F.lit(1)) / F.first("n_terms")).alias("coverage"), F.first("summary").alias("summary"))
+    few = small(queries)
+    matched = parent_terms.join(few(query_terms(queries)), "term").groupBy("query_id", "parent_ord").agg((F.count(F.lit(1)) / F.first("n_terms")).alias("coverage"), F.first("summary").alias("summary"))
     phrases = queries.select("query_id", F.lower(trimmed("query")).alias("phrase"))
     score = F.col("coverage") * 6 + F.when(F.contains(F.lower("summary"), F.col("phrase")), 4.0).otherwise(0.0)
     order = W.partitionBy("query_id").orderBy(F.round("parent_score", DIGITS).desc(), "parent_ord")
-    parents = matched.join(F.broadcast(phrases), "query_id").withColumn("parent_score", score).withColumn("n", F.row_number().over(order)).where(F.col("n") <= (8 if global_mode else 4))
+    parents = matched.join(few(phrases), "query_id").withColumn("parent_score", score).withColumn("n", F.row_number().over(order)).where(F.col("n") <= (8 if global_mode else 4))
     from_parents = parents.join(children, "parent_ord").where("position < 4").select("query_id", "chunk_ord", F.round(F.col("parent_score") + (1.2 if global_mode else 0.4), 6).alias("score"), F.lit("parent_summary").alias("source"), F.lit(1).alias("level"))
     first = base.select("query_id", "chunk_ord", "score", "source", F.lit(0).alias("level")).unionByName(from_parents)
     best = W.partitionBy("query_id", "chunk_ord").orderBy(F.col("score").desc(), "level")

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 MAX_BYTES, MAX_CHARS, MAX_PAGES = 20 * 1024 * 1024, 20_000_000, 3_000
 MAX_MEMBERS, MAX_UNPACKED = 8_000, 120 * 1024 * 1024
 # File kinds, and the XML names of the office formats.
-TEXT_KINDS = ("txt", "md", "markdown", "csv", "tsv", "json", "jsonl", "log", "rst", "yaml", "yml")
+TEXT_KINDS = ("txt", "md", "csv", "json", "log")
 LEGACY_KINDS = ("doc", "ppt", "rtf", "odt", "odp")
 WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 DRAWING = "{http://schemas.openxmlformats.org/drawingml/2006/main}"

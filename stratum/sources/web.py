@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from stratum.functions.text import collapsed, column, trimmed
 
 TITLE_CHARS, SNIPPET_CHARS, QUERY_CHARS = 300, 1_000, 500
+# How result pages are marked up.
 BLOCK = r'(?s)<li class="b_algo".*?</li>'
 HEAD = r'(?s)<h2[^>]*>\s*<a[^>]*href="([^"]+)"[^>]*>(.*?)</a>'
 PARAGRAPH = r"(?s)<p[^>]*>(.*?)</p>"
