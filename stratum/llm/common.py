@@ -2,59 +2,30 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stratum.storage import removed as drop
+from stratum.storage import shared_folder, stored
+
+__all__ = ["BROADCAST_ROWS", "by_key", "cut", "drop", "maybe_broadcast", "new_path"]
+
 #: Sides of a join up to this many rows are broadcast; larger ones are shuffled.
 BROADCAST_ROWS = 100_000
 #: A key is hot with more rows than this, and than one in ``HOT_KEYS`` of all rows: so at most ``HOT_KEYS`` keys are.
 HOT_ROWS, HOT_KEYS = 1_000, 10_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Where it is unset, a local run gets a folder of its own, removed at exit; a cluster has to name one.
-    """
-    scala_context = spark.sparkContext._jsc.sc()
-    if scala_context.getCheckpointDir().isEmpty():
-        configured = spark.conf.get("spark.checkpoint.dir", None)
-        if not configured:
-            if not spark.sparkContext.master.startswith("local"):
-                raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-            own = tempfile.mkdtemp(prefix="stratum-")
-            atexit.register(shutil.rmtree, own, ignore_errors=True)
-            configured = "file://" + own
-        spark.sparkContext.setCheckpointDir(configured)
-    return scala_context.getCheckpointDir().get()
-
-
 def new_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that no other run uses."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Compute ``df`` once, into a table in the shared folder, so that later reads neither repeat it nor depend on its executors."""
-    spark = df.sparkSession
-    path = new_path(spark, "cut")
-    df.write.parquet(path)
-    table = spark.read.schema(df.schema).parquet(path)
-    table._cut_path = path
-    return table
-
-
-def drop(*tables: DataFrame) -> None:
-    """Remove tables made by ``cut`` that nothing will read again."""
-    for table in tables:
-        spark = table.sparkSession
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table._cut_path)
-        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+    return stored(df, "cut")
 
 
 def maybe_broadcast(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
