@@ -142,6 +142,32 @@ def test_relaxed_search_keeps_recall(spark):
         assert np.mean([len(a & b) / 5 for a, b in zip(exact, best, strict=True)]) >= least
 
 
+def test_neighbours_among_very_many_copies(spark):
+    r = np.random.default_rng(8)
+    common = [1.0, 2.0, -3.0, 0.5]
+    data = [(i, common if i % 3 == 0 else [float(x) for x in r.normal(size=4)]) for i in range(600)]
+    data += [(0, common)] * 50 + [(700, [1e200, 1.0, 0.0, 0.0]), (750, [1e-200, 1e-300, 0.0, 0.0])]
+    got = {}
+    for x in ann.nearest(vectors(spark, data), F.col("vec_id") % 50 == 0, shard_rows=16, pivots=9).collect():
+        got.setdefault(x.query_id, []).append((x.rank, x.vec_id, round(x.score, 9)))
+    rows = dict(data)
+    ids, m = np.array(sorted(rows)), np.array([np.float32(rows[i]) for i in sorted(rows)], float)
+    usable = np.isfinite(m).all(1) & (m != 0).any(1)
+    ids, m = ids[usable], m[usable]
+    for q, v in zip(ids, m, strict=True):
+        if q % 50 == 0:
+            score = ann.cosines(v, m)
+            order = [k for k in np.lexsort((ids, -score)) if ids[k] != q][:5]
+            assert sorted(got[q]) == [(n, int(ids[k]), round(float(score[k]), 9)) for n, k in enumerate(order, 1)]
+    assert set(got) == {int(i) for i in ids if i % 50 == 0}
+
+
+def test_rows_of_one_id_and_other_vectors_are_others(spark):
+    data = [(0, [1.0, 0.0]), (0, [1.0, 0.1]), (0, [1.0, 0.0]), (1, [0.0, 1.0])]
+    got = sorted((x.query_id, x.rank, x.vec_id) for x in ann.nearest(vectors(spark, data), F.col("vec_id") % 50 == 0).collect())
+    assert got == [(0, 1, 0), (0, 1, 0), (0, 2, 1), (0, 2, 1)]
+
+
 def test_neighbours_of_few_vectors(spark):
     assert ann.nearest(vectors(spark, []), F.col("vec_id") % 50 == 0).count() == 0
     got = ann.nearest(vectors(spark, [(0, [1.0, 0.0]), (1, [1.0, 1.0])]), F.col("vec_id") % 50 == 0).collect()
