@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, html_extract, mixing, neardup, quality, suffix_dedup, toxicity, urlgraph, warc
+from . import ann, decontaminate, html_extract, mixing, neardup, quality, quality_rules, suffix_dedup, toxicity, urlgraph, warc
 from .common import new_path
 
 
@@ -65,9 +65,13 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(_table(spark, sf_dir, "documents")).drop("posterior")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_dedup, op2_extract_text, op3_nearest, op4_decontaminate, op5_url_filter, op6_mix_sources, op7_toxicity, op8_warc, op9_suffix_dedup, op10_quality)}
+    return {f.__name__: f for f in (op1_near_dedup, op2_extract_text, op3_nearest, op4_decontaminate, op5_url_filter, op6_mix_sources, op7_toxicity, op8_warc, op9_suffix_dedup, op10_quality, op12_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_near_dedup": neardup.ORACLE, "op3_nearest": ann.ORACLE, "op4_decontaminate": decontaminate.ORACLE, "op5_url_filter": urlgraph.ORACLE, "op6_mix_sources": mixing.ORACLE, "op8_warc": warc.ORACLE}
+    return {"op1_near_dedup": neardup.ORACLE, "op3_nearest": ann.ORACLE, "op4_decontaminate": decontaminate.ORACLE, "op5_url_filter": urlgraph.ORACLE, "op6_mix_sources": mixing.ORACLE, "op8_warc": warc.ORACLE, "op12_quality_rules": quality_rules.ORACLE}
