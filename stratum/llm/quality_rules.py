@@ -21,7 +21,7 @@ from stratum.functions.text import let
 from .common import cut, drop
 from .mixing import WORD_GAP
 
-SYMBOLS = "[#*$%&|<>]"
+SYMBOLS, SHOUTS = "#*$%&|<>", "!?"
 WINDOW = 5
 LEAST_WORDS, MOST_REPEATED_PERCENT = 10, 20
 #: Rounds of expectation-maximisation, and what it starts from.
@@ -47,7 +47,7 @@ RULES = (
     Rule("repeated lines", "n_lines >= 5 AND n_dup_lines * 20 <= n_lines", "n_lines >= 5 AND n_dup_lines * 10 > n_lines * 3"),
     Rule("repeated words", "n_words >= 20 AND n_repeat_words * 50 <= n_words", "n_words >= 20 AND n_repeat_words * 20 > n_words * 3"),
     Rule("words without letters", "n_words >= 20 AND n_unlettered * 20 <= n_words", "n_words >= 20 AND n_unlettered * 5 > n_words"),
-    Rule("capitals", "n_letters >= 50 AND n_capitals * 5 <= n_letters", "n_letters >= 50 AND n_capitals * 5 > n_letters * 2"),
+    Rule("capitals", "word_chars >= 50 AND n_capitals * 5 <= word_chars", "word_chars >= 50 AND n_capitals * 5 > word_chars * 2"),
     Rule("shouting", "n_words >= 20 AND n_shouts * 20 <= n_words", "n_words >= 20 AND n_shouts * 5 > n_words"),
     Rule("vocabulary", "n_words BETWEEN 50 AND 2000 AND n_distinct * 2 >= n_words", "n_words BETWEEN 50 AND 2000 AND n_distinct * 10 < n_words * 3"),
 )
@@ -59,7 +59,8 @@ def repeated_words(words: Column) -> Column:
     Only texts with an equal pair of windows sort theirs; sorted, equal windows are neighbours.
     """
     none = F.lit(0).cast("long")
-    places = F.sequence(F.lit(1), F.size(words) - WINDOW + 1)
+    places = F.sequence(F.lit(0), F.size(words) - WINDOW)
+    hashed = lambda w: F.transform(places, lambda i: F.xxhash64(*[F.get(w, i + n) for n in range(WINDOW)]))
 
     def covered(at: Column) -> Column:  # places of the repeated windows, in order
         steps = F.zip_with(F.slice(at, 1, F.size(at) - 1), F.slice(at, 2, F.size(at) - 1), lambda a, b: F.least(b - a, F.lit(WINDOW)))
@@ -76,25 +77,30 @@ def repeated_words(words: Column) -> Column:
         all_differ = F.size(F.array_distinct(windows)) == F.size(windows)
         return F.when(all_differ, none).otherwise(let(let(sorted_places(windows), repeated), covered))
 
-    return F.when(F.size(words) > WINDOW, let(F.transform(places, lambda i: F.xxhash64(F.slice(words, i, WINDOW))), counted)).otherwise(none)
+    return F.when(F.size(words) > WINDOW, let(let(F.transform(words, lambda w: F.xxhash64(w)), hashed), counted)).otherwise(none)
 
 
 def measured(docs: DataFrame) -> DataFrame:
     """(doc_id and the counts that the rules read) of each row of (doc_id, text); all but doc_id are long."""
     text = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     split = text.select("doc_id", "text", F.array_remove(F.split("text", WORD_GAP), "").alias("words"), F.filter(F.split("text", "\n"), lambda line: line.rlike(WORD_GAP.replace("[", "[^").rstrip("+"))).alias("lines"))
-    without = lambda pattern: F.length("text") - F.length(F.regexp_replace("text", pattern, ""))
+
+    def occurrences(characters: str) -> Column:
+        rest = F.col("text")
+        for c in characters:
+            rest = F.replace(rest, F.lit(c), F.lit(""))
+        return F.length("text") - F.length(rest)
+
     counts = {
         "n_words": F.size("words"),
-        "word_chars": F.length(F.regexp_replace("text", WORD_GAP, "")),
-        "n_symbols": without(SYMBOLS + "+"),
+        "word_chars": F.length(F.array_join("words", "")),
+        "n_symbols": occurrences(SYMBOLS),
         "n_lines": F.size("lines"),
         "n_dup_lines": F.size("lines") - F.size(F.array_distinct("lines")),
         "n_repeat_words": repeated_words(F.col("words")),
         "n_unlettered": F.size(F.filter("words", lambda w: ~w.rlike("\\p{L}"))),
-        "n_letters": without("\\p{L}+"),
-        "n_capitals": without("\\p{Lu}+"),
-        "n_shouts": without("[!?]+"),
+        "n_capitals": F.length("text") - F.length(F.regexp_replace("text", "\\p{Lu}+", "")),
+        "n_shouts": occurrences(SHOUTS),
         "n_distinct": F.size(F.array_distinct("words")),
     }
     return split.select("doc_id", *[c.cast("long").alias(name) for name, c in counts.items()])
@@ -205,9 +211,9 @@ WITH base AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS t
 ), hit AS (SELECT DISTINCT k, i + unnest(range({WINDOW})) AS i FROM (SELECT k, i, count(*) OVER (PARTITION BY k, g) AS n FROM windows) WHERE n > 1
 ), repeats AS (SELECT k, count(*) AS n_repeat_words FROM hit GROUP BY k
 ), counts AS (
-  SELECT doc_id, len(words)::BIGINT AS n_words, length(regexp_replace(t, '{gap}', '', 'g'))::BIGINT AS word_chars, ({without(SYMBOLS)})::BIGINT AS n_symbols, len(lines)::BIGINT AS n_lines,
+  SELECT doc_id, len(words)::BIGINT AS n_words, length(regexp_replace(t, '{gap}', '', 'g'))::BIGINT AS word_chars, ({without('[' + SYMBOLS + ']')})::BIGINT AS n_symbols, len(lines)::BIGINT AS n_lines,
     (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, len(list_filter(words, lambda x: NOT regexp_matches(x, '\\p{{L}}'))) AS n_unlettered,
-    {without(chr(92) + 'p{L}')} AS n_letters, {without(chr(92) + 'p{Lu}')} AS n_capitals, {without('[!?]')} AS n_shouts, len(list_distinct(words)) AS n_distinct
+    {without(chr(92) + 'p{Lu}')} AS n_capitals, {without('[' + SHOUTS + ']')} AS n_shouts, len(list_distinct(words)) AS n_distinct
   FROM w LEFT JOIN repeats USING (k)
 ), judged AS (SELECT *, {pattern} AS pattern FROM counts
 ), v AS MATERIALIZED (SELECT *, {digits} FROM (SELECT pattern, count(*) AS n FROM judged GROUP BY pattern)
