@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, html_extract, mixing, neardup, quality, quality_rules, suffix_dedup, toxicity, urlgraph, warc
+from . import ann, decontaminate, hard_negatives, html_extract, mixing, neardup, quality, quality_rules, suffix_dedup, toxicity, urlgraph, warc, whitening
 from .common import new_path
 
 
@@ -65,13 +65,23 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.col("label").cast("long")
+    moved = F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label)
+    return hard_negatives.mine(_table(spark, sf_dir, "embeddings").withColumn("label", moved), F.col("vec_id") % 50 == 0)
+
+
 def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(_table(spark, sf_dir, "documents")).drop("posterior")
 
 
+def op13_whiten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_dedup, op2_extract_text, op3_nearest, op4_decontaminate, op5_url_filter, op6_mix_sources, op7_toxicity, op8_warc, op9_suffix_dedup, op10_quality, op12_quality_rules)}
+    return {f.__name__: f for f in (op1_near_dedup, op2_extract_text, op3_nearest, op4_decontaminate, op5_url_filter, op6_mix_sources, op7_toxicity, op8_warc, op9_suffix_dedup, op10_quality, op11_hard_negatives, op12_quality_rules, op13_whiten)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_near_dedup": neardup.ORACLE, "op3_nearest": ann.ORACLE, "op4_decontaminate": decontaminate.ORACLE, "op5_url_filter": urlgraph.ORACLE, "op6_mix_sources": mixing.ORACLE, "op8_warc": warc.ORACLE, "op12_quality_rules": quality_rules.ORACLE}
+    return {"op1_near_dedup": neardup.ORACLE, "op3_nearest": ann.ORACLE, "op4_decontaminate": decontaminate.ORACLE, "op5_url_filter": urlgraph.ORACLE, "op6_mix_sources": mixing.ORACLE, "op8_warc": warc.ORACLE, "op11_hard_negatives": hard_negatives.ORACLE, "op12_quality_rules": quality_rules.ORACLE}
