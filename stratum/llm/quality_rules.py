@@ -115,59 +115,52 @@ def voted(counts: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     return counts.withColumn("pattern", pattern.cast("int"))
 
 
-def _digit(pattern: Column, place: Column | int) -> Column:
-    return F.floor(pattern / F.pow(F.lit(3), place)) % 3
 
 
-def estimated(patterns: DataFrame, n_rules: int = len(RULES), rounds: int = ROUNDS) -> DataFrame:
-    """One row (prior, on_good, on_bad) of (pattern, n), one row each: the share of good documents, and how often each
-    rule that votes is right on good and on bad ones. Without patterns these are what the estimate starts from."""
-    places = F.sequence(F.lit(0), F.lit(n_rules - 1))
-    full = lambda value: F.array(*[F.lit(value)] * n_rules)
-    rows = F.transform(F.sort_array(F.collect_list(F.struct("pattern", "n"))), lambda x: F.struct(x["n"].cast("double").alias("n"), F.transform(places, lambda j: _digit(x["pattern"], j)).alias("digits")))
-    start = F.struct(F.lit(PRIOR).alias("prior"), full(RIGHT_ON_GOOD).alias("on_good"), full(RIGHT_ON_BAD).alias("on_bad"))
-
-    def expected(model: Column) -> Column:  # the documents of each pattern, and the good ones among them
-        weights = F.zip_with(model["on_good"], model["on_bad"], lambda g, b: F.struct(F.log(g / (1 - b)).alias("good"), F.log((1 - g) / b).alias("bad")))
+def _expected(rows: Column, model: Column) -> Column:
+    """``rows`` (pattern, n, digits) plus good: how many of the n documents are good, under ``model``."""
+    weights = F.zip_with(model["on_good"], model["on_bad"], lambda g, b: F.struct(F.log(g / (1 - b)).alias("good"), F.log((1 - g) / b).alias("bad")))
 
-        def shared(w: Column) -> Column:
-            def good(x: Column) -> Column:
-                votes = F.zip_with(x["digits"], w, lambda d, e: F.when(d == 2, e["good"]).when(d == 0, e["bad"]).otherwise(F.lit(0.0)))
-                odds = F.aggregate(votes, F.log(model["prior"] / (1 - model["prior"])), lambda a, v: a + v)
-                return F.struct(x["n"].alias("n"), x["digits"].alias("digits"), (x["n"] / (1 + F.exp(-odds))).alias("good"))
+    def shared(w: Column) -> Column:
+        def good(x: Column) -> Column:
+            votes = F.zip_with(x["digits"], w, lambda d, e: F.when(d == 2, e["good"]).when(d == 0, e["bad"]).otherwise(F.lit(0.0)))
+            odds = F.aggregate(votes, F.log(model["prior"] / (1 - model["prior"])), lambda a, v: a + v)
+            return x.withField("good", x["n"] / (1 + F.exp(-odds)))
 
-            return F.transform("rows", good)
+        return F.transform(rows, good)
 
-        return let(weights, shared)
+    return let(weights, shared)
 
-    def updated(rows: Column) -> Column:
-        total = lambda value, where: F.aggregate(rows, F.lit(0.0), lambda a, x: a + F.when(where(x), value(x)).otherwise(F.lit(0.0)))
-        good, bad = (lambda x: x["good"]), (lambda x: x["n"] - x["good"])
 
-        def right(value, digit: int, first: float, least: float = 0.0):
-            def of(j: Column) -> Column:
-                hits = total(value, lambda x: F.get(x["digits"], j) == digit)
-                votes = total(value, lambda x: F.get(x["digits"], j) != 1)
-                return F.greatest(F.lit(least), (hits + PSEUDO_VOTES * first) / (votes + PSEUDO_VOTES))
+def _updated(rows: Column, places: Column) -> Column:
+    """The model that fits the expected numbers of good documents best."""
+    total = lambda value, where: F.aggregate(rows, F.lit(0.0), lambda a, x: a + F.when(where(x), value(x)).otherwise(F.lit(0.0)))
+    good, bad = (lambda x: x["good"]), (lambda x: x["n"] - x["good"])
 
-            return F.transform(places, of)
+    def right(value, digit: int, first: float, least: float = 0.0):
+        def of(j: Column) -> Column:
+            hits = total(value, lambda x: F.get(x["digits"], j) == digit)
+            votes = total(value, lambda x: F.get(x["digits"], j) != 1)
+            return F.greatest(F.lit(least), (hits + PSEUDO_VOTES * first) / (votes + PSEUDO_VOTES))
 
-        prior = (total(good, lambda x: F.lit(True)) + PSEUDO_VOTES * PRIOR) / (total(lambda x: x["n"], lambda x: F.lit(True)) + PSEUDO_VOTES)
-        return F.struct(prior.alias("prior"), right(good, 2, RIGHT_ON_GOOD, LEAST_RIGHT_ON_GOOD).alias("on_good"), right(bad, 0, RIGHT_ON_BAD).alias("on_bad"))
+        return F.transform(places, of)
 
-    one = patterns.agg(rows.alias("rows"))
-    model = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, lambda m, _: let(expected(m), updated))
-    return one.select(model.alias("model")).select("model.*")
+    prior = (total(good, lambda x: F.lit(True)) + PSEUDO_VOTES * PRIOR) / (total(lambda x: x["n"], lambda x: F.lit(True)) + PSEUDO_VOTES)
+    return F.struct(prior.alias("prior"), right(good, 2, RIGHT_ON_GOOD, LEAST_RIGHT_ON_GOOD).alias("on_good"), right(bad, 0, RIGHT_ON_BAD).alias("on_bad"))
 
 
-def posteriors(patterns: DataFrame, model: DataFrame, n_rules: int = len(RULES)) -> DataFrame:
-    """(pattern, posterior): the probability that a document with these votes is good. ``model`` is a row of ``estimated``."""
-    odds = F.log(F.col("prior") / (1 - F.col("prior")))
-    for j in range(n_rules):
-        g, b, digit = F.get("on_good", F.lit(j)), F.get("on_bad", F.lit(j)), _digit(F.col("pattern"), F.lit(j))
-        odds = odds + F.when(digit == 2, F.log(g / (1 - b))).when(digit == 0, F.log((1 - g) / b)).otherwise(F.lit(0.0))
-    held = patterns.select(F.lit(1).alias("one"), "pattern").join(F.broadcast(model.withColumn("one", F.lit(1))), "one")  # one row
-    return held.select("pattern", (1 / (1 + F.exp(-odds))).alias("posterior"))
+def estimated(patterns: DataFrame, n_rules: int = len(RULES), rounds: int = ROUNDS) -> DataFrame:
+    """One row (rows, model) of (pattern, n), one row each. ``model`` has the share of good documents (prior) and how
+    often each rule that votes is right on good and on bad ones (on_good, on_bad); without patterns, what the estimate
+    starts from. ``rows`` has pattern, n, digits and, under that model, good: how many of the n are good."""
+    places = F.sequence(F.lit(0), F.lit(n_rules - 1))
+    full = lambda value: F.array(*[F.lit(value)] * n_rules)
+    digit = lambda pattern, j: F.floor(pattern / F.pow(F.lit(3), j)) % 3
+    rows = F.transform(F.sort_array(F.collect_list(F.struct("pattern", "n"))), lambda x: F.struct(x["pattern"].alias("pattern"), x["n"].cast("double").alias("n"), F.transform(places, lambda j: digit(x["pattern"], j)).alias("digits")))
+    start = F.struct(F.lit(PRIOR).alias("prior"), full(RIGHT_ON_GOOD).alias("on_good"), full(RIGHT_ON_BAD).alias("on_bad"))
+    model = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, lambda m, _: let(_expected(F.col("rows"), m), lambda seen: _updated(seen, places)))
+    fitted = patterns.agg(rows.alias("rows")).select("rows", model.alias("model"))
+    return fitted.select(_expected(F.col("rows"), F.col("model")).alias("rows"), "model")
 
 
 def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, rounds: int = ROUNDS) -> DataFrame:
@@ -181,7 +174,8 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, rounds: int = ROUNDS
     """
     counts = cut(voted(measured(docs), rules))
     patterns = cut(counts.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")))
-    verdicts = cut(posteriors(patterns, estimated(patterns, len(rules), rounds), len(rules)))
+    each = estimated(patterns, len(rules), rounds).select(F.inline("rows"))
+    verdicts = cut(each.select("pattern", (F.col("good") / F.col("n")).alias("posterior")))
     drop(patterns)
     joined = counts.join(F.broadcast(verdicts), "pattern")  # 3 ** len(rules) rows at most
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED_PERCENT * F.col("n_words"))
