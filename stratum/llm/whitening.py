@@ -122,7 +122,7 @@ def _narrowed(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def tiles(fit: DataFrame, sent: Callable[[np.ndarray, int], np.ndarray], centred: Callable[[np.ndarray, int], np.ndarray]) -> DataFrame:
+def tiles(fit: DataFrame, sent: Callable[[np.ndarray, int], np.ndarray], centred: Callable[[np.ndarray, int], np.ndarray], tile_width: int = TILE) -> DataFrame:
     """(length, a, b, n, tile): sums over the vectors of a length of the products of dimensions in column block a with
     those in column block b >= a, as doubles in rows. ``sent`` makes of a block of ``x`` what is shuffled, ``centred`` of
     that what is multiplied; both are told the length, which is that of ``x``.
@@ -134,9 +134,9 @@ def tiles(fit: DataFrame, sent: Callable[[np.ndarray, int], np.ndarray], centred
         for batch in batches:
             for _, x in _by_length(batch.column(0)):
                 matrix, block = sent(x, x.shape[1]), block + 1
-                for low in range(0, matrix.shape[1], TILE):
-                    piece = np.ascontiguousarray(matrix[:, low : low + TILE])
-                    row = [block, x.shape[1], low // TILE, len(x), matrix.shape[1], piece.dtype.str, piece.tobytes()]
+                for low in range(0, matrix.shape[1], tile_width):
+                    piece = np.ascontiguousarray(matrix[:, low : low + tile_width])
+                    row = [block, x.shape[1], low // tile_width, len(x), matrix.shape[1], piece.dtype.str, piece.tobytes()]
                     yield pa.RecordBatch.from_arrays([pa.array([v]) for v in row], schema=pieces)
 
     def multiplied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,11 +149,11 @@ def tiles(fit: DataFrame, sent: Callable[[np.ndarray, int], np.ndarray], centred
                 if sum(p.shape[1] for p in held) < r["width"]:
                     continue
                 matrix, held = centred(np.concatenate(held, 1), r["length"]), []
-                for a in range(0, r["width"], TILE):
-                    for b in range(a, r["width"], TILE):
-                        tile = sums.setdefault((r["length"], a // TILE, b // TILE), [0, 0.0])
+                for a in range(0, r["width"], tile_width):
+                    for b in range(a, r["width"], tile_width):
+                        tile = sums.setdefault((r["length"], a // tile_width, b // tile_width), [0, 0.0])
                         tile[0] += r["n"]
-                        tile[1] = tile[1] + matrix[:, a : a + TILE].T @ matrix[:, b : b + TILE]
+                        tile[1] = tile[1] + matrix[:, a : a + tile_width].T @ matrix[:, b : b + tile_width]
         for (length, a, b), (n, tile) in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([v]) for v in (length, a, b, n, tile.tobytes())], schema=summed)
 
@@ -179,12 +179,12 @@ def tiles(fit: DataFrame, sent: Callable[[np.ndarray, int], np.ndarray], centred
     return partial.repartition(parts, "length", "a", "b").sortWithinPartitions("length", "a", "b").mapInArrow(added, shape)
 
 
-def assembled(rows, width: int) -> np.ndarray:
+def assembled(rows, width: int, tile_width: int = TILE) -> np.ndarray:
     """The covariance of ``width`` dimensions from its (a, b, n, tile)."""
     whole = np.zeros((width, width))
     for a, b, n, tile in rows:
-        low, left = a * TILE, b * TILE
-        high, right = min(width, low + TILE), min(width, left + TILE)
+        low, left = a * tile_width, b * tile_width
+        high, right = min(width, low + tile_width), min(width, left + tile_width)
         block = np.frombuffer(tile).reshape(high - low, right - left) / n
         whole[low:high, left:right] = block
         whole[left:right, low:high] = block.T
@@ -199,7 +199,7 @@ def eigen(covariance: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np
     return values[there], vectors[there], values[there] / np.trace(covariance) if there.any() else np.zeros(0)
 
 
-def whitener(fit: DataFrame, components: int = COMPONENTS) -> dict[int, Whitener]:
+def whitener(fit: DataFrame, components: int = COMPONENTS, tile_width: int = TILE) -> dict[int, Whitener]:
     """For each length of vectors in ``fit`` (x), different ones once each, what whitens it."""
     spark = fit.sparkSession
     mean = means(fit)
@@ -210,10 +210,12 @@ def whitener(fit: DataFrame, components: int = COMPONENTS) -> dict[int, Whitener
     def decomposed(key, rows):
         import pandas as pd
 
-        values, vectors, explained = eigen(assembled(zip(rows.a, rows.b, rows.n, rows.tile, strict=True), int(key[0])), components)
+        values, vectors, explained = eigen(assembled(zip(rows.a, rows.b, rows.n, rows.tile, strict=True), int(key[0]), tile_width), components)
+        if not len(values):
+            return pd.DataFrame(columns=["length", "component", "value", "vector", "explained"], dtype=object)
         return pd.DataFrame({"length": [int(key[0])] * len(values), "component": range(1, len(values) + 1), "value": values, "vector": list(vectors), "explained": explained})
 
-    products = tiles(fit, lambda x, _: _narrowed(x - OFFSET), lambda y, length: shared.value[length].centred(y.astype(np.int64) + OFFSET))
+    products = tiles(fit, lambda x, _: _narrowed(x - OFFSET), lambda y, length: shared.value[length].centred(y.astype(np.int64) + OFFSET), tile_width)
     found = cut(products.groupBy("length").applyInPandas(decomposed, "length int, component int, value double, vector array<double>, explained double"))
     rows: dict[int, list] = {}
     for r in sorted(found.collect(), key=lambda r: (r.length, r.component)):  # ``components`` rows for each length
@@ -222,15 +224,15 @@ def whitener(fit: DataFrame, components: int = COMPONENTS) -> dict[int, Whitener
     drop(found)
     white = spark.sparkContext.broadcast(models)
     apart: dict[int, list] = {}
-    for r in tiles(fit, lambda x, length: white.value[length].whitened(x) if length in white.value else x[:, :0].astype(float), lambda y, _: y).collect():  # one tile for each length
+    for r in tiles(fit, lambda x, length: white.value[length].whitened(x) if length in white.value else x[:, :0].astype(float), lambda y, _: y, tile_width).collect():  # one tile for each length
         apart.setdefault(r.length, []).append((r.a, r.b, r.n, r.tile))
     for length, own in apart.items():
         width = len(models[length].values)
-        models[length].identity_error = float(np.abs(assembled(own, width) - np.eye(width)).max())
+        models[length].identity_error = float(np.abs(assembled(own, width, tile_width) - np.eye(width)).max())
     return models
 
 
-def whiten(embeddings: DataFrame, components: int = COMPONENTS) -> DataFrame:
+def whiten(embeddings: DataFrame, components: int = COMPONENTS, tile_width: int = TILE) -> DataFrame:
     """vec_id, component, n, deviation, whitened, explained, identity_error: for each row of ``embeddings`` (vec_id,
     embedding) and each of its first ``components`` principal components a row.
 
@@ -243,7 +245,7 @@ def whiten(embeddings: DataFrame, components: int = COMPONENTS) -> DataFrame:
     """
     rows = whole_numbers(embeddings)
     fit = cut(rows.select("x").distinct())
-    shared = embeddings.sparkSession.sparkContext.broadcast(whitener(fit, components))
+    shared = embeddings.sparkSession.sparkContext.broadcast(whitener(fit, components, tile_width))
     drop(fit)
 
     def projected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
