@@ -14,6 +14,8 @@ from stratum.storage import removed, stored
 
 #: Sources whose counts are summed in one window when global ordinals are dealt.
 SOURCES_PER_BLOCK = 4_096
+#: Chunks that follow each other of which a term's greatest impact is kept.
+BLOCK_CHUNKS = 1_024
 
 
 def with_offsets(counted: DataFrame, order: str, count: str, name: str) -> DataFrame:
@@ -105,6 +107,15 @@ def chunk_stats(chunks: DataFrame, postings: DataFrame, terms: DataFrame, size:
     return with_offsets(stats, "chunk_ord", "length", "length_before")
 
 
+def block_table(postings: DataFrame, stats: DataFrame) -> DataFrame:
+    """For each term and block of ``BLOCK_CHUNKS`` chunks with it: the greatest count, the least length, and the greatest
+    share that the term's count, without its rarity, has of a chunk's norm."""
+    met = postings.join(stats.select("chunk_ord", "length", "norm"), "chunk_ord")
+    return met.groupBy("term", F.floor(F.col("chunk_ord") / BLOCK_CHUNKS).alias("block")).agg(
+        F.max("tf").alias("most_tf"), F.min("length").alias("least_length"), F.max((1 + F.log("tf")) / F.col("norm")).alias("most_share")
+    )
+
+
 @dataclass
 class Corpus:
     """Tables of one indexed corpus. ``size`` is its number of chunks, or 1 if it has none."""
@@ -115,6 +126,7 @@ class Corpus:
     postings: DataFrame
     terms: DataFrame
     stats: DataFrame
+    blocks: DataFrame
     size: int
     n_chunks: int
 
@@ -137,11 +149,12 @@ class Corpus:
         postings = keep(postings_table(chunks), "postings")
         terms = keep(term_table(postings), "terms")
         sizes = keep(source_table(sources), "sources")
-        return Corpus(sizes, sections, chunks, postings, terms, keep(chunk_stats(chunks, postings, terms, size), "stats"), size, n_chunks)
+        stats = keep(chunk_stats(chunks, postings, terms, size), "stats")
+        return Corpus(sizes, sections, chunks, postings, terms, stats, keep(block_table(postings, stats), "blocks"), size, n_chunks)
 
     def release(self) -> None:
         """Delete the tables; nothing can be read of them afterwards."""
-        removed(self.sources, self.sections, self.chunks, self.postings, self.terms, self.stats)
+        removed(self.sources, self.sections, self.chunks, self.postings, self.terms, self.stats, self.blocks)
 
     def totals(self) -> DataFrame:
         """Bytes indexed and the largest source's, and the counts of the hierarchy."""

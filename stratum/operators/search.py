@@ -1,14 +1,21 @@
-"""Hybrid sparse search: BM25, TF-IDF cosine, reciprocal-rank fusion, coverage and phrase bonus, for batches of queries."""
+"""Hybrid sparse search: BM25, TF-IDF cosine, reciprocal-rank fusion, coverage and phrase bonus, for batches of queries.
+
+Ranks count all chunks that share a term with the query. They come from hits dealt to tasks in their order and counted by
+task, and blocks of chunks that can matter to no result aren't scored at all.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stratum.functions.text import lexical_tokens, trimmed
-from stratum.operators.index import Corpus
-from stratum.storage import stored
+from stratum.operators.index import BLOCK_CHUNKS, Corpus
+from stratum.storage import removed, stored
 
 K1, B = 1.2, 0.75
 RANK_OFFSET, RANK_WEIGHT, COVERAGE_WEIGHT, PHRASE_WEIGHT = 60, 100, 4, 8.0
@@ -16,12 +23,22 @@ RANK_OFFSET, RANK_WEIGHT, COVERAGE_WEIGHT, PHRASE_WEIGHT = 60, 100, 4, 8.0
 DIGITS = 9
 #: Query terms up to this many rows are broadcast to the postings; beyond, both are shuffled by term.
 BROADCAST_TERMS = 200_000
+#: Blocks of a query that are opened first by each order; hits of a range that one task ranks; hits looked at in a block's
+#: favour; steps of a score in which hits are counted.
+FIRST_BLOCKS, RANGE_HITS, DEPTH, STEPS = 64, 65_536, 256, 64
+SLACK = 2e-6
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
-    """(query_id, term, qtf, n_terms) of (query_id, query)."""
-    counted = queries.select("query_id", F.explode(lexical_tokens("query")).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    return counted.withColumn("n_terms", F.count(F.lit(1)).over(W.partitionBy("query_id")))
+    """(query_id, term, qtf, n_terms, inner, n_inner) of (query_id, query). A text that holds the whole query has all its
+    terms but perhaps its first and last word, which may go on there; the others are inner ones."""
+    tokens = queries.select("query_id", lexical_tokens("query").alias("tokens"))
+    words = F.filter("tokens", lambda t: t.rlike("^[a-z0-9_]"))
+    edges = F.array(F.get("tokens", F.lit(0)), F.try_element_at(words, F.lit(-1)))
+    each = tokens.select("query_id", edges.alias("edges"), F.explode("tokens").alias("term"))
+    counted = each.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"), (~F.coalesce(F.bool_or(F.array_contains("edges", F.col("term"))), F.lit(False))).cast("int").alias("inner"))
+    own = W.partitionBy("query_id")
+    return counted.withColumn("n_terms", F.count(F.lit(1)).over(own)).withColumn("n_inner", F.sum("inner").over(own))
 
 
 def small(queries: DataFrame):
@@ -39,52 +56,181 @@ def range_averages(corpus: Corpus, ranges: DataFrame) -> DataFrame:
     return whole.select("query_id", ((F.col("sum_upto") - F.col("sum_before")) / (F.col("range_end") - F.col("range_start"))).alias("average"))
 
 
-def scored(corpus: Corpus, queries: DataFrame) -> DataFrame:
-    """(query_id, chunk_ord, bm25, cosine, coverage, score) of all chunks that share a term with a query in its range.
+@dataclass(frozen=True)
+class Asked:
+    """Queries made ready: their weighted terms, the range of each (or None), and average lengths (None: one for all)."""
 
-    ``queries`` has query_id and query, and may have chunk_start and chunk_end: then the average length is that of the
-    range, while document frequencies and the number of chunks are always the whole corpus's.
-    """
-    size = corpus.size
-    ranged = "chunk_start" in queries.columns
-    if ranged:
+    terms: DataFrame
+    ranges: DataFrame | None
+    averages: DataFrame
+    phrases: DataFrame
+    few: Callable[[DataFrame], DataFrame]
+
+    def with_average(self, side: DataFrame) -> DataFrame:
+        return side.crossJoin(F.broadcast(self.averages)) if self.ranges is None else side.join(self.few(self.averages), "query_id")  # one row, or one a query
+
+
+def asked(corpus: Corpus, queries: DataFrame) -> Asked:
+    """``queries`` has query_id and query, and may have chunk_start and chunk_end: then the average length is that of the
+    range, while document frequencies and the number of chunks are always the whole corpus's."""
+    ranges = None
+    averages = corpus.stats.agg(F.avg("length").alias("average"))
+    if "chunk_start" in queries.columns:
         start = F.greatest(F.lit(0), F.coalesce("chunk_start", F.lit(0))).cast("long")
         end = F.least(F.lit(corpus.n_chunks), F.coalesce("chunk_end", F.lit(corpus.n_chunks))).cast("long")
         ranges = queries.select("query_id", start.alias("range_start"), end.alias("range_end"))
-        inside = (F.col("chunk_ord") >= F.col("range_start")) & (F.col("chunk_ord") < F.col("range_end"))
-        average = range_averages(corpus, ranges)
-    else:
-        average = corpus.stats.agg(F.avg("length").alias("average"))
+        averages = range_averages(corpus, ranges)
     terms = query_terms(queries).join(corpus.terms, "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))
-    weight = (1 + F.log("qtf")) * (F.log((F.lit(size) + 1) / (F.col("df") + 1)) + 1)
-    weighted = terms.withColumn("weight", weight).withColumn("query_norm", F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(W.partitionBy("query_id")))).where("df > 0")
-    few = small(queries)
-    met = corpus.postings.join(few(weighted), "term").join(corpus.stats, "chunk_ord")
-    if ranged:
-        met = met.join(few(ranges), "query_id").where(inside).join(few(average), "query_id")
-    else:
-        met = met.crossJoin(F.broadcast(average))  # one row
-    idf = F.log(1 + (F.lit(size) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    length = F.greatest(F.lit(1), F.col("length"))
-    saturation = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * ((1 - B) + B * length / F.col("average")))
-    tfidf = (1 + F.log("tf")) * (F.log((F.lit(size) + 1) / (F.col("df") + 1)) + 1)
-    sums = met.groupBy("query_id", "chunk_ord").agg(
-        F.round(F.sum(F.col("qtf") * idf * saturation), DIGITS).alias("bm25"),
-        F.round(F.sum(F.col("weight") * tfidf) / (F.first("query_norm") * F.first("norm")), DIGITS).alias("cosine"),
-        F.count(F.lit(1)).alias("n_met"),
-        F.first("n_terms").alias("n_terms"),
+    idf = F.log((F.lit(corpus.size) + 1) / (F.col("df") + 1)) + 1
+    terms = terms.withColumn("weight", (1 + F.log("qtf")) * idf).withColumn("query_norm", F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(W.partitionBy("query_id"))))
+    terms = terms.where("df > 0").withColumn("rarity", F.log(1 + (F.lit(corpus.size) - F.col("df") + 0.5) / (F.col("df") + 0.5))).withColumn("idf", idf)
+    return Asked(terms, ranges, averages, queries.select("query_id", F.lower(trimmed("query")).alias("phrase")), small(queries))
+
+
+def _saturated(tf: Column, length: Column) -> Column:
+    return tf * (K1 + 1) / (tf + K1 * ((1 - B) + B * F.greatest(F.lit(1), length) / F.col("average")))
+
+
+def matched(corpus: Corpus, q: Asked, blocks: DataFrame | None = None) -> DataFrame:
+    """(query_id, chunk_ord, bm25, cosine, n_met, n_terms, near) of all chunks that share a term with a query in its range, or of
+    those in ``blocks`` (query_id, block). ``near``: it has all inner terms, so its text may hold the whole query."""
+    met = corpus.postings.join(q.few(q.terms), "term")
+    if blocks is not None:
+        met = met.withColumn("block", F.floor(F.col("chunk_ord") / BLOCK_CHUNKS)).join(blocks, ["query_id", "block"])
+    met = met.join(corpus.stats, "chunk_ord")
+    if q.ranges is not None:
+        met = met.join(q.few(q.ranges), "query_id").where((F.col("chunk_ord") >= F.col("range_start")) & (F.col("chunk_ord") < F.col("range_end")))
+    return (
+        q.with_average(met)
+        .groupBy("query_id", "chunk_ord")
+        .agg(
+            F.round(F.sum(F.col("qtf") * F.col("rarity") * _saturated(F.col("tf"), F.col("length"))), DIGITS).alias("bm25"),
+            F.round(F.sum(F.col("weight") * (1 + F.log("tf")) * F.col("idf")) / (F.first("query_norm") * F.first("norm")), DIGITS).alias("cosine"),
+            F.count(F.lit(1)).alias("n_met"),
+            F.first("n_terms").alias("n_terms"),
+            (F.sum("inner") == F.first("n_inner")).alias("near"),
+        )
     )
-    by_bm25 = W.partitionBy("query_id").orderBy(F.col("bm25").desc(), "chunk_ord")
-    by_cosine = W.partitionBy("query_id").orderBy(F.col("cosine").desc(), "chunk_ord")
-    fused = (F.lit(1.0) / (RANK_OFFSET + F.row_number().over(by_bm25)) + F.lit(1.0) / (RANK_OFFSET + F.row_number().over(by_cosine))) * RANK_WEIGHT
-    ranked = sums.withColumn("coverage", F.col("n_met") / F.col("n_terms")).withColumn("fused", fused + F.col("coverage") * COVERAGE_WEIGHT)
-    # A chunk that holds the whole query has all its terms but perhaps its first and last word, which may go on in the text.
-    near = F.col("n_met") >= F.col("n_terms") - 2
-    phrases = queries.select("query_id", F.lower(trimmed("query")).alias("phrase"))
+
+
+def potentials(corpus: Corpus, q: Asked) -> DataFrame:
+    """(query_id, block, most_bm25, most_cosine, n_could, n_terms, near): what chunks of a block can reach at most, from the
+    blocks' greatest counts, least lengths and greatest shares of terms. Only blocks with a term of the query."""
+    met = corpus.blocks.join(q.few(q.terms), "term")
+    if q.ranges is not None:
+        low, high = F.col("block") * BLOCK_CHUNKS, (F.col("block") + 1) * BLOCK_CHUNKS
+        met = met.join(q.few(q.ranges), "query_id").where((high > F.col("range_start")) & (low < F.col("range_end")))
+    slack = 10.0**-DIGITS
+    return (
+        q.with_average(met)
+        .groupBy("query_id", "block")
+        .agg(
+            (F.sum(F.col("qtf") * F.col("rarity") * _saturated(F.col("most_tf"), F.col("least_length"))) * (1 + slack) + slack).alias("most_bm25"),
+            (F.sum(F.col("weight") * F.col("idf") * F.col("most_share")) / F.first("query_norm") * (1 + slack) + slack).alias("most_cosine"),
+            F.count(F.lit(1)).alias("n_could"),
+            F.first("n_terms").alias("n_terms"),
+            (F.sum("inner") == F.first("n_inner")).alias("near"),
+        )
+    )
+
+
+def in_ranges(hits: DataFrame, score: str) -> DataFrame:
+    """``hits`` in the order of query, falling ``score`` and chunk, dealt to tasks as ``part``; a table."""
+    parts = max(int(hits.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-hits.count() // RANGE_HITS))
+    return stored(hits.repartitionByRange(parts, F.col("query_id"), F.col(score).desc(), F.col("chunk_ord")).withColumn("part", F.spark_partition_id()), "ranges")
+
+
+def ranked(dealt: DataFrame, score: str, name: str) -> DataFrame:
+    """Hits of ``in_ranges`` with their rank among all hits of their query.
+
+    Each part ranks its own, and a query's hits in the parts before are added from their counts. So a query's hits are
+    spread over as many tasks as they need.
+    """
+    counted = dealt.groupBy("query_id", "part").agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(W.partitionBy("query_id").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    inside = F.row_number().over(W.partitionBy("query_id", "part").orderBy(F.col(score).desc(), "chunk_ord"))
+    return dealt.withColumn("inside", inside).join(counted.select("query_id", "part", before.alias("before")), ["query_id", "part"]).withColumn(name, F.col("before") + F.col("inside")).drop("part", "inside", "before")
+
+
+def _share(rank: Column) -> Column:
+    return F.lit(float(RANK_WEIGHT)) / (RANK_OFFSET + rank)
+
+
+def thresholds(hits: DataFrame, value: Column, limit: int) -> DataFrame:
+    """(query_id, threshold): at least ``limit`` hits of the query have a ``value`` of it or more; of queries with fewer
+    hits no row. Values are counted in steps, so no query's hits meet in one task."""
+    steps = hits.groupBy("query_id", F.floor(value * STEPS).alias("step")).agg(F.count(F.lit(1)).alias("n"))
+    upto = F.sum("n").over(W.partitionBy("query_id").orderBy(F.col("step").desc()))
+    return steps.withColumn("upto", upto).where(F.col("upto") >= limit).groupBy("query_id").agg((F.max("step") / STEPS).alias("threshold"))
+
+
+def _hopeful(corpus: Corpus, q: Asked, hits: DataFrame, limit: int) -> DataFrame:
+    """Hits that may be among the ``limit`` best of their query, with their score if all hits before them are known; a
+    table. Texts are only read of hits that may hold the whole query and may be among the best."""
+    near = F.col("near")
+    fused = _share(F.col("rank_bm25")) + _share(F.col("rank_cosine")) + F.col("coverage") * COVERAGE_WEIGHT
+    hits = hits.withColumn("coverage", F.col("n_met") / F.col("n_terms")).withColumn("fused", fused)
+    least = thresholds(hits, F.col("coverage") * COVERAGE_WEIGHT, limit)
+    hopeful = hits.join(least, "query_id", "left").where(F.col("fused") + F.when(near, PHRASE_WEIGHT).otherwise(0.0) >= F.coalesce("threshold", F.lit(0.0))).drop("threshold")
     texts = corpus.chunks.select(F.col("chunk_ord").alias("text_of"), "text")
-    met = ranked.join(few(phrases), "query_id").join(texts, near & (F.col("chunk_ord") == F.col("text_of")), "left")
+    met = hopeful.join(q.few(q.phrases), "query_id").join(texts, near & (F.col("chunk_ord") == F.col("text_of")), "left")
     bonus = F.when(F.contains(F.lower("text"), F.col("phrase")), F.lit(PHRASE_WEIGHT)).otherwise(F.lit(0.0))
-    return met.select("query_id", "chunk_ord", "bm25", "cosine", "coverage", F.round(F.col("fused") + bonus, 6).alias("score"))
+    return stored(met.select("query_id", "chunk_ord", "bm25", "cosine", "rank_bm25", "rank_cosine", "coverage", bonus.alias("bonus"), F.round(F.col("fused") + bonus, 6).alias("score")), "hopeful")
+
+
+def hybrid(corpus: Corpus, queries: DataFrame, limit: int = 10) -> DataFrame:
+    """The ``limit`` best chunks of each query by both ranks, coverage and phrase: query_id, rank, chunk_ord, score, source.
+
+    Blocks of chunks that promise most are opened first. What is found there says which others can hold one of the best,
+    or something that comes before one of them in either order; of these ever more are opened, until none is left. A block that stays
+    closed can change neither the best nor their ranks, so the result is that of opening all.
+    """
+    q = asked(corpus, queries)
+    blocks = stored(potentials(corpus, q), "potentials")
+    place = lambda by: F.row_number().over(W.partitionBy("query_id", "needed").orderBy(F.col(by).desc(), "block"))
+
+    def dealt(told: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+        """Of the needed blocks of each query those ``most`` that promise most in either order, and all others."""
+        placed = told.withColumn("open", F.col("needed") & ((place("most_bm25") <= most) | (place("most_cosine") <= most)))
+        split = stored(placed.drop("needed"), "potentials")
+        used.append(split)
+        return split.where("open").drop("open"), split.where("NOT open").drop("open")
+
+    used, hits, most = [blocks], None, FIRST_BLOCKS
+    opening, closed = dealt(blocks.withColumn("needed", F.lit(True)), most)
+    while True:
+        more = stored(matched(corpus, q, opening.select("query_id", "block")), "matched")
+        hits = more if hits is None else hits.unionByName(more)
+        by_bm25 = in_ranges(hits, "bm25")
+        by_cosine = in_ranges(ranked(by_bm25, "bm25", "rank_bm25"), "cosine")
+        both = ranked(by_cosine, "cosine", "rank_cosine")
+        found = _hopeful(corpus, q, both, limit)
+        used += [more, by_bm25, by_cosine, found]
+        if closed.isEmpty():
+            break
+        beyond = closed.groupBy("query_id").agg(F.max("most_bm25").alias("b"), F.max("most_cosine").alias("c"))
+        sure = found.join(beyond, "query_id", "left")
+        known = lambda rank, value, most: F.when(F.coalesce(F.col(value) > F.col(most), F.lit(True)), _share(F.col(rank))).otherwise(F.lit(0.0))
+        at_least = known("rank_bm25", "bm25", "b") + known("rank_cosine", "cosine", "c") + F.col("coverage") * COVERAGE_WEIGHT + F.col("bonus")
+        best = thresholds(sure, at_least, limit).withColumnRenamed("threshold", "best")
+        top_of = lambda rank, value: F.collect_list(F.when(F.col(rank) <= DEPTH, F.col(value))).alias("top_" + value)
+        tops = both.where((F.col("rank_bm25") <= DEPTH) | (F.col("rank_cosine") <= DEPTH)).groupBy("query_id").agg(top_of("rank_bm25", "bm25"), top_of("rank_cosine", "cosine"))
+        lowest = found.join(best, "query_id", "left").where(F.col("score") + SLACK >= F.coalesce("best", F.lit(0.0))).groupBy("query_id").agg(F.min("bm25").alias("low_bm25"), F.min("cosine").alias("low_cosine"))
+        told = closed.join(best, "query_id", "left").join(tops, "query_id", "left").join(lowest, "query_id", "left")
+        ahead = lambda value: F.coalesce(F.size(F.filter("top_" + value, lambda v: v > F.col("most_" + value))), F.lit(0))
+        promise = _share(1 + ahead("bm25")) + _share(1 + ahead("cosine")) + F.col("n_could") / F.col("n_terms") * COVERAGE_WEIGHT + F.when(F.col("near"), PHRASE_WEIGHT).otherwise(0.0)
+        needed = (promise + SLACK >= F.coalesce("best", F.lit(0.0))) | (F.col("most_bm25") >= F.coalesce("low_bm25", F.lit(0.0))) | (F.col("most_cosine") >= F.coalesce("low_cosine", F.lit(0.0)))
+        most *= 2
+        opening, closed = dealt(told.select(*closed.columns, needed.alias("needed")), most)
+        if opening.isEmpty():
+            break
+    removed(*[table for table in used if table is not found])
+    return top(found, limit).select("query_id", "rank", "chunk_ord", "score", F.lit("hybrid").alias("source"))
+
+
+def scored(corpus: Corpus, queries: DataFrame) -> DataFrame:
+    """(query_id, chunk_ord, bm25, cosine, coverage) of all chunks that share a term with a query in its range."""
+    return matched(corpus, asked(corpus, queries)).select("query_id", "chunk_ord", "bm25", "cosine", (F.col("n_met") / F.col("n_terms")).alias("coverage"))
 
 
 def top(hits: DataFrame, limit: int, score: str = "score") -> DataFrame:
@@ -92,10 +238,6 @@ def top(hits: DataFrame, limit: int, score: str = "score") -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
 
 
-def hybrid(corpus: Corpus, queries: DataFrame, limit: int = 10) -> DataFrame:
-    return top(scored(corpus, queries), limit).select("query_id", "rank", "chunk_ord", "score", F.lit("hybrid").alias("source"))
-
-
 def hierarchical(corpus: Corpus, queries: DataFrame, limit: int = 12, adjacent: int = 1, global_mode: bool = False) -> DataFrame:
     """Hybrid hits, children of the sections whose titles and summaries match best, and neighbours of the hits.
 
