@@ -118,7 +118,8 @@ def block_table(postings: DataFrame, stats: DataFrame) -> DataFrame:
 
 @dataclass
 class Corpus:
-    """Tables of one indexed corpus. ``size`` is its number of chunks, or 1 if it has none."""
+    """Tables of one indexed corpus. ``size`` is its number of chunks, or 1 if it has none; ``helpers`` are tables that the
+    others are made from where they are read."""
 
     sources: DataFrame
     sections: DataFrame
@@ -129,6 +130,7 @@ class Corpus:
     blocks: DataFrame
     size: int
     n_chunks: int
+    helpers: tuple[DataFrame, ...] = ()
 
     @staticmethod
     def build(sources: DataFrame, cache: bool = True) -> Corpus:
@@ -154,7 +156,7 @@ class Corpus:
 
     def release(self) -> None:
         """Delete the tables; nothing can be read of them afterwards."""
-        removed(self.sources, self.sections, self.chunks, self.postings, self.terms, self.stats, self.blocks)
+        removed(self.sources, self.sections, self.chunks, self.postings, self.terms, self.stats, self.blocks, *self.helpers)
 
     def totals(self) -> DataFrame:
         """Bytes indexed and the largest source's, and the counts of the hierarchy."""
