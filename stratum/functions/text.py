@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 #: CJK ideographs, each of which counts as a token.
 CJK = "\\u3400-\\u9FFF"
 CHARS_PER_TOKEN = 3.5
+#: White space of any script: what Unicode names so.
+SPACES = "\t\n\x0b\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 MESSAGE_BASE, MESSAGE_EACH = 3, 5
 
 
@@ -24,7 +26,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def trimmed(c: Column | str) -> Column:
     """Without white space (of any script) at both ends."""
-    return F.regexp_replace(column(c), r"(?U)^\s+|\s+$", "")
+    return F.btrim(column(c), F.lit(SPACES))
 
 
 def collapsed(c: Column | str, by: str = " ") -> Column:
@@ -33,13 +35,18 @@ def collapsed(c: Column | str, by: str = " ") -> Column:
 
 def newlines(c: Column | str) -> Column:
     """CR and CRLF become LF; ends are trimmed."""
-    return trimmed(F.regexp_replace(column(c), "\r\n?", "\n"))
+    return trimmed(F.replace(F.replace(column(c), F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n")))
+
+
+def _has_cjk(c: Column) -> Column:
+    """Whether there may be CJK ideographs: a text of single bytes has none."""
+    return F.octet_length(c) > F.length(c)
 
 
 def token_estimate(c: Column | str) -> Column:
     """One for each CJK ideograph and one for each 3.5 other characters, rounded up; at least one."""
     c = column(c)
-    others = F.length(F.regexp_replace(c, f"[{CJK}]", ""))
+    others = F.length(F.when(_has_cjk(c), F.regexp_replace(c, f"[{CJK}]", "")).otherwise(c))
     return F.greatest(F.lit(1), (F.length(c) - others + F.ceil(others / F.lit(CHARS_PER_TOKEN))).cast("int"))
 
 
@@ -50,11 +57,17 @@ def message_tokens(messages: Column | str) -> Column:
 
 def lexical_tokens(c: Column | str) -> Column:
     """Latin words, then CJK single characters, then pairs of CJK characters that follow each other (gaps ignored)."""
-    low = F.lower(column(c))
-    words = F.regexp_extract_all(low, F.lit("[a-zA-Z0-9_][a-zA-Z0-9_.-]*"), 0)
-    single = F.regexp_extract_all(low, F.lit(f"[{CJK}]"), 0)
-    pairs = F.transform(F.sequence(F.lit(1), F.size(single) - 1), lambda i: F.concat(F.element_at(single, i), F.element_at(single, i + 1)))
-    return F.concat(words, single, F.when(F.size(single) >= 2, pairs).otherwise(F.array().cast("array<string>")))
+    none = F.array().cast("array<string>")
+
+    def with_pairs(single: Column) -> Column:
+        pairs = F.zip_with(F.slice(single, 1, F.size(single) - 1), F.slice(single, 2, F.size(single) - 1), lambda a, b: F.concat(a, b))
+        return F.concat(single, F.when(F.size(single) >= 2, pairs).otherwise(none))
+
+    def tokens(low: Column) -> Column:
+        words = F.regexp_extract_all(low, F.lit("[a-zA-Z0-9_][a-zA-Z0-9_.-]*"), 0)
+        return F.when(_has_cjk(low), F.concat(words, let(F.regexp_extract_all(low, F.lit(f"[{CJK}]"), 0), with_pairs))).otherwise(words)
+
+    return let(F.lower(column(c)), tokens)
 
 
 def compact(c: Column | str) -> Column:

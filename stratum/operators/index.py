@@ -32,6 +32,12 @@ def with_offsets(counted: DataFrame, order: str, count: str, name: str) -> DataF
     return joined.withColumn(name, F.col("block_offset") + F.coalesce(F.sum(count).over(inside), F.lit(0))).drop("block", "block_offset")
 
 
+def spread(sources: DataFrame) -> DataFrame:
+    """Sources that come from fewer files than there are tasks, dealt to all tasks: a file may be one task's otherwise."""
+    slots = sources.sparkSession.sparkContext.defaultParallelism
+    return sources if len(sources.inputFiles()) >= slots else sources.repartition(slots, "source_ord")
+
+
 def source_table(sources: DataFrame) -> DataFrame:
     """source_ord, document, source_bytes and indexed_bytes of (source_ord, document, text[, source_bytes])."""
     indexed = F.octet_length("text").cast("long")
@@ -140,7 +146,7 @@ class Corpus:
         wherever they are read.
         """
         keep = stored if cache else (lambda df, name: df)
-        cut_up = keep(section_parts(sources), "sections-of-sources")
+        cut_up = keep(section_parts(spread(sources)), "sections-of-sources")
         sections = keep(section_table(cut_up), "sections")
         in_parts = keep(chunk_parts(sections), "chunks-of-sections")
         chunks = keep(chunk_table(in_parts), "chunks")

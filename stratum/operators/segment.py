@@ -91,7 +91,8 @@ def summary(title: Column | str, text: Column | str, most: int = SUMMARY_CHARS)
     title, text = column(title), column(text)
     at, head = F.regexp_instr(text, F.lit(HEADING)), F.regexp_substr(text, F.lit(HEADING))
     body = trimmed(F.when(at > 0, F.concat(F.left(text, at - 1), F.substring(text, at + F.length(head), F.length(text)))).otherwise(text))
-    sentences = F.filter(F.transform(F.split(body, r"(?U)(?<=[。！？.!?])\s*"), trimmed), lambda s: s != "")
+    cut_off = F.slice(F.split(body, r"(?U)(?<=[。！？.!?])\s*", SUMMARY_SENTENCES + 1), 1, SUMMARY_SENTENCES)  # the rest stays uncut
+    sentences = F.filter(F.transform(cut_off, trimmed), lambda s: s != "")
 
     def take(a: Column, s: Column) -> Column:
         stop = a["stop"] | ((F.size(a["out"]) > 0) & (a["used"] + F.length(s) > most))

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratum.functions.text import lexical_tokens
-from stratum.operators.index import Corpus, block_table, chunk_parts, chunk_stats, chunk_table, section_parts, section_table, source_table, term_table, with_offsets
+from stratum.operators.index import Corpus, block_table, chunk_parts, chunk_stats, chunk_table, section_parts, section_table, source_table, spread, term_table, with_offsets
 from stratum.storage import removed, shared_folder, stored
 
 #: More segments than this are compacted, and so are views of which less than this share of the chunks is left.
@@ -105,7 +105,7 @@ class Index:
             df.write.parquet(f"{path}/{name}")
             return self.spark.read.schema(df.schema).parquet(f"{path}/{name}")
 
-        cut_up = stored(section_parts(sources), "sections-of-sources")
+        cut_up = stored(section_parts(spread(sources)), "sections-of-sources")
         sections = kept(section_table(cut_up), "sections")
         in_parts = stored(chunk_parts(sections), "chunks-of-sections")
         chunks = kept(chunk_table(in_parts), "chunks")
