@@ -577,28 +577,36 @@ def json_from_answers(spark, sf_dir):
 
 # Reading pages, memory and neighbours over the tables
 
-# A book of each language: a page for each document, in the order of their ids.
-_BOOK_SQL = "p AS (SELECT lang AS document, doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS page, replace(regexp_replace(text, '\\s+', ' ', 'g'), '#', '') AS body FROM documents WHERE lang IS NOT NULL AND text IS NOT NULL)"
+# Books of up to 50 documents of a language: a page for each, in the order of their ids. In every third book each page
+# number stands twice, and the later page counts.
+_BOOK_SQL = """p AS (
+  SELECT lang || '_' || (doc_id // 50)::VARCHAR AS document, row_number() OVER (PARTITION BY lang, doc_id // 50 ORDER BY doc_id) AS place, doc_id // 50 % 3 = 0 AS doubled, replace(regexp_replace(text, '\\s+', ' ', 'g'), '#', '') AS body
+  FROM documents WHERE lang IS NOT NULL AND text IS NOT NULL
+), n AS (SELECT *, CASE WHEN doubled THEN (place + 1) // 2 ELSE place END AS page FROM p
+), b AS (SELECT *, '## 第 ' || page || ' 页' || chr(10) || chr(10) || body AS block, max(place) OVER (PARTITION BY document) AS places FROM n
+), o AS (SELECT *, coalesce(sum(length(block) + 2) OVER (PARTITION BY document ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s, row_number() OVER (PARTITION BY document, page ORDER BY place DESC) AS later FROM b
+), k AS (SELECT *, s + length(block) + CASE WHEN place = places THEN 0 ELSE 2 END AS e FROM o WHERE later = 1)"""
 
 
 def _books(spark, sf_dir) -> DataFrame:
-    page = F.row_number().over(W.partitionBy("lang").orderBy("doc_id"))
-    rows = _table(spark, sf_dir, "documents").where("lang IS NOT NULL AND text IS NOT NULL").select(F.col("lang").alias("document"), page.alias("page"), F.replace(F.regexp_replace("text", "\\s+", " "), F.lit("#"), F.lit("")).alias("body"))
-    whole = F.transform(F.array_sort(F.collect_list(F.struct("page", "body"))), lambda x: F.concat(F.lit("## 第 "), x["page"].cast("string"), F.lit(" 页\n\n"), x["body"]))
+    group = F.expr("doc_id div 50")
+    place = F.row_number().over(W.partitionBy("lang", group).orderBy("doc_id"))
+    rows = _table(spark, sf_dir, "documents").where("lang IS NOT NULL AND text IS NOT NULL").select(F.concat_ws("_", "lang", group.cast("string")).alias("document"), place.alias("place"), (group % 3 == 0).alias("doubled"), F.replace(F.regexp_replace("text", "\\s+", " "), F.lit("#"), F.lit("")).alias("body"))
+    page = F.when(F.col("doubled"), F.expr("(place + 1) div 2")).otherwise(F.col("place"))
+    whole = F.transform(F.array_sort(F.collect_list(F.struct("place", page.alias("page"), "body"))), lambda x: F.concat(F.lit("## 第 "), x["page"].cast("string"), F.lit(" 页\n\n"), x["body"]))
     return rows.groupBy("document").agg(F.array_join(whole, "\n\n").alias("text"))
 
 
-@query(f"""WITH {_BOOK_SQL}, b AS (SELECT *, '## 第 ' || page || ' 页' || chr(10) || chr(10) || body AS block FROM p), o AS (SELECT *, coalesce(sum(length(block) + 2) OVER (PARTITION BY document ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s, max(page) OVER (PARTITION BY document) AS last FROM b)
-SELECT document, md5(string_agg({sql.trim("block")}, chr(10) || chr(10) ORDER BY page)) AS digest, min(s)::INTEGER AS start_character, max(s + length(block) + CASE WHEN page = last THEN 0 ELSE 2 END)::INTEGER AS end_character FROM o WHERE page BETWEEN 3 AND 6 GROUP BY document""")
+@query(f"""WITH {_BOOK_SQL}, f AS (SELECT document, max(page) AS greatest FROM k GROUP BY document)
+SELECT document, CASE WHEN greatest >= 6 THEN md5(string_agg({sql.trim("block")}, chr(10) || chr(10) ORDER BY page) FILTER (WHERE page BETWEEN 3 AND 6)) END AS digest, CASE WHEN greatest >= 6 THEN min(s) FILTER (WHERE page BETWEEN 3 AND 6) END::INTEGER AS start_character, CASE WHEN greatest >= 6 THEN max(e) FILTER (WHERE page BETWEEN 3 AND 6) END::INTEGER AS end_character
+FROM k JOIN f USING (document) GROUP BY document, greatest""")
 def page_span(spark, sf_dir):
     return reader.page_span(_books(spark, sf_dir), 3, 6).select("document", F.md5(F.col("content").cast("binary")).alias("digest"), "start_character", "end_character")
 
 
-@query(f"WITH {_BOOK_SQL}, n AS (SELECT document, max(page) AS last FROM p GROUP BY document) SELECT document, list_filter(range(last - 1, last + 3), lambda x: x > last)::INTEGER[] AS missing FROM n WHERE last >= 2 AND last = (SELECT max(last) FROM n)")
+@query(f"WITH {_BOOK_SQL} SELECT document, list_filter(range(20, 31), lambda x: x > max(page))::INTEGER[] AS missing, max(page)::INTEGER AS greatest FROM k GROUP BY document")
 def pages_missing(spark, sf_dir):
-    books = _books(spark, sf_dir)
-    last = reader.pages(books).groupBy("document").agg(F.max("page").alias("n")).orderBy(F.desc("n")).first()
-    return reader.page_span(books.where(F.col("document") == last.document), last.n - 1, last.n + 2).select("document", "missing")
+    return reader.page_span(_books(spark, sf_dir), 20, 30).select("document", "missing", "greatest")
 
 
 @query(f"WITH mem AS ({_memory_sql(20, 6000)}) SELECT c.conv_id, turn, CASE WHEN memory IS NOT NULL AND regexp_matches(text, '这个|该内容|上述|前面|刚才|它|其|这些|他们') THEN text || chr(10) || memory ELSE text END AS query FROM conversations c LEFT JOIN mem USING (conv_id)")

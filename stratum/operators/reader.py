@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stratum.functions.text import column, trimmed
@@ -32,26 +33,28 @@ def window(text: Column | str, offset: Column | int = 0, size: int = WINDOW_CHAR
 
 def pages(documents: DataFrame) -> DataFrame:
     """(document, page, ordinal, start_character, end_character, content) of (document, text): from each page heading to
-    the next; of a page that occurs twice the last. Offsets are those in the text, before it is trimmed."""
-    marked = F.regexp_replace("text", PAGE_HEADING, f"{_MARK}$1{_END}$0")
-    split = F.split(marked, _MARK)
+    the next; of a page that occurs twice the last. Offsets are those in the text, before it is trimmed. Stored once,
+    this is the table from which ``span_of`` reads pages by their number."""
+    split = F.split(F.regexp_replace("text", PAGE_HEADING, f"{_MARK}$1{_END}$0"), _MARK)
     body = lambda p: F.regexp_replace(p, f"(?s)^[^{_END}]*{_END}", "")
-    widths = F.transform(split, lambda p, i: F.when(i == 0, F.length(p)).otherwise(F.length(body(p))))
-    rows = documents.select("document", widths.alias("widths"), F.posexplode(split).alias("ordinal", "piece")).where("ordinal > 0")
-    start = F.aggregate(F.slice("widths", 1, F.col("ordinal")), F.lit(0), lambda a, n: a + n)
-    parsed = rows.select("document", "ordinal", F.substring_index("piece", _END, 1).cast("int").alias("page"), start.alias("start_character"), (start + F.element_at("widths", F.col("ordinal") + 1)).alias("end_character"), trimmed(body(F.col("piece"))).alias("content"))
-    last = F.max_by(F.struct("ordinal", "start_character", "end_character", "content"), "ordinal").alias("last")
-    return parsed.groupBy("document", "page").agg(last).select("document", "page", "last.*")
+    pieces = documents.select("document", F.posexplode(split).alias("ordinal", "piece"))
+    pieces = pieces.select("document", "ordinal", F.when(F.col("ordinal") > 0, F.substring_index("piece", _END, 1).cast("int")).alias("page"), F.when(F.col("ordinal") > 0, body(F.col("piece"))).otherwise(F.col("piece")).alias("body"))
+    before = W.partitionBy("document").orderBy("ordinal").rowsBetween(W.unboundedPreceding, -1)
+    start = F.coalesce(F.sum(F.length("body")).over(before), F.lit(0)).cast("int")
+    placed = pieces.withColumn("start_character", start).where("ordinal > 0")
+    row = F.struct("ordinal", "start_character", (F.col("start_character") + F.length("body")).alias("end_character"), trimmed("body").alias("content"))
+    return placed.groupBy("document", "page").agg(F.max_by(row, "ordinal").alias("last")).select("document", "page", "last.*")
 
 
-def page_span(documents: DataFrame, first: int, last: int) -> DataFrame:
-    """A row for each document: the pages asked for, joined, with where they start and end, the numbers of those that are
-    missing, and the least and greatest page that there is. Without all pages, content and offsets are null."""
-    every = pages(documents).groupBy("document").agg(
-        F.min("page").alias("least"), F.max("page").alias("greatest"), F.array_sort(F.collect_list(F.when(F.col("page").between(first, last), F.struct("page", "content", "start_character", "end_character")))).alias("parts")
-    )
+def span_of(table: DataFrame, totals: DataFrame, first: int, last: int) -> DataFrame:
+    """A row for each document of ``totals`` (document, total_characters): the pages of ``table`` asked for, joined, with
+    where they start and end, the numbers of those that are missing, and the least and greatest page that there is.
+    Without all pages, content and offsets are null."""
+    ends = table.groupBy("document").agg(F.min("page").alias("least"), F.max("page").alias("greatest"))
+    asked = table.where(F.col("page").between(first, last)).groupBy("document").agg(F.array_sort(F.collect_list(F.struct("page", "content", "start_character", "end_character"))).alias("parts"))
+    joined = totals.join(ends, "document", "left").join(asked, "document", "left")
     there = F.coalesce(F.transform("parts", lambda p: p["page"]), F.array().cast("array<int>"))
-    joined = documents.select("document", F.length("text").alias("total_characters")).join(every, "document", "left").withColumn("missing", F.array_except(F.sequence(F.lit(first), F.lit(last)), there))
+    joined = joined.withColumn("missing", F.array_except(F.sequence(F.lit(first), F.lit(last)), there))
     whole = F.size("missing") == 0
     return joined.select(
         "document",
@@ -65,6 +68,11 @@ def page_span(documents: DataFrame, first: int, last: int) -> DataFrame:
     )
 
 
+def page_span(documents: DataFrame, first: int, last: int) -> DataFrame:
+    """``span_of`` the pages of (document, text)."""
+    return span_of(pages(documents), documents.select("document", F.length("text").alias("total_characters")), first, last)
+
+
 def page_slice(documents: DataFrame, first: int, last: int) -> DataFrame:
     """(document, content, missing) with the pages asked for joined; content is null where one is missing."""
     return page_span(documents, first, last).select("document", "content", "missing")

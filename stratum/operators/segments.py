@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from stratum.functions.text import lexical_tokens
 from stratum.operators.index import Corpus, block_table, chunk_parts, chunk_stats, chunk_table, section_parts, section_table, source_table, spread, term_table, with_offsets
-from stratum.storage import removed, shared_folder, stored
+from stratum.storage import removed, removed_path, shared_folder, stored
 
 #: More segments than this are compacted, and so are views of which less than this share of the chunks is left.
 MOST_SEGMENTS, LEAST_LEFT = 8, 0.75
@@ -118,6 +118,12 @@ class Index:
         kept(spans.fillna(0, ["n_sections", "n_chunks"]), "spans")
         return replace(base, entries=(*base.entries, Entry("segment", path)))
 
+    def without(self, other: Index) -> None:
+        """Delete the tables of this index that ``other`` doesn't have; for what was never committed."""
+        for entry in set(self.entries) - set(other.entries):
+            if entry.kind != "applied":
+                removed_path(self.spark, entry.path)
+
     def removing(self, names: DataFrame) -> Index:
         """Without the sources whose document is among ``names`` (document)."""
         found = []

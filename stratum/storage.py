@@ -38,6 +38,9 @@ def removed(*tables: DataFrame) -> None:
     """Delete tables made by ``stored``; others are left alone."""
     for table in tables:
         if at := getattr(table, "_stored_at", None):
-            session = table.sparkSession
-            path = session.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
-            path.getFileSystem(session._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+            removed_path(table.sparkSession, at)
+
+
+def removed_path(spark: SparkSession, at: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)

@@ -3,11 +3,12 @@
 import math
 import random
 import re
+import time
 
 from pyspark.sql import functions as F
 
 from stratum.functions import text as tx
-from stratum.operators import segment
+from stratum.operators import reader, segment
 from stratum.plans.engine import estimate
 
 
@@ -100,3 +101,19 @@ def test_summary_takes_three_sentences(spark):
 def test_message_tokens(spark):
     row = spark.createDataFrame([([("user", "abcdefg"), ("assistant", "好")],)], "m array<struct<role:string,content:string>>").select(tx.message_tokens(F.col("m")).alias("n")).collect()[0]
     assert row.n == 3 + (5 + 2 + 2) + (5 + 3 + 1)
+
+
+def test_pages_of_a_long_book_are_found_in_time(spark):
+    book = "front\n\n" + "\n\n".join(f"## 第 {n} 页\n\ntext of {n} " + "x" * 300 for n in range(1, 3001))
+    table = spark.createDataFrame([("book", book)], "document string, text string")
+    reader.page_span(table, 1, 2).collect()
+    began = time.time()
+    got = reader.page_span(table, 2990, 2999).collect()[0]
+    assert time.time() - began < 10
+    assert got.content == book[got.start_character : got.end_character].strip() and got.content.startswith("## 第 2990 页") and (got.least, got.greatest, got.missing) == (1, 3000, [])
+
+
+def test_of_a_page_that_occurs_twice_the_last_is_read(spark):
+    text = "## 第 1 页\n\nold\n\n## 第 2 页\n\ntwo\n\n## 第 1 页\n\nnew"
+    got = reader.page_span(spark.createDataFrame([("b", text), ("none", "no pages"), ("empty", "")], "document string, text string"), 1, 2).orderBy("document").collect()
+    assert [(r.document, r.content, r.missing) for r in got] == [("b", "## 第 1 页\n\nnew\n\n## 第 2 页\n\ntwo", []), ("empty", None, [1, 2]), ("none", None, [1, 2])]
