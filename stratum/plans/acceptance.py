@@ -102,13 +102,16 @@ def run(spark: SparkSession, text: str, cases: list[dict], model: Model = extrac
     sources = text_source(spark, text, name)
     size = sources.select(token_estimate("text").alias("tokens"), F.octet_length("text").alias("bytes")).collect()[0]
     corpus = Corpus.build(sources)
-    engine = Engine(corpus, model, limits)
-    results = []
-    for case in cases:
-        answer = engine.answer(case["question"])
-        missing = [t for t in case["expected_terms"] if t not in answer.answer]
-        passed = not missing and bool(answer.citations) and answer.validation["approved"]
-        results.append({"id": case["id"], "question": case["question"], "passed": passed, "missing": missing, "answer": answer, "reasons": [] if passed else reasons(answer, missing)})
+    results, n_chunks = [], corpus.n_chunks
+    try:
+        engine = Engine(corpus, model, limits)
+        for case in cases:
+            answer = engine.answer(case["question"])
+            missing = [t for t in case["expected_terms"] if t not in answer.answer]
+            passed = not missing and bool(answer.citations) and answer.validation["approved"]
+            results.append({"id": case["id"], "question": case["question"], "passed": passed, "missing": missing, "answer": answer, "reasons": [] if passed else reasons(answer, missing)})
+    finally:
+        corpus.release()
     each = [r["answer"] for r in results]
     most = max((a.metrics["max_prompt_tokens"] for a in each), default=0)
     n_passed, within = sum(r["passed"] for r in results), all(a.metrics["within_limit"] for a in each)
@@ -122,8 +125,6 @@ def run(spark: SparkSession, text: str, cases: list[dict], model: Model = extrac
     )
     gates = {k: passed for k, (passed, _) in zip(GATES, outcome, strict=True)}
     proof = {"logical_document_tokens": size.tokens, "physical_context_limit_tokens": limits.context_limit, "max_prompt_tokens": most, "all_calls_within_limit": within, "passed_cases": n_passed, "total_cases": len(results), "divide_and_conquer_verified": gates["document_over_window"] and within and n_passed == len(results)}
-    n_chunks = corpus.n_chunks
-    corpus.release()
     return {
         "cases": results, "gates": gates, "assertions": [{"id": k, "passed": passed, "actual": actual} for k, (passed, actual) in zip(GATES, outcome, strict=True)], "passed": n_passed, "total": len(results), "ok": all(gates.values()),
         "failure_summary": failure_summary(results), "accounting": accounting(each), "context_proof": proof, "duration_ms": round((time.perf_counter() - began) * 1000),

@@ -54,8 +54,8 @@ def _share(parts: list[set[str]], sentence: str) -> float:
 
 
 def _specialist(prompt: str) -> dict:
-    head, _, blocks = prompt.partition("\n证据：\n")
-    asked = re.search(r"^检索词：(.*?)(?:\n对话记忆|\Z)", head, re.S | re.M)
+    head, _, blocks = prompt.partition("\n可用材料：\n")
+    asked = re.search(r"^查询：(.*?)(?:\n先前的对话|\Z)", head, re.S | re.M)
     parts = [g for p in _PART.split(asked[1] if asked else head) if (g := _grams(p))]
     quotes = []
     for block in re.split(r"(?=\[artifact_id=)", blocks):
