@@ -8,16 +8,22 @@ the share counts, scores are carried on until none changes by more than a billio
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, by_key, cut
+from .common import BROADCAST_ROWS, by_key, cut, drop
 
 #: (verdict, host and path), as stated by the filter's users.
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 DAMPING, ROUNDS, THRESHOLD = 0.85, 6, 0.6
 #: Scores are final when a round changes none by more than this share of itself.
 TOLERANCE = 1e-9
+#: Edges, in both directions, that one task carries to the end; rounds from look to look beyond that.
+LAST_EDGES, LOOK = 262_144, 10
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _HREF = r"(?is)<a\s[^>]*?href\s*=\s*[\"']?\s*([a-z][a-z0-9+.-]*://[^\"'\s>]+)"
 
@@ -41,14 +47,15 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return rule, verdict
 
 
-def host_scores(seeds: DataFrame, links: DataFrame, rounds: int | None = ROUNDS, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
+def host_scores(seeds: DataFrame, links: DataFrame, rounds: int | None = ROUNDS, damping: float = DAMPING, tolerance: float = TOLERANCE, last: int | None = None) -> DataFrame:
     """host, trust and distrust after ``rounds`` rounds, from ``seeds`` (host, trust, distrust) and ``links`` (a, b, n).
 
     Both spread in one join: a link carries trust from a to b and distrust from b to a, each in proportion to its share
     of the links that leave a host in that direction. Links within a host carry nothing. Without ``rounds``, until a
     round changes no score by more than ``tolerance`` of itself: a score that has just left 0 changes by all of itself,
     so every host that a seed reaches is reached (up to some 4,000 links away, where scores underflow), and the greatest
-    relative change never grows from round to round, so that none is missed between two looks.
+    relative change never grows from round to round, so that none is missed between two looks. Graphs of up to ``last``
+    (``LAST_EDGES``) edges are carried to the end by one task; of larger ones every ``LOOK``-th round is looked at.
     """
     links = links.where("a <> b")
     forward = links.join(links.groupBy("a").agg(F.sum("n").alias("all")), "a").select(F.col("a").alias("from"), F.col("b").alias("to"), (F.col("n") / F.col("all")).alias("trust_share"), F.lit(0.0).alias("distrust_share"))
@@ -69,19 +76,70 @@ def host_scores(seeds: DataFrame, links: DataFrame, rounds: int | None = ROUNDS,
             if i % 3 == 2:
                 scores = cut(scores)
         return scores
+    if edges.count() <= (LAST_EDGES if last is None else last):
+        found = _carried_to_the_end(edges, scores, damping, tolerance)
+        drop(edges)
+        return found.unionByName(scores.join(found.select("host"), "host", "left_anti"))
     was = [F.sum(c).alias(c) for c in ("trust_was", "distrust_was")]
     none = [F.lit(0.0).alias(c) for c in ("trust", "distrust")]
     moved = " OR ".join(f"{c} - {c}_was > {tolerance!r} * {c}" for c in ("trust", "distrust"))
+    read = None
     while True:
-        scores = cut(carried(carried(scores).groupBy("host").agg(*sums)).groupBy("host").agg(*sums))
+        for i in range(LOOK - 1):
+            scores = carried(scores).groupBy("host").agg(*sums)
+            if i % 3 == 2:
+                scores = _instead(scores, read)
+                read = scores
         before = scores.select("host", *none, F.col("trust").alias("trust_was"), F.col("distrust").alias("distrust_was"))
         ahead = carried(scores).withColumn("trust_was", F.lit(0.0)).withColumn("distrust_was", F.lit(0.0))
-        looked = cut(ahead.unionByName(before).groupBy("host").agg(*sums, *was))
-        scores = looked.select("host", "trust", "distrust")
+        looked = _instead(ahead.unionByName(before).groupBy("host").agg(*sums, *was), read)
+        read, scores = looked, looked.select("host", "trust", "distrust")
         if looked.where(moved).isEmpty():
+            drop(edges)
             return scores
 
 
+def _instead(df: DataFrame, read: DataFrame | None) -> DataFrame:
+    """``df`` as a table; the one that it was computed from isn't read again."""
+    table = cut(df)
+    if read is not None:
+        drop(read)
+    return table
+
+
+def _carried_to_the_end(edges: DataFrame, seeds: DataFrame, damping: float, tolerance: float) -> DataFrame:
+    """Scores at convergence of the hosts that have links, in one task, for graphs of a bounded number of edges."""
+    none = F.lit(None).cast("string").alias("to")
+    linked = edges.select(F.col("from").alias("host")).distinct()
+    starts = seeds.join(linked, "host", "left_semi").select(F.col("host").alias("from"), none, F.col("trust").alias("trust_share"), F.col("distrust").alias("distrust_share"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches))
+        if not table.num_rows:
+            return
+        is_seed = table["to"].is_null().to_numpy()
+        ends = pa.concat_arrays([c for name in ("from", "to") for c in table[name].chunks]).dictionary_encode()
+        codes, hosts = ends.indices.fill_null(-1).to_numpy(zero_copy_only=False), ends.dictionary
+        a, b = codes[: len(is_seed)], codes[len(is_seed) :]
+        start, carried = np.zeros((2, len(hosts))), []
+        for k, name in enumerate(("trust_share", "distrust_share")):
+            share = table[name].to_numpy()
+            np.add.at(start[k], a[is_seed], share[is_seed])
+            some = ~is_seed & (share > 0)
+            carried.append((a[some], b[some], damping * share[some]))
+        score = start
+        while True:
+            after = np.stack([start[k] + np.bincount(b, score[k][a] * w, len(hosts)) for k, (a, b, w) in enumerate(carried)])
+            done = (after - score <= tolerance * after).all()
+            score = after
+            if done:
+                break
+        yield pa.RecordBatch.from_arrays([hosts, pa.array(score[0]), pa.array(score[1])], ["host", "trust", "distrust"])
+
+    rows = edges.select("from", "to", "trust_share", "distrust_share").unionByName(starts)
+    return cut(rows.repartition(1).mapInArrow(run, "host string, trust double, distrust double"))
+
+
 def judge(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD) -> DataFrame:
     """One row per row of ``pages`` (page_id, url, html): page_id, host, path, rule, verdict, trust, distrust.
 

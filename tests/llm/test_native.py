@@ -3,10 +3,13 @@
 import hashlib
 import random
 import re
+import time
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
+from stratum import storage
 from stratum.llm import common, decontaminate, mixing, neardup, urlgraph
 from stratum.llm.components import connected_components
 
@@ -219,7 +222,23 @@ def test_a_host_that_links_to_blocked_pages_is_blocked(spark):
     assert got == {1: "block", 2: "block", 3: "allow"}
 
 
-def test_scores_are_carried_to_the_end(spark):
+def test_a_ring_of_hosts_is_carried_to_the_end_in_time(spark):
+    rows = [(i, f"http://h{i}.net/", f'<a href="http://h{(i + 1) % 6}.net/">x</a>') for i in range(6)]
+    rows += [(6, "http://x.com/de/1", '<a href="http://h0.net/">x</a>'), (7, "http://y.com/fr/1", '<a href="http://h3.net/">x</a>')]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    folder = Path(storage.shared_folder(spark).removeprefix("file:"))
+    before, began = set(folder.iterdir()), time.time()
+    got = {r.page_id: r for r in urlgraph.judge(pages).collect()}
+    assert time.time() - began < 30 and len(set(folder.iterdir()) - before) <= 5
+    trust = {h: 0.0 for h in range(6)}
+    for _ in range(400):
+        trust = {h: 0.85 * trust[(h - 1) % 6] + (0.85 if h == 3 else 0.0) for h in range(6)}
+    assert all(got[h].trust == pytest.approx(trust[h], rel=1e-7) and got[h].distrust == 0 for h in range(6))
+
+
+@pytest.mark.parametrize("last", [1 << 18, 0])
+def test_scores_are_carried_to_the_end(spark, monkeypatch, last):
+    monkeypatch.setattr(urlgraph, "LAST_EDGES", last)
     page = lambda i, host, to: (i, f"http://{host}/", "".join(f'<a href="http://{t}/">x</a>' for t in to))
     chain = [page(i, f"h{i}.net", [f"h{i + 1}.net"]) for i in range(12)] + [page(12, "h12.net", ["x.com"]), (13, "http://x.com/de/1", "")]
     # A loop whose far side hears of both seeds: all that goes round counts, however little it is.
