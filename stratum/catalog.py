@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,9 +13,11 @@ from stratum import catalog_sql as sql
 from stratum.functions import text as tx
 from stratum.operators import evidence, memory, reader, search
 from stratum.operators.index import Corpus
-from stratum.plans import reduction, routing
+from stratum.operators.segments import Index
+from stratum.plans import fanout, reduction, routing
 from stratum.plans.config import Limits
 from stratum.sources import web
+from stratum.storage import shared_folder
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLES: dict[str, str] = {}
@@ -206,9 +209,17 @@ def hierarchical_topk(spark, sf_dir):
     return search.hierarchical(corpus_of(spark, sf_dir), _literal(spark, SEARCHES, "query_id int, query string"))
 
 
-# Routing and allocation
+# Routing and allocation: each document's first characters after one of the questions
+
+_ASKED = [q for _, q in QUESTIONS]
+_QUESTIONS = f"(SELECT doc_id AS id, list_extract([{', '.join(repr(q) for q in _ASKED)}], (doc_id % {len(_ASKED)} + 1)::INTEGER) || left(text, 30) AS question FROM documents WHERE text IS NOT NULL) v"
+
+
+def _questions(spark, sf_dir) -> DataFrame:
+    asked = F.get(F.array(*[F.lit(q) for q in _ASKED]), (F.col("doc_id") % len(_ASKED)).cast("int"))
+    return _table(spark, sf_dir, "documents").where("text IS NOT NULL").select(F.col("doc_id").alias("id"), F.concat(asked, F.left("text", F.lit(30))).alias("question"))
+
 
-_QUESTIONS = f"(VALUES {sql.text_list(QUESTIONS)}) v(id, question)"
 _COMPACT = "regexp_replace(lower(question), '\\s+', '', 'g')"
 
 
@@ -224,7 +235,7 @@ SELECT id, CASE WHEN regexp_matches(c, '同时|分别|逐项|以及|并且|、|
 
 @query(_ROUTE_SQL)
 def intent_route(spark, sf_dir):
-    q = _literal(spark, QUESTIONS, "id int, question string")
+    q = _questions(spark, sf_dir)
     return q.select("id", routing.intent("question").alias("intent"), routing.agent_type("question").alias("agent_type"), routing.scope("question").alias("scope"), routing.reads_directly("question").alias("direct_read"), routing.asks_page_content("question").alias("page_content"), routing.is_exhaustive("question").alias("exhaustive"))
 
 
@@ -237,7 +248,7 @@ _PAGE = "(?:第\\s*)?(\\d{1,4})\\s*(?:[-—–~～]|至|到)\\s*(\\d{1,4})\\s*
 SELECT id, start_page, end_page, start_page >= 1 AND end_page >= start_page AND end_page - start_page < 101 AS valid FROM r WHERE start_page IS NOT NULL"""
 )
 def page_range(spark, sf_dir):
-    q = _literal(spark, QUESTIONS, "id int, question string").withColumn("r", routing.page_range("question")).where("r IS NOT NULL")
+    q = _questions(spark, sf_dir).withColumn("r", routing.page_range("question")).where("r IS NOT NULL")
     return q.select("id", F.col("r.start").alias("start_page"), F.col("r.end").alias("end_page"), F.col("r.valid").alias("valid"))
 
 
@@ -255,7 +266,7 @@ SELECT id, exhaustive_scan, (CASE WHEN exhaustive_scan THEN 32768 ELSE 65536 END
 def agent_sizing(spark, sf_dir):
     corpus = corpus_of(spark, sf_dir)
     size = corpus.totals().collect()[0].total_indexed_bytes
-    return routing.allocation(_literal(spark, QUESTIONS, "id int, question string"), Limits(), size, corpus.n_chunks).drop("question")
+    return routing.allocation(_questions(spark, sf_dir), Limits(), size, corpus.n_chunks).drop("question")
 
 
 @query(
@@ -493,11 +504,16 @@ def tasks_retried(spark, sf_dir):
     return reduction.retried(_findings(spark, sf_dir), retry).select("seq", "task_id")
 
 
-@query("SELECT 1::BIGINT AS n_rows, sum(length(text))::BIGINT AS total, max(length(text))::INTEGER AS most FROM documents")
+# A tree of digests: what a node says depends on which members it has, and on their order.
+_TREE_SQL = "WITH l0 AS (SELECT doc_id AS position, md5(coalesce(text, '')) AS v FROM documents)" + "".join(
+    f", l{k + 1} AS (SELECT position // 4 AS position, CASE WHEN (SELECT count(*) FROM l{k}) = 1 THEN any_value(v) ELSE md5(string_agg(v, '' ORDER BY position)) END AS v FROM l{k} GROUP BY position // 4)" for k in range(16)
+)
+
+
+@query(f"{_TREE_SQL} SELECT v AS digest FROM l16")
 def tree_reduced(spark, sf_dir):
-    rows = _table(spark, sf_dir, "documents").select((F.row_number().over(W.orderBy("doc_id")) - 1).cast("long").alias("position"), F.struct(F.length("text").cast("long").alias("total"), F.length("text").alias("most")).alias("value"))
-    add = lambda m: F.struct(F.aggregate(m, F.lit(0).cast("long"), lambda a, x: a + x["total"]).alias("total"), F.array_max(F.transform(m, lambda x: x["most"])).alias("most"))
-    return reduction.reduced(rows, 4, add).groupBy().agg(F.count(F.lit(1)).alias("n_rows"), F.max("value.total").alias("total"), F.max("value.most").alias("most"))
+    rows = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("position"), F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("value"))
+    return reduction.reduced(rows, 4, lambda members: F.md5(F.array_join(members, "").cast("binary"))).select(F.col("value").alias("digest"))
 
 
 _CALL_SQL = f"c AS (SELECT conv_id AS case_id, role, {sql.tokens('text')} AS estimated, CASE WHEN turn % 3 = 0 THEN NULL WHEN turn % 3 = 1 THEN 0 ELSE length(text) END AS actual FROM conversations), m AS (SELECT *, coalesce(nullif(actual, 0), estimated) AS used FROM c)"
@@ -534,9 +550,16 @@ def failure_summary(spark, sf_dir):
 
 
 _CHECKED_SQL = f"""WITH {_FOUND_SQL}, l AS (SELECT task_id, arg_max(agent_type, seq) AS agent_type, arg_max(summary, seq) AS summary, arg_max(evidence_ids, seq) AS ids FROM f GROUP BY task_id
-), t AS (SELECT 'task_' || i AS task_id FROM range(4) r(i)), ev AS (SELECT DISTINCT 'e' || turn AS id FROM conversations WHERE turn % 2 = 0), u AS (SELECT task_id, unnest(ids) AS id FROM l)
+), t AS (SELECT 'task_' || i AS task_id FROM range(4) r(i)), ev AS (SELECT DISTINCT 'e' || turn AS id FROM conversations WHERE turn % 2 = 0), u AS (SELECT task_id, unnest(ids) AS id FROM l
+), own AS (SELECT * FROM l SEMI JOIN t USING (task_id)
+), bad AS (
+  SELECT count(*) AS n FROM l ANTI JOIN t USING (task_id) UNION ALL SELECT count(*) FROM own WHERE agent_type NOT IN ('fact_extractor', 'analyst', 'risk_reviewer', 'comparator') UNION ALL SELECT count(*) FROM own WHERE trim(coalesce(summary, '')) = ''
+  UNION ALL SELECT count(*) FROM (SELECT unnest(ids) AS id FROM own) ANTI JOIN ev USING (id) UNION ALL SELECT count(*) FROM own
+), {_CALL_SQL}, within AS (SELECT coalesce(bool_and(used + 3000 <= 64000), true) AS ok FROM m
+), closed AS (SELECT count(*) = 0 AS ok FROM (SELECT unnest(['e0', 'e99']) AS id) r ANTI JOIN u USING (id)
+)
 SELECT unnest(['unique_task_ids', 'all_tasks_have_findings', 'artifacts_and_evidence_valid', 'reducer_evidence_closed', 'all_calls_within_context_limit']) AS check_name,
-  unnest([true, (SELECT count(*) FROM t ANTI JOIN l USING (task_id)) + (SELECT count(*) FROM l WHERE len(ids) = 0) = 0, false, (SELECT count(*) FROM (SELECT unnest(['e0', 'e99']) AS id) r ANTI JOIN u USING (id)) = 0, true]) AS passed"""
+  unnest([(SELECT count(*) = count(DISTINCT task_id) AND bool_and(task_id <> '') FROM t), (SELECT count(*) FROM t ANTI JOIN l USING (task_id)) + (SELECT count(*) FROM own WHERE len(ids) = 0) = 0, (SELECT sum(n) = 0 FROM bad) AND (SELECT ok FROM closed) AND (SELECT ok FROM within), (SELECT ok FROM closed), (SELECT ok FROM within)]) AS passed"""
 
 
 @query(_CHECKED_SQL)
@@ -609,10 +632,12 @@ def pages_missing(spark, sf_dir):
     return reader.page_span(_books(spark, sf_dir), 20, 30).select("document", "missing", "greatest")
 
 
-@query(f"WITH mem AS ({_memory_sql(20, 6000)}) SELECT c.conv_id, turn, CASE WHEN memory IS NOT NULL AND regexp_matches(text, '这个|该内容|上述|前面|刚才|它|其|这些|他们') THEN text || chr(10) || memory ELSE text END AS query FROM conversations c LEFT JOIN mem USING (conv_id)")
+# Every third message refers back.
+@query(f"WITH mem AS ({_memory_sql(20, 6000)}), c AS (SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN text || '，上述内容' ELSE text END AS text FROM conversations) SELECT c.conv_id, turn, CASE WHEN memory IS NOT NULL AND regexp_matches(text, '这个|该内容|上述|前面|刚才|它|其|这些|他们') THEN text || chr(10) || memory ELSE text END AS query FROM c LEFT JOIN mem USING (conv_id)")
 def referential_queries(spark, sf_dir):
     rows = _table(spark, sf_dir, "conversations")
-    return rows.join(memory.bounded_memory(rows), "conv_id", "left").select("conv_id", "turn", routing.with_memory("text", F.col("memory")).alias("query"))
+    asked = F.when(F.col("turn") % 3 == 0, F.concat("text", F.lit("，上述内容"))).otherwise(F.col("text"))
+    return rows.join(memory.bounded_memory(rows), "conv_id", "left").select("conv_id", "turn", routing.with_memory(asked, F.col("memory")).alias("query"))
 
 
 @query(f"WITH {sql.SECTIONS}, w AS (SELECT parent_ord, len({sql.lexical('title')}) AS title_terms, {sql.lexical('left(text, 900)')} AS head FROM sections) SELECT parent_ord, (title_terms + 7)::INTEGER AS title_terms, len(list_distinct(head))::INTEGER AS head_terms FROM w")
@@ -621,11 +646,41 @@ def parent_terms(spark, sf_dir):
     return sections.select("parent_ord", F.size(tx.lexical_tokens("title")).alias("title_terms"), F.size(F.array_distinct(tx.lexical_tokens(F.left("text", F.lit(900))))).alias("head_terms"))
 
 
-@query("SELECT doc_id, text IS NOT NULL AND length(text) > 0 AS has_text, strlen(text) > 20 * 1024 * 1024 AS oversized FROM documents")
+@query("SELECT doc_id, strlen(text) > 2000 AS oversized, strlen(text) = 0 AS is_empty, strlen(text) BETWEEN 1 AND 2000 AS is_read FROM documents WHERE text IS NOT NULL AND (text = '' OR trim(text) <> '')")
 def source_guard(spark, sf_dir):
-    from stratum.sources.files import MAX_BYTES
+    """The guard at work on the documents as files, with a limit that many of them exceed."""
+    from stratum.sources.files import parse_files
+
+    rows = _table(spark, sf_dir, "documents").where("text IS NOT NULL AND (text = '' OR trim(text) <> '')")
+    parsed = parse_files(rows.select(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.col("text").cast("binary").alias("content")), 2000)
+    error = F.coalesce("error", F.lit(""))
+    return parsed.select(F.split("name", "\\.")[0].cast("bigint").alias("doc_id"), error.contains("more than 2000 bytes").alias("oversized"), error.contains("empty").alias("is_empty"), F.col("text").isNotNull().alias("is_read"))
+
+
+# Segments and calls on executors
+
+# A third of the documents comes later, in a segment of its own; of the first ones some go and some change.
+_LATER, _GONE, _CHANGED = "doc_id % 3 = 2", "doc_id % 10 = 4", "doc_id % 10 = 7"
+_UPKEPT = sql.search(_SEARCHES).replace(sql.DOCS, f"""docs AS (
+  SELECT row_number() OVER (ORDER BY late, doc_id) - 1 AS source_ord, 'doc_' || doc_id AS document, {sql.body('kept')} AS body, kept AS text
+  FROM (SELECT doc_id, ({_LATER} OR {_CHANGED})::INTEGER AS late, CASE WHEN {_CHANGED} THEN right(text, 500) ELSE text END AS kept FROM documents WHERE {_LATER} OR NOT {_GONE}))""")
+
+
+@query(f"WITH {_UPKEPT} {sql.top(10)}")
+def segments_topk(spark, sf_dir):
+    docs, index = _sources(spark, sf_dir).withColumn("doc_id", F.col("source_ord")), Index.of(spark)
+    index = index.add(docs.where(f"NOT ({_LATER})")).removing(docs.where(f"{_GONE} AND NOT ({_LATER})").select("document"))
+    later = docs.where(f"{_LATER} OR {_CHANGED}").withColumn("text", F.when(F.expr(_CHANGED), F.right("text", F.lit(500))).otherwise(F.col("text")))
+    return search.hybrid(index.add(later).view(), _literal(spark, SEARCHES, "query_id int, query string")).drop("source")
+
 
-    return _table(spark, sf_dir, "documents").select("doc_id", (F.length("text") > 0).alias("has_text"), (F.octet_length("text") > MAX_BYTES).alias("oversized"))
+@query("SELECT item_id, 'analyst: ' || length(text) || ' ' || left(text, 10) AS answer FROM benchmark WHERE text IS NOT NULL")
+def fanout_answers(spark, sf_dir):
+    """A call for each item, made by executors and answered from the ledger they leave."""
+    rows = _table(spark, sf_dir, "benchmark").where("text IS NOT NULL").select("item_id", F.to_json(F.array(F.array(F.lit("user"), F.col("text")))).alias("messages"))
+    calls = rows.select("item_id", F.sha2("messages", 256).alias("key"), F.lit("analyst").alias("role"), "messages", F.length("messages").cast("long").alias("weight"))
+    said = fanout.answered(spark, calls.drop("item_id"), lambda role, messages: f"{role}: {len(messages[0]['content'])} {messages[0]['content'][:10]}", f"{shared_folder(spark)}/ledger-{uuid.uuid4().hex}", tasks=16)
+    return calls.select("item_id", "key").join(said, "key").select("item_id", "answer")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -38,9 +38,14 @@ def lexical(x: str) -> str:
     return f"regexp_extract_all(lower({x}), '[a-zA-Z0-9_][a-zA-Z0-9_.-]*')"
 
 
+def body(x: str) -> str:
+    return trim(f"regexp_replace(coalesce({x}, ''), chr(13) || chr(10) || '?', chr(10), 'g')")
+
+
+DOCS = f"docs AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS source_ord, 'doc_' || doc_id AS document, {body('text')} AS body, text FROM documents)"
+
 SECTIONS = f"""
-docs AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS source_ord, 'doc_' || doc_id AS document, {trim("regexp_replace(coalesce(text, ''), chr(13) || chr(10) || '?', chr(10), 'g')")} AS body, text FROM documents
-), part_lists AS (SELECT source_ord, document, CASE WHEN body = '' THEN []::VARCHAR[] ELSE {split("body", 6000, 0)} END AS parts FROM docs
+{DOCS}, part_lists AS (SELECT source_ord, document, CASE WHEN body = '' THEN []::VARCHAR[] ELSE {split("body", 6000, 0)} END AS parts FROM docs
 ), part_rows AS (SELECT source_ord, document, unnest(parts) AS text, generate_subscripts(parts, 1) - 1 AS section_index FROM part_lists
 ), sections AS (
   SELECT row_number() OVER (ORDER BY source_ord, section_index) - 1 AS parent_ord, source_ord, document, section_index, '内容区段 ' || (section_index + 1) AS title, text FROM part_rows

@@ -186,7 +186,7 @@ def _legacy(data: bytes) -> Parsed:
 PARSERS: dict[str, Callable[[bytes], Parsed]] = {**{k: (lambda data, k=k: parse_text(data, k)) for k in TEXT_KINDS}, **dict.fromkeys(LEGACY_KINDS, _legacy), "docx": parse_docx, "pptx": parse_pptx, "pdf": parse_pdf}
 
 
-def parse_file(name: str, data: bytes, parsers: dict[str, Callable[[bytes], Parsed]] | None = None) -> Parsed:
+def parse_file(name: str, data: bytes, parsers: dict[str, Callable[[bytes], Parsed]] | None = None, most: int = MAX_BYTES) -> Parsed:
     """Parse by the extension of the file's bare name. ``parsers`` adds kinds, or converters of old ones."""
     kind = posixpath.basename(name.replace("\\", "/")).rpartition(".")[2].lower()
     known = {**PARSERS, **(parsers or {})}
@@ -194,12 +194,12 @@ def parse_file(name: str, data: bytes, parsers: dict[str, Callable[[bytes], Pars
         raise ParseError(f"files of the kind .{kind} aren't supported")
     if not data:
         raise ParseError("the file is empty")
-    if len(data) > MAX_BYTES:
-        raise ParseError(f"the file has more than {MAX_BYTES} bytes")
+    if len(data) > most:
+        raise ParseError(f"the file has more than {most} bytes")
     return known[kind](data)
 
 
-def parse_files(files: DataFrame) -> DataFrame:
+def parse_files(files: DataFrame, most: int = MAX_BYTES) -> DataFrame:
     """Parsed rows of ``files`` (path, content); a file that fails has its error and no text."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -207,7 +207,7 @@ def parse_files(files: DataFrame) -> DataFrame:
             for path, content in zip(batch["path"], batch["content"], strict=True):
                 name = posixpath.basename(path)
                 try:
-                    p, error = parse_file(name, bytes(content or b"")), None
+                    p, error = parse_file(name, bytes(content or b""), most=most), None
                 except ParseError as e:
                     p, error = Parsed(None, None, {}), str(e)  # type: ignore[arg-type]
                 yield pd.DataFrame({"name": [name], "text": [p.text], "source_format": [p.source_format], "metadata": [p.metadata], "source_bytes": [len(content or b"")], "error": [error]})
