@@ -14,7 +14,8 @@ from stratum.functions import text as tx
 from stratum.operators import evidence, memory, reader, search
 from stratum.operators.index import Corpus
 from stratum.operators.segments import Index
-from stratum.plans import fanout, reduction, routing
+from stratum.plans import fanout, reduction, routing, statelog
+from stratum.plans.artifacts import ArtifactStore
 from stratum.plans.config import Limits
 from stratum.sources import web
 from stratum.storage import shared_folder
@@ -683,6 +684,23 @@ def fanout_answers(spark, sf_dir):
     return calls.select("item_id", "key").join(said, "key").select("item_id", "answer")
 
 
+@query("SELECT 'evidence_' || left(sha256('evidence' || chr(31) || coalesce(text, '')), 16) AS artifact_id, any_value(length(coalesce(text, ''))) AS characters, arg_min(source, coalesce(source, '')) AS origin FROM documents WHERE doc_id % 2 = 0 GROUP BY ALL")
+def artifact_store(spark, sf_dir):
+    """All texts put, half of them twice; those of even ids looked up."""
+    store = ArtifactStore(spark, f"{shared_folder(spark)}/artifacts-{uuid.uuid4().hex}")
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.lit("evidence").alias("kind"), F.col("text").alias("content"), F.when(F.col("source").isNotNull(), F.create_map(F.lit("origin"), F.col("source"))).alias("metadata"))
+    store.put(docs.where("doc_id % 2 = 0"))
+    ids = store.put(docs)
+    asked = docs.where("doc_id % 2 = 0").select(tx.content_id("kind", F.coalesce("content", F.lit(""))).alias("artifact_id"))
+    return store.get(asked.join(ids, "artifact_id", "left_semi")).select("artifact_id", F.length("content").alias("characters"), F.col("metadata")["origin"].alias("origin"))
+
+
+@query("SELECT conv_id::VARCHAR AS run, max(turn)::INTEGER AS seq, arg_max(role, turn) AS node, arg_max(text, turn) AS state FROM conversations GROUP BY conv_id")
+def latest_states(spark, sf_dir):
+    rows = _table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("run"), F.col("turn").cast("int").alias("seq"), F.lit(0).alias("iteration"), F.col("role").alias("node"), F.col("text").alias("state"))
+    return statelog.latest(rows).drop("iteration")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 
