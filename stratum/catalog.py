@@ -311,11 +311,9 @@ def _tasks(spark, corpus: Corpus) -> DataFrame:
 _TASK_QUERIES = "SELECT * FROM (SELECT 1 AS query_id, 'the thing that' AS query, 0 AS s, n // 2 AS e FROM size UNION ALL SELECT 2, 'the thing', n // 2, n FROM size UNION ALL SELECT 3, 'on the 末尾', 0, n FROM size)"
 _PLACES = "list_distinct(list_transform(range(least(5, e - s)::BIGINT), lambda i: round_even(i * (e - s - 1) / greatest(1, least(5, e - s) - 1)::DOUBLE, 0)::BIGINT))"
 _STRATEGIES = (
-    sql.search(_TASK_QUERIES, True).replace(sql.lexical("query"), f"list_concat({sql.lexical('query')}, regexp_extract_all(query, '{sql.CJK}'), CASE WHEN query LIKE '%末尾%' THEN ['末尾'] ELSE []::VARCHAR[] END)")
+    sql.search(_TASK_QUERIES, True, f"list_concat({sql.lexical('query')}, regexp_extract_all(query, '{sql.CJK}'), CASE WHEN query LIKE '%末尾%' THEN ['末尾'] ELSE []::VARCHAR[] END)")
     + f""", lex AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_ord) AS rank, chunk_ord, score FROM scored QUALIFY rank <= 7
 ), b AS (SELECT query_id, s, e, list_sort({_PLACES}) AS p, (e - s - 1) / 2.0 AS half FROM q WHERE query_id > 1
-), o AS (
-  SELECT query_id, s, CASE WHEN query_id = 3 THEN list_reverse(p) ELSE list_transform([0], lambda z: list_sort(list_transform(p, lambda x: {{'d': abs(x - half), 'p': x}})))[1].p END AS p FROM (SELECT query_id, s, p, half FROM b WHERE query_id = 3)
 ), m AS (
   SELECT query_id, s, list_min(p) AS lo, list_max(p) AS hi, p, half FROM b WHERE query_id = 2
 ), mid AS (SELECT query_id, s, lo, hi, x, row_number() OVER (ORDER BY abs(x - half), x) AS r FROM (SELECT *, unnest(p) AS x FROM m)
@@ -331,9 +329,7 @@ _STRATEGIES = (
   UNION ALL SELECT 'task_04', i + 1, i, 0.01, 'shard_fallback', 'sharded_positional_fallback' FROM range(3) r(i)
   UNION ALL SELECT 'task_05', i + 1, i, 1.0, 'shard_exhaustive_scan', 'sharded_exhaustive_scan' FROM size, range(n) r(i)
 )"""
-).replace("""), o AS (
-  SELECT query_id, s, CASE WHEN query_id = 3 THEN list_reverse(p) ELSE list_transform([0], lambda z: list_sort(list_transform(p, lambda x: {'d': abs(x - half), 'p': x})))[1].p END AS p FROM (SELECT query_id, s, p, half FROM b WHERE query_id = 3)
-), m AS (""", "), m AS (")
+)
 
 
 @query(f"WITH {_STRATEGIES} SELECT task_id, position::INTEGER AS position, chunk_ord, score, source, strategy FROM hits")

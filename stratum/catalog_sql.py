@@ -67,12 +67,12 @@ POSTINGS = f"""{CHUNKS}, postings AS (
 )"""
 
 
-def search(queries: str, ranged: bool = False) -> str:
-    """CTEs up to ``scored`` for the queries of a CTE's SELECT (query_id, query[, s, e])."""
+def search(queries: str, ranged: bool = False, terms: str = lexical("query")) -> str:
+    """CTEs up to ``scored`` for the queries of a CTE's SELECT (query_id, query[, s, e]), of which ``terms`` are searched."""
     inside = "AND st.chunk_ord >= q.s AND st.chunk_ord < q.e" if ranged else ""
     return f"""{POSTINGS}, q AS ({queries}
 ), average AS (SELECT query_id, avg(length) AS average FROM q JOIN stats st ON true {inside} GROUP BY query_id
-), qt AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, unnest({lexical("query")}) AS term FROM q) GROUP BY ALL
+), qt AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, unnest({terms}) AS term FROM q) GROUP BY ALL
 ), qw AS (
   SELECT qt.*, coalesce(df, 0) AS df, (1 + ln(qtf)) * (ln((n + 1.0) / (coalesce(df, 0) + 1)) + 1) AS w, count(*) OVER (PARTITION BY query_id) AS n_terms, n FROM qt CROSS JOIN size LEFT JOIN terms USING (term)
 ), qn AS (SELECT *, sqrt(sum(w * w) OVER (PARTITION BY query_id)) AS query_norm FROM qw

@@ -16,6 +16,8 @@ LEXICAL_LIMIT, COVERAGE_LIMIT, SAMPLES, FALLBACK = 7, 10, 5, 3
 BLOCK_TOKENS = 80
 LEAST_BUDGET, MOST_BUDGET, TASK_RESERVE = 1_000, 10_000, 2_000
 EXCERPT = 500
+#: Parts the case from the task in the ids of tasks of several cases.
+OF_CASE = "\x1e"
 
 
 def positions(n: Column, text: Column | str) -> Column:
@@ -78,14 +80,17 @@ def pack(hits: DataFrame, budget: Column | str, key: str = "task_id") -> DataFra
 
 
 def evidence(corpus: Corpus, hits: DataFrame, tasks: DataFrame, shard_bytes: int) -> DataFrame:
-    """Packed hits as artifacts of kind evidence, with what a citation tells of them."""
+    """Packed hits as artifacts of kind evidence, with what a citation tells of them.
+
+    Tasks of several cases have ids of case, ``OF_CASE`` and task; an artifact's id is that of the task's own.
+    """
     texts = hits.join(corpus.chunks.select("chunk_ord", "chunk_id", "document", "section_title", "text", "byte_size"), "chunk_ord")
     texts = texts.join(corpus.sources.select("document", "source_bytes", "indexed_bytes"), "document", "left").fillna(0, ["source_bytes", "indexed_bytes"])
     of_task = tasks.select("task_id", "agent_type", "agent_instance_id", "shard_index", "shard_count", F.col("shard_bytes").alias("task_bytes"), evidence_budget("input_budget").alias("budget"))
     packed = pack(texts.join(F.broadcast(of_task), "task_id"), "budget")
     content = trimmed("text")
     return packed.select(
-        content_id(F.lit("evidence"), content, F.col("chunk_id"), F.round("score", 6), F.col("source"), F.col("task_id"), F.col("agent_instance_id"), F.col("shard_index"), F.col("shard_count")).alias("artifact_id"),
+        content_id(F.lit("evidence"), content, F.col("chunk_id"), F.round("score", 6), F.col("source"), F.substring_index("task_id", OF_CASE, -1), F.col("agent_instance_id"), F.col("shard_index"), F.col("shard_count")).alias("artifact_id"),
         F.lit("evidence").alias("kind"), content.alias("content"), "task_id", "position", "chunk_ord", "chunk_id", "document", F.col("section_title").alias("section"), F.round("score", 6).alias("score"), F.col("source").alias("retrieval_source"), "strategy",
         F.col("source_bytes").alias("document_bytes"), "indexed_bytes", F.col("byte_size").alias("chunk_bytes"), (F.col("indexed_bytes") > shard_bytes).alias("source_exceeds_shard_limit"), F.lit(shard_bytes).alias("shard_byte_limit"),
         "agent_type", "agent_instance_id", "shard_index", "shard_count", F.col("task_bytes").alias("shard_bytes"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -12,14 +12,18 @@ MESSAGES, TOTAL, USER_CHARS, ASSISTANT_CHARS = 20, 6_000, 1_200, 2_000
 CHAT_TOKENS = 24_000
 
 
+def line_contents(user_chars: int, assistant_chars: int) -> Column:
+    """A message's text (role, text) as a line of the memory has it."""
+    return F.left(collapsed(trimmed(F.coalesce("text", F.lit("")))), F.when(F.col("role") == "user", user_chars).otherwise(assistant_chars))
+
+
 def bounded_memory(messages: DataFrame, last: int = MESSAGES, total: int = TOTAL, user_chars: int = USER_CHARS, assistant_chars: int = ASSISTANT_CHARS) -> DataFrame:
     """(conv_id, memory, n_lines): of each conversation's last messages those of users and assistants, from the newest
     back while their lines have ``total`` characters together, put in order again."""
     newest = W.partitionBy("conv_id").orderBy(F.col("turn").desc())
     recent = messages.withColumn("back", F.row_number().over(newest)).where(F.col("back") <= last).where(F.col("role").isin("user", "assistant"))
     user = F.col("role") == "user"
-    content = F.left(collapsed(trimmed(F.coalesce("text", F.lit("")))), F.when(user, user_chars).otherwise(assistant_chars))
-    lines = recent.withColumn("content", content).where("content <> ''").withColumn("line", F.concat(F.when(user, "用户：").otherwise("助手："), "content"))
+    lines = recent.withColumn("content", line_contents(user_chars, assistant_chars)).where("content <> ''").withColumn("line", F.concat(F.when(user, "用户：").otherwise("助手："), "content"))
     used = F.sum(F.length("line")).over(W.partitionBy("conv_id").orderBy("back").rowsBetween(W.unboundedPreceding, 0))
     fit = lines.withColumn("used", used).where(F.col("used") <= total)
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "line"))), lambda x: x["line"]), "\n")

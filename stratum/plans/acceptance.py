@@ -105,8 +105,7 @@ def run(spark: SparkSession, text: str, cases: list[dict], model: Model = extrac
     results, n_chunks = [], corpus.n_chunks
     try:
         engine = Engine(corpus, model, limits)
-        for case in cases:
-            answer = engine.answer(case["question"])
+        for case, answer in zip(cases, engine.answers([c["question"] for c in cases]), strict=True):
             missing = [t for t in case["expected_terms"] if t not in answer.answer]
             passed = not missing and bool(answer.citations) and answer.validation["approved"]
             results.append({"id": case["id"], "question": case["question"], "passed": passed, "missing": missing, "answer": answer, "reasons": [] if passed else reasons(answer, missing)})

@@ -75,3 +75,24 @@ def test_all_cases_and_gates_pass(spark, text):
     assert report["ok"] and [a["id"] for a in report["assertions"]] == list(acceptance.GATES)
     assert report["document_stats"] == {"document": "long.md", "bytes": 572_535, "estimated_tokens": 177_420, "chunks": 1101, "exceeds_window": True}
     assert report["context_proof"]["divide_and_conquer_verified"] and report["context_proof"]["max_prompt_tokens"] < 16_000
+
+
+def test_one_retrieval_serves_all_cases(spark, monkeypatch):
+    from stratum.operators import evidence
+    from stratum.operators.index import Corpus
+    from stratum.plans.engine import Engine
+    from stratum.sources.files import text_source
+
+    made = []
+    whole = evidence.retrieve
+    monkeypatch.setattr(evidence, "retrieve", lambda *args: made.append(1) or whole(*args))
+    corpus = Corpus.build(text_source(spark, "\n\n".join(f"## 第{i}节\n\n第{i}节的项目代号是 CODE-{i:02d}。" for i in range(8)), "a.md"))
+    questions = ["第3节的项目代号是什么？", "第5节的项目代号是什么？", "列出所有项目代号"]
+    alone = [Engine(corpus).answer(q) for q in questions]
+    n, made[:] = len(made), []
+    together = Engine(corpus).answers(questions)
+    assert n == 3 and len(made) == 1
+    for a, b in zip(alone, together, strict=True):
+        assert (a.answer, a.citations, a.tasks, a.findings, a.validation, a.metrics, a.calls) == (b.answer, b.citations, b.tasks, b.findings, b.validation, b.metrics, b.calls)
+    assert Engine(corpus).answers([]) == []
+    corpus.release()
