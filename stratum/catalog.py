@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from stratum import catalog_sql as sql
 from stratum.functions import text as tx
-from stratum.operators import evidence, memory, reader, search
+from stratum.operators import evidence, longtext, memory, reader, search
 from stratum.operators.index import Corpus
 from stratum.operators.segments import Index
 from stratum.plans import fanout, reduction, routing, statelog
@@ -629,6 +629,25 @@ def pages_missing(spark, sf_dir):
     return reader.page_span(_books(spark, sf_dir), 20, 30).select("document", "missing", "greatest")
 
 
+# All documents of a language as one text, cut block by block; in two languages some documents open a section.
+_LONG_SQL = f"""b AS (SELECT lang AS document, doc_id, replace(text, '#', '') AS body, (lang IN ('en', 'fr') AND doc_id % 40 = 30)::INTEGER AS opens FROM documents WHERE lang IS NOT NULL AND text IS NOT NULL
+), n AS (SELECT *, max(opens) OVER (PARTITION BY document) = 1 AS headed, sum(opens) OVER (PARTITION BY document ORDER BY doc_id) AS section FROM b
+), t AS (SELECT document, headed, CASE WHEN section = 0 THEN '文档前言' ELSE 'Part ' || min(doc_id) END AS title, section, {sql.body("CASE WHEN section = 0 THEN '' ELSE '# Part ' || min(doc_id) || chr(10) || chr(10) END || string_agg(body, chr(10) || chr(10) ORDER BY doc_id)")} AS text FROM n GROUP BY document, headed, section
+), h AS (SELECT document, row_number() OVER (PARTITION BY document ORDER BY section) - 1 AS section_index, title AS section_title, text FROM t WHERE headed AND text <> ''
+), l AS (SELECT document, {sql.split("text", 6000, 0)} AS parts FROM t WHERE NOT headed AND text <> ''
+), p AS (SELECT document, generate_subscripts(parts, 1) - 1 AS section_index, unnest(parts) AS text FROM l
+), s AS (SELECT * FROM h UNION ALL SELECT document, section_index, '内容区段 ' || (section_index + 1), text FROM p
+), c AS (SELECT document, section_index, section_title, {sql.split("text", 1200, 160)} AS parts FROM s)"""
+
+
+@query(f"WITH {_LONG_SQL}, r AS (SELECT document, section_index::INTEGER AS section_index, section_title, generate_subscripts(parts, 1)::INTEGER - 1 AS part_index, unnest(parts) AS text FROM c) SELECT document, section_index, section_title, part_index, md5(text) AS digest FROM r")
+def long_text_chunks(spark, sf_dir):
+    opens = F.col("lang").isin("en", "fr") & (F.col("doc_id") % 40 == 30)
+    body = F.replace("text", F.lit("#"), F.lit(""))
+    rows = _table(spark, sf_dir, "documents").where("lang IS NOT NULL AND text IS NOT NULL").select(F.col("lang").alias("document"), F.col("doc_id").alias("place"), F.when(opens, F.concat(F.lit("# Part "), F.col("doc_id").cast("string"), F.lit("\n\n"), body)).otherwise(body).alias("text"))
+    return longtext.chunks(longtext.lines_in_order(rows)).withColumn("digest", F.md5(F.col("text").cast("binary"))).drop("text")
+
+
 # Every third message refers back.
 @query(f"WITH mem AS ({_memory_sql(20, 6000)}), c AS (SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN text || '，上述内容' ELSE text END AS text FROM conversations) SELECT c.conv_id, turn, CASE WHEN memory IS NOT NULL AND regexp_matches(text, '这个|该内容|上述|前面|刚才|它|其|这些|他们') THEN text || chr(10) || memory ELSE text END AS query FROM c LEFT JOIN mem USING (conv_id)")
 def referential_queries(spark, sf_dir):

@@ -46,6 +46,12 @@ def lines_of(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return spark.read.text(paths).select(F.col("_metadata.file_path").alias("document"), F.col("_metadata.file_block_start").alias("split"), F.col("value").alias("line"))
 
 
+def lines_in_order(texts: DataFrame) -> DataFrame:
+    """document, split and line of (document, place, text), whose rows form one text in the order of place, parted by empty lines."""
+    ordered = texts.repartitionByRange("document", "place").sortWithinPartitions("document", "place")
+    return ordered.select("document", F.spark_partition_id().cast("long").alias("split"), F.explode(F.split(F.concat(F.coalesce("text", F.lit("")), F.lit("\n")), "\r\n|\r|\n")).alias("line"))
+
+
 def blocks(lines: DataFrame, chars: int = BLOCK_CHARS) -> DataFrame:
     """document, split, seq and text of runs of lines, each ended by LF, where they are read: nothing is shuffled.
 

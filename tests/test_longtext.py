@@ -64,9 +64,9 @@ def odd_texts():
     ]
 
 
-@pytest.mark.parametrize(("target", "overlap", "parent", "chars"), [(300, 12, 500, 3000), (100, 600, 100, 9000)])
+@pytest.mark.parametrize(("target", "overlap", "parent", "chars"), [(300, 12, 500, 3000), (100, 300, 100, 9000)])
 def test_blocks_give_the_chunks_of_the_whole_text(spark, tmp_path, small_splits, target, overlap, parent, chars):
-    texts = random_texts(12, seed=target) + odd_texts()
+    texts = random_texts(6, seed=target) + odd_texts()
     want = whole(spark, texts, target, overlap, parent)
     got = by_blocks(spark, tmp_path, texts, target, overlap, parent, chars)
     assert got.keys() == want.keys()
