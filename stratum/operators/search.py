@@ -23,6 +23,8 @@ RANK_OFFSET, RANK_WEIGHT, COVERAGE_WEIGHT, PHRASE_WEIGHT = 60, 100, 4, 8.0
 DIGITS = 9
 #: Query terms up to this many rows are broadcast to the postings; beyond, both are shuffled by term.
 BROADCAST_TERMS = 200_000
+#: Hits that may hold their whole query are broadcast to the texts up to so many rows and characters; beyond, both are shuffled.
+BROADCAST_HITS, BROADCAST_CHARS = 100_000, 1 << 25
 #: Blocks of a query that are opened first by each order; hits of a range that one task ranks; hits looked at in a block's
 #: favour; steps of a score in which hits are counted.
 FIRST_BLOCKS, RANGE_HITS, DEPTH, STEPS = 64, 65_536, 256, 64
@@ -41,10 +43,14 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return counted.withColumn("n_terms", F.count(F.lit(1)).over(own)).withColumn("n_inner", F.sum("inner").over(own))
 
 
+def _few(rows: int, limit: int = BROADCAST_TERMS) -> Callable[[DataFrame], DataFrame]:
+    """Broadcasts a side of that many rows at most, if these are few; else leaves it as it is."""
+    return F.broadcast if rows <= limit else lambda side: side
+
+
 def small(queries: DataFrame):
     """Broadcasts a side that has no more rows than the queries have terms, if these are few; else leaves it as it is."""
-    few = query_terms(queries).count() <= BROADCAST_TERMS
-    return F.broadcast if few else lambda side: side
+    return _few(query_terms(queries).count())
 
 
 def range_averages(corpus: Corpus, ranges: DataFrame) -> DataFrame:
@@ -65,6 +71,7 @@ class Asked:
     averages: DataFrame
     phrases: DataFrame
     few: Callable[[DataFrame], DataFrame]
+    tables: tuple[DataFrame, ...]
 
     def with_average(self, side: DataFrame) -> DataFrame:
         return side.crossJoin(F.broadcast(self.averages)) if self.ranges is None else side.join(self.few(self.averages), "query_id")  # one row, or one a query
@@ -80,11 +87,16 @@ def asked(corpus: Corpus, queries: DataFrame) -> Asked:
         end = F.least(F.lit(corpus.n_chunks), F.coalesce("chunk_end", F.lit(corpus.n_chunks))).cast("long")
         ranges = queries.select("query_id", start.alias("range_start"), end.alias("range_end"))
         averages = range_averages(corpus, ranges)
-    terms = query_terms(queries).join(corpus.terms, "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))
+    counted = stored(query_terms(queries), "query-terms")
+    few = _few(counted.count())
+    known = corpus.terms.join(few(counted.select("term").distinct()), "term", "left_semi")  # the vocabulary stays where it is
+    terms = counted.join(few(known), "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))
     idf = F.log((F.lit(corpus.size) + 1) / (F.col("df") + 1)) + 1
     terms = terms.withColumn("weight", (1 + F.log("qtf")) * idf).withColumn("query_norm", F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(W.partitionBy("query_id"))))
     terms = terms.where("df > 0").withColumn("rarity", F.log(1 + (F.lit(corpus.size) - F.col("df") + 0.5) / (F.col("df") + 0.5))).withColumn("idf", idf)
-    return Asked(terms, ranges, averages, queries.select("query_id", F.lower(trimmed("query")).alias("phrase")), small(queries))
+    weighted = stored(terms, "asked")
+    removed(counted)
+    return Asked(weighted, ranges, averages, queries.select("query_id", F.lower(trimmed("query")).alias("phrase")), few, (weighted,))
 
 
 def _saturated(tf: Column, length: Column) -> Column:
@@ -135,21 +147,27 @@ def potentials(corpus: Corpus, q: Asked) -> DataFrame:
 
 
 def in_ranges(hits: DataFrame, score: str) -> DataFrame:
-    """``hits`` in the order of query, falling ``score`` and chunk, dealt to tasks as ``part``; a table."""
+    """``hits`` sorted by query, falling ``score`` and chunk and dealt to tasks, with the task as ``<score>_part`` and the
+    place there as ``<score>_place``; a table."""
     parts = max(int(hits.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-hits.count() // RANGE_HITS))
-    return stored(hits.repartitionByRange(parts, F.col("query_id"), F.col(score).desc(), F.col("chunk_ord")).withColumn("part", F.spark_partition_id()), "ranges")
+    order = [F.col("query_id"), F.col(score).desc(), F.col("chunk_ord")]
+    dealt = hits.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    return stored(dealt.withColumn(f"{score}_part", F.spark_partition_id()).withColumn(f"{score}_place", F.monotonically_increasing_id()), "ranges")
 
 
-def ranked(dealt: DataFrame, score: str, name: str) -> DataFrame:
-    """Hits of ``in_ranges`` with their rank among all hits of their query.
+def ranked(dealt: DataFrame, score: str, name: str, used: list[DataFrame] | None = None) -> DataFrame:
+    """Hits of ``in_ranges`` with their rank among all hits of their query; the table of counts is added to ``used``.
 
-    Each part ranks its own, and a query's hits in the parts before are added from their counts. So a query's hits are
-    spread over as many tasks as they need.
+    A hit's place in its part, less the first place of its query there, and the query's hits in the parts before give its
+    rank: counts of a row for each query and part, while hits stay in the task that reads them.
     """
-    counted = dealt.groupBy("query_id", "part").agg(F.count(F.lit(1)).alias("n"))
-    before = F.coalesce(F.sum("n").over(W.partitionBy("query_id").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    inside = F.row_number().over(W.partitionBy("query_id", "part").orderBy(F.col(score).desc(), "chunk_ord"))
-    return dealt.withColumn("inside", inside).join(counted.select("query_id", "part", before.alias("before")), ["query_id", "part"]).withColumn(name, F.col("before") + F.col("inside")).drop("part", "inside", "before")
+    part, place = f"{score}_part", f"{score}_place"
+    counted = dealt.groupBy("query_id", part).agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first"))
+    before = F.coalesce(F.sum("n").over(W.partitionBy("query_id").orderBy(part).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = stored(counted.select("query_id", part, (before - F.col("first") + 1).alias("shift")), "starts")
+    if used is not None:
+        used.append(starts)
+    return dealt.join(_few(starts.count())(starts), ["query_id", part]).withColumn(name, F.col(place) + F.col("shift")).drop(part, place, "shift")
 
 
 def _share(rank: Column) -> Column:
@@ -171,11 +189,18 @@ def _hopeful(corpus: Corpus, q: Asked, hits: DataFrame, limit: int) -> DataFrame
     fused = _share(F.col("rank_bm25")) + _share(F.col("rank_cosine")) + F.col("coverage") * COVERAGE_WEIGHT
     hits = hits.withColumn("coverage", F.col("n_met") / F.col("n_terms")).withColumn("fused", fused)
     least = thresholds(hits, F.col("coverage") * COVERAGE_WEIGHT, limit)
-    hopeful = hits.join(least, "query_id", "left").where(F.col("fused") + F.when(near, PHRASE_WEIGHT).otherwise(0.0) >= F.coalesce("threshold", F.lit(0.0))).drop("threshold")
-    texts = corpus.chunks.select(F.col("chunk_ord").alias("text_of"), "text")
-    met = hopeful.join(q.few(q.phrases), "query_id").join(texts, near & (F.col("chunk_ord") == F.col("text_of")), "left")
-    bonus = F.when(F.contains(F.lower("text"), F.col("phrase")), F.lit(PHRASE_WEIGHT)).otherwise(F.lit(0.0))
-    return stored(met.select("query_id", "chunk_ord", "bm25", "cosine", "rank_bm25", "rank_cosine", "coverage", bonus.alias("bonus"), F.round(F.col("fused") + bonus, 6).alias("score")), "hopeful")
+    hopeful = hits.join(q.few(least), "query_id", "left").where(F.col("fused") + F.when(near, PHRASE_WEIGHT).otherwise(0.0) >= F.coalesce("threshold", F.lit(0.0)))
+    hopeful = stored(hopeful.select("query_id", "chunk_ord", "bm25", "cosine", "rank_bm25", "rank_cosine", "coverage", "fused", "near"), "hopeful")
+    asking = hopeful.where(near).join(q.few(q.phrases), "query_id").select("query_id", "chunk_ord", "phrase")
+    size = asking.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length("phrase")), F.lit(0)).alias("chars")).collect()[0]
+    few = _few(size.n, BROADCAST_HITS if size.chars <= BROADCAST_CHARS else -1)
+    texts = corpus.chunks.select("chunk_ord", "text").join(few(asking), "chunk_ord")
+    holding = texts.where(F.contains(F.lower("text"), F.col("phrase"))).select("query_id", "chunk_ord", F.lit(PHRASE_WEIGHT).alias("bonus"))
+    met = hopeful.join(_few(size.n, BROADCAST_HITS)(holding), ["query_id", "chunk_ord"], "left") if size.n else hopeful.withColumn("bonus", F.lit(0.0))
+    bonus = F.coalesce("bonus", F.lit(0.0))
+    found = stored(met.select("query_id", "chunk_ord", "bm25", "cosine", "rank_bm25", "rank_cosine", "coverage", bonus.alias("bonus"), F.round(F.col("fused") + bonus, 6).alias("score")), "hopeful")
+    removed(hopeful)
+    return found
 
 
 def hybrid(corpus: Corpus, queries: DataFrame, limit: int = 10) -> DataFrame:
@@ -186,7 +211,6 @@ def hybrid(corpus: Corpus, queries: DataFrame, limit: int = 10) -> DataFrame:
     closed can change neither the best nor their ranks, so the result is that of opening all.
     """
     q = asked(corpus, queries)
-    blocks = stored(potentials(corpus, q), "potentials")
     place = lambda by: F.row_number().over(W.partitionBy("query_id", "needed").orderBy(F.col(by).desc(), "block"))
 
     def dealt(told: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
@@ -196,17 +220,20 @@ def hybrid(corpus: Corpus, queries: DataFrame, limit: int = 10) -> DataFrame:
         used.append(split)
         return split.where("open").drop("open"), split.where("NOT open").drop("open")
 
-    used, hits, most = [blocks], None, FIRST_BLOCKS
-    opening, closed = dealt(blocks.withColumn("needed", F.lit(True)), most)
+    used, hits, most = list(q.tables), None, FIRST_BLOCKS
+    opening, closed = potentials(corpus, q), None
+    if corpus.n_chunks > FIRST_BLOCKS * BLOCK_CHUNKS:  # else all blocks are opened at once
+        used.append(stored(opening, "potentials"))
+        opening, closed = dealt(used[-1].withColumn("needed", F.lit(True)), most)
     while True:
         more = stored(matched(corpus, q, opening.select("query_id", "block")), "matched")
         hits = more if hits is None else hits.unionByName(more)
         by_bm25 = in_ranges(hits, "bm25")
-        by_cosine = in_ranges(ranked(by_bm25, "bm25", "rank_bm25"), "cosine")
-        both = ranked(by_cosine, "cosine", "rank_cosine")
+        by_cosine = in_ranges(ranked(by_bm25, "bm25", "rank_bm25", used), "cosine")
+        both = ranked(by_cosine, "cosine", "rank_cosine", used)
         found = _hopeful(corpus, q, both, limit)
         used += [more, by_bm25, by_cosine, found]
-        if closed.isEmpty():
+        if closed is None or closed.isEmpty():
             break
         beyond = closed.groupBy("query_id").agg(F.max("most_bm25").alias("b"), F.max("most_cosine").alias("c"))
         sure = found.join(beyond, "query_id", "left")
