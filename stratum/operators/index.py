@@ -98,7 +98,14 @@ def chunk_table(split: DataFrame) -> DataFrame:
 
 
 def postings_table(chunks: DataFrame) -> DataFrame:
-    return chunks.select("chunk_ord", F.explode(lexical_tokens("text")).alias("term")).groupBy("chunk_ord", "term").agg(F.count(F.lit(1)).cast("int").alias("tf"))
+    """(chunk_ord, term, tf) of every chunk: runs of equal terms in its sorted terms, counted where the chunk is, without a
+    shuffle. The outer form keeps the optimizer from copying the whole expression into a filter below."""
+    words = chunks.select("chunk_ord", F.sort_array(lexical_tokens("text")).alias("words"))
+    places = F.when(F.size("words") > 0, F.sequence(F.lit(1), F.size("words")))
+    starts = F.filter(places, lambda i: (i == 1) | (F.element_at("words", i) != F.element_at("words", F.greatest(F.lit(1), i - 1))))
+    runs = F.transform("starts", lambda at, k: F.struct(F.element_at("words", at).alias("term"), (F.coalesce(F.get("starts", k + 1), F.size("words") + 1) - at).alias("tf")))
+    each = words.select("chunk_ord", "words", starts.alias("starts")).select("chunk_ord", F.explode_outer(runs).alias("p"))
+    return each.where("p IS NOT NULL").select("chunk_ord", "p.term", "p.tf")
 
 
 def term_table(postings: DataFrame) -> DataFrame:
