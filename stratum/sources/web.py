@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import html
+import html.entities
+import re
 from collections.abc import Callable
 
 import pandas as pd
@@ -20,17 +22,28 @@ PARAGRAPH = r"(?s)<p[^>]*>(.*?)</p>"
 LINK = r'<a href="([^"]*)">([^<]*)</a>'
 
 
+CLOSED = re.compile(r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|([A-Za-z][A-Za-z0-9]*));")
+
+
 def _unescape(values: pd.Series) -> pd.Series:
     return values.map(lambda v: None if v is None else html.unescape(v))
 
 
-def unescaped(value: Column | str) -> Column:
-    """Character references decoded; there are over two thousand names, so the standard library's table is used."""
-    return F.pandas_udf(_unescape, "string")(column(value))
+def _unescape_closed(values: pd.Series) -> pd.Series:
+    def decoded(m: re.Match) -> str:
+        return m[0] if m[1] and m[0][1:] not in html.entities.html5 else html.unescape(m[0])
+
+    return values.map(lambda v: None if v is None else CLOSED.sub(decoded, v))
+
+
+def unescaped(value: Column | str, bare: bool = True) -> Column:
+    """Character references decoded; there are over two thousand names, so the standard library's table is used. Without
+    ``bare``, only references that a semicolon ends."""
+    return F.pandas_udf(_unescape if bare else _unescape_closed, "string")(column(value))
 
 
-def plain_text(value: Column | str) -> Column:
-    return trimmed(collapsed(unescaped(F.regexp_replace(column(value), "<[^>]+>", " "))))
+def plain_text(value: Column | str, bare: bool = True) -> Column:
+    return trimmed(collapsed(unescaped(F.regexp_replace(column(value), "<[^>]+>", " "), bare)))
 
 
 def search_query(query: Column | str) -> Column:
