@@ -78,3 +78,11 @@ def test_web_results(spark):
     rows = web.json_results(spark.createDataFrame([(1, body)], "query_id int, body string")).collect()
     assert [(r.title, r.url) for r in rows] == [("http://c", "http://c"), ("t2", "http://c")]
     assert web.as_sources(web.json_results(spark.createDataFrame([(1, body)], "query_id int, body string"))).count() == 2
+
+
+def test_many_files_are_passed_on_together(spark):
+    files_ = spark.createDataFrame([(f"/d/{i}.txt", b"" if i % 5 == 0 else b"x" * i) for i in range(300)], "path string, content binary").coalesce(1)
+    parsed = files.parse_files(files_, 200)
+    assert "MapInArrow" in parsed._jdf.queryExecution().executedPlan().toString()
+    got = {r.name: (r.text, r.source_bytes, r.metadata, r.error is None) for r in parsed.collect()}
+    assert got == {f"{i}.txt": ("x" * i if i % 5 and i <= 200 else None, i if i % 5 else 0, {}, bool(i % 5) and i <= 200) for i in range(300)}
