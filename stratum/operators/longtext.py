@@ -126,10 +126,12 @@ def _outline(text: str, state: int, keep_last: bool) -> tuple:
     return after, level, len(heads), heads[-1][1] if heads else None, _solid(text, *items[0][1:]), len(items) > 1, _solid(text, *items[-1][1:]), before
 
 
-def _outlines(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in frames:
-        made = [pickle.dumps((len(t), [[_outline(t, s, k) for k in (False, True)] for s in range(3)])) for t in frame["text"]]
-        yield frame[_KEYS].assign(payload=made)
+def _outlines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i in range(batch.num_rows):  # a block at a time: a batch has tens of MB
+            text = batch["text"][i].as_py()
+            made = pickle.dumps((len(text), [[_outline(text, s, k) for k in (False, True)] for s in range(3)]))
+            yield pa.RecordBatch.from_arrays([*(batch[k].slice(i, 1) for k in _KEYS), pa.array([made], pa.binary())], [*_KEYS, "payload"])
 
 
 def _entered(frame: pd.DataFrame) -> pd.DataFrame:
@@ -178,9 +180,10 @@ def _pieces(start: int, end: int, lo: int, hi: int, longest: int, overlap: int)
 
 
 def _units(target: int, overlap: int, parent: int):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for document, split, seq, text, payload in frame[[*_KEYS, "text", "payload"]].itertuples(index=False):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for place in range(batch.num_rows):
+                document, split, seq, text, payload = (batch[c][place].as_py() for c in (*_KEYS, "text", "payload"))
                 entry = pickle.loads(payload)
                 size, lap = _sizes(entry["headed"], target, overlap, parent)
                 longest, base, section, title, rows = max(segment.LEAST_CUT, int(size * 2.0)), entry["base"], entry["section"], entry["title"], []
@@ -203,17 +206,19 @@ def _units(target: int, overlap: int, parent: int):
                         if x < y:
                             rows.append((section, title, i, x, text[x - base : y - base], (x, y) == (i, j)))
                 if rows:
-                    made = pd.DataFrame(rows, columns=["section", "title", "start", "at", "text", "whole"])
-                    yield made.assign(document=document, split=split, seq=seq, headed=entry["headed"], shift=entry["shift"])[[*_KEYS, *made.columns, "headed", "shift"]]
+                    alike = [(document, pa.string()), (split, pa.int64()), (seq, pa.int64())], [(entry["headed"], pa.bool_()), (entry["shift"], pa.int32())]
+                    first, last = ([pa.array([x] * len(rows), t) for x, t in side] for side in alike)
+                    own = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.bool_()), strict=True)]
+                    yield pa.RecordBatch.from_arrays([*first, *own, *last], [*_KEYS, "section", "title", "start", "at", "text", "whole", "headed", "shift"])
 
     return run
 
 
 def units(cut_up: DataFrame, target: int, overlap: int, parent: int) -> DataFrame:
     """A table of the units of blocks, each with its section and, as order, the place where it starts; one that blocks share is the first's."""
-    entries = cut_up.mapInPandas(_outlines, "document string, split bigint, seq bigint, payload binary").groupBy("document").applyInPandas(_entered, "document string, split bigint, seq bigint, payload binary")
+    entries = cut_up.mapInArrow(_outlines, "document string, split bigint, seq bigint, payload binary").groupBy("document").applyInPandas(_entered, "document string, split bigint, seq bigint, payload binary")
     schema = "document string, split bigint, seq bigint, section bigint, title string, start bigint, at bigint, text string, whole boolean, headed boolean, shift int"
-    parts = stored(cut_up.join(entries, _KEYS).mapInPandas(_units(target, overlap, parent), schema), "unit-parts")
+    parts = stored(cut_up.join(entries, _KEYS).mapInArrow(_units(target, overlap, parent), schema), "unit-parts")
     joined = parts.where("NOT whole").groupBy("document", "start").agg(
         F.min_by(F.struct("split", "seq", "section", "title", "headed", "shift"), "at").alias("k"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "text"))), lambda p: p["text"]), "").alias("text"),

@@ -1,8 +1,10 @@
 """Texts cut by many tasks against the folds of the whole text."""
 
 import os
+import pickle
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -82,3 +84,11 @@ def test_the_reader_shuffles_no_text(spark, tmp_path):
     (tmp_path / "a.txt").write_text("one\ntwo")
     plan = longtext.blocks(longtext.lines_of(spark, str(tmp_path)))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
+
+
+def test_blocks_are_read_one_at_a_time():
+    texts = ["# A\n\nx\n", "y\n\n# B\n\nz\n", "w\n"]
+    batch = pa.RecordBatch.from_pydict({"document": ["d"] * 3, "split": pa.array([0] * 3, pa.int64()), "seq": pa.array(range(3), pa.int64()), "text": texts})
+    made = list(longtext._outlines(iter([batch])))
+    assert [b.num_rows for b in made] == [1, 1, 1] and [b["seq"][0].as_py() for b in made] == [0, 1, 2]
+    assert [pickle.loads(b["payload"][0].as_py())[0] for b in made] == [len(t) for t in texts]
